@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .pii import op9_pii
 from .secrets import op10_secrets
 from .sharding import op2_sharding
+from .urls import op1_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op10_secrets)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op9_pii, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
