@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import op6_decontaminate
 from .near_dedup import op7_near_dedup
 from .pii import op9_pii
 from .secrets import op10_secrets
@@ -10,7 +11,7 @@ from .urls import op1_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op7_near_dedup, op9_pii, op10_secrets)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op6_decontaminate, op7_near_dedup, op9_pii, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
