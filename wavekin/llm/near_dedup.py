@@ -38,7 +38,7 @@ MARGIN = 5.0
 #: Ids of a side that is broadcast, at most: 8 bytes each. Larger sides are shuffled.
 BROADCAST_IDS = 2_000_000
 #: Members up to which all pairs of a bucket are compared outright.
-SMALL_BUCKET = 24
+SMALL_BUCKET = 4
 
 _U = np.uint64
 _TRIES = 64
@@ -182,6 +182,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("s_a") + F.size("s_b") - both) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
 def _fits(x: str, y: str, percent: int):
     """Set sizes that a link allows."""
     return (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
@@ -216,7 +220,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
 
     pairs = buckets.where("node <> hub").where(_fits("n", "hub_n", percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     likely = stage(_likely(pairs, reps, percent), "likely")
-    sets = _sets_of(docs, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = _sets_of(docs, _ends(likely))
     links = stage(_verified(likely, sets, percent), "links")
     # rows of one document with different sets hang together as well
     same = full.join(classes, ["d1", "d2"]).where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
@@ -224,7 +228,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
 
     rest = stage(_open_pairs(docs, buckets, roots, percent), "open")
     likely = stage(_likely(rest, reps, percent), "likely")
-    sets = _sets_of(docs, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = _sets_of(docs, _ends(likely))
     more = stage(_verified(likely, sets, percent), "links")
     roots = stage(components(roots.select("u", F.col("root").alias("v")).unionByName(more)), "roots")
 
