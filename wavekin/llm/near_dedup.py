@@ -11,9 +11,9 @@ that no shingle reached copy one that was reached, chosen by a fixed random walk
 * Candidates pass the collision-corrected Jaccard estimate with a margin of five
   standard deviations, and are then confirmed on their full shingle sets.
 * Links join classes to components. Only buckets whose members still lie in different
-  components can hide a link that matters. Their pairs are compared as well, except
-  those that an exact bound excludes: shingles that no other open document has cannot
-  be shared.
+  components can hide a link that matters. Pairs of their members are compared as well:
+  all pairs of a small bucket, and of crowded ones those that an exact prefix and
+  position filter leaves.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, table
@@ -38,7 +38,7 @@ MARGIN = 5.0
 #: Ids of a side that is broadcast, at most: 8 bytes each. Larger sides are shuffled.
 BROADCAST_IDS = 2_000_000
 #: Members up to which all pairs of a bucket are compared outright.
-SMALL_BUCKET = 4
+SMALL_BUCKET = 12
 
 _U = np.uint64
 _TRIES = 64
@@ -246,28 +246,41 @@ def _open_pairs(docs: DataFrame, buckets: DataFrame, roots: DataFrame, percent:
     mixed = rows.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).where("r0 <> r1").select("k", "members")
     rows = stage(rows.join(mixed, "k"), "mixed")
 
-    def pairs(members: DataFrame, more=None) -> DataFrame:
+    def pairs(members: DataFrame) -> DataFrame:
         a, b = (members.select("k", *[F.col(c).alias(f"{c}_{s}") for c in members.columns if c not in ("k", "members")]) for s in "ab")
         on = (a["k"] == b["k"]) & (a["node_a"] < b["node_b"]) & (a["root_a"] != b["root_b"]) & (F.least(a["n_a"], b["n_b"]) * 100 >= F.greatest(a["n_a"], b["n_b"]) * percent)
-        return a.join(b, on if more is None else on & more(a, b)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        return a.join(b, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
     small = pairs(rows.where(F.col("members") <= SMALL_BUCKET))
-    large = rows.where(F.col("members") > SMALL_BUCKET)
-    sets = _sets_of(docs, large.select("node").distinct())
-    singles = sets.select("node", F.explode("shingles").alias("s"))
-    shared = singles.groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("s")
-    common = singles.join(shared, "s").groupBy("node").agg(F.count("*").alias("c"))
-    counted = large.join(common, "node")
-    # at best the partner is as small as the bucket's smallest that still fits, and shares all c
-    bound = lambda c, n, m: c * 100 >= (n + F.greatest(m, c) - c) * percent
-    floor = counted.groupBy("k").agg(F.min("n").alias("least"))
-    alive = counted.join(floor, "k").where(bound(F.col("c"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)))).drop("least")
-
-    def both(a, b):
-        m = F.least(a["c_a"], b["c_b"])
-        return m * 100 >= (a["n_a"] + b["n_b"] - m) * percent
-
-    return small.unionByName(pairs(alive, both)).distinct()
+    large = stage(rows.where(F.col("members") > SMALL_BUCKET).select("node", "n", "root").distinct(), "crowded")
+    return small.unionByName(_prefix_pairs(docs, large, percent)).distinct()
+
+
+def _prefix_pairs(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes (node, n, root) with different roots that share a shingle early enough to be linked.
+
+    Each set is ordered by how rare its shingles are among these nodes. Two linked sets
+    share one of their first n - ceil(n * percent / 100) + 1, and behind the first that
+    they share, enough must be left of both. Of a shingle's holders, those that could
+    not even be linked with the smallest of them go first; if the others lie in one
+    component, the shingle has no open pair, so a large group costs no pairs at all.
+    """
+    need = lambda total: total * percent  # noqa: E731  a link's intersection times (100 + percent) reaches it
+    shingles = _sets_of(docs, nodes.select("node")).select("node", F.explode("shingles").alias("s"))
+    shared = shingles.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    by_rarity = Window.partitionBy("node").orderBy("f", "s")
+    held = shingles.join(shared, "s").select("node", "s", F.row_number().over(by_rarity).alias("nth"), F.count("*").over(Window.partitionBy("node")).alias("c"))
+    held = held.join(nodes, "node").withColumn("left", F.col("c") - F.col("nth") + 1)
+    held = held.where(F.col("n") - F.col("left") + 1 <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    held = stage(held.select("s", "node", "n", "root", "left"), "prefixes")
+    floor = held.groupBy("s").agg(F.min("n").alias("least"))
+    partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    alive = held.join(floor, "s").where(F.col("left") * (100 + percent) >= need(F.col("n") + partner)).drop("least")
+    mixed = alive.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("s")
+    alive = stage(alive.join(mixed, "s"), "prefixes")
+    a, b = (alive.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root", "left")]) for x in "ab")
+    on = (a["s"] == b["s"]) & (a["node_a"] < b["node_b"]) & (a["root_a"] != b["root_b"]) & (F.least(a["left_a"], b["left_b"]) * (100 + percent) >= need(a["n_a"] + b["n_b"]))
+    return a.join(b, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
