@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op6_decontaminate
 from .langid import op3_language_id
+from .mixing import op5_mix
 from .near_dedup import op7_near_dedup
 from .pii import op9_pii
 from .secrets import op10_secrets
@@ -13,7 +14,7 @@ from .urls import op1_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_language_id, op6_decontaminate, op7_near_dedup, op8_token_store, op9_pii, op10_secrets)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_language_id, op5_mix, op6_decontaminate, op7_near_dedup, op8_token_store, op9_pii, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
