@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
+from .ann import op4_ann
 from .decontam import op6_decontaminate
 from .langid import op3_language_id
 from .mixing import op5_mix
@@ -14,7 +17,8 @@ from .urls import op1_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_language_id, op5_mix, op6_decontaminate, op7_near_dedup, op8_token_store, op9_pii, op10_secrets)}
+    ops = (op1_url_filter, op2_sharding, op3_language_id, op4_ann, op5_mix, op6_decontaminate, op7_near_dedup, op8_token_store, op9_pii, op10_secrets)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
