@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import series_queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """Exact 5-NN through a SAX tree."""
+    return series_queries.QUERIES["qry_knn_tree_sax"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(series_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(series_queries.SQL)
