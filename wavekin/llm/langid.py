@@ -10,13 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, small_batches, table
 
 BUCKETS, DIM = 1 << 16, 16
 #: Lengths in bytes of the subwords. A blank may begin or end one, so they tell a word's ends from its inside.
 LENGTHS = (1, 2, 3, 4, 5)
 #: Bytes of text taken at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Share of the sample kept from training, for temperature and rejection.
 CALIBRATION = 0.25
 #: Share of calibration texts that rejection may cost.
@@ -177,13 +177,14 @@ def train(docs: DataFrame, *, max_per_lang: int = 1000, max_langs: int = 500) ->
 
 def predict(docs: DataFrame, model: LanguageModel, text: Column, to: str = "language") -> DataFrame:
     """``docs`` with a struct column (lang_pred, score, accepted)."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            texts = part.tolist()
-            yield held.value.predict(texts)
+            yield held.value.predict(part.tolist())
+        release()
 
     return docs.withColumn(to, run(text))
 

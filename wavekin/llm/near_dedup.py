@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import release, small_batches, stage, table
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -123,6 +123,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 d2 = np.array([mix(s, 21).sum(dtype=_U) for s in sets], dtype=_U).view(np.int64)
                 ids = part["doc_id"].astype("Int64")
                 yield pd.DataFrame({"doc_id": ids, "node": ids.fillna(pd.Series(d1, index=ids.index)).astype("int64"), "n": [len(s) for s in sets], "d1": d1, "d2": d2, "registers": [r.tobytes() for r in regs]})
+        release()
 
     return docs.mapInPandas(run, "doc_id long, node long, n long, d1 long, d2 long, registers binary")
 
@@ -134,6 +135,7 @@ def _bands(reps: DataFrame) -> DataFrame:
                 part = pdf.iloc[lo : lo + 2048]
                 keys = band_keys(np.frombuffer(b"".join(part["registers"]), np.uint16).reshape(-1, REGISTERS))
                 yield pd.DataFrame({"k": keys.ravel(), "node": np.repeat(part["node"].to_numpy(), BANDS), "n": np.repeat(part["n"].to_numpy(), BANDS)})
+        release()
 
     return reps.select("node", "n", "registers").mapInPandas(run, "k long, node long, n long")
 
@@ -152,6 +154,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 d1 = np.array([mix(s, 20).sum(dtype=_U) for s in sets], dtype=_U).view(np.int64)
                 ids = part["doc_id"].astype("Int64")
                 yield pd.DataFrame({"node": ids.fillna(pd.Series(d1, index=ids.index)).astype("int64"), "shingles": [s.view(np.int64) for s in sets]})
+        release()
 
     return stage(named.mapInPandas(run, "node long, shingles array<long>"), "sets")
 
@@ -170,6 +173,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             n_a, n_b = pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy()
             spread = np.sqrt(t * (1 - t) / np.clip(np.minimum(n_a, n_b), 1, REGISTERS))
             yield pdf.loc[estimate(a, b, n_a, n_b) >= t - MARGIN * spread, ["a", "b"]]
+        release()
 
     return both.mapInPandas(run, "a long, b long")
 
@@ -207,6 +211,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     smallest id there or null. Other columns of the input are ignored. An empty table
     gives no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sk = stage(_sketches(docs), "sketches")
     full = sk.where("n > 0")

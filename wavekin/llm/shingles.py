@@ -8,7 +8,7 @@ import numpy as np
 
 K = 5
 #: Bytes hashed at a time; longer texts are cut between words, which changes no hash.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 _U = np.uint64
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")

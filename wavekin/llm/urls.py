@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, release, table
 
 # Fixed values of the contract: (rule, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -168,6 +168,7 @@ def judge_urls(pages: DataFrame, model: UrlModel, rules=RULES, *, id_col: str =
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series(model.score(part.tolist()))
+        release()
 
     rows = rows.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("rule"), score(url).alias("score"))
     verdict = F.when(F.col("score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
