@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, ShortType, StructField, StructType
 
 from .arrays import breakpoints
 
@@ -37,7 +40,7 @@ def dtw(a: Column, b: Column, r: int) -> Column:
             out[at] = dtw_block(np.stack([x[i] for i in at]).astype(float), np.stack([y[i] for i in at]).astype(float), r)
         return pd.Series(out).where(ok, None)
 
-    return run.asNondeterministic()(a, b)
+    return run(a, b)
 
 
 def coefficients_of(x: np.ndarray, coefficients: list[int]) -> np.ndarray:
@@ -50,22 +53,28 @@ def coefficients_of(x: np.ndarray, coefficients: list[int]) -> np.ndarray:
     return out
 
 
-def summary(v: Column, config, model=None) -> Column:
-    """struct(vector, word) of z-normalised values: PAA and SAX symbols, or Fourier values and SFA symbols."""
+def summarise(prepared: DataFrame, config, model=None) -> DataFrame:
+    """Adds vector and word to rows with ``values``: PAA and SAX symbols, or Fourier values and SFA symbols.
+
+    A map over batches, not a column: filters that Spark derives from a later explode
+    must not be moved into a Python function's arguments.
+    """
     w, m, n = config.w, config.segment, config.n
     bins = np.array(breakpoints(config.alphabet)) if config.summarization == "sax" else [np.array(b) for b in model.bins]
     chosen = None if config.summarization == "sax" else list(model.coefficients)
 
-    @F.pandas_udf("vector array<double>, word array<smallint>")
-    def run(s: pd.Series) -> pd.DataFrame:
-        x = np.stack(s.to_numpy()).astype(float) if len(s) else np.zeros((0, n))
-        if chosen is None:
-            vector = x[:, : w * m].reshape(len(x), w, m).mean(axis=2)
-            word = np.searchsorted(bins, np.round(vector, 9), side="left")
-        else:
-            vector = coefficients_of(x, chosen)
-            word = np.stack([np.searchsorted(b, np.round(vector[:, i], 6), side="right") for i, b in enumerate(bins)], axis=1) if len(x) else np.zeros((0, w))
-        return pd.DataFrame({"vector": list(vector), "word": list(word.astype(np.int16))})
-
-    # else filters that Spark infers from a later explode would call it where no Python can run
-    return run.asNondeterministic()(v)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["values"].to_numpy()).astype(float)
+            if chosen is None:
+                vector = x[:, : w * m].reshape(len(x), w, m).mean(axis=2)
+                word = np.searchsorted(bins, vector, side="left")
+            else:
+                vector = coefficients_of(x, chosen)
+                word = np.stack([np.searchsorted(b, np.round(vector[:, i], 6), side="right") for i, b in enumerate(bins)], axis=1)
+            yield pdf.assign(vector=list(vector), word=list(word.astype(np.int16)))
+
+    schema = StructType([*prepared.schema.fields, StructField("vector", ArrayType(DoubleType())), StructField("word", ArrayType(ShortType()))])
+    return prepared.mapInPandas(run, schema)

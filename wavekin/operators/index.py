@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import SeriesConfig
 from ..functions import arrays as A
-from ..functions.kernels import summary
+from ..functions.kernels import summarise
 from .learning import SfaModel, learn
 
 
@@ -105,9 +105,7 @@ class SeriesIndex:
     @staticmethod
     def summarise(prepared: DataFrame, config: SeriesConfig, model: SfaModel | None) -> DataFrame:
         """Adds vector, word and root_key."""
-        both = prepared.withColumn("_s", summary(F.col("values"), config, model))
-        both = both.select("*", F.col("_s.vector").alias("vector"), F.col("_s.word").alias("word")).drop("_s")
-        return both.withColumn("root_key", A.root_key(F.col("word"), config.bits))
+        return summarise(prepared, config, model).withColumn("root_key", A.root_key(F.col("word"), config.bits))
 
     @classmethod
     def build(cls, series: DataFrame, config: SeriesConfig, *, path: str | None = None, model: SfaModel | None = None) -> SeriesIndex:

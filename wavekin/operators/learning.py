@@ -99,7 +99,7 @@ def learn(series: DataFrame, config: SeriesConfig) -> SfaModel:
         edges = (equi_depth if config.binning == "equi-depth" else equi_width)(placed, config.alphabet)
         bins: list[list[float]] = [[] for _ in range(2 * len(kept))]
         for r in edges.orderBy("seg", "bin").collect():
-            bins[r["seg"]].append(round(r["edge"], 6))
+            bins[r["seg"]].append(r["edge"])
     finally:
         values.unpersist()
     return SfaModel(kept, bins)

@@ -186,7 +186,7 @@ def prj_dft_norm_skip_dc(spark, d):
 _FLAT = "flat AS (SELECT series_id, CAST(unnest(range(16)) AS BIGINT) AS seg, unnest(flatten(list_transform(range(1, 9), lambda i: [re[i], im[i]]))) AS x FROM dft)"
 _RANKED = "ranked AS (SELECT seg, x, row_number() OVER (PARTITION BY seg ORDER BY x) - 1 AS at, count(*) OVER (PARTITION BY seg) AS n FROM flat)"
 _ED = _RANKED + ", edges AS (SELECT r.seg, b.bin, r.x AS edge FROM ranked r, (SELECT unnest(range(255)) AS bin) b WHERE r.at = (b.bin + 1) * r.n // 256)"
-_EW = "edges AS (SELECT seg, bin, round(a + (bin + 1) * (b - a) / 256, 6) AS edge FROM (SELECT seg, min(x) AS a, max(x) AS b FROM flat GROUP BY seg), (SELECT unnest(range(255)) AS bin))"
+_EW = "edges AS (SELECT seg, bin, a + (bin + 1) * (b - a) / 256 AS edge FROM (SELECT seg, min(x) AS a, max(x) AS b FROM flat GROUP BY seg), (SELECT unnest(range(255)) AS bin))"
 _SFA_SYMBOLS = "SELECT f.series_id, f.seg, CAST(count(e.edge) AS BIGINT) AS sym FROM flat f LEFT JOIN edges e ON e.seg = f.seg AND e.edge <= f.x GROUP BY ALL"
 
 
@@ -318,11 +318,11 @@ def dst_dot(spark, d):
 
 def _dtw_sql(r: int) -> str:
     """Cells of each pair's matrix one by one in row order; missing cells are infinite."""
-    cell = "CASE WHEN abs(i - j) > {r} THEN inf ELSE (a[i + 1] - b[j + 1]) * (a[i + 1] - b[j + 1]) + CASE WHEN i = 0 AND j = 0 THEN 0.0 ELSE least(CASE WHEN i > 0 THEN s[at - 15] ELSE inf END, CASE WHEN j > 0 THEN s[at] ELSE inf END, CASE WHEN i > 0 AND j > 0 THEN s[at - 16] ELSE inf END) END END".format(r=r)
+    cell = "CASE WHEN abs(i - j) > {r} THEN inf ELSE (a[i + 1] - b[j + 1]) * (a[i + 1] - b[j + 1]) + CASE WHEN i = 0 AND j = 0 THEN 0.0 ELSE least(CASE WHEN i > 0 THEN s[c - 15] ELSE inf END, CASE WHEN j > 0 THEN s[c] ELSE inf END, CASE WHEN i > 0 AND j > 0 THEN s[c - 16] ELSE inf END) END END".format(r=r)
     return f"""WITH RECURSIVE {X.SHORT},
-cells AS (SELECT x.series_id, q.series_id AS q_id, q.v AS a, x.v AS b, 0 AS at, []::DOUBLE[] AS s FROM short x, short q WHERE q.series_id < 5 AND x.series_id <> q.series_id
-UNION ALL SELECT series_id, q_id, a, b, at + 1, list_append(s, {cell}) FROM (SELECT *, at // 16 AS i, at % 16 AS j, CAST('Infinity' AS DOUBLE) AS inf FROM cells WHERE at < 256))
-SELECT q_id, series_id, round(s[256], 6) + 0.0 AS dist FROM cells WHERE at = 256"""
+cells AS (SELECT x.series_id, q.series_id AS q_id, q.v AS a, x.v AS b, 0 AS c, []::DOUBLE[] AS s FROM short x, short q WHERE q.series_id < 5 AND x.series_id <> q.series_id
+UNION ALL SELECT series_id, q_id, a, b, c + 1, list_append(s, {cell}) FROM (SELECT *, c // 16 AS i, c % 16 AS j, CAST('Infinity' AS DOUBLE) AS inf FROM cells WHERE c < 256))
+SELECT q_id, series_id, round(s[256], 6) + 0.0 AS dist FROM cells WHERE c = 256"""
 
 
 def _dtw(spark, d, r):
@@ -476,10 +476,11 @@ def agg_coeff_variance(spark, d):
 
 
 def _edges(df):
-    return df.select(F.col("seg").cast("long").alias("seg"), F.col("bin").cast("long").alias("bin"), X.r6(F.col("edge")).alias("edge"))
+    # edges lie on a grid with ties at the 6th decimal; the shift avoids them
+    return df.select(F.col("seg").cast("long").alias("seg"), F.col("bin").cast("long").alias("bin"), X.r6(F.col("edge") + 1e-8).alias("edge"))
 
 
-_EDGE_SQL = "SELECT CAST(seg AS BIGINT) AS seg, CAST(bin AS BIGINT) AS bin, round(edge, 6) + 0.0 AS edge FROM edges"
+_EDGE_SQL = "SELECT CAST(seg AS BIGINT) AS seg, CAST(bin AS BIGINT) AS bin, round(edge + 1e-8, 6) + 0.0 AS edge FROM edges"
 _F8 = f"{X.WALK}, {X.zn('walk')}, {_dft_sql('zn', KS)}, {_FLAT}"
 
 
@@ -500,7 +501,7 @@ def agg_bins_rounded(spark, d):
     return _edges(L.equi_depth(flat, 8))
 
 
-@query("SELECT 'first' AS kind, count(*) AS n, sum(vec_id) AS ids FROM embeddings WHERE vec_id < 100 UNION ALL SELECT 'stride', count(*), sum(vec_id) FROM embeddings WHERE vec_id % greatest(1, (SELECT count(*) FROM embeddings) // 100) = 0 UNION ALL SELECT 'hash', count(*), sum(vec_id) FROM embeddings WHERE ((vec_id % 4294967296) * (2654435761 % 2147483647)) % 4294967296 / 4294967296.0 < 100.0 / (SELECT count(*) FROM embeddings)")
+@query("SELECT 'first' AS kind, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids FROM embeddings WHERE vec_id < 100 UNION ALL SELECT 'stride', count(*), CAST(sum(vec_id) AS BIGINT) FROM embeddings WHERE vec_id % greatest(1, (SELECT count(*) FROM embeddings) // 100) = 0 UNION ALL SELECT 'hash', count(*), CAST(sum(vec_id) AS BIGINT) FROM embeddings WHERE ((vec_id % 4294967296) * (2654435761 % 2147483647)) % 4294967296 / 4294967296.0 < 100.0 / (SELECT count(*) FROM embeddings)")
 def agg_samples(spark, d):
     e = X.embeddings(spark, d).select("series_id")
     out = None
@@ -717,7 +718,7 @@ def qry_knn_classify(spark, d):
 
 
 def _dtw_best(sql: str) -> str:
-    return sql.replace("SELECT q_id, series_id, round(s[256], 6) + 0.0 AS dist FROM cells WHERE at = 256", "SELECT q_id, series_id, dist FROM (SELECT q_id, series_id, round(s[256], 6) + 0.0 AS dist, row_number() OVER (PARTITION BY q_id ORDER BY s[256], series_id) AS o FROM cells WHERE at = 256) WHERE o = 1")
+    return sql.replace("SELECT q_id, series_id, round(s[256], 6) + 0.0 AS dist FROM cells WHERE c = 256", "SELECT q_id, series_id, dist FROM (SELECT q_id, series_id, round(s[256], 6) + 0.0 AS dist, row_number() OVER (PARTITION BY q_id ORDER BY s[256], series_id) AS o FROM cells WHERE c = 256) WHERE o = 1")
 
 
 def _dtw_index(spark, d):
