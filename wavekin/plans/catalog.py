@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import series_queries
+from . import relational_queries, series_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +13,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(series_queries.QUERIES)
+    return series_queries.QUERIES | relational_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(series_queries.SQL)
+    return series_queries.SQL | relational_queries.SQL
