@@ -88,10 +88,10 @@ def rel_filter(spark, d):
     return metrics(spark, d).where(F.col("method").isin("m0", "m2") & (F.col("cores") >= 18) & (F.col("query_time") > 10)).select("run")
 
 
-@query(f"WITH {M} SELECT run, dataset, CAST(NULL AS INTEGER) AS cores FROM m WHERE cores = 9 UNION ALL SELECT run, NULL, cores FROM m WHERE cores = 36")
+@query(f"WITH {M} SELECT run, dataset, CAST(NULL AS VARCHAR) AS method FROM m WHERE cores = 9 UNION ALL SELECT run, NULL, method FROM m WHERE cores = 36")
 def rel_union(spark, d):
     m = metrics(spark, d)
-    return m.where("cores = 9").select("run", "dataset").unionByName(m.where("cores = 36").select("run", "cores"), allowMissingColumns=True)
+    return m.where("cores = 9").select("run", "dataset").unionByName(m.where("cores = 36").select("run", "method"), allowMissingColumns=True)
 
 
 @query(f"WITH {M} SELECT dataset, method, {r6_sql('avg(query_time)')} AS mean, {r6_sql('sum(query_time)')} AS total, min(query_time) AS low, max(query_time) AS high, {r6_sql('median(query_time)')} AS mid FROM m GROUP BY ALL")

@@ -30,7 +30,12 @@ def query(sql: str | None = None):
     return add
 
 
-V = F.col("values")
+
+
+def V():  # noqa: N802  columns need a session, which there is none of at import
+    return F.col("values")
+
+
 BP16, BP256 = A.breakpoints(16), A.breakpoints(256)
 KS = list(range(8))
 
@@ -39,7 +44,7 @@ KS = list(range(8))
 
 @query(X.explode_sql(X.EMB, "(SELECT * FROM emb WHERE series_id < 50)", "v"))
 def src_matrix_head(spark, d):
-    return X.exploded(X.embeddings(spark, d).where("series_id < 50"), ["series_id"], V)
+    return X.exploded(X.embeddings(spark, d).where("series_id < 50"), ["series_id"], V())
 
 
 TEXT_ROWS = ["1 0.5 1.25 -2.0", "2  3.5 0.0 4.75", " 1 -1.5 2.5 0.125 "]
@@ -50,7 +55,7 @@ def src_text_parse(spark, d):
     from ..sources.text import parse_labelled
 
     lines = spark.createDataFrame([(i + 1, s) for i, s in enumerate(TEXT_ROWS)], "line long, value string")
-    return X.exploded(parse_labelled(lines, "value"), ["line", "label"], V).withColumn("label", F.col("label").cast("long"))
+    return X.exploded(parse_labelled(lines, "value"), ["line", "label"], V()).withColumn("label", F.col("label").cast("long"))
 
 
 @query("SELECT CAST(label AS BIGINT) AS label, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY label")
@@ -65,7 +70,7 @@ def _binary(spark, d, dtype):
 
     register(spark)
     scale = 1.0 if dtype == "float32" else 100.0
-    v = F.transform(V, lambda x: F.round(F.abs(x) * scale) if dtype == "uint8" else x)
+    v = F.transform(V(), lambda x: F.round(F.abs(x) * scale) if dtype == "uint8" else x)
     path = f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex}"
     write_matrix(X.embeddings(spark, d).where("series_id < 200").select("series_id", v.alias("values")), path, dtype)
     return spark.read.format("series_matrix").option("path", path).option("n", 64).option("dtype", dtype).load()
@@ -73,25 +78,25 @@ def _binary(spark, d, dtype):
 
 @query(X.explode_sql(X.EMB, "(SELECT * FROM emb WHERE series_id < 200)", "v"))
 def src_binary_float32(spark, d):
-    return X.exploded(_binary(spark, d, "float32"), ["series_id"], V)
+    return X.exploded(_binary(spark, d, "float32"), ["series_id"], V())
 
 
 @query(X.explode_sql(X.EMB, "(SELECT * FROM emb WHERE series_id < 200)", "list_transform(v, lambda x: round(abs(x) * 100.0))"))
 def src_binary_uint8(spark, d):
-    return X.exploded(_binary(spark, d, "uint8"), ["series_id"], V)
+    return X.exploded(_binary(spark, d, "uint8"), ["series_id"], V())
 
 
 # projections --------------------------------------------------------------------------------
 
 @query(f"WITH {X.USERS} SELECT series_id, {X.r6_sql('list_avg(v)')} AS mean, {X.r6_sql('list_stddev_pop(v)')} AS sd FROM users")
 def prj_mean_std(spark, d):
-    m = X.users(spark, d).select("series_id", A.moments(V).alias("m"))
+    m = X.users(spark, d).select("series_id", A.moments(V()).alias("m"))
     return m.select("series_id", X.r6(F.col("m.mean")).alias("mean"), X.r6(F.col("m.sd")).alias("sd"))
 
 
 @query(X.explode_sql(f"{X.USERS}, {X.zn('users')}", "zn", "v"))
 def prj_znorm(spark, d):
-    return X.exploded(X.users(spark, d), ["series_id"], A.znorm(V))
+    return X.exploded(X.users(spark, d), ["series_id"], A.znorm(V()))
 
 
 _VARIANTS = {"centre": "CASE WHEN sd <= 1e-4 THEN x - mu ELSE (x - mu) / sd END", "epsilon": "(x - mu) / (sd + 1e-8)", "flipped": "(mu - x) / sd", "zero": "(x - mu) / sd"}
@@ -102,14 +107,14 @@ def prj_znorm_variants(spark, d):
     u = X.users(spark, d)
     out = None
     for k in _VARIANTS:
-        one = X.exploded(u, ["series_id"], A.znorm(V, k)).withColumn("variant", F.lit(k)).select("series_id", "variant", "pos", "val")
+        one = X.exploded(u, ["series_id"], A.znorm(V(), k)).withColumn("variant", F.lit(k)).select("series_id", "variant", "pos", "val")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 @query(X.explode_sql(f"{X.EMB}, {X.paa_sql('emb', 16, 4)}", "paa", "p", names=("seg", "val")))
 def prj_paa(spark, d):
-    return X.exploded(X.embeddings(spark, d), ["series_id"], A.paa(V, 16, 64), ("seg", "val"))
+    return X.exploded(X.embeddings(spark, d), ["series_id"], A.paa(V(), 16, 64), ("seg", "val"))
 
 
 _UNEVEN = "[" + ", ".join(f"list_avg(v[{a + 1}:{a + c}])" for a, c in A.uneven_bounds(50, 16)) + "]"
@@ -117,12 +122,12 @@ _UNEVEN = "[" + ", ".join(f"list_avg(v[{a + 1}:{a + c}])" for a, c in A.uneven_b
 
 @query(X.explode_sql(X.ODD, "odd", _UNEVEN, names=("seg", "val")))
 def prj_paa_uneven(spark, d):
-    return X.exploded(X.odd(spark, d), ["series_id"], A.paa_uneven(V, 16, 50), ("seg", "val"))
+    return X.exploded(X.odd(spark, d), ["series_id"], A.paa_uneven(V(), 16, 50), ("seg", "val"))
 
 
 @query(X.explode_sql(f"{X.ODD}, p AS (SELECT series_id, {_UNEVEN} AS p FROM odd)", "p", "flatten([" + ", ".join(f"list_transform(range({c}), lambda i: p[{i + 1}])" for i, (_, c) in enumerate(A.uneven_bounds(50, 16))) + "])"))
 def prj_paa_expand(spark, d):
-    p = X.odd(spark, d).select("series_id", A.paa_uneven(V, 16, 50).alias("p"))
+    p = X.odd(spark, d).select("series_id", A.paa_uneven(V(), 16, 50).alias("p"))
     return X.exploded(p, ["series_id"], A.paa_expand(F.col("p"), 16, 50))
 
 
@@ -149,12 +154,12 @@ def _symbol_sql(ctes: str, src: str = "word", expr: str = "s") -> str:
 
 @query(_symbol_sql(f"{X.EMB}, {_word_sql('emb', BP256, '<')}"))
 def prj_sax_word(spark, d):
-    return _symbols(X.embeddings(spark, d), A.sax_word(A.paa(A.znorm(V), 16, 64), 256))
+    return _symbols(X.embeddings(spark, d), A.sax_word(A.paa(A.znorm(V()), 16, 64), 256))
 
 
 @query(_symbol_sql(f"{X.EMB}, {_word_sql('emb', BP16, '<=')}"))
 def prj_sax_word_right(spark, d):
-    return _symbols(X.embeddings(spark, d), A.sax_word(A.paa(A.znorm(V), 16, 64), 16, "right"))
+    return _symbols(X.embeddings(spark, d), A.sax_word(A.paa(A.znorm(V()), 16, 64), 16, "right"))
 
 
 def _dft_sql(src: str, ks, to: str = "dft") -> str:
@@ -180,7 +185,7 @@ def prj_dft(spark, d):
 
 @query(_dft_rows(f"{X.WALK}, {X.zn('walk')}, {_dft_sql('zn', KS[1:])}", KS[1:]))
 def prj_dft_norm_skip_dc(spark, d):
-    return _coefficients(X.walk(spark, d).select("series_id", A.znorm(V).alias("values")), KS[1:])
+    return _coefficients(X.walk(spark, d).select("series_id", A.znorm(V()).alias("values")), KS[1:])
 
 
 _FLAT = "flat AS (SELECT series_id, CAST(unnest(range(16)) AS BIGINT) AS seg, unnest(flatten(list_transform(range(1, 9), lambda i: [re[i], im[i]]))) AS x FROM dft)"
@@ -217,7 +222,7 @@ _ROOT = "list_reduce(list_prepend(CAST(0 AS BIGINT), s), lambda a, x: a * 2 + (x
 
 
 def _words(spark, d):
-    return X.embeddings(spark, d).select("series_id", A.sax_word(A.paa(A.znorm(V), 16, 64), 256).alias("word"))
+    return X.embeddings(spark, d).select("series_id", A.sax_word(A.paa(A.znorm(V()), 16, 64), 256).alias("word"))
 
 
 @query(f"WITH {_WORDS} SELECT series_id, CAST({_ROOT} AS BIGINT) AS root_key FROM word")
@@ -247,7 +252,7 @@ _ENV = lambda f, v, n, r: f"list_transform(range(1, {n + 1}), lambda i: list_{f}
 
 @query(f"WITH {X.SHORT} SELECT series_id, CAST(unnest(range(16)) AS BIGINT) AS pos, round(unnest({_ENV('min', 'v', 16, 2)}), 6) + 0.0 AS lo, round(unnest({_ENV('max', 'v', 16, 2)}), 6) + 0.0 AS hi FROM short")
 def prj_envelope(spark, d):
-    e = X.short(spark, d).select("series_id", F.posexplode(A.envelope(V, 2)).alias("pos", "e"))
+    e = X.short(spark, d).select("series_id", F.posexplode(A.envelope(V(), 2)).alias("pos", "e"))
     return e.select("series_id", F.col("pos").cast("long").alias("pos"), X.r6(F.col("e.lo")).alias("lo"), X.r6(F.col("e.hi")).alias("hi"))
 
 
@@ -256,38 +261,38 @@ _INVERSE = "list_transform(range(64), lambda j: list_sum(list_transform(range(8)
 
 @query(X.explode_sql(f"{X.WALK}, few AS (SELECT * FROM walk WHERE series_id < 100), {X.zn('few')}, {_dft_sql('zn', KS).replace(', 6) + 0.0', ', 15) + 0.0')}", "dft", _INVERSE))
 def prj_reconstruct(spark, d):
-    z = X.walk(spark, d).where("series_id < 100").select("series_id", A.znorm(V).alias("z"))
+    z = X.walk(spark, d).where("series_id < 100").select("series_id", A.znorm(V()).alias("z"))
     c = z.select("series_id", A.dft(F.col("z"), 64, KS).alias("c"))
     return X.exploded(c, ["series_id"], A.inverse_dft(F.col("c"), 64, KS))
 
 
 @query(f"WITH {X.USERS}, z AS (SELECT series_id, list_transform(v, lambda x: x - list_avg(v)) AS v FROM users) SELECT series_id, {X.r6_sql('len(list_filter(range(1, 32), lambda i: sign(v[i]) <> sign(v[i + 1]))) / 32.0')} AS freq FROM z")
 def prj_zero_cross(spark, d):
-    z = X.users(spark, d).withColumn("m", A.mean(V)).select("series_id", F.transform(V, lambda x: x - F.col("m")).alias("values"))
-    return z.select("series_id", X.r6(A.zero_crossings(V)).alias("freq"))
+    z = X.users(spark, d).withColumn("m", A.mean(V())).select("series_id", F.transform(V(), lambda x: x - F.col("m")).alias("values"))
+    return z.select("series_id", X.r6(A.zero_crossings(V())).alias("freq"))
 
 
 @query(f"WITH {X.DAILY}, c AS (SELECT series_id, v, unnest(range(len(v) // 16)) AS window_no FROM daily) SELECT series_id, CAST(window_no AS BIGINT) AS window_no, CAST(unnest(range(16)) AS BIGINT) AS pos, round(unnest(v[window_no * 16 + 1:window_no * 16 + 16]), 6) + 0.0 AS val FROM c")
 def prj_segments(spark, d):
-    w = X.daily(spark, d).select("series_id", F.posexplode(A.windows(V, 16)).alias("window_no", "values")).withColumn("window_no", F.col("window_no").cast("long"))
-    return X.exploded(w, ["series_id", "window_no"], V)
+    w = X.daily(spark, d).select("series_id", F.posexplode(A.windows(V(), 16)).alias("window_no", "values")).withColumn("window_no", F.col("window_no").cast("long"))
+    return X.exploded(w, ["series_id", "window_no"], V())
 
 
 @query(X.explode_sql(f"{X.DAILY}", "(SELECT series_id, v, series_id % 40 AS spot FROM daily)", "v[greatest(spot - 8, 0) + 1:least(spot + 24, len(v))]"))
 def prj_event_window(spark, d):
     at = (F.col("series_id") % 40).cast("int")
-    return X.exploded(X.daily(spark, d), ["series_id"], A.event_window(V, at, 8, 24))
+    return X.exploded(X.daily(spark, d), ["series_id"], A.event_window(V(), at, 8, 24))
 
 
 @query("SELECT 1::BIGINT AS series_id, CAST(unnest(range(4)) AS BIGINT) AS pos, unnest([1.5, 0.0, -2.0, 0.0]::DOUBLE[]) AS val")
 def prj_nan_clean(spark, d):
     df = spark.createDataFrame([(1, [1.5, float("nan"), -2.0, None])], "series_id long, values array<double>")
-    return X.exploded(df, ["series_id"], A.nan_to_zero(V))
+    return X.exploded(df, ["series_id"], A.nan_to_zero(V()))
 
 
 @query()
 def prj_noise(spark, d):
-    return X.exploded(X.users(spark, d), ["series_id"], A.add_noise(V, 0.5, 7))
+    return X.exploded(X.users(spark, d), ["series_id"], A.add_noise(V(), 0.5, 7))
 
 
 @query()
@@ -307,13 +312,13 @@ _EMB_PAIRS = f"{X.EMB}, pairs AS (SELECT q.series_id AS q_id, x.series_id, x.v A
 @query(f"WITH {_EMB_PAIRS} SELECT q_id, series_id, {X.r6_sql(X.l2_sql('v', 'q', 64))} AS dist FROM pairs")
 def dst_l2sq(spark, d):
     e = X.embeddings(spark, d)
-    return _pairs(e, X.emb_queries(e)).select("q_id", "series_id", X.r6(D.l2sq(V, F.col("q"))).alias("dist"))
+    return _pairs(e, X.emb_queries(e)).select("q_id", "series_id", X.r6(D.l2sq(V(), F.col("q"))).alias("dist"))
 
 
 @query(f"WITH {X.EMB}, {X.zn('emb')}, pairs AS (SELECT q.series_id AS q_id, x.series_id, x.v AS v, q.v AS q FROM zn x, zn q WHERE q.series_id < 20 AND x.series_id <> q.series_id) SELECT q_id, series_id, {X.r6_sql('2 * 64 * (1 - list_sum(list_transform(range(1, 65), lambda i: v[i] * q[i])) / 64.0)')} AS dist FROM pairs")
 def dst_dot(spark, d):
-    e = X.embeddings(spark, d).select("series_id", A.znorm(V).alias("values"))
-    return _pairs(e, X.emb_queries(e)).select("q_id", "series_id", X.r6(D.dot_form(V, F.col("q"))).alias("dist"))
+    e = X.embeddings(spark, d).select("series_id", A.znorm(V()).alias("values"))
+    return _pairs(e, X.emb_queries(e)).select("q_id", "series_id", X.r6(D.dot_form(V(), F.col("q"))).alias("dist"))
 
 
 def _dtw_sql(r: int) -> str:
@@ -328,7 +333,7 @@ SELECT q_id, series_id, round(s[256], 6) + 0.0 AS dist FROM cells WHERE c = 256"
 def _dtw(spark, d, r):
     s = X.short(spark, d)
     p = _pairs(s, X.emb_queries(s).where("q_id < 5"))
-    return p.select("q_id", "series_id", X.r6(dtw(V, F.col("q"), r)).alias("dist"))
+    return p.select("q_id", "series_id", X.r6(dtw(V(), F.col("q"), r)).alias("dist"))
 
 
 @query(_dtw_sql(2))
@@ -350,8 +355,8 @@ _KEOGH = "list_sum(list_transform(range(1, 17), lambda i: CASE WHEN v[i] > hi[i]
 @query(f"WITH {_SHORT_PAIRS}, e AS (SELECT *, {_ENV('min', 'q', 16, 2)} AS lo, {_ENV('max', 'q', 16, 2)} AS hi FROM pairs) SELECT q_id, series_id, {X.r6_sql(_KEOGH)} AS lb FROM e")
 def dst_lb_keogh(spark, d):
     s = X.short(spark, d)
-    q = X.emb_queries(s).where("q_id < 5").select("q_id", A.envelope(V, 2).alias("e"))
-    return s.crossJoin(F.broadcast(q)).where("series_id <> q_id").select("q_id", "series_id", X.r6(D.lb_keogh(V, F.col("e"))).alias("lb"))
+    q = X.emb_queries(s).where("q_id < 5").select("q_id", A.envelope(V(), 2).alias("e"))
+    return s.crossJoin(F.broadcast(q)).where("series_id <> q_id").select("q_id", "series_id", X.r6(D.lb_keogh(V(), F.col("e"))).alias("lb"))
 
 
 _GAP = "CASE WHEN x < l THEN (l - x) * (l - x) WHEN x > h THEN (x - h) * (x - h) ELSE 0.0 END"
@@ -365,7 +370,7 @@ def _lb_sql(bp, w: int, m: int, v: str = "p", s: str = "s") -> str:
 
 @query(f"WITH {_WORDS}, pairs AS (SELECT q.series_id AS q_id, x.series_id, q.p AS p, x.s AS s FROM word x, word q WHERE q.series_id < 5 AND x.series_id <> q.series_id) SELECT q_id, series_id, {X.r6_sql(_lb_sql(BP256, 16, 4))} AS lb FROM pairs")
 def lbd_sax_record(spark, d):
-    z = X.embeddings(spark, d).select("series_id", A.paa(A.znorm(V), 16, 64).alias("p"))
+    z = X.embeddings(spark, d).select("series_id", A.paa(A.znorm(V()), 16, 64).alias("p"))
     q = z.where("series_id < 5").select(F.col("series_id").alias("q_id"), F.col("p").alias("q"))
     w = z.select("series_id", A.sax_word(F.col("p"), 256).alias("word"))
     return w.crossJoin(F.broadcast(q)).where("series_id <> q_id").select("q_id", "series_id", X.r6(D.lb_sax(F.col("q"), F.col("word"), 256, 4)).alias("lb"))
@@ -377,7 +382,7 @@ _NODE_GAP = "CASE WHEN p[i] < e[(s[i] >> 5) + 1] THEN (e[(s[i] >> 5) + 1] - p[i]
 @query(f"WITH {_WORDS}, pairs AS (SELECT q.series_id AS q_id, x.series_id, q.p AS p, x.s AS s FROM word x, word q WHERE q.series_id < 5 AND x.series_id <> q.series_id) SELECT q_id, series_id, {X.r6_sql(f'4 * list_sum(list_transform(range(1, 17), lambda i: {_NODE_GAP}))')} AS lb FROM pairs")
 def lbd_sax_node(spark, d):
     """The same at 3 bits a segment: the word's region at reduced cardinality."""
-    z = X.embeddings(spark, d).select("series_id", A.paa(A.znorm(V), 16, 64).alias("p"))
+    z = X.embeddings(spark, d).select("series_id", A.paa(A.znorm(V()), 16, 64).alias("p"))
     q = z.where("series_id < 5").select(F.col("series_id").alias("q_id"), F.col("p").alias("q"))
     w = z.select("series_id", A.region(A.sax_word(F.col("p"), 256), F.array_repeat(F.lit(3), 16), 8).alias("r"))
     both = w.crossJoin(F.broadcast(q)).where("series_id <> q_id")
@@ -387,10 +392,10 @@ def lbd_sax_node(spark, d):
 @query(f"WITH {X.ODD}, {X.zn('odd')}, {X.paa_sql('zn', 16, 3)}, word AS (SELECT series_id, p, list_transform(p, lambda x: CAST(len(list_filter({X.list_literal(BP256)}, lambda b: b < x)) AS BIGINT)) AS s FROM paa), pairs AS (SELECT q.series_id AS q_id, x.series_id, q.p AS p, x.s AS s, zq.v AS a, zx.v AS b FROM word x, word q, zn zq, zn zx WHERE q.series_id < 5 AND x.series_id <> q.series_id AND zq.series_id = q.series_id AND zx.series_id = x.series_id) SELECT q_id, series_id, {X.r6_sql(_lb_sql(BP256, 16, 3))} AS lb, {X.r6_sql(X.l2_sql('a', 'b', 50))} AS dist FROM pairs")
 def lbd_sax_odd(spark, d):
     """50 values in 16 segments of 3: the bound counts 3 values a segment, so it holds."""
-    z = X.odd(spark, d).select("series_id", A.znorm(V).alias("values")).withColumn("p", A.paa(V, 16, 50))
+    z = X.odd(spark, d).select("series_id", A.znorm(V()).alias("values")).withColumn("p", A.paa(V(), 16, 50))
     q = z.where("series_id < 5").select(F.col("series_id").alias("q_id"), F.col("p").alias("q"), F.col("values").alias("qv"))
     both = z.select("series_id", "values", A.sax_word(F.col("p"), 256).alias("word")).crossJoin(F.broadcast(q)).where("series_id <> q_id")
-    return both.select("q_id", "series_id", X.r6(D.lb_sax(F.col("q"), F.col("word"), 256, 3)).alias("lb"), X.r6(D.l2sq(V, F.col("qv"))).alias("dist"))
+    return both.select("q_id", "series_id", X.r6(D.lb_sax(F.col("q"), F.col("word"), 256, 3)).alias("lb"), X.r6(D.l2sq(V(), F.col("qv"))).alias("dist"))
 
 
 _WALK_Q = "q.series_id % 37 = 0 AND q.series_id < 740"
@@ -423,9 +428,9 @@ pe AS (SELECT q_id, list_transform(range(4), lambda i: list_avg(lo[i * 4 + 1:i *
 SELECT q_id, series_id, {X.r6_sql('4 * list_sum(list_transform(range(1, 5), lambda i: CASE WHEN e[s[i] + 1] > u[i] THEN (e[s[i] + 1] - u[i]) * (e[s[i] + 1] - u[i]) WHEN e[s[i] + 2] < l[i] THEN (l[i] - e[s[i] + 2]) * (l[i] - e[s[i] + 2]) ELSE 0.0 END))'.replace('e[', '(' + X.list_literal([float('-inf'), *BP16, float('inf')]) + ')['))} AS lb FROM pe, word WHERE series_id <> q_id""")
 def lbd_dtw(spark, d):
     s = X.short(spark, d)
-    env = X.emb_queries(s).where("q_id < 5").select("q_id", A.envelope(V, 2).alias("e"))
+    env = X.emb_queries(s).where("q_id < 5").select("q_id", A.envelope(V(), 2).alias("e"))
     q = env.select("q_id", A.paa(F.transform("e", lambda e: e["lo"]), 4, 16).alias("l"), A.paa(F.transform("e", lambda e: e["hi"]), 4, 16).alias("u"))
-    w = s.select("series_id", A.sax_word(A.paa(V, 4, 16), 16).alias("word"))
+    w = s.select("series_id", A.sax_word(A.paa(V(), 4, 16), 16).alias("word"))
     return w.crossJoin(F.broadcast(q)).where("series_id <> q_id").select("q_id", "series_id", X.r6(D.lb_sax_dtw(F.col("l"), F.col("u"), F.col("word"), 16, 4)).alias("lb"))
 
 
@@ -467,7 +472,7 @@ _ZW = f"{X.WALK}, {X.zn('walk')}, {_dft_sql('zn', range(16))}"
 
 
 def _walk_values(spark, d, ks=range(16)):
-    return L.coefficient_values(X.walk(spark, d).select("series_id", A.znorm(V).alias("values")), 64, list(ks))
+    return L.coefficient_values(X.walk(spark, d).select("series_id", A.znorm(V()).alias("values")), 64, list(ks))
 
 
 @query(f"WITH {_ZW}, c AS (SELECT unnest(range(16)) AS k, unnest(re) AS a, unnest(im) AS b FROM dft) SELECT CAST(k AS BIGINT) AS k, {X.r6_sql('var_pop(a) + var_pop(b)')} AS variance FROM c GROUP BY k")
@@ -553,7 +558,7 @@ def agg_query_stats(spark, d):
 
 @query(f"WITH {X.WALK}, {_word_sql('walk', BP256, '<')}, seg AS (SELECT unnest(range(16)) AS seg) SELECT CAST(seg AS BIGINT) AS seg, count(DISTINCT array_to_string(list_transform(range(1, 17), lambda i: CAST(CASE WHEN i = seg + 1 THEN s[i] >> 1 ELSE s[i] END AS VARCHAR)), '.')) AS pages FROM word, seg GROUP BY seg")
 def agg_word_coarsen_step(spark, d):
-    w = X.walk(spark, d).select(A.sax_word(A.paa(A.znorm(V), 16, 64), 256).alias("word"))
+    w = X.walk(spark, d).select(A.sax_word(A.paa(A.znorm(V()), 16, 64), 256).alias("word"))
     return I.coarsen_step(w, 16).select(F.col("seg").cast("long").alias("seg"), "pages")
 
 
@@ -739,7 +744,7 @@ def qry_dtw_1nn_tree(spark, d):
 def qry_answer_values(spark, d):
     e = X.embeddings(spark, d)
     got = S.answer_values(S.brute_force(e, X.emb_queries(e), 1), e.select("series_id", "values"))
-    return X.exploded(got, ["q_id", "series_id"], V)
+    return X.exploded(got, ["q_id", "series_id"], V())
 
 
 @query(f"WITH {X.WALK} SELECT series_id AS q_id, TRUE AS same_answer, TRUE AS bounds_hold FROM walk q WHERE {_WALK_Q}")
