@@ -51,6 +51,8 @@ def subwords(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         blank = data == 32
         for n in LENGTHS:
             m = len(data) - n + 1
+            if m <= 0:
+                continue
             bad = blank[:m] & blank[n - 1 :]
             code = np.full(m, n * 0x85EBCA6B & 0xFFFFFFFF, dtype=_U)
             for j in range(n):
