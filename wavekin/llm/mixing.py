@@ -94,17 +94,23 @@ def _solve(hist: DataFrame, facts: pd.DataFrame, cap: float, tolerance: float, m
     return {sid: s[0] for sid, s in state.items()}
 
 
-def _copies(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies for the n documents of each size of one source: between the rate's floor and ceiling each."""
+def _copies(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
+    """Whole copies for the n documents of each size of one source.
+
+    First between the rate's floor and ceiling; what then is left of the error goes to
+    any sizes that still fit into it, longest first, within 0 to ``cap`` copies each.
+    """
     pdf = pdf.sort_values("size", ascending=False)
-    carry, base, extra = 0.0, [], []
-    for size, n, rate in zip(pdf["size"], pdf["n"], pdf["rate"], strict=True):
+    sizes, counts, carry, whole = pdf["size"].tolist(), pdf["n"].tolist(), 0.0, []
+    for size, n, rate in zip(sizes, counts, pdf["rate"], strict=True):
         low, high = n * math.floor(rate), n * math.ceil(rate)
-        k = min(high, max(low, math.floor(n * rate + carry / size + 0.5)))
-        carry += (n * rate - k) * size
-        base.append(k // n)
-        extra.append(k % n)
-    return pd.DataFrame({"sid": pdf["sid"], "size": pdf["size"], "base": base, "extra": extra})
+        whole.append(min(high, max(low, math.floor(n * rate + carry / size + 0.5))))
+        carry += (n * rate - whole[-1]) * size
+    for i, (size, n) in enumerate(zip(sizes, counts, strict=True)):
+        more = min(cap * n, max(0, whole[i] + math.floor(carry / size + 0.5))) - whole[i]
+        whole[i] += more
+        carry -= more * size
+    return pd.DataFrame({"sid": pdf["sid"], "size": sizes, "base": [k // n for k, n in zip(whole, counts, strict=True)], "extra": [k % n for k, n in zip(whole, counts, strict=True)]})
 
 
 def mix_sources(docs: DataFrame, *, weights=WEIGHTS, share: float = 1.0, cap: int = CAP, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tolerance: float = 1e-10, most: int = 60) -> DataFrame:
@@ -137,7 +143,7 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, share: float = 1.0, cap: in
     tilt = F.col("lam") * F.col("size") / F.col("mean")
     rate = F.least(F.lit(float(cap)), F.exp(F.least(tilt, F.lit(50.0))))
     # one group holds a source's different sizes, not its documents
-    whole = hist.join(solved, "sid").select("sid", "size", "n", rate.alias("rate")).groupBy("sid").applyInPandas(_copies, "sid int, size long, base long, extra long")
+    whole = hist.join(solved, "sid").select("sid", "size", "n", rate.alias("rate")).groupBy("sid").applyInPandas(lambda pdf: _copies(pdf, cap), "sid int, size long, base long, extra long")
 
     before = Window.partitionBy("sid", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(whole, ["sid", "size"])

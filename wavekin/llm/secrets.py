@@ -64,7 +64,11 @@ def _entropy_part(hit: Column) -> Column:
     Counts are kept incrementally: a step changes the counts of the leaving and the
     entering character only, and the sum of n*log2(n) with them.
     """
-    chars = F.split(hit, "")
+    # bound to a variable, so the steps do not split the string again
+    return F.transform(F.array(F.split(hit, "")), lambda chars: _hot_windows(hit, chars))[0]
+
+
+def _hot_windows(hit: Column, chars: Column) -> Column:
     limit = F.when(hit.rlike("^[0-9a-fA-F]+$"), F.lit(THRESHOLDS["hex"])).otherwise(F.lit(THRESHOLDS["mixed"]))
     head = F.slice(chars, 1, WINDOW)
     count = lambda arr, ch: F.size(F.filter(arr, lambda x: x == ch))
