@@ -153,7 +153,8 @@ def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     for text in texts:
         all_ = np.concatenate([b for b, _ in subwords([text])])
         ids, n = np.unique(all_, return_counts=True)
-        out.append((ids, (n / max(1, n.sum())).astype(np.float32)))
+        # the sample's bags lie in the driver's memory: two bytes hold a bucket
+        out.append((ids.astype(np.uint16), (n / max(1, n.sum())).astype(np.float32)))
     return out
 
 
@@ -174,7 +175,12 @@ def train(docs: DataFrame, *, max_per_lang: int = 1000, max_langs: int = 500) ->
     for r in counts:
         keep = F.when(F.col("lang") == r["lang"], F.col("h") < int(min(1.0, max_per_lang / r["count"]) * (1 << 30)) + 1).otherwise(keep)
     sample = rows.where(keep).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "lang", "text"])
-    return fit(sample["text"].tolist(), sample["lang"].tolist())
+    texts, langs = sample["text"].tolist(), sample["lang"].tolist()
+    del sample
+    model = fit(texts, langs)
+    del texts, langs
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: Column, to: str = "language") -> DataFrame:
