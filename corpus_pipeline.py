@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavekin.llm import decontam, langid, mixing, near_dedup, token_store
-from wavekin.llm.common import stage, table
+from wavekin.llm.common import stage, table, tidy
 
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -43,6 +43,7 @@ def _small(ids: DataFrame) -> DataFrame:
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents that the calibrated model rejects go."""
+    tidy(spark)
     model = langid.train(docs.select("doc_id", "text", "lang"))
     to = _fresh(docs, "_language")
     return langid.predict(docs, model, F.col("text"), to=to).where(F.col(to)["accepted"]).select(docs.columns)
@@ -50,18 +51,21 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: of each component the document of smallest id stays."""
+    tidy(spark)
     judged = near_dedup.near_duplicates(docs)
     return _without(docs, stage(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "copies"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents with a benchmark passage go."""
+    tidy(spark)
     judged = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, stage(judged.where("contaminated and doc_id is not null").select("doc_id").distinct(), "leaks"))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights: a document stands in the result as often as it is to be copied."""
+    tidy(spark)
     to = _fresh(docs, "_copies")
     copies = stage(mixing.mix_sources(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias(to)), "copies")
     repeated = docs.join(_small(copies), "doc_id", "left").withColumn(to, F.coalesce(to, F.lit(1)).cast("long")).where(F.col(to) > 0)
@@ -70,6 +74,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def store_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-ID / binary output: the store's documents, read back from its files."""
+    tidy(spark)
     return token_store.store_and_read(docs)
 
 
