@@ -18,6 +18,8 @@ from wavekin.llm.common import stage, table, tidy
 
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Jaccard similarity in percent from which the near-dedup stage links documents.
+NEAR_PERCENT = 80
 
 #: No single SQL statement trains a classifier or runs a tokenizer, so run() has no oracle;
 #: tests check each stage against brute force.
@@ -52,7 +54,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: of each component the document of smallest id stays."""
     tidy(spark)
-    judged = near_dedup.near_duplicates(docs)
+    judged = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT)
     return _without(docs, stage(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "copies"))
 
 

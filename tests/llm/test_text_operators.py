@@ -338,3 +338,15 @@ def test_pipeline_stages_of_edge_cases(spark, small, edge_docs, no_docs):
         for docs in (edge_docs, no_docs):
             out = p.stage(apply(spark, docs, small), name)
             assert name == "token_store" or out.columns == docs.columns
+
+
+def test_near_dedup_stage_equals_brute_force_at_80(spark, small):
+    import corpus_pipeline as p
+
+    rows = near_rows()
+    out = p.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), small)
+    want = {i for i, (_, _, kept) in brute_components(rows, percent=80).items() if kept}
+    assert want != {i for i, (_, _, kept) in brute_components(rows).items() if kept}
+    assert {r["doc_id"] for r in out.collect()} == want
+    # as rarely missed as at 85
+    assert (near_dedup.band_width(85), near_dedup.band_width(80)) == (6, 5)

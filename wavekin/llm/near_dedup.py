@@ -6,8 +6,8 @@ leading zeros (6 bits) and the bits after the leading one (10-bit mantissa). Reg
 that no shingle reached copy one that was reached, chosen by a fixed random walk.
 
 * Documents with equal shingle sets form one class, so exact copies cost one row each.
-* Bands of ``BAND`` compressed registers are candidate buckets. A bucket's members are
-  first compared with its smallest member only.
+* Bands of at most ``BAND`` compressed registers, fewer for low thresholds, are candidate
+  buckets. A bucket's members are first compared with its smallest member only.
 * Candidates pass the collision-corrected Jaccard estimate with a margin of five
   standard deviations, and are then confirmed on their full shingle sets.
 * Links join classes to components. Only buckets whose members still lie in different
@@ -31,8 +31,9 @@ from .components import components
 from .shingles import mix, shingle_sets
 
 REGISTERS, BAND, MANTISSA = 192, 6, 10
-BANDS = REGISTERS // BAND
 PERCENT = 85
+#: Chance, at most, that a pair at the threshold shares no band, by the banding formula.
+MISS = 3e-7
 #: Standard deviations of the estimate below the threshold that a candidate may lie.
 MARGIN = 5.0
 #: Ids of a side that is broadcast, at most: 8 bytes each. Larger sides are shuffled.
@@ -81,10 +82,16 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return registers
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """(rows, BANDS) int64 keys of the bands."""
-    part = (mix(registers.astype(_U), 13) * _BAND_KEY).reshape(len(registers), BANDS, BAND).sum(axis=2, dtype=_U)
-    return mix(part + np.arange(BANDS, dtype=_U), 14).view(np.int64)
+def band_width(percent: int) -> int:
+    """Registers of a band: the most, up to BAND, that keep to MISS at the threshold; 1 where none does."""
+    return next((b for b in range(BAND, 1, -1) if (1 - (percent / 100) ** b) ** (REGISTERS // b) <= MISS), 1)
+
+
+def band_keys(registers: np.ndarray, width: int = BAND) -> np.ndarray:
+    """(rows, REGISTERS // width) int64 keys of the bands."""
+    bands = REGISTERS // width
+    part = (mix(registers.astype(_U), 13) * _BAND_KEY)[:, : bands * width].reshape(len(registers), bands, width).sum(axis=2, dtype=_U)
+    return mix(part + np.arange(bands, dtype=_U), 14).view(np.int64)
 
 
 def _collision_table() -> np.ndarray:
@@ -128,13 +135,15 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, node long, n long, d1 long, d2 long, registers binary")
 
 
-def _bands(reps: DataFrame) -> DataFrame:
+def _bands(reps: DataFrame, width: int) -> DataFrame:
+    bands = REGISTERS // width
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 2048):
                 part = pdf.iloc[lo : lo + 2048]
-                keys = band_keys(np.frombuffer(b"".join(part["registers"]), np.uint16).reshape(-1, REGISTERS))
-                yield pd.DataFrame({"k": keys.ravel(), "node": np.repeat(part["node"].to_numpy(), BANDS), "n": np.repeat(part["n"].to_numpy(), BANDS)})
+                keys = band_keys(np.frombuffer(b"".join(part["registers"]), np.uint16).reshape(-1, REGISTERS), width)
+                yield pd.DataFrame({"k": keys.ravel(), "node": np.repeat(part["node"].to_numpy(), bands), "n": np.repeat(part["n"].to_numpy(), bands)})
         release()
 
     return reps.select("node", "n", "registers").mapInPandas(run, "k long, node long, n long")
@@ -219,7 +228,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     # a set and one that differs from it share at most n of n + 1 shingles
     least = math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 62
     reps = stage(full.join(classes.select("d1", "d2", F.col("rep").alias("node")), ["d1", "d2", "node"], "left_semi").where(F.col("n") >= least).select("node", "n", "registers"), "reps")
-    bands = _bands(reps)
+    bands = _bands(reps, band_width(percent))
     hubs = bands.groupBy("k").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("other")).where("hub.node <> other").select("k", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     buckets = stage(bands.join(hubs, "k").select("k", "node", "n", "hub", "hub_n"), "buckets")
 
@@ -289,4 +298,4 @@ def _prefix_pairs(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
