@@ -135,6 +135,20 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert got[4]["text"] is None and got[5]["text"] == ""
 
 
+def test_phones_of_any_digits(spark):
+    texts = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(017) 555-7713", "+1 319 155-1352", "1-017-555-7713", "017.555.7713", "+1 (319) 555-1352"]
+    free = ["017 555 7713", "4017-555-7713-2222", "1.017.555.77131", "017-55-7713"]
+    docs = spark.createDataFrame(list(enumerate([f"call {t}, now" for t in texts + free])), "doc_id long, text string")
+    got = [r for r in pii.pseudonymise(docs, "key").orderBy("doc_id").collect()]
+    assert [r["n_phone"] for r in got] == [1] * len(texts) + [0] * len(free)
+    shape = lambda t: re.sub("[0-9]", "0", t)
+    assert all(t not in r["text"] and shape(r["text"]) == shape(f"call {t}, now") for t, r in zip(texts, got, strict=False))
+    last = [re.sub("[^0-9]", "", r["text"])[-10:] for r in got[: len(texts)]]
+    # one number has one pseudonym in all its layouts, and no two numbers share one
+    assert last[0] == last[2] == last[4] == last[5] and len(set(last)) == 4
+    assert all(min(int(d[:3]), int(d[3:6])) < 200 for d in last[:6]) and min(int(last[6][:3]), int(last[6][3:6])) >= 200
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(27 * 31).select(pii.feistel(F.floor(F.col("id") / 31), F.col("id") % 31, 27, 31, "k", "t").alias("p")).select("p.*")
     assert pairs.distinct().count() == 27 * 31

@@ -23,7 +23,10 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:(?:1[89]|2[01])[0-9]{2}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([-/.])(?:0[1-9]|[12][0-9]|3[01])\2(?:1[89]|2[01])[0-9]{2})(?![0-9]|[./-][0-9])"
-PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+#: Area and exchange of 200-999 in any layout, or any digits where the layout alone tells: +1, brackets, or two dashes or dots.
+_ASSIGNABLE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+_LAID_OUT = r"(?<![0-9])(?<![0-9][.-])(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|(?:1[ .-])?(?:\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}))(?![.-]?[0-9])"
+PHONE = f"(?:{_ASSIGNABLE}|{_LAID_OUT})"
 SSN = r"(?<![0-9-])(?!000|666)[0-8][0-9]{2}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9]|-[0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 #: The date pattern has the only groups, so its back references hold here too.
@@ -88,14 +91,24 @@ def _card(hit: Column, key: str) -> Column:
 
 
 def _phone(hit: Column, key: str) -> Column:
-    """Area and exchange stay in 200-999; a country code 1 stays."""
+    """A country code 1 stays. Numbers whose area and exchange are both of 200-999 are permuted among themselves, all others likewise.
+
+    The others' 360,000 pairs of area and exchange are ranked: areas under 200 with any
+    exchange, then areas from 200 with exchanges under 200.
+    """
     all_digits = _digits(hit)
     lead = F.substring(all_digits, F.lit(1), F.length(all_digits) - 10)
     d = F.substring(all_digits, F.length(all_digits) - 9, F.lit(10))
     area, exchange, line = (F.substring(d, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
     out = feistel(area - 200, (exchange - 200) * 10000 + line, 800, 8_000_000, key, "phone")
     b = out["b"]
-    return _refill(hit, F.concat(lead, (out["a"] + 200).cast("string"), (F.floor(b / 10000) + 200).cast("string"), _pad(b % 10000, 4)))
+    assignable = F.concat((out["a"] + 200).cast("string"), (F.floor(b / 10000) + 200).cast("string"), _pad(b % 10000, 4))
+    rank = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+    out = feistel(F.floor(rank / 600), rank % 600 * 10000 + line, 600, 6_000_000, key, "phone of any digits")
+    new = out["a"] * 600 + F.floor(out["b"] / 10000)
+    low, high = F.concat(_pad(F.floor(new / 1000), 3), _pad(new % 1000, 3)), F.concat(_pad(F.floor((new - 200_000) / 200) + 200, 3), _pad((new - 200_000) % 200, 3))
+    other = F.concat(F.when(new < 200_000, low).otherwise(high), _pad(out["b"] % 10000, 4))
+    return _refill(hit, F.concat(lead, F.when((area >= 200) & (exchange >= 200), assignable).otherwise(other)))
 
 
 def _ssn(hit: Column, key: str) -> Column:
@@ -165,8 +178,8 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     """Replace personal data in every whole text by keyed pseudonyms of the same format.
 
     Returns (doc_id, n_email, n_ipv4, n_date, n_phone, n_ssn, n_card, text). Card numbers must pass the
-    Luhn check, dates must exist, phone and social security numbers must be assignable;
-    other digit strings stay. A null text stays null with no findings, an empty one
+    Luhn check, dates must exist, social security numbers must be assignable, and so must
+    phone numbers unless +1, brackets or two dashes or dots mark them; other digit strings stay. A null text stays null with no findings, an empty one
     empty. Rows are treated one by one, so repeated rows give repeated results.
     """
     text = F.col("_text")
