@@ -149,6 +149,24 @@ def test_phones_of_any_digits(spark):
     assert all(min(int(d[:3]), int(d[3:6])) < 200 for d in last[:6]) and min(int(last[6][:3]), int(last[6][3:6])) >= 200
 
 
+CARDS = [
+    # (text, numbers of cards, dates and social security numbers, what must be gone, what must stay)
+    ("pay 4111 1111 1111 1111 12/27", 1, 0, 0, "4111 1111", " 12/27"), ("pay 4111111111111111 123.", 1, 0, 0, "4111111111111111", " 123."), ("order 12 4111111111111111", 1, 0, 0, "4111111111111111", "order 12 "),
+    ("4111111111111111 123-45-6789", 1, 0, 1, "4111111111111111", " "), ("4111111111111111 12/05/2020", 1, 1, 0, "4111111111111111", " "), ("7 3782 822463 10005 99", 1, 0, 0, "822463", "7 3"),
+    ("4111111111111111 4799134681044206", 2, 0, 0, "4799134681044206", " "), ("4111-1111-1111-1111 4111-1111-1111-1111", 2, 0, 0, "1111-1111", "-"), ("41 11 11 11 11 11 11 11", 1, 0, 0, "11 11", " "), ("4111111111111112 123", 0, 0, 0, "x", "4111111111111112 123"),
+]
+
+
+def test_cards_beside_numbers(spark):
+    docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CARDS)] + [(99, "1 " * 5000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs, "key").collect()}
+    for i, (text, n_card, n_date, n_ssn, gone, stays) in enumerate(CARDS):
+        r = got[i]
+        assert (r["n_card"], r["n_date"], r["n_ssn"]) == (n_card, n_date, n_ssn), text
+        assert gone not in r["text"] and stays in r["text"] and re.sub("[0-9]", "0", r["text"]) == re.sub("[0-9]", "0", text)
+    assert len(got[99]["text"]) == 10_000
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(27 * 31).select(pii.feistel(F.floor(F.col("id") / 31), F.col("id") % 31, 27, 31, "k", "t").alias("p")).select("p.*")
     assert pairs.distinct().count() == 27 * 31

@@ -28,7 +28,11 @@ _ASSIGNABLE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .
 _LAID_OUT = r"(?<![0-9])(?<![0-9][.-])(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|(?:1[ .-])?(?:\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}))(?![.-]?[0-9])"
 PHONE = f"(?:{_ASSIGNABLE}|{_LAID_OUT})"
 SSN = r"(?<![0-9-])(?!000|666)[0-8][0-9]{2}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9]|-[0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+_DATES = "|".join(DATE.replace(r"([-/.])", sep).replace(r"\1", sep).replace(r"\2", sep) for sep in ("-", "/", r"\."))
+#: A run of groups of digits up to where a value of another kind begins; ``_cards`` finds the cards in it.
+CARD = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{EMAIL}|{IPV4}|{_DATES}|{PHONE}|{SSN})[0-9]++)*+"
+#: Digits of each group of cards as they are usually printed.
+LAYOUTS = r"^(?:4-4-4-4|4-4-4-4-3|4-6-5|4-6-4|4-3-3-3)$"
 #: The date pattern has the only groups, so its back references hold here too.
 ANY = "|".join((EMAIL, IPV4, DATE, PHONE, SSN, CARD))
 
@@ -77,6 +81,53 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.filter(from_right, lambda d: d != ""), lambda d, i: value(d.cast("int"), i)), F.lit(0), lambda x, y: x + y)
 
 
+def _cards(run: Column) -> Column:
+    """Array of (rank, less, at, n): the cards in a run, each the n groups of digits from group ``at`` on, none in two cards.
+
+    Groups are a card if they have 13 to 19 digits, pass the Luhn check and are one unbroken number (rank 0), are
+    printed in a usual layout (1), or are the most that 19 digits allow from their first group on (2). Of cards that
+    overlap the lower rank goes first, then the one of more digits, then the earlier.
+    """
+    # bound to a variable, so the steps do not split the run again
+    return F.transform(F.array(F.split(run, "[ -]")), _cards_of)[0]
+
+
+def _cards_of(groups: Column) -> Column:
+    def from_group(at):
+        joined = lambda n: F.array_join(F.slice(groups, at + 1, n), "")
+        some = F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - at)), lambda n: F.struct(n.alias("n"), joined(n).alias("digits")))
+        fit = F.filter(some, lambda w: F.length(w["digits"]).between(13, 19))
+        layout = lambda n: F.array_join(F.transform(F.slice(groups, at + 1, n), lambda g: F.length(g).cast("string")), "-")
+
+        def judged(fit):
+            rank = lambda w: F.when(w["n"] == 1, 0).when(layout(w["n"]).rlike(LAYOUTS), 1).when(w["n"] == F.array_max(F.transform(fit, lambda x: x["n"])), 2)
+            good = F.filter(fit, lambda w: luhn_sum(w["digits"]) % 10 == 0)
+            return F.filter(F.transform(good, lambda w: F.struct(rank(w).alias("rank"), (-F.length(w["digits"])).alias("less"), at.alias("at"), w["n"].alias("n"))), lambda c: c["rank"].isNotNull())
+
+        return F.transform(F.array(fit), judged)[0]
+
+    found = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), from_group)))
+    free = lambda acc, c: ~F.exists(acc, lambda x: (x["at"] < c["at"] + c["n"]) & (c["at"] < x["at"] + x["n"]))
+    none = F.array().cast(_CARDS)
+    return F.aggregate(found, none, lambda acc, c: F.when(free(acc, c), F.concat(acc, F.array(c))).otherwise(acc))
+
+
+_CARDS = "array<struct<rank:int,less:int,at:int,n:int>>"
+
+
+def _card_run(run: Column, cards: Column, key: str) -> Column:
+    """The run with its cards replaced."""
+
+    def walk(pieces):
+        some = lambda at, n: F.array_join(F.slice(pieces, at + 1, n), "")
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+        step = lambda acc, c: F.struct(F.concat(acc["out"], some(acc["at"], c["at"] - acc["at"]), _card(some(c["at"], c["n"]), key)).alias("out"), (c["at"] + c["n"]).alias("at"))
+        return F.aggregate(F.array_sort(cards, lambda x, y: x["at"] - y["at"]), start, step, lambda acc: F.concat(acc["out"], some(acc["at"], F.size(pieces) - acc["at"])))
+
+    # every group with the separator behind it
+    return F.transform(F.array(F.split(run, "(?<=[ -])")), walk)[0]
+
+
 def _card(hit: Column, key: str) -> Column:
     """First digit kept, the middle permuted, the check digit recomputed."""
     digits = _digits(hit)
@@ -161,7 +212,7 @@ def _email(hit: Column, key: str) -> Column:
 
 
 def _kind(hit: Column) -> Column:
-    """Index into KINDS of a match, or null for a match that validation refuses."""
+    """Index into KINDS of a match, or null for a match that validation refuses. A run of digits may still hold no card."""
     digits = F.length(_digits(hit))
     whole = lambda p: hit.rlike(f"^(?:{p})$")
     return (
@@ -170,7 +221,7 @@ def _kind(hit: Column) -> Column:
         .when(whole(DATE), F.when(_date_parts(hit)[0].isNotNull(), F.lit(2)))
         .when(whole(PHONE), F.lit(3))
         .when(whole(SSN), F.lit(4))
-        .when((digits >= 13) & (luhn_sum(_digits(hit)) % 10 == 0), F.lit(5))
+        .when(hit.rlike("^[0-9 -]+$") & (digits >= 13), F.lit(5))
     )
 
 
@@ -186,7 +237,8 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     hits = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     kinds = F.transform(hits, lambda h: F.struct(h.alias("hit"), _kind(h).alias("kind")))
-    none = F.array().cast("array<struct<hit:string,kind:int>>")
+    kinds = F.transform(kinds, lambda h: F.struct(h["hit"].alias("hit"), h["kind"].alias("kind"), F.when(h["kind"] == 5, _cards(h["hit"])).alias("cards")))
+    none = F.array().cast(f"array<struct<hit:string,kind:int,cards:{_CARDS}>>")
     # every pattern needs a digit or an @, which is cheaper to look for
     found = text.rlike("[0-9@]") & text.rlike(ANY)
     rows = rows.select("doc_id", "_text", F.when(found, kinds).otherwise(none).alias("_hits"))
@@ -194,14 +246,18 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     def replace(h):
         hit, kind = h["hit"], h["kind"]
         out = F.when(kind.isNull(), hit)
-        for n, f in enumerate((_email, _ipv4, _date, _phone, _ssn, _card)):
+        for n, f in enumerate((_email, _ipv4, _date, _phone, _ssn)):
             out = out.when(kind == n, f(hit, key))
-        return out
+        return out.otherwise(_card_run(hit, h["cards"], key))
 
     gaps = F.split(text, ANY, -1)
     new = F.concat(F.transform(F.col("_hits"), replace), F.array(F.lit("")))
     clean = F.array_join(F.zip_with(gaps, new, lambda g, h: F.concat(g, h)), "")
-    number = lambda k: F.size(F.filter(F.col("_hits"), lambda h: h["kind"] == k)).cast("long")
+    def number(k):
+        if KINDS[k] == "card":
+            return F.aggregate("_hits", F.lit(0).cast("long"), lambda acc, h: acc + F.when(h["kind"] == k, F.size(h["cards"])).otherwise(0))
+        return F.size(F.filter(F.col("_hits"), lambda h: h["kind"] == k)).cast("long")
+
     return rows.select("doc_id", *[number(n).alias(f"n_{k}") for n, k in enumerate(KINDS)], F.when(F.size("_hits") > 0, clean).otherwise(text).alias("text"))
 
 
