@@ -112,6 +112,15 @@ def test_entropy_finds_random_strings(spark):
     assert {r["doc_id"]: r["n_entropy"] for r in secrets.scan_secrets(docs).collect()} == {1: 1, 2: 0}
 
 
+def test_entropy_recall_of_each_class(spark):
+    rng = np.random.default_rng(10)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet, n, least in ((upper + "234567", 20, 0.93), (upper + "234567", 32, 0.98), (lower + digits, 20, 0.96), (lower + digits, 32, 0.99), (digits + "ABCDEF", 20, 0.85), (upper + lower + digits, 20, 0.82)):
+        texts = ["".join(rng.choice(list(alphabet), n)) for _ in range(400)]
+        docs = spark.createDataFrame([(i, f"seed {t} end") for i, t in enumerate(texts)], "doc_id long, text string")
+        assert secrets.scan_secrets(docs).where("n_entropy + n_hex > 0").count() >= least * 400, (alphabet, n)
+
+
 def test_secrets_of_edge_cases(edge_docs, no_docs):
     assert secrets.scan_secrets(edge_docs).count() == edge_docs.count()
     assert secrets.scan_secrets(no_docs).count() == 0

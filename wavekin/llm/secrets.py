@@ -19,8 +19,11 @@ KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 WINDOW = 20
 #: Bits per character that a window of a class must reach. A random window of 20
-#: hexadecimal digits has 3.3 to 3.6 bits, one of base64 characters 3.9 to 4.3.
-THRESHOLDS = {"hex": 3.1, "mixed": 3.85}
+#: hexadecimal digits has 3.3 to 3.6 bits, one of base64 characters 3.9 to 4.3. Of those of
+#: base32 and base36, letters of one case with digits, 98 and 99 in a hundred have 3.4.
+THRESHOLDS = {"hex": 3.1, "base32": 3.4, "base36": 3.4, "mixed": 3.85}
+#: Alphabets of the classes, the first that fits counts; all else is mixed.
+CLASSES = {"hex": r"^[0-9a-fA-F]+$", "base32": r"^(?:[A-Z2-7]+|[a-z2-7]+)$", "base36": r"^(?:[A-Z0-9]+|[a-z0-9]+)$"}
 #: Candidates never reported by entropy: words, numbers, joined words, UUIDs, documentation keys.
 ALLOW = (
     r"^[A-Za-z]+$",
@@ -69,7 +72,7 @@ def _entropy_part(hit: Column) -> Column:
 
 
 def _hot_windows(hit: Column, chars: Column) -> Column:
-    limit = F.when(hit.rlike("^[0-9a-fA-F]+$"), F.lit(THRESHOLDS["hex"])).otherwise(F.lit(THRESHOLDS["mixed"]))
+    limit = F.coalesce(*[F.when(hit.rlike(p), F.lit(THRESHOLDS[c])) for c, p in CLASSES.items()], F.lit(THRESHOLDS["mixed"]))
     head = F.slice(chars, 1, WINDOW)
     count = lambda arr, ch: F.size(F.filter(arr, lambda x: x == ch))
     total = F.aggregate(F.array_distinct(head), F.lit(0.0), lambda acc, ch: acc + _weight(count(head, ch)))
