@@ -165,6 +165,27 @@ def test_hits_equal_brute_force(spark, vocabulary):
     assert got == brute_hits(docs, [("" if i is None else str(i), t) for i, t in items])
 
 
+def test_blocks_are_bounded_by_windows():
+    """Few different words, many windows: natural benchmarks never reach the limit of words."""
+    rng = np.random.default_rng(6)
+    items = [(str(i), [b"w%d" % x for x in rng.integers(0, 50, size=n)]) for i, n in enumerate((5, 10, 400, 30, 30, 30, 1, 95))]
+    blocks = list(decontam._blocks(decontam._pieces(iter(items), 10, 60), 1_000_000, 10, 60))
+    assert len(blocks) > 8 and all(sum(max(1, len(w) - 9) for _, w in b) <= 60 for b in blocks)
+    together = {}
+    for b in blocks:
+        for phrase, names in decontam.phrases(b).items():
+            together.setdefault(phrase, set()).update(names)
+    assert together == decontam.phrases(items)
+
+
+def test_hits_do_not_depend_on_blocks(spark):
+    text = " ".join(f"a{i % 17} b{i % 5}" for i in range(30))
+    docs = [(1, "x " + text + " y"), (2, text[:90]), (3, "nothing")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, text), (2, "nothing")], "item_id long, text string")
+    got = sorted(map(tuple, decontam.decontaminate(d, b, windows=20).collect()), key=str)
+    assert got == brute_hits(docs, [("1", text), ("2", "nothing")])
+
+
 def test_hits_of_edge_cases(spark, edge_docs, no_docs):
     b = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     got = decontam.decontaminate(edge_docs, b).collect()
