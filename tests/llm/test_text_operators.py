@@ -323,6 +323,17 @@ def test_a_changed_chunk_is_noticed(spark, tmp_path):
         token_store.read_store(spark, path).collect()
 
 
+def test_a_changed_recipe_is_noticed(spark, tmp_path):
+    path = str(tmp_path / "store")
+    token_store.write_store(spark.createDataFrame([(1, "some words"), (2, "other words")], "doc_id long, text string"), path, token_store.tokenizer_file())
+    assert token_store.read_store(spark, path).count() == 2
+    rows = spark.read.parquet(f"{path}/recipes")
+    changed = spark.createDataFrame([(r["part"], r["doc_id"] + 5, r["n_tokens"], r["digests"]) for r in rows.collect()], rows.schema)
+    changed.write.mode("overwrite").parquet(f"{path}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read_store(spark, path)
+
+
 def test_empty_store(spark, no_docs):
     assert token_store.store_and_read(no_docs).count() == 0
 

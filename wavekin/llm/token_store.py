@@ -271,9 +271,12 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the store's files.
 
     Each chunk's digest, length and CRC are computed anew from its payload; a recipe
-    whose chunks are missing, changed or of another total length fails the query. The
+    whose chunks are missing, changed or of another total length fails the query. Recipes
+    that no longer have the manifest's root fail this call. The
     document's CRC is put together from its chunks', so no payload is shuffled.
     """
+    if not verify(spark, path):
+        raise ValueError("the store's recipes do not have the manifest's root")
     pieces = ordered(spark, path).select("nth", F.posexplode("digests").alias("seq", "digest"))
     found = pieces.join(_checked_chunks(spark, path), "digest", "left")
     lost = F.when(F.col("crc").isNull(), F.raise_error(F.lit("the store misses a chunk or holds a changed one"))).otherwise(F.col("crc"))
