@@ -8,8 +8,8 @@ A store is a folder of four Parquet tables:
 * ``recipes``: (part, doc_id, n_tokens, digests) in ascending doc_id order: part p's ids are not above part
   p + 1's, and rows are sorted within a part. Null ids come first.
 * ``parts``: (part, docs, tokens, first_doc, first_token), where each part of the recipes starts.
-* ``manifest``: (level, node, hash), a Merkle tree over the recipes in order. Level 0 has a
-  leaf for each document, a node hashes up to ``FAN`` nodes below, the last level is the root.
+* ``manifest``: (level, node, hash), a Merkle tree over the recipes in order, a folder for each level. Level 0 has
+  a leaf for each document, a node hashes up to ``FAN`` nodes below, the last level is the root.
 
 Ids are unsigned 16-bit where the vocabulary allows, else unsigned 32-bit.
 """
@@ -17,176 +17,138 @@ Ids are unsigned 16-bit where the vocabulary allows, else unsigned 32-bit.
 from __future__ import annotations
 
 import hashlib
-import re
-import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release, remove, scratch, small_batches, stage, table
+from .common import release, remove, scratch, small_batches, table
+from .word_encoder import WordEncoder, encoder_of  # noqa: F401  the encoder is part of this module's interface
 
 ROLL, LEAST, MOST, MASK = 16, 128, 2048, (1 << 9) - 1
 FAN = 1024
-#: Words an encoder remembers at a time.
-MEMO = 400_000
-#: Texts with any of these are split at blanks only. In all others each punctuation mark is
-#: a token of its own and lower-casing can come first, so words are remembered without marks and case.
-ODD = re.compile(r"[^\w\s][^\w\s]|['_\u03a3\u0130\u0300-\u036f\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f\u3000]")
+#: Ids hashed at a time.
+BLOCK = 1 << 18
 
 _U = np.uint64
 
 
-def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others get code points from 256 on, in order."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-
+def _salts(n: int) -> np.ndarray:
+    x = np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)
+    return (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
 
-class WordEncoder:
-    """``Tokenizer.encode`` for whole texts, with a memory of words.
 
-    Valid for tokenizers that drop white space and split words before their model sees
-    them, as ``word_bpe`` does: no part of the encoding reaches across a blank, so a
-    text's ids are its words' ids in order. Words of plain Latin letters go straight to
-    the tokenizer's model, all others through its whole ``encode``.
-    """
+_SALT = _salts(1 << 16)
 
-    def __init__(self, path: str, width: str = "<u4"):
-        from tokenizers import Tokenizer
-
-        self.width, self.pack = width, "<%dH" if width == "<u2" else "<%dI"
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.memo: dict[str, bytes] = {"": b""}
-        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-
-    def _word(self, word: str) -> bytes:
-        if word.isalpha() and word.isascii():
-            ids = [t.id for t in self.model.tokenize(word.lower())]
-        elif word.isalpha() and max(word) < "\u0180" and "\u0130" not in word:
-            ids = [t.id for t in self.model.tokenize(word.lower().encode().decode("latin-1").translate(self.letters))]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return struct.pack(self.pack % len(ids), *ids)
-
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text), self.width).tolist()
-
-    def packed(self, text: str) -> bytes:
-        """The ids as bytes of the encoder's width."""
-        if not ODD.search(text):
-            text = text.lower()
-            for mark in ".,;:!?":
-                if mark in text:
-                    text = text.replace(mark, f" {mark} ")
-        memo = self.memo
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        found = [*map(memo.get, words)]
-        if None in found:
-            if len(memo) > MEMO:
-                memo.clear()
-                memo[""] = b""
-            for i, ids in enumerate(found):
-                if ids is None:
-                    word = words[i]
-                    if (ids := memo.get(word)) is None:
-                        ids = memo[word] = self._word(word)
-                    found[i] = ids
-        return b"".join(found)
-
-
-@lru_cache(1)
-def encoder_of(path: str, width: str) -> WordEncoder:
-    """The process's encoder: a Python worker keeps its memory of words from task to task."""
-    return WordEncoder(path, width)
 
+def _marks(ids: np.ndarray) -> list[int]:
+    """Positions after which the rolling hash is 0 under MASK."""
+    out = []
+    for lo in range(0, len(ids), BLOCK):
+        base = max(0, lo - ROLL + 1)
+        value = _SALT[ids[base : lo + BLOCK] & 0xFFFF]
+        rolled = value.copy()
+        for j in range(1, ROLL):
+            rolled[j:] += value[:-j] << _U(j * 3)
+        hits = np.flatnonzero(((rolled[lo - base :] >> _U(40)) & _U(MASK)) == 0)
+        out += (hits + lo + 1).tolist()
+    return out
 
-def _salts(n: int) -> np.ndarray:
-    x = np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)
-    return (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
 
+def cuts(ids: np.ndarray, counts: np.ndarray) -> list[list[int]]:
+    """For each of several id streams laid end to end: the end positions of its chunks.
 
-_SALT = _salts(1 << 16)
+    A chunk ends where the rolling hash says so, LEAST to MOST ids apart. The hash looks
+    back fewer ids than LEAST, so no stream's cuts depend on the one before.
+    """
+    marks = _marks(ids)
+    out, at = [], 0
+    for count in counts.tolist():
+        n, ends = at + count, []
+        while n - at > LEAST:
+            i = bisect_left(marks, at + LEAST)
+            at = min(marks[i] if i < len(marks) else n, at + MOST, n)
+            ends.append(at)
+        if at < n:
+            ends.append(n)
+        out.append(ends)
+        at = n
+    return out
 
 
 def cut(ids: np.ndarray) -> list[int]:
-    """End positions of the chunks of an id stream: where the rolling hash is 0 under MASK, LEAST to MOST ids apart."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    value = _SALT[ids & 0xFFFF]
-    rolled = value.copy()
-    for j in range(1, ROLL):
-        rolled[j:] += value[:-j] << _U(j * 3)
-    marks = np.flatnonzero(((rolled >> _U(40)) & _U(MASK)) == 0) + 1
-    ends, at = [], 0
-    while n - at > LEAST:
-        i = int(np.searchsorted(marks, at + LEAST))
-        end = int(marks[i]) if i < len(marks) else n
-        at = min(end, at + MOST, n)
-        ends.append(at)
-    if at < n:
-        ends.append(n)
-    return ends
+    """End positions of the chunks of one id stream."""
+    return cuts(ids, np.array([len(ids)]))[0]
+
+
+_CHUNK = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())])
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("fresh", pa.list_(_CHUNK))])
 
 
 def _encoded(docs: DataFrame, tokenizer_path: str, end_id: int | None, width: str) -> DataFrame:
     """(doc_id, n_tokens, digests, fresh): fresh has the chunks not seen before by the same task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_of(tokenizer_path, width)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(tokenizer_path)
+        size = np.dtype(width).itemsize
         seen: set[bytes] = set()
-        tail = b"" if end_id is None else np.array([end_id]).astype(width).tobytes()
-        for pdf in batches:
-            for lo in range(0, len(pdf), 512):
-                part = pdf.iloc[lo : lo + 512]
-                sizes, recipes, fresh = [], [], []
-                for text in part["text"]:
-                    data = encoder.packed(text or "") + tail
-                    ids = np.frombuffer(data, width)
-                    sizes.append(len(ids))
-                    recipe, new, at = [], [], 0
-                    size = np.dtype(width).itemsize
-                    for end in cut(ids):
-                        payload = data[at * size : end * size]
-                        digest = hashlib.blake2b(payload, digest_size=16).digest()
-                        recipe.append(digest)
-                        if digest not in seen:
-                            seen.add(digest)
-                            new.append({"digest": digest, "n": end - at, "payload": payload})
-                        at = end
-                    recipes.append(recipe)
-                    fresh.append(new)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_tokens": sizes, "digests": recipes, "fresh": fresh})
+        for batch in batches:
+            ids, counts = encoder.encode_batch(batch.column("text").to_pylist(), end_id)
+            data = memoryview(ids.astype(width).tobytes())
+            recipes, digests, at = [0], [], 0
+            fresh, new, sizes, payloads = [0], [], [], []
+            for ends in cuts(ids, counts):
+                for end in ends:
+                    payload = data[at * size : end * size]
+                    digest = hashlib.blake2b(payload, digest_size=16).digest()
+                    digests.append(digest)
+                    if digest not in seen:
+                        seen.add(digest)
+                        new.append(digest)
+                        sizes.append(end - at)
+                        payloads.append(bytes(payload))
+                    at = end
+                recipes.append(len(digests))
+                fresh.append(len(new))
+            chunks = pa.StructArray.from_arrays([pa.array(new, pa.binary()), pa.array(sizes, pa.int32()), pa.array(payloads, pa.binary())], fields=list(_CHUNK))
+            columns = [batch.column("doc_id"), pa.array(counts), pa.ListArray.from_arrays(pa.array(recipes, pa.int32()), pa.array(digests, pa.binary())), pa.ListArray.from_arrays(pa.array(fresh, pa.int32()), chunks)]
+            yield pa.RecordBatch.from_arrays(columns, schema=_ENCODED)
         release()
 
-    return docs.mapInPandas(run, "doc_id long, n_tokens long, digests array<binary>, fresh array<struct<digest:binary,n:int,payload:binary>>")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, digests array<binary>, fresh array<struct<digest:binary,n:int,payload:binary>>")
 
 
 def _leaves(recipes: DataFrame) -> DataFrame:
-    """(level, node, hash) of level 0."""
+    """(node, hash) of level 0."""
     shown = F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_tokens"), F.array_join(F.transform("digests", F.hex), ":"))
-    return recipes.select(F.lit(0).alias("level"), F.col("nth").alias("node"), F.sha2(shown, 256).alias("hash"))
+    return recipes.select(F.col("nth").alias("node"), F.sha2(shown, 256).alias("hash"))
 
 
-def merkle(leaves: DataFrame) -> DataFrame:
-    """All levels above the leaves, up to the root. No leaves, no rows."""
-    levels, now = leaves, leaves
-    level = 0
+def merkle(leaves: DataFrame, folder: str) -> None:
+    """Write all levels of the tree to ``folder``, from the leaves up to the root. No leaves, no levels."""
+    spark = leaves.sparkSession
+    now, level = leaves, 0
     while True:
+        here = f"{folder}/level={level}"
+        now.write.option("compression", "zstd").parquet(here)
+        now = spark.read.schema("node long, hash string").parquet(here)
+        if now.count() <= 1:
+            return
         level += 1
         up = now.groupBy(F.floor(F.col("node") / FAN).alias("node")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("below"))
-        now = stage(up.select(F.lit(level).alias("level"), "node", F.sha2(F.array_join("below.hash", ","), 256).alias("hash")), "merkle")
-        levels = levels.unionByName(now)
-        if now.count() <= 1:
-            return levels
+        now = up.select("node", F.sha2(F.array_join("below.hash", ","), 256).alias("hash"))
+
+
+def root_of(spark: SparkSession, folder: str) -> list[str]:
+    """The root's hash, the one row of the last level; none for an empty store."""
+    held = spark.read.schema("node long, hash string, level int").parquet(folder)
+    top = held.agg(F.max("level")).first()[0]
+    return [] if top is None else [r["hash"] for r in held.where(F.col("level") == top).take(2)]
 
 
 def ordered(spark: SparkSession, path: str) -> DataFrame:
@@ -230,7 +192,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     per_part.select("*", F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("first_doc"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first_token")).write.parquet(f"{path}/parts")
     spark.createDataFrame([(width,)], "ids string").coalesce(1).write.parquet(f"{path}/format")
-    merkle(_leaves(ordered(spark, path))).write.option("compression", "zstd").parquet(f"{path}/manifest")
+    merkle(_leaves(ordered(spark, path)), f"{path}/manifest")
 
 
 def _operators() -> np.ndarray:
@@ -318,13 +280,11 @@ def reconstruct(spark: SparkSession, path: str, only: DataFrame | None = None) -
 
 def verify(spark: SparkSession, path: str) -> bool:
     """Whether the recipes still have the manifest's root."""
-    held = spark.read.parquet(f"{path}/manifest")
-    top = held.agg(F.max("level")).first()[0]
-    if top is None:
-        return spark.read.parquet(f"{path}/parts").count() == 0
-    again = merkle(_leaves(ordered(spark, path)))
-    root = lambda t: [r["hash"] for r in t.where(F.col("level") == top).orderBy("node").collect()]  # noqa: E731  one row
-    return root(held) == root(again)
+    again = scratch(spark, "merkle")
+    merkle(_leaves(ordered(spark, path)), again)
+    same = root_of(spark, f"{path}/manifest") == root_of(spark, again)
+    remove(spark, again)
+    return same
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
