@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, ShortType, StructField, StructType
 
 from .arrays import breakpoints
+from .distances import sfa_weights
 
 
 def dtw_block(a: np.ndarray, b: np.ndarray, r: int) -> np.ndarray:
@@ -43,6 +44,12 @@ def dtw(a: Column, b: Column, r: int) -> Column:
     return run(a, b)
 
 
+def matrix_of(column) -> np.ndarray:
+    """An Arrow list column whose lists have one length as rows of doubles. Null elements become NaN."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(float, copy=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def coefficients_of(x: np.ndarray, coefficients: list[int]) -> np.ndarray:
     """Interleaved (re, -im) of X_k / sqrt(n) for rows of x."""
     f = np.fft.rfft(x, axis=1)[:, coefficients] / np.sqrt(x.shape[1])
@@ -78,3 +85,45 @@ def summarise(prepared: DataFrame, config, model=None) -> DataFrame:
 
     schema = StructType([*prepared.schema.fields, StructField("vector", ArrayType(DoubleType())), StructField("word", ArrayType(ShortType()))])
     return prepared.mapInPandas(run, schema)
+
+
+class WordBounds:
+    """Lower bounds of squared distances from symbol ranges, for one query at a time against many rows.
+
+    Every segment has edges and a weight: segment length for SAX, Parseval weights for SFA.
+    SFA bins come from values rounded to 6 decimals, so its gaps are shortened by ``slack``.
+    """
+
+    def __init__(self, config, model=None):
+        if config.summarization == "sax":
+            self.edges = np.tile([-np.inf, *breakpoints(config.alphabet), np.inf], (config.w, 1))
+            self.weights, self.slack = np.full(config.w, float(config.segment)), 0.0
+        else:
+            self.edges = np.array([[-np.inf, *b, np.inf] for b in model.bins])
+            self.weights, self.slack = np.array(sfa_weights(config.n, model.coefficients)), 1e-6
+
+    def ranges(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper values of the symbol ranges lo .. hi, each rows x segments."""
+        seg = np.arange(len(self.edges))
+        return self.edges[seg, lo], self.edges[seg, hi + 1]
+
+    def between(self, least: np.ndarray, most: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Bound of each row (low, high) for a query whose segments reach from ``least`` to ``most``; a plain query's are equal."""
+        gap = np.maximum(np.maximum(low - most, least - high) - self.slack, 0.0)
+        return (gap * gap) @ self.weights
+
+
+def envelopes(x: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest values at most r positions away, for every row."""
+    lo, hi = x.copy(), x.copy()
+    for s in range(1, min(r, x.shape[1] - 1) + 1):
+        for f, side in ((np.minimum, lo), (np.maximum, hi)):
+            f(side[:, s:], x[:, :-s], out=side[:, s:])
+            f(side[:, :-s], x[:, s:], out=side[:, :-s])
+    return lo, hi
+
+
+def keogh(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Squared distance of the rows of x to one query's envelope."""
+    gap = np.maximum(np.maximum(x - hi, lo - x), 0.0)
+    return (gap * gap).sum(axis=1)

@@ -1,12 +1,14 @@
 """A series index as tables: rows with words and leaves, and the leaves' symbol ranges.
 
 The tree exists only as leaf labels. Splitting works on distinct words with counts, so
-it is small beside the data: each root's different words are split in one task.
+it is small beside the data, and no task holds more than ``WORDS_IN_TASK`` of them.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -20,47 +22,57 @@ from ..functions.kernels import summarise
 from .learning import SfaModel, learn
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that no later plan reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
-def _staged(df: DataFrame, path: str | None, name: str) -> DataFrame:
-    """Written to a table under ``path``, or persisted where there is none."""
-    if path is None:
-        return df.persist()
-    df.write.mode("overwrite").parquet(f"{path}/{name}")
-    return df.sparkSession.read.parquet(f"{path}/{name}")
 
 
-def choose_segment(words: np.ndarray, counts: np.ndarray, used: np.ndarray, bits: int, rule: str, depth: int) -> int | None:
-    """The segment to split next, or None if no split can part the words.
+#: Different words of a node that one task splits; larger nodes are split one level at a time by Spark.
+WORDS_IN_TASK = 1_000_000
+#: Rows of a leaf map that is broadcast, at most; larger ones are joined by a shuffle.
+BROADCAST_WORDS = 500_000
+#: Rows of a part of a stored index.
+PART_ROWS = 1_000_000
 
-    'variance': the segment of largest weighted symbol variance; 'informed': among
+
+def choose_segment(total: int, sums: np.ndarray, squares: np.ndarray, low: np.ndarray, high: np.ndarray, used: np.ndarray, bits: int, rule: str, depth: int) -> int | None:
+    """The segment to split next, from the symbols' weighted sums and ends, or None if no split can part the words.
+
+    'variance': the segment of largest symbol variance, in whole numbers; 'informed': among
     segments whose next bit parts mean +- 3 sd most evenly; 'round-robin': depth modulo w.
+    Ties go to the first segment.
     """
-    open_ = np.array([used[i] < bits and words[:, i].min() != words[:, i].max() for i in range(len(used))])
+    open_ = (used < bits) & (low != high)
     if not open_.any():
         return None
     if rule == "round-robin":
         order = [(depth + i) % len(used) for i in range(len(used))]
         return next(i for i in order if open_[i])
-    total = counts.sum()
-    mean = (words * counts[:, None]).sum(axis=0) / total
-    var = ((words - mean) ** 2 * counts[:, None]).sum(axis=0) / total
     if rule == "informed":
-        step = 1 << (bits - used - 1)
-        cut = (words[0] >> (bits - used) << (bits - used)) + step
-        inside = (mean - 3 * np.sqrt(var) < cut) & (cut < mean + 3 * np.sqrt(var))
+        mean = sums / total
+        sd = np.sqrt(np.maximum(squares / total - mean * mean, 0.0))
+        rest = bits - used
+        cut = (low >> rest << rest) + (1 << np.maximum(rest - 1, 0))
+        inside = (mean - 3 * sd < cut) & (cut < mean + 3 * sd)
         score = np.where(inside, 1e6, 0) - np.abs(mean - cut)
-    else:
-        score = var
-    return int(np.argmax(np.where(open_, score, -np.inf)))
+        return int(np.argmax(np.where(open_, score, -np.inf)))
+    score = [int(total) * int(b) - int(a) ** 2 if o else -1 for a, b, o in zip(sums, squares, open_, strict=True)]
+    return score.index(max(score))
+
 
+def _sums(words: np.ndarray, counts: np.ndarray) -> tuple:
+    return counts.sum(), counts @ words, counts @ (words * words), words.min(axis=0), words.max(axis=0)
 
-def split_words(words: np.ndarray, counts: np.ndarray, bits: int, leaf_size: int, rule: str = "variance") -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(rows, bits used by segment, depth) of the leaves of one root. A leaf over the size holds one word only."""
-    todo = [(np.arange(len(words)), np.ones(words.shape[1], dtype=np.int64), 0)]
+
+def split_words(words: np.ndarray, counts: np.ndarray, bits: int, leaf_size: int, rule: str = "variance", used: np.ndarray | None = None, depth: int = 0) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(rows, bits used by segment, depth) of the leaves of one node. A leaf over the size holds one word only."""
+    todo = [(np.arange(len(words)), np.ones(words.shape[1], dtype=np.int64) if used is None else used, depth)]
     out = []
     while todo:
         rows, used, depth = todo.pop()
-        seg = choose_segment(words[rows], counts[rows], used, bits, rule, depth) if counts[rows].sum() > leaf_size else None
+        seg = choose_segment(*_sums(words[rows], counts[rows]), used, bits, rule, depth) if counts[rows].sum() > leaf_size else None
         if seg is None:
             out.append((rows, used, depth))
             continue
@@ -71,19 +83,88 @@ def split_words(words: np.ndarray, counts: np.ndarray, bits: int, leaf_size: int
     return out
 
 
-def leaf_of_words(words: DataFrame, config: SeriesConfig) -> DataFrame:
-    """(word_key, leaf_id, cardinality, depth) for distinct (root_key, word_key, word, count)."""
+def node_splits(nodes: DataFrame, config: SeriesConfig) -> DataFrame:
+    """(root_key, node, seg): the segment by which each node of (root_key, node, used, depth, word, count) is to be split; nodes that nothing parts are left out.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.stack(pdf["word"].to_numpy()).astype(np.int64)
-        leaf, cards, depths = [""] * len(pdf), [None] * len(pdf), [0] * len(pdf)
-        for rows, used, depth in split_words(matrix, pdf["count"].to_numpy(), config.bits, config.leaf_size, config.split):
+    One aggregation over all words, however many a node has.
+    """
+    sums = []
+    for i in range(config.w):
+        x = F.col("word")[i].cast("long")
+        sums += [F.sum(x * F.col("count")).alias(f"a{i}"), F.sum(x * x * F.col("count")).alias(f"b{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}")]
+    stats = nodes.groupBy("root_key", "node").agg(F.first("used").alias("used"), F.first("depth").alias("depth"), F.sum("count").alias("total"), *sums)
+    of = lambda c: F.array(*[f"{c}{i}" for i in range(config.w)]).alias(c)
+    stats = stats.select("root_key", "node", "used", "depth", "total", *[of(c) for c in "ablh"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            chosen = []
+            for r in pdf.itertuples():
+                chosen.append(choose_segment(r.total, np.array(r.a), np.array(r.b), np.array(r.l), np.array(r.h), np.array(r.used, dtype=np.int64), config.bits, config.split, r.depth))
+            yield pdf.assign(seg=pd.array(chosen, dtype="Int32"))[["root_key", "node", "seg"]]
+
+    return stats.mapInPandas(run, "root_key long, node string, seg int").where("seg is not null")
+
+
+def _split_large(nodes: DataFrame, config: SeriesConfig, limit: int) -> DataFrame:
+    """nodes, with those of more than ``limit`` words split level by level until none is left that a split can part."""
+    while True:
+        sizes = nodes.groupBy("root_key", "node").agg(F.count("*").alias("words"), F.sum("count").alias("rows"))
+        large = sizes.where((F.col("words") > limit) & (F.col("rows") > config.leaf_size)).select("root_key", "node")
+        chosen = node_splits(nodes.join(large, ["root_key", "node"], "left_semi"), config).persist()
+        if not chosen.count():
+            return nodes
+        bit = F.expr(f"shiftright(cast(word[seg] as int), cast({config.bits} - used[seg] - 1 as int)) & 1")
+        deeper = F.transform("used", lambda u, i: F.when(i == F.col("seg"), u + 1).otherwise(u))
+        parted = F.col("seg").isNotNull()
+        before, nodes = nodes, nodes.join(chosen, ["root_key", "node"], "left").select(
+            "root_key", F.when(parted, F.concat_ws("/", "node", F.concat_ws(".", "seg", bit))).otherwise(F.col("node")).alias("node"),
+            F.when(parted, deeper).otherwise(F.col("used")).alias("used"), F.when(parted, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), "word_key", "word", "count",
+        ).persist()
+        nodes.count()
+        chosen.unpersist()
+        before.unpersist()
+
+
+def leaf_of_words(words: DataFrame, config: SeriesConfig, limit: int = WORDS_IN_TASK) -> DataFrame:
+    """(word_key, leaf_id, cardinality, depth) for distinct (root_key, word_key, word, count).
+
+    Roots that fit a leaf are leaves as they are, without Python. The words of the others
+    are sorted by root and split in passing, many roots a task; nodes of more than ``limit``
+    words are parted beforehand.
+    """
+    ones = F.array_repeat(F.lit(1), config.w)
+    big = words.groupBy("root_key").agg(F.sum("count").alias("rows"), F.count("*").alias("n")).where(F.col("rows") > config.leaf_size)
+    small = words.join(big, "root_key", "left_anti").select("word_key", A.leaf_label(F.col("word"), ones, config.bits).alias("leaf_id"), ones.alias("cardinality"), F.lit(0).alias("depth"))
+    nodes = words.join(big, "root_key", "left_semi").select("root_key", F.lit("").alias("node"), ones.alias("used"), F.lit(0).alias("depth"), "word_key", "word", "count")
+    if (big.agg(F.max("n")).first()[0] or 0) > limit:
+        nodes = _split_large(nodes, config, limit)
+
+    def leaves(node: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.stack(node["word"].to_numpy()).astype(np.int64)
+        leaf, cards, depths = [""] * len(node), [None] * len(node), [0] * len(node)
+        first = node.iloc[0]
+        for rows, used, depth in split_words(matrix, node["count"].to_numpy(), config.bits, config.leaf_size, config.split, np.array(first["used"], dtype=np.int64), int(first["depth"])):
             label = "_".join(f"{matrix[rows[0], i] >> (config.bits - c)}.{c}" for i, c in enumerate(used))
             for r in rows:
                 leaf[r], cards[r], depths[r] = label, used, depth
-        return pd.DataFrame({"word_key": pdf["word_key"], "leaf_id": leaf, "cardinality": cards, "depth": depths})
+        return pd.DataFrame({"word_key": node["word_key"].to_numpy(), "leaf_id": leaf, "cardinality": cards, "depth": depths})
 
-    return words.groupBy("root_key").applyInPandas(run, "word_key string, leaf_id string, cardinality array<int>, depth int")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = (pdf["root_key"] == pdf["root_key"].iloc[-1]) & (pdf["node"] == pdf["node"].iloc[-1])
+            for _, node in pdf[~last].groupby(["root_key", "node"], sort=False):
+                yield leaves(node)
+            held = pdf[last]
+        if held is not None and len(held):
+            yield leaves(held)
+
+    by_node = nodes.repartition("root_key", "node").sortWithinPartitions("root_key", "node")
+    return small.unionByName(by_node.mapInPandas(run, "word_key string, leaf_id string, cardinality array<int>, depth int"))
 
 
 @dataclass
@@ -109,24 +190,60 @@ class SeriesIndex:
 
     @classmethod
     def build(cls, series: DataFrame, config: SeriesConfig, *, path: str | None = None, model: SfaModel | None = None) -> SeriesIndex:
-        """Build over (series_id, values). With ``path`` its tables are written there and read back."""
+        """Build over (series_id, values). With ``path`` its tables are written there and read back, else they are persisted (see ``release``)."""
         prepared = cls.prepare(series, config)
         if config.summarization == "sfa" and model is None:
             model = learn(prepared, config)
-        worded = _staged(cls.summarise(prepared, config, model).withColumn("word_key", A.packed_hex(F.col("word"))), path, f"words-{uuid.uuid4().hex[:8]}" if path else "words")
-        words = worded.groupBy("root_key", "word_key").agg(F.first("word").alias("word"), F.count("*").alias("count"))
+        worded = cls.summarise(prepared, config, model).withColumn("word_key", A.packed_hex(F.col("word")))
+        held = f"{path}/words-{uuid.uuid4().hex[:8]}"
+        if path is None:
+            worded = worded.persist()
+        else:
+            worded.write.parquet(held)
+            worded = series.sparkSession.read.schema(worded.schema).parquet(held)
+        words = worded.groupBy("root_key", "word_key").agg(F.first("word").alias("word"), F.count("*").alias("count")).persist()
         leaf = leaf_of_words(words, config)
-        rows = _staged(worded.join(leaf, "word_key").drop("word_key"), path, "rows")
-        index = cls(config, model, rows.drop("cardinality", "depth"), _staged(cls._leaves(rows, config), path, "leaves"))
-        if path is not None:
+        rows = worded.join(F.broadcast(leaf) if words.count() <= BROADCAST_WORDS else leaf, "word_key").drop("word_key")
+        if path is None:
+            rows = rows.persist()
+            index = cls(config, model, rows.drop("cardinality", "depth"), cls._leaves(rows, config).persist())
+            index.leaves.count()
+            worded.unpersist()
+        else:
+            cls._write_rows(rows, path)
+            rows = cls._read_rows(series.sparkSession, path)
+            cls._leaves(rows, config).write.mode("overwrite").parquet(f"{path}/leaves")
+            remove(series.sparkSession, held)
+            index = cls(config, model, rows.drop("cardinality", "depth"), series.sparkSession.read.parquet(f"{path}/leaves"))
             index._write_settings(path)
+        words.unpersist()
         return index
 
+    def release(self) -> None:
+        """Give back what ``build`` without a path holds in the executors."""
+        self.rows.unpersist()
+        self.leaves.unpersist()
+
+    @staticmethod
+    def _write_rows(rows: DataFrame, path: str) -> None:
+        """Rows in folders part=0, 1 ... by ranges of leaves, so that searches read only the parts of the leaves they open.
+
+        A leaf of very many rows spreads over several parts.
+        """
+        parts = max(1, math.ceil(rows.count() / PART_ROWS))
+        ranged = rows.drop("part").repartitionByRange(parts, "leaf_id", "series_id").sortWithinPartitions("leaf_id", "series_id")
+        ranged.withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+
+    @staticmethod
+    def _read_rows(spark: SparkSession, path: str) -> DataFrame:
+        return spark.read.parquet(f"{path}/rows")
+
     @staticmethod
     def _leaves(rows: DataFrame, config: SeriesConfig) -> DataFrame:
         ends = [f(F.col("word")[i]).alias(f"{name}{i}") for i in range(config.w) for name, f in (("l", F.min), ("h", F.max))]
-        got = rows.groupBy("leaf_id").agg(F.first("root_key").alias("root_key"), F.count("*").alias("n_rows"), F.first("depth").alias("depth"), F.first("cardinality").alias("cardinality"), *ends)
-        return got.select("leaf_id", "root_key", "n_rows", "depth", "cardinality", F.array(*[f"l{i}" for i in range(config.w)]).alias("lo"), F.array(*[f"h{i}" for i in range(config.w)]).alias("hi"))
+        parts = [F.min("part").alias("first_part"), F.max("part").alias("last_part")] if "part" in rows.columns else []
+        got = rows.groupBy("leaf_id").agg(F.first("root_key").alias("root_key"), F.count("*").alias("n_rows"), F.first("depth").alias("depth"), F.first("cardinality").alias("cardinality"), *parts, *ends)
+        return got.select("leaf_id", "root_key", "n_rows", "depth", "cardinality", F.array(*[f"l{i}" for i in range(config.w)]).alias("lo"), F.array(*[f"h{i}" for i in range(config.w)]).alias("hi"), *(["first_part", "last_part"] if parts else []))
 
     def _write_settings(self, path: str) -> None:
         spark = self.rows.sparkSession
@@ -134,10 +251,11 @@ class SeriesIndex:
         spark.createDataFrame(text, "config string, model string").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
 
     def save(self, path: str, covering: bool = True) -> None:
-        """Write settings, model, rows and leaves; without ``covering`` the rows have no raw values."""
-        rows = self.rows if covering else self.rows.drop("values", "vector")
-        rows.write.mode("overwrite").partitionBy("root_key").parquet(f"{path}/rows") if self.config.w <= 8 else rows.repartition("leaf_id").write.mode("overwrite").parquet(f"{path}/rows")
-        self.leaves.write.mode("overwrite").parquet(f"{path}/leaves")
+        """Write settings, model, rows and leaves; without ``covering`` the rows have no raw values (see ``complete``)."""
+        known = self.leaves.select("leaf_id", "cardinality", "depth")
+        rows = (self.rows if covering else self.rows.drop("values", "vector")).join(known, "leaf_id")
+        self._write_rows(rows, path)
+        self._leaves(self._read_rows(rows.sparkSession, path), self.config).write.mode("overwrite").parquet(f"{path}/leaves")
         self._write_settings(path)
 
     @classmethod
@@ -148,8 +266,33 @@ class SeriesIndex:
         settings = ast.literal_eval(held["config"])
         settings["sample"] = tuple(settings["sample"])
         model = SfaModel.from_json(held["model"]) if held["model"] else None
-        rows = spark.read.parquet(f"{path}/rows").withColumn("root_key", F.col("root_key").cast("long"))
-        return cls(SeriesConfig(**settings), model, rows.drop("cardinality", "depth"), spark.read.parquet(f"{path}/leaves"))
+        return cls(SeriesConfig(**settings), model, cls._read_rows(spark, path).drop("cardinality", "depth"), spark.read.parquet(f"{path}/leaves"))
+
+    def complete(self, series: DataFrame) -> SeriesIndex:
+        """An index saved without raw values, with them again: ``series`` is what it was built over."""
+        fresh = self.summarise(self.prepare(series, self.config), self.config, self.model).select("series_id", "values", "vector")
+        rows = self.rows.drop("values", "vector").join(fresh, "series_id")
+        return SeriesIndex(self.config, self.model, rows, self.leaves)
+
+    # searches as methods; their arguments are those of the functions in ``search``
+    def nn(self, queries: DataFrame, **more) -> DataFrame:
+        return self.knn(queries, 1, **more)
+
+    def knn(self, queries: DataFrame, k: int = 1, **more) -> DataFrame:
+        from .search import knn
+
+        return knn(self, queries, k, **more)
+
+    def approx(self, queries: DataFrame, k: int = 1, **more) -> DataFrame:
+        from .search import approximate
+
+        return approximate(self, queries, k, **more)
+
+    def classify(self, queries: DataFrame, labels: DataFrame, k: int = 1, **more) -> DataFrame:
+        """(q_id, label, votes) from (series_id, label)."""
+        from .search import vote
+
+        return vote(self.knn(queries, k, **more), labels)
 
     def leaf_for(self, worded: DataFrame) -> DataFrame:
         """Adds leaf_id (null where the word's place in the tree is empty) to rows with word and root_key."""
@@ -165,7 +308,7 @@ class SeriesIndex:
         new = self.summarise(self.prepare(series, self.config), self.config, self.model)
         full = F.array_repeat(F.lit(self.config.bits), self.config.w)
         placed = self.leaf_for(new).withColumn("leaf_id", F.coalesce("leaf_id", A.leaf_label(F.col("word"), full, self.config.bits)))
-        rows = self.rows.unionByName(placed.select(self.rows.columns))
+        rows = self.rows.unionByName(placed.select([c for c in self.rows.columns if c != "part"]), allowMissingColumns=True)
         known = self.leaves.select("leaf_id", "cardinality", "depth")
         all_ = rows.join(known, "leaf_id", "left").withColumns({"cardinality": F.coalesce("cardinality", full), "depth": F.coalesce("depth", F.lit(0))})
         return SeriesIndex(self.config, self.model, rows, self._leaves(all_, self.config))
@@ -209,7 +352,7 @@ def coarsen(words: DataFrame, w: int, row_bytes: int, page: int = 4096, utilisat
     """Bits to drop from each segment, found greedily, until words share pages well enough."""
     rows = words.count()
     dropped = [0] * w
-    now = words.select("word").persist()
+    now = held = words.select("word").persist()
     pages = now.distinct().count()
     while pages and rows * row_bytes / pages / page < utilisation and pages > 1:
         best = coarsen_step(now.distinct(), w).orderBy("pages", "seg").first()
@@ -218,4 +361,5 @@ def coarsen(words: DataFrame, w: int, row_bytes: int, page: int = 4096, utilisat
         if dropped[seg] > 8:
             break
         now = now.select(F.transform("word", lambda s, j: F.when(j == seg, F.shiftright(s.cast("int"), 1)).otherwise(s.cast("int"))).alias("word"))
+    held.unpersist()
     return dropped

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SeriesConfig
-from ..functions import arrays as A
+from ..functions.kernels import coefficients_of, matrix_of
+
+#: Cells of a segment's range in which values are ranked apart.
+GRID = 4096
 
 
 @dataclass(frozen=True)
@@ -43,10 +49,19 @@ def sample(series: DataFrame, count: int, kind: str) -> DataFrame:
 
 
 def coefficient_values(series: DataFrame, n: int, candidates: list[int]) -> DataFrame:
-    """(series_id, k, re, im), rounded to 6 decimals so that bins and symbols agree everywhere."""
-    flat = A.dft(F.col("values"), n, candidates)
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(len(candidates) - 1)), lambda i: F.struct(A.literal_array(candidates)[i].cast("int").alias("k"), F.round(F.col("c")[2 * i], 6).alias("re"), F.round(F.col("c")[2 * i + 1], 6).alias("im")))
-    return series.select("series_id", flat.alias("c")).select("series_id", F.explode(pairs).alias("p")).select("series_id", "p.*")
+    """(series_id, k, re, im), rounded to 6 decimals so that bins and symbols agree everywhere. Rows of other lengths than n are left out."""
+    ks = np.array(candidates, dtype=np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = np.round(coefficients_of(matrix_of(batch.column("values")), candidates), 6)
+            ids = np.repeat(batch.column("series_id").to_numpy(), len(ks))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.tile(ks, len(c))), pa.array(c[:, 0::2].ravel()), pa.array(c[:, 1::2].ravel())], ["series_id", "k", "re", "im"])
+
+    rows = series.where(F.size("values") == n).select(F.col("series_id").cast("long"), "values")
+    return rows.mapInArrow(run, "series_id long, k int, re double, im double")
 
 
 def coefficient_variance(values: DataFrame) -> DataFrame:
@@ -69,14 +84,24 @@ def positions(values: DataFrame, coefficients: list[int]) -> DataFrame:
 def equi_depth(values: DataFrame, alphabet: int) -> DataFrame:
     """(seg, bin, edge): of S sorted values the one at floor((bin + 1) * S / alphabet), bin = 0 .. alphabet - 2.
 
-    ``values`` are those of a bounded sample.
+    Ranks are exact and need no task to sort a whole segment: equal values are counted,
+    ``GRID`` cells between a segment's smallest and largest value are summed up one after
+    another, and only a cell's different values are sorted together.
     """
-    w = Window.partitionBy("seg")
-    ranked = values.select("seg", "x", (F.row_number().over(w.orderBy("x")) - 1).alias("at"), F.count("*").over(w).alias("s"))
-    bins = F.explode(F.sequence(F.lit(0), F.lit(alphabet - 2))).alias("bin")
-    wanted = ranked.groupBy("seg").agg(F.first("s").alias("s")).select("seg", "s", bins)
-    wanted = wanted.select("seg", "bin", F.floor((F.col("bin") + 1) * F.col("s") / alphabet).cast("int").alias("at"))
-    return wanted.join(ranked, ["seg", "at"]).select("seg", "bin", F.col("x").alias("edge"))
+    ends = values.groupBy("seg").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("s"))
+    counted = values.groupBy("seg", "x").agg(F.count("*").alias("n")).join(ends, "seg")
+    cell = F.when(F.col("b") > F.col("a"), F.least(F.floor((F.col("x") - F.col("a")) / (F.col("b") - F.col("a")) * GRID), F.lit(GRID - 1))).otherwise(F.lit(0))
+    counted = counted.select("seg", "x", "n", "s", cell.alias("cell"))
+    # at most GRID rows a segment
+    before = Window.partitionBy("seg").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = counted.groupBy("seg", "cell").agg(F.sum("n").alias("n")).select("seg", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("seg", "cell").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(base, ["seg", "cell"]).select("seg", "x", "n", "s", (F.col("base") + F.col("before")).alias("first"))
+    # value x has the ranks first .. first + n - 1; edge b is at rank floor(b * s / alphabet)
+    up = lambda rank: F.expr(f"({rank} * {alphabet} + s - 1) div s")
+    lo, hi = F.greatest(up("first"), F.lit(1)), F.least(up("(first + n)") - 1, F.lit(alphabet - 1))
+    held = ranked.select("seg", "x", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    return held.select("seg", F.explode(F.sequence("lo", "hi")).alias("b"), "x").select("seg", (F.col("b") - 1).cast("int").alias("bin"), F.col("x").alias("edge"))
 
 
 def equi_width(values: DataFrame, alphabet: int) -> DataFrame:

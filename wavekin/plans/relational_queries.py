@@ -47,18 +47,18 @@ def _logs(spark, d) -> DataFrame:
     from ..sources.matrix import shared_folder
 
     folder = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
-    m = metrics(spark, d).where("run < 60")
-    for variant in ("m0", "m1"):
-        m.where(F.col("method") == variant).select("run", "query_time").coalesce(1).write.option("header", True).csv(f"{folder}/ASTRO/36/{variant}")
+    m = metrics(spark, d)
+    for variant in ("m0", "m1", "m2", "m3"):
+        m.where(F.col("method") == variant).select("run", "query_time").write.option("header", True).csv(f"{folder}/ASTRO/36/{variant}")
     return R.read_logs(spark, folder, "run long, query_time double")
 
 
-@query(f"WITH {M} SELECT run, {r6_sql('query_time')} AS query_time FROM m WHERE run < 60 AND method IN ('m0', 'm1')")
+@query(f"WITH {M} SELECT run, {r6_sql('query_time')} AS query_time FROM m")
 def rel_csv_scan(spark, d):
     return _logs(spark, d).select("run", r6(F.col("query_time")).alias("query_time"))
 
 
-@query(f"WITH {M} SELECT '36' AS dataset, count(*) AS n FROM m WHERE run < 60 AND method IN ('m0', 'm1')")
+@query(f"WITH {M} SELECT '36' AS dataset, count(*) AS n FROM m")
 def rel_path_columns(spark, d):
     return _logs(spark, d).groupBy("dataset").agg(F.count("*").alias("n"))
 
@@ -173,9 +173,9 @@ def rel_histogram(spark, d):
     return R.histogram(metrics(spark, d), "query_time", 0.0, 100.0, 10).withColumn("density", r6(F.col("density")))
 
 
-@query(f"WITH {M}, a AS (SELECT run // 10 AS k, min(query_time) AS v FROM m WHERE cores = 9 AND run < 2000 GROUP BY k), b AS (SELECT run // 10 AS k, min(query_time) AS v FROM m WHERE method = 'm1' AND run < 3000 GROUP BY k) SELECT coalesce(a.k, b.k) AS k, a.v AS \"left\", b.v AS \"right\", {r6_sql('a.v - b.v')} AS difference FROM a FULL JOIN b ON a.k = b.k")
+@query(f"WITH {M}, a AS (SELECT run // 10 AS k, min(query_time) AS v FROM m WHERE cores = 9 GROUP BY k), b AS (SELECT run // 10 AS k, min(query_time) AS v FROM m WHERE method = 'm1' GROUP BY k) SELECT coalesce(a.k, b.k) AS k, a.v AS \"left\", b.v AS \"right\", {r6_sql('a.v - b.v')} AS difference FROM a FULL JOIN b ON a.k = b.k")
 def rel_compare_runs(spark, d):
     m = metrics(spark, d).withColumn("k", F.floor(F.col("run") / 10))
-    a = m.where("cores = 9 and run < 2000").groupBy("k").agg(F.min("query_time").alias("v"))
-    b = m.where("method = 'm1' and run < 3000").groupBy("k").agg(F.min("query_time").alias("v"))
+    a = m.where("cores = 9").groupBy("k").agg(F.min("query_time").alias("v"))
+    b = m.where("method = 'm1'").groupBy("k").agg(F.min("query_time").alias("v"))
     return R.compare_runs(a, b, "k", "v").withColumn("difference", r6(F.col("difference")))

@@ -47,15 +47,15 @@ def src_matrix_head(spark, d):
     return X.exploded(X.embeddings(spark, d).where("series_id < 50"), ["series_id"], V())
 
 
-TEXT_ROWS = ["1 0.5 1.25 -2.0", "2  3.5 0.0 4.75", " 1 -1.5 2.5 0.125 "]
-
-
-@query("WITH t AS (SELECT unnest([1, 2, 3]) AS line, unnest(['1 0.5 1.25 -2.0', '2  3.5 0.0 4.75', ' 1 -1.5 2.5 0.125 ']) AS s), p AS (SELECT line, list_transform(regexp_split_to_array(trim(s), '\\s+'), lambda x: CAST(x AS DOUBLE)) AS a FROM t) SELECT CAST(line AS BIGINT) AS line, CAST(a[1] AS BIGINT) AS label, CAST(unnest(range(len(a) - 1)) AS BIGINT) AS pos, unnest(a[2:]) AS val FROM p")
+@query(f"WITH {X.EMB} SELECT series_id AS label, CAST(unnest(range(len(v))) AS BIGINT) AS pos, round(unnest(v), 6) + 0.0 AS val FROM emb")
 def src_text_parse(spark, d):
-    from ..sources.text import parse_labelled
+    """The table as labelled text files and back; the id stands where the label does."""
+    from ..sources.matrix import shared_folder
+    from ..sources.text import read_labelled
 
-    lines = spark.createDataFrame([(i + 1, s) for i, s in enumerate(TEXT_ROWS)], "line long, value string")
-    return X.exploded(parse_labelled(lines, "value"), ["line", "label"], V()).withColumn("label", F.col("label").cast("long"))
+    path = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    X.embeddings(spark, d).select(F.concat_ws(" ", F.col("series_id").cast("string"), F.array_join(F.transform("values", lambda x: x.cast("string")), "  "))).write.text(path)
+    return X.exploded(read_labelled(spark, path), ["label"], V()).withColumn("label", F.col("label").cast("long"))
 
 
 @query("SELECT CAST(label AS BIGINT) AS label, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY label")
@@ -72,16 +72,16 @@ def _binary(spark, d, dtype):
     scale = 1.0 if dtype == "float32" else 100.0
     v = F.transform(V(), lambda x: F.round(F.abs(x) * scale) if dtype == "uint8" else x)
     path = f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex}"
-    write_matrix(X.embeddings(spark, d).where("series_id < 200").select("series_id", v.alias("values")), path, dtype)
+    write_matrix(X.embeddings(spark, d).select("series_id", v.alias("values")), path, dtype)
     return spark.read.format("series_matrix").option("path", path).option("n", 64).option("dtype", dtype).load()
 
 
-@query(X.explode_sql(X.EMB, "(SELECT * FROM emb WHERE series_id < 200)", "v"))
+@query(X.explode_sql(X.EMB, "emb", "v"))
 def src_binary_float32(spark, d):
     return X.exploded(_binary(spark, d, "float32"), ["series_id"], V())
 
 
-@query(X.explode_sql(X.EMB, "(SELECT * FROM emb WHERE series_id < 200)", "list_transform(v, lambda x: round(abs(x) * 100.0))"))
+@query(X.explode_sql(X.EMB, "emb", "list_transform(v, lambda x: round(abs(x) * 100.0))"))
 def src_binary_uint8(spark, d):
     return X.exploded(_binary(spark, d, "uint8"), ["series_id"], V())
 
@@ -212,7 +212,12 @@ def prj_sfa_word_ew(spark, d):
     return _sfa(spark, d, "equi-width")
 
 
-@query()
+_CHOSEN = """spread AS (SELECT series_id, CAST(unnest(range(16)) AS BIGINT) AS k, unnest(re) AS a, unnest(im) AS b FROM dft),
+chosen AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i FROM (SELECT k FROM spread GROUP BY k ORDER BY round(var_pop(a) + var_pop(b), 9) DESC, k LIMIT 8)),
+flat AS (SELECT series_id, 2 * i AS seg, a AS x FROM spread JOIN chosen USING (k) UNION ALL SELECT series_id, 2 * i + 1, b FROM spread JOIN chosen USING (k))"""
+
+
+@query(f"WITH {X.WALK}, {X.zn('walk')}, {_dft_sql('zn', range(16))}, {_CHOSEN}, {_ED} {_SFA_SYMBOLS}")
 def prj_sfa_word_var(spark, d):
     return _sfa(spark, d, "equi-depth", 32)
 
@@ -250,23 +255,23 @@ def prj_word_bits(spark, d):
 _ENV = lambda f, v, n, r: f"list_transform(range(1, {n + 1}), lambda i: list_{f}({v}[greatest(i - {r}, 1):least(i + {r}, {n})]))"
 
 
-@query(f"WITH {X.SHORT} SELECT series_id, CAST(unnest(range(16)) AS BIGINT) AS pos, round(unnest({_ENV('min', 'v', 16, 2)}), 6) + 0.0 AS lo, round(unnest({_ENV('max', 'v', 16, 2)}), 6) + 0.0 AS hi FROM short")
+@query(f"WITH {X.EMB} SELECT series_id, CAST(unnest(range(64)) AS BIGINT) AS pos, round(unnest({_ENV('min', 'v', 64, 2)}), 6) + 0.0 AS lo, round(unnest({_ENV('max', 'v', 64, 2)}), 6) + 0.0 AS hi FROM emb")
 def prj_envelope(spark, d):
-    e = X.short(spark, d).select("series_id", F.posexplode(A.envelope(V(), 2)).alias("pos", "e"))
+    e = X.embeddings(spark, d).select("series_id", F.posexplode(A.envelope(V(), 2)).alias("pos", "e"))
     return e.select("series_id", F.col("pos").cast("long").alias("pos"), X.r6(F.col("e.lo")).alias("lo"), X.r6(F.col("e.hi")).alias("hi"))
 
 
 _INVERSE = "list_transform(range(64), lambda j: list_sum(list_transform(range(8), lambda k: (re[k + 1] * cos(2 * pi() * k * j / 64) + im[k + 1] * sin(2 * pi() * k * j / 64)) * CASE WHEN k = 0 THEN 1 ELSE 2 END / 8.0)))"
 
 
-@query(X.explode_sql(f"{X.WALK}, few AS (SELECT * FROM walk WHERE series_id < 100), {X.zn('few')}, {_dft_sql('zn', KS).replace(', 6) + 0.0', ', 15) + 0.0')}", "dft", _INVERSE))
+@query(X.explode_sql(f"{X.WALK}, {X.zn('walk')}, {_dft_sql('zn', KS).replace(', 6) + 0.0', ', 15) + 0.0')}", "dft", _INVERSE))
 def prj_reconstruct(spark, d):
-    z = X.walk(spark, d).where("series_id < 100").select("series_id", A.znorm(V()).alias("z"))
+    z = X.walk(spark, d).select("series_id", A.znorm(V()).alias("z"))
     c = z.select("series_id", A.dft(F.col("z"), 64, KS).alias("c"))
     return X.exploded(c, ["series_id"], A.inverse_dft(F.col("c"), 64, KS))
 
 
-@query(f"WITH {X.USERS}, z AS (SELECT series_id, list_transform(v, lambda x: x - list_avg(v)) AS v FROM users) SELECT series_id, {X.r6_sql('len(list_filter(range(1, 32), lambda i: sign(v[i]) <> sign(v[i + 1]))) / 32.0')} AS freq FROM z")
+@query(f"WITH {X.USERS}, z AS (SELECT series_id, list_transform(v, lambda x: x - list_avg(v)) AS v FROM users) SELECT series_id, {X.r6_sql('len(list_filter(range(1, len(v)), lambda i: sign(v[i]) <> sign(v[i + 1]))) / CAST(len(v) AS DOUBLE)')} AS freq FROM z")
 def prj_zero_cross(spark, d):
     z = X.users(spark, d).withColumn("m", A.mean(V())).select("series_id", F.transform(V(), lambda x: x - F.col("m")).alias("values"))
     return z.select("series_id", X.r6(A.zero_crossings(V())).alias("freq"))
@@ -284,10 +289,11 @@ def prj_event_window(spark, d):
     return X.exploded(X.daily(spark, d), ["series_id"], A.event_window(V(), at, 8, 24))
 
 
-@query("SELECT 1::BIGINT AS series_id, CAST(unnest(range(4)) AS BIGINT) AS pos, unnest([1.5, 0.0, -2.0, 0.0]::DOUBLE[]) AS val")
+@query(X.explode_sql(X.EMB, "emb", "list_transform(v, lambda x, i: CASE WHEN i % 7 = 1 OR i % 11 = 1 THEN 0.0 ELSE x END)"))
 def prj_nan_clean(spark, d):
-    df = spark.createDataFrame([(1, [1.5, float("nan"), -2.0, None])], "series_id long, values array<double>")
-    return X.exploded(df, ["series_id"], A.nan_to_zero(V()))
+    """Every 7th value made NaN and every 11th null, then cleaned."""
+    spoilt = F.transform(V(), lambda x, i: F.when(i % 11 == 0, F.lit(None)).when(i % 7 == 0, F.lit(float("nan"))).otherwise(x))
+    return X.exploded(X.embeddings(spark, d).select("series_id", spoilt.alias("values")), ["series_id"], A.nan_to_zero(V()))
 
 
 @query()
@@ -306,34 +312,42 @@ def _pairs(series: DataFrame, queries: DataFrame) -> DataFrame:
     return series.select("series_id", "values").crossJoin(F.broadcast(queries.select("q_id", F.col("values").alias("q")))).where("series_id <> q_id")
 
 
-_EMB_PAIRS = f"{X.EMB}, pairs AS (SELECT q.series_id AS q_id, x.series_id, x.v AS v, q.v AS q FROM emb x, emb q WHERE q.series_id < 20 AND x.series_id <> q.series_id)"
+_EMB_PAIRS = f"{X.EMB}, pairs AS (SELECT q.series_id AS q_id, x.series_id, x.v AS v, q.v AS q FROM emb x, emb q WHERE q.series_id % 100 = 0 AND x.series_id <> q.series_id)"
 
 
 @query(f"WITH {_EMB_PAIRS} SELECT q_id, series_id, {X.r6_sql(X.l2_sql('v', 'q', 64))} AS dist FROM pairs")
 def dst_l2sq(spark, d):
     e = X.embeddings(spark, d)
-    return _pairs(e, X.emb_queries(e)).select("q_id", "series_id", X.r6(D.l2sq(V(), F.col("q"))).alias("dist"))
+    return _pairs(e, X.queries_of(e)).select("q_id", "series_id", X.r6(D.l2sq(V(), F.col("q"))).alias("dist"))
 
 
-@query(f"WITH {X.EMB}, {X.zn('emb')}, pairs AS (SELECT q.series_id AS q_id, x.series_id, x.v AS v, q.v AS q FROM zn x, zn q WHERE q.series_id < 20 AND x.series_id <> q.series_id) SELECT q_id, series_id, {X.r6_sql('2 * 64 * (1 - list_sum(list_transform(range(1, 65), lambda i: v[i] * q[i])) / 64.0)')} AS dist FROM pairs")
+@query(f"WITH {X.EMB}, {X.zn('emb')}, pairs AS (SELECT q.series_id AS q_id, x.series_id, x.v AS v, q.v AS q FROM zn x, zn q WHERE q.series_id % 100 = 0 AND x.series_id <> q.series_id) SELECT q_id, series_id, {X.r6_sql('2 * 64 * (1 - list_sum(list_transform(range(1, 65), lambda i: v[i] * q[i])) / 64.0)')} AS dist FROM pairs")
 def dst_dot(spark, d):
     e = X.embeddings(spark, d).select("series_id", A.znorm(V()).alias("values"))
-    return _pairs(e, X.emb_queries(e)).select("q_id", "series_id", X.r6(D.dot_form(V(), F.col("q"))).alias("dist"))
+    return _pairs(e, X.queries_of(e)).select("q_id", "series_id", X.r6(D.dot_form(V(), F.col("q"))).alias("dist"))
 
 
-def _dtw_sql(r: int) -> str:
-    """Cells of each pair's matrix one by one in row order; missing cells are infinite."""
-    cell = "CASE WHEN abs(i - j) > {r} THEN inf ELSE (a[i + 1] - b[j + 1]) * (a[i + 1] - b[j + 1]) + CASE WHEN i = 0 AND j = 0 THEN 0.0 ELSE least(CASE WHEN i > 0 THEN s[c - 15] ELSE inf END, CASE WHEN j > 0 THEN s[c] ELSE inf END, CASE WHEN i > 0 AND j > 0 THEN s[c - 16] ELSE inf END) END END".format(r=r)
-    return f"""WITH RECURSIVE {X.SHORT},
-cells AS (SELECT x.series_id, q.series_id AS q_id, q.v AS a, x.v AS b, 0 AS c, []::DOUBLE[] AS s FROM short x, short q WHERE q.series_id < 5 AND x.series_id <> q.series_id
-UNION ALL SELECT series_id, q_id, a, b, c + 1, list_append(s, {cell}) FROM (SELECT *, c // 16 AS i, c % 16 AS j, CAST('Infinity' AS DOUBLE) AS inf FROM cells WHERE c < 256))
-SELECT q_id, series_id, round(s[256], 6) + 0.0 AS dist FROM cells WHERE c = 256"""
+_EMB_PAIRS_DTW = _EMB_PAIRS + ", start AS (SELECT q_id, series_id, q AS a, v AS b FROM pairs)"
+
+
+def _dtw_sql(r: int, n: int = 64) -> str:
+    """Rows of each pair's matrix one after another, each as the 2r + 1 cells of its band; cells outside are infinite."""
+    cells = range(2 * r + 1)
+    steps = []
+    for k in cells:
+        ways = [f"c{k}"] + ([f"c{k + 1}"] if k < 2 * r else []) + ([f"n{k - 1}"] if k else [])
+        way = f"least({', '.join(ways)})" if len(ways) > 1 else ways[0]
+        steps.append(f"CASE WHEN i + 1 + {k - r} BETWEEN 0 AND {n - 1} THEN (a[i + 2] - b[i + 2 + {k - r}]) * (a[i + 2] - b[i + 2 + {k - r}]) + {way} ELSE CAST('Infinity' AS DOUBLE) END AS n{k}")
+    first = ", ".join(("CAST(0 AS DOUBLE)" if k == r else "CAST('Infinity' AS DOUBLE)") + f" AS c{k}" for k in cells)
+    return f"""WITH RECURSIVE {_EMB_PAIRS_DTW},
+band AS (SELECT q_id, series_id, a, b, CAST(-1 AS BIGINT) AS i, {first} FROM start
+UNION ALL SELECT q_id, series_id, a, b, i_, {', '.join(f'n{k}' for k in cells)} FROM (SELECT q_id, series_id, a, b, i + 1 AS i_, {', '.join(steps)} FROM band WHERE i < {n - 1}))
+SELECT q_id, series_id, round(c{r}, 6) + 0.0 AS dist FROM band WHERE i = {n - 1}"""
 
 
 def _dtw(spark, d, r):
-    s = X.short(spark, d)
-    p = _pairs(s, X.emb_queries(s).where("q_id < 5"))
-    return p.select("q_id", "series_id", X.r6(dtw(V(), F.col("q"), r)).alias("dist"))
+    e = X.embeddings(spark, d)
+    return S.dtw_brute_force(e, X.queries_of(e), r).select("q_id", "series_id", X.r6(F.col("dist")).alias("dist"))
 
 
 @query(_dtw_sql(2))
@@ -341,21 +355,18 @@ def dst_dtw(spark, d):
     return _dtw(spark, d, 2)
 
 
-_SHORT_PAIRS = f"{X.SHORT}, pairs AS (SELECT q.series_id AS q_id, x.series_id, x.v AS v, q.v AS q FROM short x, short q WHERE q.series_id < 5 AND x.series_id <> q.series_id)"
-
-
-@query(f"WITH {_SHORT_PAIRS} SELECT q_id, series_id, {X.r6_sql(X.l2_sql('v', 'q', 16))} AS dist FROM pairs")
+@query(f"WITH {_EMB_PAIRS} SELECT q_id, series_id, {X.r6_sql(X.l2_sql('v', 'q', 64))} AS dist FROM pairs")
 def dst_dtw_r0(spark, d):
     return _dtw(spark, d, 0)
 
 
-_KEOGH = "list_sum(list_transform(range(1, 17), lambda i: CASE WHEN v[i] > hi[i] THEN (v[i] - hi[i]) * (v[i] - hi[i]) WHEN v[i] < lo[i] THEN (v[i] - lo[i]) * (v[i] - lo[i]) ELSE 0.0 END))"
+_KEOGH = "list_sum(list_transform(range(1, 65), lambda i: CASE WHEN v[i] > hi[i] THEN (v[i] - hi[i]) * (v[i] - hi[i]) WHEN v[i] < lo[i] THEN (v[i] - lo[i]) * (v[i] - lo[i]) ELSE 0.0 END))"
 
 
-@query(f"WITH {_SHORT_PAIRS}, e AS (SELECT *, {_ENV('min', 'q', 16, 2)} AS lo, {_ENV('max', 'q', 16, 2)} AS hi FROM pairs) SELECT q_id, series_id, {X.r6_sql(_KEOGH)} AS lb FROM e")
+@query(f"WITH {_EMB_PAIRS}, e AS (SELECT *, {_ENV('min', 'q', 64, 2)} AS lo, {_ENV('max', 'q', 64, 2)} AS hi FROM pairs) SELECT q_id, series_id, {X.r6_sql(_KEOGH)} AS lb FROM e")
 def dst_lb_keogh(spark, d):
-    s = X.short(spark, d)
-    q = X.emb_queries(s).where("q_id < 5").select("q_id", A.envelope(V(), 2).alias("e"))
+    s = X.embeddings(spark, d)
+    q = X.queries_of(s).select("q_id", A.envelope(V(), 2).alias("e"))
     return s.crossJoin(F.broadcast(q)).where("series_id <> q_id").select("q_id", "series_id", X.r6(D.lb_keogh(V(), F.col("e"))).alias("lb"))
 
 
@@ -368,10 +379,10 @@ def _lb_sql(bp, w: int, m: int, v: str = "p", s: str = "s") -> str:
     return f"{m} * list_sum(list_transform(range(1, {w + 1}), lambda i: {gap.replace('e[', '(' + e + ')[')}))"
 
 
-@query(f"WITH {_WORDS}, pairs AS (SELECT q.series_id AS q_id, x.series_id, q.p AS p, x.s AS s FROM word x, word q WHERE q.series_id < 5 AND x.series_id <> q.series_id) SELECT q_id, series_id, {X.r6_sql(_lb_sql(BP256, 16, 4))} AS lb FROM pairs")
+@query(f"WITH {_WORDS}, pairs AS (SELECT q.series_id AS q_id, x.series_id, q.p AS p, x.s AS s FROM word x, word q WHERE q.series_id % 100 = 0 AND x.series_id <> q.series_id) SELECT q_id, series_id, {X.r6_sql(_lb_sql(BP256, 16, 4))} AS lb FROM pairs")
 def lbd_sax_record(spark, d):
     z = X.embeddings(spark, d).select("series_id", A.paa(A.znorm(V()), 16, 64).alias("p"))
-    q = z.where("series_id < 5").select(F.col("series_id").alias("q_id"), F.col("p").alias("q"))
+    q = z.where(F.col("series_id") % X.EVERY == 0).select(F.col("series_id").alias("q_id"), F.col("p").alias("q"))
     w = z.select("series_id", A.sax_word(F.col("p"), 256).alias("word"))
     return w.crossJoin(F.broadcast(q)).where("series_id <> q_id").select("q_id", "series_id", X.r6(D.lb_sax(F.col("q"), F.col("word"), 256, 4)).alias("lb"))
 
@@ -379,26 +390,26 @@ def lbd_sax_record(spark, d):
 _NODE_GAP = "CASE WHEN p[i] < e[(s[i] >> 5) + 1] THEN (e[(s[i] >> 5) + 1] - p[i]) * (e[(s[i] >> 5) + 1] - p[i]) WHEN p[i] > e[(s[i] >> 5) + 2] THEN (p[i] - e[(s[i] >> 5) + 2]) * (p[i] - e[(s[i] >> 5) + 2]) ELSE 0.0 END".replace("e[", "(" + X.list_literal([float("-inf"), *A.breakpoints(8), float("inf")]) + ")[")
 
 
-@query(f"WITH {_WORDS}, pairs AS (SELECT q.series_id AS q_id, x.series_id, q.p AS p, x.s AS s FROM word x, word q WHERE q.series_id < 5 AND x.series_id <> q.series_id) SELECT q_id, series_id, {X.r6_sql(f'4 * list_sum(list_transform(range(1, 17), lambda i: {_NODE_GAP}))')} AS lb FROM pairs")
+@query(f"WITH {_WORDS}, pairs AS (SELECT q.series_id AS q_id, x.series_id, q.p AS p, x.s AS s FROM word x, word q WHERE q.series_id % 100 = 0 AND x.series_id <> q.series_id) SELECT q_id, series_id, {X.r6_sql(f'4 * list_sum(list_transform(range(1, 17), lambda i: {_NODE_GAP}))')} AS lb FROM pairs")
 def lbd_sax_node(spark, d):
     """The same at 3 bits a segment: the word's region at reduced cardinality."""
     z = X.embeddings(spark, d).select("series_id", A.paa(A.znorm(V()), 16, 64).alias("p"))
-    q = z.where("series_id < 5").select(F.col("series_id").alias("q_id"), F.col("p").alias("q"))
+    q = z.where(F.col("series_id") % X.EVERY == 0).select(F.col("series_id").alias("q_id"), F.col("p").alias("q"))
     w = z.select("series_id", A.region(A.sax_word(F.col("p"), 256), F.array_repeat(F.lit(3), 16), 8).alias("r"))
     both = w.crossJoin(F.broadcast(q)).where("series_id <> q_id")
     return both.select("q_id", "series_id", X.r6(D.lb_sax_region(F.col("q"), F.col("r.lo"), F.col("r.hi"), 256, 4)).alias("lb"))
 
 
-@query(f"WITH {X.ODD}, {X.zn('odd')}, {X.paa_sql('zn', 16, 3)}, word AS (SELECT series_id, p, list_transform(p, lambda x: CAST(len(list_filter({X.list_literal(BP256)}, lambda b: b < x)) AS BIGINT)) AS s FROM paa), pairs AS (SELECT q.series_id AS q_id, x.series_id, q.p AS p, x.s AS s, zq.v AS a, zx.v AS b FROM word x, word q, zn zq, zn zx WHERE q.series_id < 5 AND x.series_id <> q.series_id AND zq.series_id = q.series_id AND zx.series_id = x.series_id) SELECT q_id, series_id, {X.r6_sql(_lb_sql(BP256, 16, 3))} AS lb, {X.r6_sql(X.l2_sql('a', 'b', 50))} AS dist FROM pairs")
+@query(f"WITH {X.ODD}, {X.zn('odd')}, {X.paa_sql('zn', 16, 3)}, word AS (SELECT series_id, p, list_transform(p, lambda x: CAST(len(list_filter({X.list_literal(BP256)}, lambda b: b < x)) AS BIGINT)) AS s FROM paa), pairs AS (SELECT q.series_id AS q_id, x.series_id, q.p AS p, x.s AS s, zq.v AS a, zx.v AS b FROM word x, word q, zn zq, zn zx WHERE q.series_id % 100 = 0 AND x.series_id <> q.series_id AND zq.series_id = q.series_id AND zx.series_id = x.series_id) SELECT q_id, series_id, {X.r6_sql(_lb_sql(BP256, 16, 3))} AS lb, {X.r6_sql(X.l2_sql('a', 'b', 50))} AS dist FROM pairs")
 def lbd_sax_odd(spark, d):
     """50 values in 16 segments of 3: the bound counts 3 values a segment, so it holds."""
     z = X.odd(spark, d).select("series_id", A.znorm(V()).alias("values")).withColumn("p", A.paa(V(), 16, 50))
-    q = z.where("series_id < 5").select(F.col("series_id").alias("q_id"), F.col("p").alias("q"), F.col("values").alias("qv"))
+    q = z.where(F.col("series_id") % X.EVERY == 0).select(F.col("series_id").alias("q_id"), F.col("p").alias("q"), F.col("values").alias("qv"))
     both = z.select("series_id", "values", A.sax_word(F.col("p"), 256).alias("word")).crossJoin(F.broadcast(q)).where("series_id <> q_id")
     return both.select("q_id", "series_id", X.r6(D.lb_sax(F.col("q"), F.col("word"), 256, 3)).alias("lb"), X.r6(D.l2sq(V(), F.col("qv"))).alias("dist"))
 
 
-_WALK_Q = "q.series_id % 37 = 0 AND q.series_id < 740"
+_WALK_Q = "q.series_id % 100 = 0"
 
 
 def _sfa_index(spark, d, **more):
@@ -412,26 +423,26 @@ def _sax_index(spark, d, **more):
 @query(f"""WITH {X.WALK}, {X.zn('walk')}, {_dft_sql('zn', KS)}, {_FLAT}, {_ED},
 sym AS ({_SFA_SYMBOLS}),
 reg AS (SELECT s.series_id, s.seg, coalesce(a.edge, CAST('-Infinity' AS DOUBLE)) AS lo, coalesce(b.edge, CAST('Infinity' AS DOUBLE)) AS hi FROM sym s LEFT JOIN edges a ON a.seg = s.seg AND a.bin = s.sym - 1 LEFT JOIN edges b ON b.seg = s.seg AND b.bin = s.sym),
-gaps AS (SELECT q.series_id AS q_id, r.series_id, greatest(CASE WHEN q.x < r.lo THEN r.lo - q.x WHEN q.x > r.hi THEN q.x - r.hi ELSE 0.0 END - 1e-6, 0.0) AS g, CASE WHEN r.seg < 2 THEN 1.0 ELSE 2.0 END AS wt FROM reg r JOIN flat q ON q.seg = r.seg WHERE q.series_id IN (0, 37, 74) AND q.series_id <> r.series_id)
+gaps AS (SELECT q.series_id AS q_id, r.series_id, greatest(CASE WHEN q.x < r.lo THEN r.lo - q.x WHEN q.x > r.hi THEN q.x - r.hi ELSE 0.0 END - 1e-6, 0.0) AS g, CASE WHEN r.seg < 2 THEN 1.0 ELSE 2.0 END AS wt FROM reg r JOIN flat q ON q.seg = r.seg WHERE q.series_id % 100 = 0 AND q.series_id <> r.series_id)
 SELECT q_id, series_id, round(sum(wt * g * g), 3) + 0.0 AS lb FROM gaps GROUP BY ALL""")
 def lbd_sfa_record(spark, d):
     """Rounded to 3 decimals: the reference side starts from coefficients of 6 decimals."""
     index = _sfa_index(spark, d)
-    q = S.prepare_queries(index, X.walk_queries(X.walk(spark, d)).where("q_id in (0, 37, 74)"))
+    q = S.prepare_queries(index, X.queries_of(X.walk(spark, d)))
     both = index.rows.crossJoin(F.broadcast(q.select("q_id", F.transform("q_vector", lambda x: F.round(x, 6)).alias("q_vector")))).where("series_id <> q_id")
     return both.select("q_id", "series_id", (F.round(S.record_bound(index, F.col("q_vector"), F.col("word")), 3) + 0.0).alias("lb"))
 
 
-@query(f"""WITH {_SHORT_PAIRS}, {X.paa_sql('short', 4, 4)}, word AS (SELECT series_id, list_transform(p, lambda x: CAST(len(list_filter({X.list_literal(BP16)}, lambda b: b < x)) AS BIGINT)) AS s FROM paa),
-env AS (SELECT DISTINCT q_id, {_ENV('min', 'q', 16, 2)} AS lo, {_ENV('max', 'q', 16, 2)} AS hi FROM pairs),
-pe AS (SELECT q_id, list_transform(range(4), lambda i: list_avg(lo[i * 4 + 1:i * 4 + 4])) AS l, list_transform(range(4), lambda i: list_avg(hi[i * 4 + 1:i * 4 + 4])) AS u FROM env)
-SELECT q_id, series_id, {X.r6_sql('4 * list_sum(list_transform(range(1, 5), lambda i: CASE WHEN e[s[i] + 1] > u[i] THEN (e[s[i] + 1] - u[i]) * (e[s[i] + 1] - u[i]) WHEN e[s[i] + 2] < l[i] THEN (l[i] - e[s[i] + 2]) * (l[i] - e[s[i] + 2]) ELSE 0.0 END))'.replace('e[', '(' + X.list_literal([float('-inf'), *BP16, float('inf')]) + ')['))} AS lb FROM pe, word WHERE series_id <> q_id""")
+@query(f"""WITH {_EMB_PAIRS}, {X.paa_sql('emb', 4, 16)}, word AS (SELECT series_id, list_transform(p, lambda x: CAST(len(list_filter({X.list_literal(BP16)}, lambda b: b < x)) AS BIGINT)) AS s FROM paa),
+env AS (SELECT series_id AS q_id, {_ENV('min', 'v', 64, 2)} AS lo, {_ENV('max', 'v', 64, 2)} AS hi FROM emb WHERE series_id % 100 = 0),
+pe AS (SELECT q_id, list_transform(range(4), lambda i: list_avg(lo[i * 16 + 1:i * 16 + 16])) AS l, list_transform(range(4), lambda i: list_avg(hi[i * 16 + 1:i * 16 + 16])) AS u FROM env)
+SELECT q_id, series_id, {X.r6_sql('16 * list_sum(list_transform(range(1, 5), lambda i: CASE WHEN e[s[i] + 1] > u[i] THEN (e[s[i] + 1] - u[i]) * (e[s[i] + 1] - u[i]) WHEN e[s[i] + 2] < l[i] THEN (l[i] - e[s[i] + 2]) * (l[i] - e[s[i] + 2]) ELSE 0.0 END))'.replace('e[', '(' + X.list_literal([float('-inf'), *BP16, float('inf')]) + ')['))} AS lb FROM pe, word WHERE series_id <> q_id""")
 def lbd_dtw(spark, d):
-    s = X.short(spark, d)
-    env = X.emb_queries(s).where("q_id < 5").select("q_id", A.envelope(V(), 2).alias("e"))
-    q = env.select("q_id", A.paa(F.transform("e", lambda e: e["lo"]), 4, 16).alias("l"), A.paa(F.transform("e", lambda e: e["hi"]), 4, 16).alias("u"))
-    w = s.select("series_id", A.sax_word(A.paa(V(), 4, 16), 16).alias("word"))
-    return w.crossJoin(F.broadcast(q)).where("series_id <> q_id").select("q_id", "series_id", X.r6(D.lb_sax_dtw(F.col("l"), F.col("u"), F.col("word"), 16, 4)).alias("lb"))
+    s = X.embeddings(spark, d)
+    env = X.queries_of(s).select("q_id", A.envelope(V(), 2).alias("e"))
+    q = env.select("q_id", A.paa(F.transform("e", lambda e: e["lo"]), 4, 64).alias("l"), A.paa(F.transform("e", lambda e: e["hi"]), 4, 64).alias("u"))
+    w = s.select("series_id", A.sax_word(A.paa(V(), 4, 64), 16).alias("word"))
+    return w.crossJoin(F.broadcast(q)).where("series_id <> q_id").select("q_id", "series_id", X.r6(D.lb_sax_dtw(F.col("l"), F.col("u"), F.col("word"), 16, 16)).alias("lb"))
 
 
 # A tree that never splits has its roots as leaves, which SQL can name: w = 4, one leaf for each root key.
@@ -451,7 +462,7 @@ _LB4 = _lb_sql(BP16, 4, 16, "qp", "s")
 def lbd_leaf_tight(spark, d):
     """The smallest record bound of each leaf."""
     index = _root_index(spark, d)
-    q = S.prepare_queries(index, X.walk_queries(X.walk(spark, d))).select("q_id", "q_vector")
+    q = S.prepare_queries(index, X.queries_of(X.walk(spark, d))).select("q_id", "q_vector")
     both = index.rows.crossJoin(F.broadcast(q)).select("q_id", "root_key", S.record_bound(index, F.col("q_vector"), F.col("word")).alias("lb"))
     return both.groupBy("q_id", "root_key").agg(X.r6(F.min("lb")).alias("lb"))
 
@@ -461,7 +472,7 @@ qs AS (SELECT q_id, unnest(range(1, 65)) AS i, unnest(qv) AS x FROM q)
 SELECT q_id, root_key, round(sum(CASE WHEN x < l THEN (l - x) * (l - x) WHEN x > u THEN (x - u) * (x - u) ELSE 0.0 END), 6) + 0.0 AS lb FROM side JOIN qs USING (i) GROUP BY ALL""")
 def lbd_wedge(spark, d):
     index = _root_index(spark, d)
-    q = S.prepare_queries(index, X.walk_queries(X.walk(spark, d))).select("q_id", "q")
+    q = S.prepare_queries(index, X.queries_of(X.walk(spark, d))).select("q_id", "q")
     both = index.wedges().join(index.leaves.select("leaf_id", "root_key"), "leaf_id").crossJoin(F.broadcast(q))
     return both.select("q_id", "root_key", X.r6(D.lb_wedge(F.col("q"), F.col("lower"), F.col("upper"))).alias("lb"))
 
@@ -533,25 +544,20 @@ _ALL = f"al AS (SELECT q_id, series_id, {_LB16} AS lb, {X.l2_sql('v', 'qv', 64)}
 
 @query(f"WITH {_WALK_W}, {_ALL} SELECT q_id, {X.r6_sql('avg(sqrt(lb / d))')} AS tlb, {X.r6_sql('max(lb - d)')} <= 0.000000001 AS holds FROM al WHERE d > 0 GROUP BY q_id")
 def agg_tlb(spark, d):
-    got = S.sanity(_sax_index(spark, d), X.walk_queries(X.walk(spark, d)))
+    got = S.sanity(_sax_index(spark, d), X.queries_of(X.walk(spark, d)))
     return got.select("q_id", X.r6(F.col("tightness")).alias("tlb"), F.col("bounds_hold").alias("holds"))
 
 
 @query(f"WITH {_WALK_W}, {_ALL}, best AS (SELECT q_id, min(d) AS kth FROM al GROUP BY q_id) SELECT q_id, count(*) AS rows, CAST(sum(CASE WHEN lb > kth THEN 1 ELSE 0 END) AS BIGINT) AS pruned, {X.r6_sql('avg(CASE WHEN lb > kth THEN 1.0 ELSE 0.0 END)')} AS pruning_power FROM al JOIN best USING (q_id) GROUP BY q_id")
 def agg_pruning_power(spark, d):
-    got = S.pruning(_sax_index(spark, d), X.walk_queries(X.walk(spark, d)))
-    return got.withColumn("pruning_power", X.r6(F.col("pruning_power")))
+    got = S.pruning(_sax_index(spark, d), X.queries_of(X.walk(spark, d)))
+    return got.select("q_id", "rows", "pruned", X.r6(F.col("pruning_power")).alias("pruning_power"))
 
 
 @query(f"WITH {_WALK_W}, {_ALL}, best AS (SELECT q_id, min(d) AS kth FROM al GROUP BY q_id), c AS (SELECT q_id, count(*) AS lb_calculations, CAST(sum(CASE WHEN lb <= kth * (1 + 1e-9) + 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS distance_calculations FROM al JOIN best USING (q_id) GROUP BY q_id) SELECT 'queries' AS what, CAST(count(*) AS DOUBLE) AS value FROM c UNION ALL SELECT 'avg lb calculations', {X.r6_sql('avg(lb_calculations)')} FROM c UNION ALL SELECT 'avg distance calculations', {X.r6_sql('avg(distance_calculations)')} FROM c")
 def agg_query_stats(spark, d):
     """Grand averages over the queries of a scan with a known best distance."""
-    index, queries = _sax_index(spark, d), X.walk_queries(X.walk(spark, d))
-    prepared = S.prepare_queries(index, queries)
-    best = S.knn(index, queries, 1).select("q_id", F.col("dist").alias("kth"))
-    both = index.rows.crossJoin(F.broadcast(prepared.join(best, "q_id").select("q_id", "q_vector", "kth"))).where("series_id <> q_id")
-    need = (S.record_bound(index, F.col("q_vector"), F.col("word")) <= S.slack(F.col("kth"))).cast("long")
-    per = both.groupBy("q_id").agg(F.count("*").alias("lb"), F.sum(need).alias("dist"))
+    per = S.pruning(_sax_index(spark, d), X.queries_of(X.walk(spark, d))).select(F.col("rows").alias("lb"), F.col("needed").alias("dist"))
     all_ = per.agg(F.count("*").cast("double").alias("queries"), X.r6(F.avg("lb")).alias("a"), X.r6(F.avg("dist")).alias("b"))
     return all_.select(F.explode(F.create_map(F.lit("queries"), "queries", F.lit("avg lb calculations"), "a", F.lit("avg distance calculations"), "b")).alias("what", "value"))
 
@@ -583,14 +589,36 @@ def idx_leaf_sizes(spark, d):
     return _leaf_check(_sax_index(spark, d, leaf_size=20))
 
 
-@query(_LEAF_SQL)
+def _first_splits(spark, d, rule: str) -> DataFrame:
+    """(root_key, seg, parted): by which segment each root over the leaf size is split first, and that all its leaves are parted there."""
+    index = _sax_index(spark, d, leaf_size=20, split=rule)
+    words = index.rows.select("root_key", F.lit("").alias("node"), F.array_repeat(F.lit(1), 16).alias("used"), F.lit(0).alias("depth"), "word", F.lit(1).alias("count"))
+    big = index.rows.groupBy("root_key").agg(F.count("*").alias("n")).where("n > 20").select("root_key")
+    first = I.node_splits(words.join(big, "root_key", "left_semi"), index.config).select("root_key", "seg")
+    held = index.leaves.join(first, "root_key").groupBy("root_key", "seg").agg(F.min(F.expr("cardinality[seg]")).alias("bits"))
+    return held.select("root_key", F.col("seg").cast("long").alias("seg"), (F.col("bits") > 1).alias("parted"))
+
+
+def _split_sql(score: str) -> str:
+    return f"""WITH {X.WALK}, {_word_sql('walk', BP256, '<')}, r AS (SELECT CAST({_ROOT} AS BIGINT) AS root_key, s FROM word), f AS (SELECT root_key, CAST(unnest(range(16)) AS BIGINT) AS seg, unnest(s) AS x FROM r),
+g AS (SELECT root_key, seg, count(*) AS n, CAST(sum(x) AS HUGEINT) AS a, CAST(sum(x * x) AS HUGEINT) AS b, min(x) AS lo, CAST(min(x) >> 7 << 7 AS DOUBLE) + 64 AS cut FROM f GROUP BY root_key, seg HAVING count(*) > 20 AND min(x) <> max(x)),
+m AS (SELECT *, CAST(a AS DOUBLE) / n AS mean, greatest(CAST(b AS DOUBLE) / n - CAST(a AS DOUBLE) / n * (CAST(a AS DOUBLE) / n), 0.0) AS var FROM g)
+SELECT root_key, seg, TRUE AS parted FROM (SELECT *, row_number() OVER (PARTITION BY root_key ORDER BY {score} DESC, seg) AS nth FROM m) WHERE nth = 1"""
+
+
+@query(_split_sql("n * b - a * a"))
+def idx_split_variance(spark, d):
+    return _first_splits(spark, d, "variance")
+
+
+@query(_split_sql("-seg"))
 def idx_split_round_robin(spark, d):
-    return _leaf_check(_sax_index(spark, d, leaf_size=20, split="round-robin"))
+    return _first_splits(spark, d, "round-robin")
 
 
-@query(_LEAF_SQL)
+@query(_split_sql("CASE WHEN mean - 3 * sqrt(var) < cut AND cut < mean + 3 * sqrt(var) THEN 1e6 ELSE 0.0 END - abs(mean - cut)"))
 def idx_split_informed(spark, d):
-    return _leaf_check(_sax_index(spark, d, leaf_size=20, split="informed"))
+    return _first_splits(spark, d, "informed")
 
 
 @query(f"WITH {X.EMB}, {_word_sql('emb', BP256, '<')}, k AS (SELECT series_id, array_to_string(list_transform(s, lambda x: lpad(lower(hex(x)), 2, '0')), '') AS word_key FROM word) SELECT series_id, word_key, row_number() OVER (ORDER BY word_key DESC, series_id) AS nth FROM k")
@@ -613,9 +641,9 @@ def idx_append(spark, d):
     return count(half.rows.agg(F.count("*").alias("n")), "before").unionByName(count(whole.rows.agg(F.count("*").alias("n")), "after")).unionByName(count(whole.leaves.agg(F.sum("n_rows").alias("n")), "leaves"))
 
 
-@query()
+@query(f"WITH {_ROOTS} SELECT '\"root_' || root_key || '\" -> \"' || array_to_string(list_transform(first(s), lambda x: CAST(x >> 3 AS VARCHAR) || '.1'), '_') || '\" [label=\"' || count(*) || '\"];' AS line FROM rooted GROUP BY root_key")
 def idx_dot(spark, d):
-    return _sax_index(spark, d).dot()
+    return _root_index(spark, d).dot()
 
 
 # searches -----------------------------------------------------------------------------------
@@ -633,138 +661,144 @@ _OWN = f"own AS (SELECT q_id, series_id, {X.l2_sql('v', 'qv', 64)} AS d FROM q J
 
 @query(f"WITH {_ROOTS}, {_OWN} SELECT q.q_id, ro.series_id, round(ro.d, 6) + 0.0 AS dist FROM q LEFT JOIN ro ON ro.q_id = q.q_id AND ro.rank = 1")
 def qry_approx_1nn(spark, d):
-    return _found(S.approximate(_root_index(spark, d), X.walk_queries(X.walk(spark, d))))
+    return _found(S.approximate(_root_index(spark, d), X.queries_of(X.walk(spark, d))))
 
 
 @query(f"WITH {_ROOTS}, {_OWN} SELECT q.q_id, ro.rank, ro.series_id, round(ro.d, 6) + 0.0 AS dist FROM q LEFT JOIN ro ON ro.q_id = q.q_id AND ro.rank <= 5")
 def qry_approx_topk(spark, d):
-    return _found(S.approximate(_root_index(spark, d), X.walk_queries(X.walk(spark, d)), 5), True)
+    return _found(S.approximate(_root_index(spark, d), X.queries_of(X.walk(spark, d)), 5), True)
 
 
 @query(SQL["qry_approx_1nn"])
 def qry_approx_sibling(spark, d):
     """With all leaves of the query's root, the answer does not depend on how the root was split."""
     index = I.SeriesIndex.build(X.walk(spark, d), SeriesConfig(n=64, w=4, bits=4, leaf_size=20))
-    return _found(S.approximate(index, X.walk_queries(X.walk(spark, d)), siblings=True))
+    return _found(S.approximate(index, X.queries_of(X.walk(spark, d)), siblings=True))
+
+
+_LEAVES4 = f"""edge AS (SELECT root_key, array_to_string(list_transform(first(s), lambda x: CAST(x >> 3 AS VARCHAR) || '.1'), '_') AS label, [{', '.join(f'min(s[{i}])' for i in range(1, 5))}] AS lo, [{', '.join(f'max(s[{i}])' for i in range(1, 5))}] AS hi FROM rooted GROUP BY root_key),
+lbs AS (SELECT q_id, edge.root_key, label, 16 * list_sum(list_transform(range(1, 5), lambda i: CASE WHEN qp[i] < e[lo[i] + 1] THEN (e[lo[i] + 1] - qp[i]) * (e[lo[i] + 1] - qp[i]) WHEN qp[i] > e[hi[i] + 2] THEN (qp[i] - e[hi[i] + 2]) * (qp[i] - e[hi[i] + 2]) ELSE 0.0 END)) AS lb FROM edge, q),
+near AS (SELECT q_id, root_key FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY lb, label) AS nth FROM lbs) WHERE nth <= 3)""".replace("e[", "(" + X.list_literal([float("-inf"), *BP16, float("inf")]) + ")[")
 
 
-@query(_ranked(1, False).replace("q_id, series_id, round(d, 6) + 0.0 AS dist", "q_id, round(d, 6) + 0.0 AS bsf"))
+@query(f"WITH {_ROOTS}, {_LEAVES4} SELECT q.q_id, {X.r6_sql('min(' + X.l2_sql('v', 'qv', 64) + ')')} AS bsf FROM q JOIN near ON near.q_id = q.q_id JOIN rooted r ON r.root_key = near.root_key WHERE r.series_id <> q.q_id GROUP BY q.q_id")
 def qry_refine_leaves(spark, d):
-    """With as many leaves as there are, the refined answer is exact."""
-    got = S.refine(_sax_index(spark, d), X.walk_queries(X.walk(spark, d)), min_leaves=1 << 30)
+    """The best distance after the three most promising leaves, which need not be the nearest."""
+    got = S.refine(_root_index(spark, d), X.queries_of(X.walk(spark, d)), min_leaves=3)
     return got.select("q_id", X.r6(F.col("bsf")).alias("bsf"))
 
 
 @query(_ranked(1, False))
 def qry_exact_1nn_tree_sax(spark, d):
-    return _found(S.knn(_sax_index(spark, d), X.walk_queries(X.walk(spark, d))))
+    return _found(S.knn(_sax_index(spark, d), X.queries_of(X.walk(spark, d))))
 
 
 @query(_ranked(1, False))
 def qry_exact_1nn_tree_sfa(spark, d):
-    return _found(S.knn(_sfa_index(spark, d), X.walk_queries(X.walk(spark, d))))
+    return _found(S.knn(_sfa_index(spark, d), X.queries_of(X.walk(spark, d))))
 
 
 @query(_ranked(1, False))
 def qry_exact_1nn_scan(spark, d):
-    return _found(S.knn(_sax_index(spark, d), X.walk_queries(X.walk(spark, d)), strategy="scan"))
+    return _found(S.knn(_sax_index(spark, d), X.queries_of(X.walk(spark, d)), strategy="scan"))
 
 
 @query(_ranked(1, False))
 def qry_exact_1nn_best_first(spark, d):
     """One leaf as seed."""
-    return _found(S.knn(_sax_index(spark, d), X.walk_queries(X.walk(spark, d)), min_leaves=1))
+    return _found(S.knn(_sax_index(spark, d), X.queries_of(X.walk(spark, d)), min_leaves=1))
 
 
 @query(_ranked(1, False))
 def qry_fixed_bsf(spark, d):
     """A second pass that starts from the known answer."""
-    index, q = _sax_index(spark, d), X.walk_queries(X.walk(spark, d))
+    index, q = _sax_index(spark, d), X.queries_of(X.walk(spark, d))
     known = S.knn(index, q).select("q_id", F.col("dist").alias("bsf"))
     return _found(S.knn(index, q, bsf=known))
 
 
-_EMB_RANKED = (f"{X.EMB}", "q.series_id < 20", "emb")
+_EMB_RANKED = (f"{X.EMB}", "q.series_id % 100 = 0", "emb")
 
 
 @query(_ranked(1, False, *_EMB_RANKED))
 def qry_exact_1nn_batch(spark, d):
     e = X.embeddings(spark, d)
     index = I.SeriesIndex.build(e.select("series_id", "values"), SeriesConfig(n=64, z_normalize=False))
-    return _found(S.knn(index, X.emb_queries(e), strategy="scan"))
+    return _found(S.knn(index, X.queries_of(e), strategy="scan"))
 
 
 @query(_ranked(5, True))
 def qry_knn_tree_sax(spark, d):
-    return _found(S.knn(_sax_index(spark, d), X.walk_queries(X.walk(spark, d)), 5), True)
+    return _found(S.knn(_sax_index(spark, d), X.queries_of(X.walk(spark, d)), 5), True)
 
 
 @query(_ranked(5, True))
 def qry_knn_tree_sfa(spark, d):
-    return _found(S.knn(_sfa_index(spark, d, candidates=32), X.walk_queries(X.walk(spark, d)), 5), True)
+    return _found(S.knn(_sfa_index(spark, d, candidates=32), X.queries_of(X.walk(spark, d)), 5), True)
 
 
 @query(_ranked(5, True))
 def qry_knn_scan(spark, d):
-    return _found(S.knn(_sfa_index(spark, d, binning="equi-width"), X.walk_queries(X.walk(spark, d)), 5, strategy="scan"), True)
+    return _found(S.knn(_sfa_index(spark, d, binning="equi-width"), X.queries_of(X.walk(spark, d)), 5, strategy="scan"), True)
 
 
 @query(_ranked(5, True, *_EMB_RANKED))
 def qry_knn_bruteforce(spark, d):
     e = X.embeddings(spark, d)
-    return _found(S.brute_force(e, X.emb_queries(e), 5), True)
+    return _found(S.brute_force(e, X.queries_of(e), 5), True)
 
 
 @query(f"WITH nn AS ({_ranked(9, True, *_EMB_RANKED)}), l AS (SELECT q_id, rank, label, count(*) OVER (PARTITION BY q_id, label ORDER BY rank ROWS UNBOUNDED PRECEDING) AS votes FROM nn JOIN embeddings e ON e.vec_id = nn.series_id), w AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY votes DESC, rank) AS o FROM l) SELECT q_id, CAST(label AS BIGINT) AS label, votes FROM w WHERE o = 1")
 def qry_knn_classify(spark, d):
     e = X.embeddings(spark, d)
-    got = S.vote(S.brute_force(e, X.emb_queries(e), 9), e.select("series_id", "label"))
+    got = S.vote(S.brute_force(e, X.queries_of(e), 9), e.select("series_id", "label"))
     return got.select("q_id", F.col("label").cast("long").alias("label"), "votes")
 
 
 def _dtw_best(sql: str) -> str:
-    return sql.replace("SELECT q_id, series_id, round(s[256], 6) + 0.0 AS dist FROM cells WHERE c = 256", "SELECT q_id, series_id, dist FROM (SELECT q_id, series_id, round(s[256], 6) + 0.0 AS dist, row_number() OVER (PARTITION BY q_id ORDER BY s[256], series_id) AS o FROM cells WHERE c = 256) WHERE o = 1")
+    head, tail = sql.rsplit("\nSELECT", 1)
+    return f"{head}, al AS (SELECT{tail}) SELECT q_id, series_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, series_id) AS o FROM al) WHERE o = 1"
 
 
 def _dtw_index(spark, d):
-    return I.SeriesIndex.build(X.short(spark, d), SeriesConfig(n=16, w=4, bits=4, leaf_size=4, z_normalize=False))
+    return I.SeriesIndex.build(X.embeddings(spark, d), SeriesConfig(n=64, w=8, bits=8, leaf_size=20, z_normalize=False))
 
 
 @query(_dtw_best(_dtw_sql(2)))
 def qry_dtw_1nn_scan(spark, d):
-    return _found(S.dtw_nearest(_dtw_index(spark, d), X.emb_queries(X.short(spark, d)).where("q_id < 5"), 2, strategy="scan"))
+    return _found(S.dtw_nearest(_dtw_index(spark, d), X.queries_of(X.embeddings(spark, d)), 2, strategy="scan"))
 
 
 @query(_dtw_best(_dtw_sql(2)))
 def qry_dtw_1nn_tree(spark, d):
-    return _found(S.dtw_nearest(_dtw_index(spark, d), X.emb_queries(X.short(spark, d)).where("q_id < 5"), 2, strategy="tree"))
+    return _found(S.dtw_nearest(_dtw_index(spark, d), X.queries_of(X.embeddings(spark, d)), 2, strategy="tree"))
 
 
 @query(f"WITH nn AS ({_ranked(1, True, *_EMB_RANKED)}) SELECT q_id, nn.series_id, CAST(unnest(range(64)) AS BIGINT) AS pos, round(unnest(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))), 6) + 0.0 AS val FROM nn JOIN embeddings e ON e.vec_id = nn.series_id")
 def qry_answer_values(spark, d):
     e = X.embeddings(spark, d)
-    got = S.answer_values(S.brute_force(e, X.emb_queries(e), 1), e.select("series_id", "values"))
+    got = S.answer_values(S.brute_force(e, X.queries_of(e), 1), e.select("series_id", "values"))
     return X.exploded(got, ["q_id", "series_id"], V())
 
 
 @query(f"WITH {X.WALK} SELECT series_id AS q_id, TRUE AS same_answer, TRUE AS bounds_hold FROM walk q WHERE {_WALK_Q}")
 def qry_sanity(spark, d):
-    return S.sanity(_sfa_index(spark, d), X.walk_queries(X.walk(spark, d))).select("q_id", "same_answer", "bounds_hold")
+    return S.sanity(_sfa_index(spark, d), X.queries_of(X.walk(spark, d))).select("q_id", "same_answer", "bounds_hold")
 
 
 @query(f"WITH {_WALK_W}, {_ALL}, r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, series_id) AS rank FROM al WHERE lb <= 2.0) SELECT q_id, rank, series_id, round(d, 6) + 0.0 AS dist FROM r WHERE rank <= 3 AND d IS NOT NULL")
 def qry_max_lb(spark, d):
-    return _found(S.knn(_sax_index(spark, d), X.walk_queries(X.walk(spark, d)), 3, max_lb=2.0, bsf=X.walk_queries(X.walk(spark, d)).select("q_id", F.lit(2.0).alias("bsf"))), True)
+    return _found(S.knn(_sax_index(spark, d), X.queries_of(X.walk(spark, d)), 3, max_lb=2.0), True)
 
 
 @query(f"WITH {_WALK_W}, {_ALL} SELECT q_id, series_id, round(d, 6) + 0.0 AS dist FROM al WHERE d <= 4.0")
 def qry_range(spark, d):
-    return _found(S.within(_sax_index(spark, d), X.walk_queries(X.walk(spark, d)), 4.0))
+    return _found(S.within(_sax_index(spark, d), X.queries_of(X.walk(spark, d)), 4.0))
 
 
 @query(f"WITH {_ROOTS}, {_OWN}, tru AS ({_ranked(5, True).replace('WITH ' + X.WALK + ', ' + X.zn('walk') + ', ', 'WITH ')}) SELECT t.q_id, round(count(ro.series_id) / CAST(count(*) AS DOUBLE), 6) + 0.0 AS recall FROM tru t LEFT JOIN ro ON ro.q_id = t.q_id AND ro.series_id = t.series_id AND ro.rank <= 5 GROUP BY t.q_id")
 def qry_recall_at_k(spark, d):
-    index, q = _root_index(spark, d), X.walk_queries(X.walk(spark, d))
+    index, q = _root_index(spark, d), X.queries_of(X.walk(spark, d))
     got = S.recall(S.approximate(index, q, 5), S.knn(index, q, 5))
     return got.select("q_id", X.r6(F.col("recall")).alias("recall"))
 
@@ -777,5 +811,5 @@ def str_knn_available_now(spark, d):
 
     e = X.embeddings(spark, d)
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    X.emb_queries(e).repartition(4).write.parquet(f"{folder}/in")
+    X.queries_of(e).repartition(4).write.parquet(f"{folder}/in")
     return _found(run_available(spark, f"{folder}/in", f"{folder}/out", e.select("series_id", "values"), 5), True)
