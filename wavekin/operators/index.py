@@ -37,7 +37,7 @@ BROADCAST_WORDS = 500_000
 PART_ROWS = 1_000_000
 
 
-def choose_segment(total: int, sums: np.ndarray, squares: np.ndarray, low: np.ndarray, high: np.ndarray, used: np.ndarray, bits: int, rule: str, depth: int) -> int | None:
+def best_segment(total: int, sums: np.ndarray, squares: np.ndarray, low: np.ndarray, high: np.ndarray, used: np.ndarray, bits: int, rule: str, depth: int) -> int | None:
     """The segment to split next, from the symbols' weighted sums and ends, or None if no split can part the words.
 
     'variance': the segment of largest symbol variance, in whole numbers; 'informed': among
@@ -62,6 +62,11 @@ def choose_segment(total: int, sums: np.ndarray, squares: np.ndarray, low: np.nd
     return score.index(max(score))
 
 
+def choose_segment(words: np.ndarray, counts: np.ndarray, used: np.ndarray, bits: int, rule: str, depth: int) -> int | None:
+    """``best_segment`` of a node's words with counts."""
+    return best_segment(*_sums(words, counts), used, bits, rule, depth)
+
+
 def _sums(words: np.ndarray, counts: np.ndarray) -> tuple:
     return counts.sum(), counts @ words, counts @ (words * words), words.min(axis=0), words.max(axis=0)
 
@@ -72,7 +77,7 @@ def split_words(words: np.ndarray, counts: np.ndarray, bits: int, leaf_size: int
     out = []
     while todo:
         rows, used, depth = todo.pop()
-        seg = choose_segment(*_sums(words[rows], counts[rows]), used, bits, rule, depth) if counts[rows].sum() > leaf_size else None
+        seg = choose_segment(words[rows], counts[rows], used, bits, rule, depth) if counts[rows].sum() > leaf_size else None
         if seg is None:
             out.append((rows, used, depth))
             continue
@@ -100,7 +105,7 @@ def node_splits(nodes: DataFrame, config: SeriesConfig) -> DataFrame:
         for pdf in batches:
             chosen = []
             for r in pdf.itertuples():
-                chosen.append(choose_segment(r.total, np.array(r.a), np.array(r.b), np.array(r.l), np.array(r.h), np.array(r.used, dtype=np.int64), config.bits, config.split, r.depth))
+                chosen.append(best_segment(r.total, np.array(r.a), np.array(r.b), np.array(r.l), np.array(r.h), np.array(r.used, dtype=np.int64), config.bits, config.split, r.depth))
             yield pdf.assign(seg=pd.array(chosen, dtype="Int32"))[["root_key", "node", "seg"]]
 
     return stats.mapInPandas(run, "root_key long, node string, seg int").where("seg is not null")
