@@ -8,8 +8,8 @@ that no shingle reached copy one that was reached, chosen by a fixed random walk
 * Documents with equal shingle sets form one class, so exact copies cost one row each.
 * Bands of at most ``BAND`` compressed registers, fewer for low thresholds, are candidate
   buckets. A bucket's members are first compared with its smallest member only.
-* Candidates pass the collision-corrected Jaccard estimate with a margin of five
-  standard deviations, and are then confirmed on their full shingle sets.
+* Candidates pass the collision-corrected Jaccard estimate with a margin of ``MARGIN``
+  standard deviations, in which copied registers count, and are then confirmed on their full shingle sets.
 * Links join classes to components. Only buckets whose members still lie in different
   components can hide a link that matters. Pairs of their members are compared as well:
   all pairs of a small bucket, and of crowded ones those that an exact prefix and
@@ -35,7 +35,7 @@ PERCENT = 85
 #: Chance, at most, that a pair at the threshold shares no band, by the banding formula.
 MISS = 3e-7
 #: Standard deviations of the estimate below the threshold that a candidate may lie.
-MARGIN = 5.0
+MARGIN = 6.0
 #: Ids of a side that is broadcast, at most: 8 bytes each. Larger sides are shuffled.
 BROADCAST_IDS = 2_000_000
 #: Members up to which all pairs of a bucket are compared outright.
@@ -117,6 +117,16 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.clip((same - chance) / (1 - chance), 0, 1)
 
 
+def spread(t: float, n: np.ndarray) -> np.ndarray:
+    """Standard deviation of the estimate at similarity t for sets of n shingles.
+
+    About e of the registers are reached by a shingle, the others copy one of them, so
+    the e weigh unequally: the squares of their weights add up to 1 / e + (R - e) / R^2.
+    """
+    reached = REGISTERS * -np.expm1(np.maximum(n, 1) * math.log1p(-1 / REGISTERS))
+    return np.sqrt(t * (1 - t) * (1 / reached + (REGISTERS - reached) / REGISTERS**2))
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, node, n, d1, d2, registers): d1, d2 identify the shingle set, node the document (d1 where its id is null)."""
 
@@ -180,8 +190,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 continue
             a, b = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(-1, REGISTERS) for c in ("r_a", "r_b"))
             n_a, n_b = pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy()
-            spread = np.sqrt(t * (1 - t) / np.clip(np.minimum(n_a, n_b), 1, REGISTERS))
-            yield pdf.loc[estimate(a, b, n_a, n_b) >= t - MARGIN * spread, ["a", "b"]]
+            yield pdf.loc[estimate(a, b, n_a, n_b) >= t - MARGIN * spread(t, np.minimum(n_a, n_b)), ["a", "b"]]
         release()
 
     return both.mapInPandas(run, "a long, b long")
