@@ -21,10 +21,15 @@ PIECE = 1 << 18
 CALIBRATION = 0.25
 #: Share of calibration texts that rejection may cost.
 REJECTED = 0.002
+#: Length classes, powers of 2 of subwords.
+SIZES = 24
+#: Calibration texts that a floor needs, and how far below the least typical of them it lies, in parts of its distance from the median.
+LEAST_FLOOR, FLOOR_SLACK = 20, 2.0
 
 _U = np.uint32
 _BLANK = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters and, among others, numerals such as fractions; which of the two is asked of each.
+_WORDY = re.compile(r"[^\W\d_]")
 _TERMS = (np.arange(1, 6, dtype=_U) * _U(0x9E3779B1)) | _U(1)
 
 
@@ -65,34 +70,58 @@ def subwords(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield (code[keep] & _U(BUCKETS - 1)).astype(np.int64), owner[n - 1 :][keep]
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of the Unicode category L."""
+    return bool(text) and any(m.group().isalpha() for m in _WORDY.finditer(text))
+
+
 class LanguageModel:
-    """Learned language values, a table of logits by bucket, a temperature and a rejection threshold.
+    """Learned language values, a table of logits by bucket, a temperature and what rejection needs.
 
     The mean of a text's subword embeddings times the softmax weights equals the mean
-    of the rows of one table, so a prediction is a lookup and a sum.
+    of the rows of one table, so a prediction is a lookup and a sum. A text is rejected whose
+    probability lies below ``threshold``, or whose subwords are so rare in the language
+    found that ``floors``, by language and length, are not reached: a softmax is sure of
+    itself far from all that it has seen, the frequencies are not.
     """
 
     def __init__(self, langs: list[str], logits: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
         self.langs, self.logits, self.bias, self.temperature, self.threshold = langs, logits, bias, temperature, threshold
+        #: log of the share that a bucket has of a language's subwords, and the least mean of it by language and length.
+        self.typical = np.zeros((BUCKETS, len(langs)), dtype=np.float32)
+        self.floors = np.full((len(langs), SIZES), -np.inf)
 
     def raw(self, texts: list[str]) -> np.ndarray:
-        total = np.zeros((len(texts), len(self.langs)))
+        return self._means(texts)[0]
+
+    def _means(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logits, mean log share in each language, subwords) of each text."""
+        tables = np.concatenate([self.logits, self.typical], axis=1)
+        total = np.zeros((len(texts), tables.shape[1]))
         count = np.zeros(len(texts))
         for bucket, owner in subwords(texts):
             count += np.bincount(owner, minlength=len(texts))
-            for c in range(len(self.langs)):
-                total[:, c] += np.bincount(owner, self.logits[bucket, c], minlength=len(texts))
-        return total / np.maximum(count, 1)[:, None] + self.bias
+            for c in range(tables.shape[1]):
+                total[:, c] += np.bincount(owner, tables[bucket, c], minlength=len(texts))
+        total /= np.maximum(count, 1)[:, None]
+        return total[:, : len(self.langs)] + self.bias, total[:, len(self.langs) :], count
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         """lang_pred, score, accepted of each text."""
         if not self.langs:
             return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "accepted": False})
-        p = _softmax(self.raw([t or "" for t in texts]) / self.temperature)
-        best = p.argmax(axis=1)
-        known = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], dtype=bool)
-        score = np.where(known, p[np.arange(len(p)), best], 0.0)
-        return pd.DataFrame({"lang_pred": np.where(known, np.array(self.langs, dtype=object)[best], "und"), "score": score, "accepted": known & (score >= self.threshold)})
+        raw, typical, count = self._means([t or "" for t in texts])
+        p = _softmax(raw / self.temperature)
+        best, row = p.argmax(axis=1), np.arange(len(p))
+        known = np.array([has_letter(t) for t in texts], dtype=bool)
+        score = np.where(known, p[row, best], 0.0)
+        accepted = known & (score >= self.threshold) & (typical[row, best] >= self.floors[best, size_class(count)])
+        return pd.DataFrame({"lang_pred": np.where(known, np.array(self.langs, dtype=object)[best], "und"), "score": score, "accepted": accepted})
+
+
+def size_class(count: np.ndarray) -> np.ndarray:
+    """Lengths in subwords by powers of 2."""
+    return np.minimum(np.log2(np.maximum(count, 1)).astype(int), SIZES - 1)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -100,8 +129,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], labels: list[str], *, epochs: int = 8, batch: int = 16, rate: float = 40.0, seed: int = 7) -> LanguageModel:
-    """Train by stochastic gradient descent; a fixed share of the texts calibrates."""
+def fit(texts: list[str], labels: list[str], **more) -> LanguageModel:
+    """``fit_bags`` from texts."""
+    return fit_bags(_bags(texts), labels, **more)
+
+
+def fit_bags(bags: list[tuple[np.ndarray, np.ndarray, int]], labels: list[str], *, epochs: int = 8, batch: int = 16, rate: float = 40.0, seed: int = 7) -> LanguageModel:
+    """Train by stochastic gradient descent on (bucket, share, subwords) of each text; a fixed share of the texts calibrates."""
     langs = sorted(set(labels))
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
@@ -110,7 +144,6 @@ def fit(texts: list[str], labels: list[str], *, epochs: int = 8, batch: int = 16
     if len(langs) == 1:
         return LanguageModel(langs, np.zeros((BUCKETS, 1)), np.zeros(1))
     held = rng.random(len(y)) < CALIBRATION if len(y) >= 40 else np.zeros(len(y), bool)
-    bags = _bags(texts)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     weight = rng.normal(0, 0.1, (len(langs), DIM)).astype(np.float32)
     bias = np.zeros(len(langs), dtype=np.float32)
@@ -136,25 +169,44 @@ def fit(texts: list[str], labels: list[str], *, epochs: int = 8, batch: int = 16
             for d in range(DIM):
                 emb[ids, d] -= rate * pace / len(rows) * np.bincount(place, back[at, d] * share, minlength=len(ids)).astype(np.float32)
     model = LanguageModel(langs, (emb @ weight.T).astype(np.float32), bias.astype(float))
-    rows = np.flatnonzero(held)
-    if len(rows) >= 10:
-        raw = model.raw([texts[r] for r in rows])
-        fits = lambda t: -np.log(np.maximum(_softmax(raw / t)[np.arange(len(rows)), y[rows]], 1e-12)).mean()
-        model.temperature = float(min(np.geomspace(0.02, 5, 60), key=fits))
-        best = np.sort(_softmax(raw / model.temperature).max(axis=1))
-        # at most REJECTED of the calibration texts lie below, and never a text that is more likely than all else
-        model.threshold = float(min(best[int(REJECTED * len(best))], 0.5))
+    _calibrate(model, bags, y, held)
     return model
 
 
-def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, share of the text's subwords) of each text."""
+def _calibrate(model: LanguageModel, bags: list, y: np.ndarray, held: np.ndarray) -> None:
+    """Temperature, threshold and floors from the texts held back."""
+    rows = np.flatnonzero(held)
+    if len(rows) < 10:
+        return
+    share = np.zeros((BUCKETS, len(model.langs)))
+    for r in np.flatnonzero(~held):
+        share[bags[r][0], y[r]] += bags[r][1] * bags[r][2]
+    model.typical = np.log((share + 0.01) / (share + 0.01).sum(axis=0)).astype(np.float32)
+    mean = lambda table: np.stack([bags[r][1] @ table[bags[r][0]] if len(bags[r][0]) else np.zeros(table.shape[1]) for r in rows])
+    raw = mean(model.logits) + model.bias
+    fits = lambda t: -np.log(np.maximum(_softmax(raw / t)[np.arange(len(rows)), y[rows]], 1e-12)).mean()
+    model.temperature = float(min(np.geomspace(0.02, 5, 60), key=fits))
+    best = np.sort(_softmax(raw / model.temperature).max(axis=1))
+    # at most REJECTED of the calibration texts lie below, and never a text that is more likely than all else
+    model.threshold = float(min(best[int(REJECTED * len(best))], 0.5))
+    typical, size = mean(model.typical), size_class(np.array([bags[r][2] for r in rows]))
+    for c in range(len(model.langs)):
+        for s in range(SIZES):
+            # shorter texts vary more, so longer ones of the calibration part count as well
+            own = typical[(y[rows] == c) & (size >= s - 1) & (size <= s + 1), c]
+            if len(own) >= LEAST_FLOOR:
+                low, mid = own.min(), np.median(own)
+                model.floors[c, s] = low - FLOOR_SLACK * (mid - low)
+
+
+def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(bucket, share of the text's subwords, subwords) of each text."""
     out = []
     for text in texts:
         all_ = np.concatenate([b for b, _ in subwords([text])])
         ids, n = np.unique(all_, return_counts=True)
         # the sample's bags lie in the driver's memory: two bytes hold a bucket
-        out.append((ids.astype(np.uint16), (n / max(1, n.sum())).astype(np.float32)))
+        out.append((ids.astype(np.uint16), (n / max(1, n.sum())).astype(np.float32), int(n.sum())))
     return out
 
 
@@ -163,22 +215,33 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
-def train(docs: DataFrame, *, max_per_lang: int = 1000, max_langs: int = 500) -> LanguageModel:
+def train(docs: DataFrame, *, max_per_lang: int = 1000, max_rows: int = 20_000) -> LanguageModel:
     """Learn from (doc_id, text, lang) where text and lang are not null and the id's fold is not 2.
 
-    The sample is bounded: about ``max_per_lang`` documents of smallest id hash for each of the
-    ``max_langs`` commonest languages, each with its whole text.
+    The sample is bounded: about ``max_per_lang`` documents of smallest id hash for each
+    language, fewer where there are so many languages that they would be more than ``max_rows``
+    (at least one of each is likely); all languages count. Whole texts are
+    turned into bags of at most BUCKETS subwords by the executors, so the driver holds no text.
     """
     rows = docs.where("text is not null and lang is not null").where(fold(F.col("doc_id")) != 2).select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    keep = F.lit(False)
-    for r in counts:
-        keep = F.when(F.col("lang") == r["lang"], F.col("h") < int(min(1.0, max_per_lang / r["count"]) * (1 << 30)) + 1).otherwise(keep)
-    sample = rows.where(keep).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "lang", "text"])
-    texts, langs = sample["text"].tolist(), sample["lang"].tolist()
-    del sample
-    model = fit(texts, langs)
-    del texts, langs
+    counts = rows.groupBy("lang").count()
+    langs = counts.count()
+    each = min(max_per_lang, max(1, max_rows // max(1, langs)))
+    # one row a language
+    sample = rows.join(counts, "lang").where(F.col("h") < F.least(F.lit(1.0), F.lit(each) / F.col("count")) * (1 << 30) + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bags = _bags(pdf["text"].tolist())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "buckets": [b.astype(np.int32) for b, _, _ in bags], "shares": [s for _, s, _ in bags], "n": [n for _, _, n in bags]})
+        release()
+
+    small_batches(docs.sparkSession)
+    got = sample.select("doc_id", "lang", "text").mapInPandas(run, "doc_id long, lang string, buckets array<int>, shares array<float>, n long")
+    held = [(r["doc_id"], r["lang"], np.array(r["buckets"], dtype=np.uint16), np.array(r["shares"], dtype=np.float32), r["n"]) for r in got.toLocalIterator()]
+    held.sort(key=lambda r: (r[0], r[1], r[4], r[2].tobytes()))
+    model = fit_bags([r[2:] for r in held], [r[1] for r in held])
+    del held
     release()
     return model
 
@@ -203,8 +266,9 @@ def identify(docs: DataFrame, *, model: LanguageModel | None = None) -> DataFram
     Returns (doc_id, held_out, lang_pred, score, accepted). A null text, or one without a letter, is 'und' with
     score 0 and not accepted; so is every text if there is nothing to learn from.
     Other texts get a learned language, its calibrated probability, and are accepted
-    if that reaches the calibrated threshold. Rows are judged one by one; a null doc_id
-    is in no fold: not learned from, not held out.
+    if that and the calibrated floors are reached. Rows are judged one by one; a null doc_id
+    is in no fold: not learned from, not held out. Other columns of the input are
+    ignored. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = model or train(rows)
