@@ -23,8 +23,10 @@ CALIBRATION = 0.25
 REJECTED = 0.002
 #: Length classes, powers of 2 of subwords.
 SIZES = 24
-#: Calibration texts that a floor needs, and how far below the least typical of them it lies, in parts of its distance from the median.
-LEAST_FLOOR, FLOOR_SLACK = 20, 2.0
+#: Calibration texts that a floor needs; it lies FLOOR_REACH times as far below their median as the FLOOR_SHARE least typical of them begin.
+LEAST_FLOOR, FLOOR_SHARE, FLOOR_REACH = 20, 0.05, 9.0
+#: Subwords up to which a text counts as short where calibration has too few of its length.
+SHORT = 64
 
 _U = np.uint32
 _BLANK = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -191,12 +193,20 @@ def _calibrate(model: LanguageModel, bags: list, y: np.ndarray, held: np.ndarray
     model.threshold = float(min(best[int(REJECTED * len(best))], 0.5))
     typical, size = mean(model.typical), size_class(np.array([bags[r][2] for r in rows]))
     for c in range(len(model.langs)):
+        own, other = typical[y[rows] == c, c], typical[y[rows] != c, c]
+        if not len(own) or not len(other):
+            continue
+        # half way to texts of other languages, farther for the few subwords of short texts
+        half = (np.median(own) - np.median(other)) / 2
+        model.floors[c] = np.median(own) - np.abs(half) * np.maximum(1, np.sqrt(SHORT / 2.0 ** np.arange(SIZES)))
         for s in range(SIZES):
-            # shorter texts vary more, so longer ones of the calibration part count as well
-            own = typical[(y[rows] == c) & (size >= s - 1) & (size <= s + 1), c]
-            if len(own) >= LEAST_FLOOR:
-                low, mid = own.min(), np.median(own)
-                model.floors[c, s] = low - FLOOR_SLACK * (mid - low)
+            # shorter texts vary more: where few are as long, they stand for longer ones, never the other way round
+            for reach in range(1, SIZES):
+                own = typical[(y[rows] == c) & (size >= s - reach) & (size <= s + 1), c]
+                if len(own) >= LEAST_FLOOR:
+                    mid = np.median(own)
+                    model.floors[c, s] = mid - FLOOR_REACH * (mid - np.quantile(own, FLOOR_SHARE))
+                    break
 
 
 def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
