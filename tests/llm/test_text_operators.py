@@ -165,27 +165,64 @@ def test_hits_equal_brute_force(spark, vocabulary):
     assert got == brute_hits(docs, [("" if i is None else str(i), t) for i, t in items])
 
 
-def test_blocks_are_bounded_by_windows():
-    """Few different words, many windows: natural benchmarks never reach the limit of words."""
+def test_windows_and_owners_come_from_spark(spark):
+    """Few different words, many windows: as in natural benchmarks."""
     rng = np.random.default_rng(6)
-    items = [(str(i), [b"w%d" % x for x in rng.integers(0, 50, size=n)]) for i, n in enumerate((5, 10, 400, 30, 30, 30, 1, 95))]
-    blocks = list(decontam._blocks(decontam._pieces(iter(items), 10, 60), 1_000_000, 10, 60))
-    assert len(blocks) > 8 and all(sum(max(1, len(w) - 9) for _, w in b) <= 60 for b in blocks)
-    together = {}
-    for b in blocks:
-        for phrase, names in decontam.phrases(b).items():
-            together.setdefault(phrase, set()).update(names)
+    items = [(str(i), [b"w%d" % x for x in rng.integers(0, 50, size=n)]) for i, n in enumerate((5, 10, 400, 30, 30, 30, 1, 95, 5000, 0))]
+    table = spark.createDataFrame([(i, b" ".join(w).decode()) for i, w in items], "item_id string, text string")
+    terms, owners = decontam.benchmark_phrases(table)
+    words, named = {}, {}
+    for r in terms.collect():
+        words.setdefault(bytes(r["phrase"]), {})[r["offset"]] = r["word"].encode()
+    for r in owners.collect():
+        named.setdefault(bytes(r["phrase"]), set()).add(r["item"])
+    together = {tuple(w for _, w in sorted(ws.items())): named[p] for p, ws in words.items()}
     assert together == decontam.phrases(items)
 
 
-def test_hits_do_not_depend_on_blocks(spark):
+@pytest.mark.parametrize("vocabulary", [1000, 3])
+def test_hits_do_not_depend_on_the_dictionary(spark, vocabulary):
     text = " ".join(f"a{i % 17} b{i % 5}" for i in range(30))
     docs = [(1, "x " + text + " y"), (2, text[:90]), (3, "nothing")]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, text), (2, "nothing")], "item_id long, text string")
-    got = sorted(map(tuple, decontam.decontaminate(d, b, windows=20).collect()), key=str)
+    got = sorted(map(tuple, decontam.decontaminate(d, b, vocabulary=vocabulary).collect()), key=str)
     assert got == brute_hits(docs, [("1", text), ("2", "nothing")])
 
 
+@pytest.mark.parametrize("vocabulary", [1000, 3])
+def test_near_items_equal_brute_force(spark, vocabulary):
+    rng = np.random.default_rng(9)
+    draw = lambda n: [f"w{int(x)}" for x in rng.zipf(1.3, size=n) % 60]
+    docs = [(i, " ".join(draw(int(rng.integers(1, 90))))) for i in range(40)]
+    items = [(i, " ".join(draw(int(rng.integers(1, 14))))) for i in range(12)]
+    span = 6
+    index_terms = {w: (n, 1) for n, w in enumerate(sorted({w for _, t in items for w in decontam.words_of(t)}))}
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lists = decontam._lists(decontam.build_index(d, index_terms))
+    held = {}
+    for r in lists.collect():
+        held.setdefault((r["text_key"], r["term"]), []).append(r["pos"])
+    frequency = {}
+    for (_, term), places in held.items():
+        frequency[term] = frequency.get(term, 0) + len(places)
+    found = decontam.phrases([(str(i), decontam.words_of(t)) for i, t in items])
+    number = {p: n for n, p in enumerate(found)}
+    rows = [(n, o, index_terms[w][0], len(p)) for p, n in number.items() for o, w in enumerate(p)]
+    ranked = decontam.ranked_terms(lists, spark.createDataFrame(rows, "phrase int, offset int, term int, length int"))
+    got = {(r["phrase"], r["text_key"]) for r in decontam.near_matches(lists, ranked, span).collect()}
+    want = set()
+    for p, n in number.items():
+        order = sorted(((frequency.get(index_terms[w][0], 0), index_terms[w][0], o) for o, w in enumerate(p)))[:3]
+        for key in {k for k, _ in held}:
+            for at in held.get((key, order[0][1]), []):
+                if all(any(abs(x - at) < span for x in held.get((key, t), [])) for _, t, _ in order[1:]):
+                    want.add((n, key))
+    assert got == want and want
+    b = spark.createDataFrame(items, "item_id long, text string")
+    whole = decontam.decontaminate(d, b, vocabulary=vocabulary, span=20).collect()
+    assert all(r["n_near"] >= r["n_items"] for r in whole)
+
+
 def test_hits_of_edge_cases(spark, edge_docs, no_docs):
     b = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     got = decontam.decontaminate(edge_docs, b).collect()
