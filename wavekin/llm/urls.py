@@ -19,6 +19,9 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _SHAPE = re.compile(r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?")
 
+#: Parts of the labelled urls; the first is held back from the trees.
+FOLDS = 5
+
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "entropy", "host_entropy", "parameters", "query_length", "fragment", "hyphens", "longest_label", "suffix_rate", "suffix_seen")
 
 
@@ -49,6 +52,15 @@ def _suffix(host: str) -> str:
     return ".".join(host.split(".")[-2:])
 
 
+def _suffix_rates(urls: list[str], y: np.ndarray, mean: float) -> dict[str, tuple[float, float]]:
+    """Smoothed block rate and log count of each host suffix; of '' the mean."""
+    groups: dict[str, list[float]] = {}
+    for u, v in zip(urls, y, strict=True):
+        m = _SHAPE.match(u)
+        groups.setdefault(_suffix(m[1].lower() if m else ""), []).append(v)
+    return {s: ((sum(v) + 10 * mean) / (len(v) + 10), math.log1p(len(v))) for s, v in groups.items() if s} | {"": (mean, 0.0)}
+
+
 def lexical(url: str, suffixes: dict[str, tuple[float, float]]) -> list[float]:
     """The features of one url, in the order of FEATURES. ``suffixes``: smoothed block rate and log count of host suffixes."""
     m = _SHAPE.match(url)
@@ -66,35 +78,51 @@ def lexical(url: str, suffixes: dict[str, tuple[float, float]]) -> list[float]:
 class UrlModel:
     """Boosted regression trees on binned features, logistic loss, in numpy.
 
-    ``fit`` takes urls and 0/1 labels (1: block). With no labels, or labels of one kind,
-    the model is that constant rate (0 without labels).
+    ``fit`` takes urls and 0/1 labels (1: block). With no labels, labels of one kind, or labels that the
+    urls do not tell, the model is that constant rate (0 without labels).
     """
 
-    def __init__(self, trees: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 48, least: int = 20):
-        self.trees, self.depth, self.rate, self.bins, self.least = trees, depth, rate, bins, least
+    def __init__(self, trees: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 48, least: int = 20, seed: int = 3):
+        self.trees, self.depth, self.rate, self.bins, self.least, self.seed = trees, depth, rate, bins, least, seed
         self.base, self.forest, self.suffixes = -20.0, [], {"": (0.5, 0.0)}
 
     def fit(self, urls: list[str], labels: list[int]) -> UrlModel:
+        """A suffix's rate in a row's features comes from other rows only. A fifth of the rows is held
+        back: trees are kept up to the round of least loss there, and none are
+        if that is not clearly less than the loss of the constant rate."""
         y = np.asarray(labels, dtype=np.float64)
         if not len(y):
             return self
         mean = float(y.mean())
         self.base = math.log((mean + 1e-9) / (1 - mean + 1e-9))
-        groups: dict[str, list[float]] = {}
-        for u, v in zip(urls, y, strict=True):
-            m = _SHAPE.match(u)
-            groups.setdefault(_suffix(m[1].lower() if m else ""), []).append(v)
-        self.suffixes = {s: ((sum(v) + 10 * mean) / (len(v) + 10), math.log1p(len(v))) for s, v in groups.items() if s} | {"": (mean, 0.0)}
-        if 0 < mean < 1:
-            x = np.array([lexical(u, self.suffixes) for u in urls])
-            edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
-            binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
-            score = np.full(len(y), self.base)
-            for _ in range(self.trees):
-                p = 1 / (1 + np.exp(-score))
-                tree = self._grow(binned, y - p, p * (1 - p), edges)
-                self.forest.append(tree)
-                score += self._apply(tree, x)
+        self.suffixes = _suffix_rates(urls, y, mean)
+        if not 0 < mean < 1:
+            return self
+        fold = np.random.default_rng(self.seed).permutation(len(y)) % FOLDS
+        x = np.empty((len(y), len(FEATURES)))
+        for f in range(FOLDS):
+            known = _suffix_rates([u for u, g in zip(urls, fold, strict=True) if g != f], y[fold != f], mean)
+            for i in np.flatnonzero(fold == f):
+                x[i] = lexical(urls[i], known)
+        held = fold == 0
+        if held.all() or not held.any():
+            return self
+        edges = [np.unique(np.quantile(x[~held, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
+        binned = np.stack([np.searchsorted(e, x[~held, j], side="left") for j, e in enumerate(edges)], axis=1)
+        score, forest = np.full(len(y), self.base), []
+        loss = lambda: np.logaddexp(0, np.where(y[held] > 0, -score[held], score[held]))
+        constant = loss()
+        losses = []
+        for _ in range(self.trees):
+            p = 1 / (1 + np.exp(-score[~held]))
+            tree = self._grow(binned, y[~held] - p, p * (1 - p), edges)
+            forest.append(tree)
+            score += self._apply(tree, x)
+            losses.append(loss())
+        best = int(np.argmin([v.mean() for v in losses]))
+        gain = constant - losses[best]
+        if gain.mean() > 2 * gain.std() / math.sqrt(len(gain)):
+            self.forest = forest[: best + 1]
         return self
 
     def _grow(self, binned, gradient, hessian, edges):
@@ -158,7 +186,8 @@ def judge_urls(pages: DataFrame, model: UrlModel, rules=RULES, *, id_col: str =
     Returns (page_id, host, path, rule or null, verdict, score): score is the model's probability of
     block, verdict the rule's or else block at ``threshold`` and above. A null url or
     one without :// has an empty host and path and is judged as the empty or given
-    string by the model. Repeated rows and ids are judged one by one.
+    string by the model. Repeated rows and ids are judged one by one. Other columns of the
+    input are ignored. An empty table gives no rows.
     """
     url = F.col("_url")
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("_url"))
