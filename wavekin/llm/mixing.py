@@ -30,6 +30,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Sums are exact decimals, so they and all that follows are the same in every run.
 EXACT = "decimal(38,9)"
 PARTS = 256
+#: Sources whose facts are broadcast, at most; more are joined by a shuffle.
+BROADCAST_SOURCES = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -55,6 +57,11 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = 1.0, c
     return out
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A table of known size, to be broadcast up to BROADCAST_SOURCES rows."""
+    return F.broadcast(df) if rows <= BROADCAST_SOURCES else df
+
+
 def _solve(hist: DataFrame, facts: pd.DataFrame, cap: float, tolerance: float, most: int) -> dict[int, float]:
     """lambda of each source number in ``facts`` (sid, total, target, mean)."""
     spark = hist.sparkSession
@@ -67,12 +74,13 @@ def _solve(hist: DataFrame, facts: pd.DataFrame, cap: float, tolerance: float, m
         else:
             state[r.sid] = (math.log(min(cap, r.target / r.total)), -math.inf, math.inf, False)
     target = {r.sid: r.target for r in facts.itertuples()}
+    mean = {r.sid: float(r.mean) for r in facts.itertuples()}
     for _ in range(most):
-        live = [(sid, s[0], float(facts.loc[facts.sid == sid, "mean"].iloc[0])) for sid, s in state.items() if not s[3]]
+        live = [(sid, s[0], mean[sid]) for sid, s in state.items() if not s[3]]
         if not live:
             break
         # one row for each source, as collected for the targets
-        now = F.broadcast(spark.createDataFrame(live, "sid int, lam double, mean double"))
+        now = _small(spark.createDataFrame(live, "sid int, lam double, mean double"), len(live))
         tilt = F.col("lam") * F.col("size") / F.col("mean")
         rate = F.least(F.lit(float(cap)), F.exp(F.least(tilt, F.lit(50.0))))
         words = F.col("n") * F.col("size")
@@ -120,7 +128,8 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, share: float = 1.0, cap: in
     text has size 0. Documents of size 0 count for no target and keep one copy, in
     sources of target 0 as well. A null source is a source of its own, the last. Rows
     that repeat a doc_id are documents of their own; which of equally long ones gets a
-    copy more is decided by a hash of the id. Reruns agree. An empty table gives no rows.
+    copy more is decided by a hash of the id. Reruns agree. Other columns of the input
+    are ignored. An empty table gives no rows.
 
     The driver holds one row for each source.
     """
@@ -135,11 +144,11 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, share: float = 1.0, cap: in
     named = spark.createDataFrame([tuple(r) for r in facts.astype(object).where(facts.notna(), None).itertuples(index=False)], "sid int, source string, total long, target double, mean double")
 
     part = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(PARTS)).cast("int")
-    numbered = rows.join(F.broadcast(named.select("sid", "source", F.col("total").alias("source_size"), "target")), rows["source"].eqNullSafe(named["source"])).select("doc_id", "sid", "size", "source_size", "target", part.alias("part"))
+    numbered = rows.join(_small(named.select("sid", "source", F.col("total").alias("source_size"), "target"), len(facts)), rows["source"].eqNullSafe(named["source"])).select("doc_id", "sid", "size", "source_size", "target", part.alias("part"))
     cells = stage(numbered.where("size > 0").groupBy("sid", "size", "part").agg(F.count("*").alias("n")), "cells")
     hist = stage(cells.groupBy("sid", "size").agg(F.sum("n").alias("n")), "sizes-of-sources")
     lam = _solve(hist, facts, cap, tolerance, most)
-    solved = F.broadcast(spark.createDataFrame([(int(r.sid), float(lam[r.sid]), float(r.mean)) for r in facts.itertuples()], "sid int, lam double, mean double"))
+    solved = _small(spark.createDataFrame([(int(r.sid), float(lam[r.sid]), float(r.mean)) for r in facts.itertuples()], "sid int, lam double, mean double"), len(facts))
     tilt = F.col("lam") * F.col("size") / F.col("mean")
     rate = F.least(F.lit(float(cap)), F.exp(F.least(tilt, F.lit(50.0))))
     # one group holds a source's different sizes, not its documents
