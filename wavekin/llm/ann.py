@@ -11,9 +11,9 @@ Largest inner product is turned into nearest direction by one more coordinate, w
 brings every stored vector to the largest norm; queries have 0 there.
 
 The rows are spread over segments by a hash of their id; each segment is indexed by a
-forest of its own and written to the shared folder. Queries meet every segment in
-blocks, so a task holds one segment and one block, and only each segment's best come
-together.
+forest of its own, whose sorted arrays are written to the shared folder. The queries are a stated set. They
+are broadcast in blocks of bounded size, so a task holds one segment and one block, and only
+each segment's best come together.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import stage, table
 
 TREES, BITS = 32, 24
-#: Rows of a segment and of a block of queries, about.
+#: Rows of a segment, about, and queries that a task looks up at a time.
 SEGMENT, BLOCK = 8192, 512
+#: Bytes of queries that are broadcast at a time; the index is read once for each block of them.
+QUERY_BYTES = 64 << 20
 #: Entries of the ranges of all trees, as a share of the segment's rows, that end the ascent.
 #: The test embeddings have no clusters (20th neighbours at 68 degrees, all others at 90), so wide ranges are needed.
 BUDGET = 0.9
@@ -49,10 +51,13 @@ def hash_strings(vectors: np.ndarray, planes: np.ndarray, trees: int = TREES, bi
 class Forest:
     """Sorted hash strings of one segment's vectors."""
 
-    def __init__(self, strings: np.ndarray, bits: int = BITS):
-        self.bits = bits
-        self.order = np.argsort(strings, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(strings, self.order, axis=0)
+    def __init__(self, order: np.ndarray, ordered: np.ndarray, bits: int = BITS):
+        self.order, self.sorted, self.bits = order, ordered, bits
+
+    @staticmethod
+    def plant(strings: np.ndarray, bits: int = BITS) -> Forest:
+        order = np.argsort(strings, axis=0, kind="stable").astype(np.int32)
+        return Forest(order, np.take_along_axis(strings, order, axis=0), bits)
 
     def ranges(self, strings: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(low, high) of the entries that share the queries' first ``length`` bits, each (queries, trees)."""
@@ -92,52 +97,64 @@ def _usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def build_index(rows: DataFrame, dim: int, largest: float, segments: int) -> DataFrame:
-    """One row for each segment: (segment, n, ids, vectors, strings), packed arrays, staged. ``rows`` are (vec_id, v)."""
+    """One row for each segment: (segment, n, ids, vectors, places, sorted), packed arrays, staged. ``rows`` are (vec_id, v)."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
         x = np.array(pdf["v"].tolist(), dtype=np.float64)
         rest = np.sqrt(np.maximum(0, largest**2 - (x**2).sum(axis=1)))[:, None]
-        strings = hash_strings(np.hstack([x, rest]), directions(dim + 1))
-        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "n": [len(pdf)], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "strings": [strings.tobytes()]})
+        forest = Forest.plant(hash_strings(np.hstack([x, rest]), directions(dim + 1)))
+        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "n": [len(pdf)], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "places": [forest.order.tobytes()], "sorted": [forest.sorted.tobytes()]})
 
     keyed = rows.select(F.pmod(F.xxhash64("vec_id", F.lit("segment")), F.lit(segments)).cast("int").alias("segment"), "vec_id", "v")
-    return stage(keyed.repartition(segments, "segment").groupBy("segment").applyInPandas(pack, "segment int, n int, ids binary, vectors binary, strings binary"), "forest")
-
+    return stage(keyed.repartition(segments, "segment").groupBy("segment").applyInPandas(pack, "segment int, n int, ids binary, vectors binary, places binary, sorted binary"), "forest")
 
-def search(index: DataFrame, queries: DataFrame, dim: int, k: int, *, budget: float = BUDGET, least: int = LEAST, blocks: int = 1) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``k`` best found for each query (query_id, v), not itself."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["v"].tolist(), dtype=np.float64)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "q_ids": [pdf["query_id"].to_numpy(np.int64).tobytes()], "q": [x.tobytes()]})
 
-    keyed = queries.select(F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), "query_id", "v")
-    packed = stage(keyed.repartition(blocks, "block").groupBy("block").applyInPandas(pack, "block int, q_ids binary, q binary"), "queries")
+def _asked(queries: DataFrame, dim: int) -> DataFrame:
+    """(query_id, v, strings), staged."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes = directions(dim + 1)
         for pdf in batches:
-            for r in pdf.itertuples():
-                ids = np.frombuffer(r.ids, np.int64)
-                x = np.frombuffer(r.vectors).reshape(len(ids), dim)
-                forest = Forest(np.frombuffer(r.strings, np.uint32).reshape(len(ids), TREES))
-                q_ids = np.frombuffer(r.q_ids, np.int64)
-                q = np.frombuffer(r.q).reshape(len(q_ids), dim)
-                strings = hash_strings(np.hstack([q, np.zeros((len(q), 1))]), planes)
-                out = []
-                for i, rows in enumerate(forest.candidates(strings, max(least, int(budget * len(ids))))):
-                    rows = rows[ids[rows] != q_ids[i]]
-                    score = np.einsum("ij,j->i", x[rows], q[i])
-                    # ids ascend within a segment, so a stable order settles ties by the smaller id
-                    best = np.argsort(-score, kind="stable")[:k]
-                    out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[rows[best]], "score": score[best]}))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
-
-    # the stated queries in blocks against packed segments: one row for each pair of blocks
-    pairs = index.crossJoin(packed)
-    found = pairs.select("ids", "vectors", "strings", "q_ids", "q").mapInPandas(run, "query_id long, vec_id long, score double")
+            if len(pdf):
+                x = np.array(pdf["v"].tolist(), dtype=np.float64)
+                yield pdf.assign(strings=[s.tobytes() for s in hash_strings(np.hstack([x, np.zeros((len(x), 1))]), planes)])
+
+    return stage(queries.select("query_id", "v").mapInPandas(run, "query_id long, v array<double>, strings binary"), "queries")
+
+
+def search(index: DataFrame, queries: DataFrame, dim: int, k: int, *, budget: float = BUDGET, least: int = LEAST, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the ``k`` best found for each query (query_id, v), not itself."""
+    asked = _asked(queries, dim)
+    context = asked.sparkSession.sparkContext
+    blocks = max(1, -(-asked.count() * (dim * 8 + TREES * 4) // query_bytes))
+    found = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(blocks)) == b).toPandas().sort_values("query_id")
+        held = context.broadcast((part["query_id"].to_numpy(np.int64), np.array(part["v"].tolist(), dtype=np.float64).reshape(len(part), dim), np.frombuffer(b"".join(part["strings"]), np.uint32).reshape(len(part), TREES)))
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            q_ids, q, strings = held.value
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    ids = np.frombuffer(r.ids, np.int64)
+                    x = np.frombuffer(r.vectors).reshape(len(ids), dim)
+                    forest = Forest(np.frombuffer(r.places, np.int32).reshape(len(ids), TREES), np.frombuffer(r.sorted, np.uint32).reshape(len(ids), TREES))
+                    for lo in range(0, len(q_ids), BLOCK):
+                        out = []
+                        for i, rows in enumerate(forest.candidates(strings[lo : lo + BLOCK], max(least, int(budget * len(ids)))), lo):
+                            rows = rows[ids[rows] != q_ids[i]]
+                            score = np.einsum("ij,j->i", x[rows], q[i])
+                            # ids ascend within a segment, so a stable order settles ties by the smaller id
+                            best = np.argsort(-score, kind="stable")[:k]
+                            out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[rows[best]], "score": score[best]}))
+                        if out:
+                            yield pd.concat(out, ignore_index=True)
+
+        # written, so that the driver holds one block of queries at a time
+        one = stage(index.select("ids", "vectors", "places", "sorted").mapInPandas(run, "query_id long, vec_id long, score double"), "found")
+        held.destroy()
+        found = one if found is None else found.unionByName(one)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -149,7 +166,8 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
     is null, empty, zero, or holds a null or non-finite component take no part, nor do
     rows without an id or, as candidates, rows of another length than the commonest. A
     row that repeats id and vector counts once. With fewer candidates than ``k`` all found are returned. Ids are
-    taken as unique; of rows that share one, each is a candidate of its own.
+    taken as unique; of rows that share one, each is a candidate of its own. Other columns of
+    the inputs are ignored. An empty table gives no rows.
     """
     rows = stage(_usable(corpus, id_col, vector_col).distinct(), "vectors")
     sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
@@ -161,7 +179,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     largest = rows.agg(F.max(norm)).first()[0]
     index = build_index(rows, dim, largest, -(-n // SEGMENT))
-    return search(index, asked, dim, k, budget=budget, least=least, blocks=-(-asked.count() // BLOCK) or 1)
+    return search(index, asked, dim, k, budget=budget, least=least)
 
 
 def op4_ann(spark, sf_dir: str) -> DataFrame:
