@@ -21,6 +21,8 @@ PIECE = 1 << 18
 CALIBRATION = 0.25
 #: Share of calibration texts that rejection may cost.
 REJECTED = 0.002
+#: Languages whose counts are broadcast, at most.
+BROADCAST_LANGS = 100_000
 #: Length classes, powers of 2 of subwords.
 SIZES = 24
 #: Calibration texts that a floor needs; it lies FLOOR_REACH times as far below their median as the FLOOR_SHARE least typical of them begin.
@@ -237,8 +239,8 @@ def train(docs: DataFrame, *, max_per_lang: int = 1000, max_rows: int = 20_000)
     counts = rows.groupBy("lang").count()
     langs = counts.count()
     each = min(max_per_lang, max(1, max_rows // max(1, langs)))
-    # one row a language
-    sample = rows.join(counts, "lang").where(F.col("h") < F.least(F.lit(1.0), F.lit(each) / F.col("count")) * (1 << 30) + 1)
+    # one row a language; texts are shuffled only where there are very many
+    sample = rows.join(F.broadcast(counts) if langs <= BROADCAST_LANGS else counts, "lang").where(F.col("h") < F.least(F.lit(1.0), F.lit(each) / F.col("count")) * (1 << 30) + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

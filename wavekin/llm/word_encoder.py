@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Words an encoder remembers at most; then the half that was seen more rarely is forgotten.
-MEMO = 400_000
+MEMO = 300_000
 #: Bytes of text cut into words at a time; longer texts are cut at blanks, which changes no id.
-PIECE = 1 << 22
+PIECE = 1 << 20
 #: Unknown words handed to the tokenizer at a time.
 LEARN = 2000
 
