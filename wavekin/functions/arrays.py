@@ -138,6 +138,18 @@ def sfa_word(c: Column, bins: list[list[float]]) -> Column:
     return F.transform(c, lambda x, i: symbol(x, table[i], "right"))
 
 
+def sfa_ends(word: Column, bins: list[list[float]]) -> Column:
+    """array of (lo, hi): the edges of each symbol's bin; the outermost bins end at the outermost edges."""
+    table = F.array(*[literal_array(b) for b in bins])
+    last = F.lit(len(bins[0]) - 1)
+
+    def ends(s, i):
+        edges, at = table[i], s.cast("int")
+        return F.struct(edges[F.greatest(at - 1, F.lit(0))].alias("lo"), edges[F.least(at, last)].alias("hi"))
+
+    return F.transform(word, ends)
+
+
 def root_key(word: Column, bits: int) -> Column:
     """The top bits of all symbols as one number, segment 0 most significant."""
     return F.aggregate(word, F.lit(0).cast("long"), lambda a, s: a * 2 + F.shiftright(s.cast("int"), bits - 1).cast("long"))

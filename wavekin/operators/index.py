@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..config import SeriesConfig
 from ..functions import arrays as A
 from ..functions.kernels import summarise
+from ..sources.matrix import shared_folder
 from .learning import SfaModel, learn
 
 
@@ -112,23 +113,31 @@ def node_splits(nodes: DataFrame, config: SeriesConfig) -> DataFrame:
 
 
 def _split_large(nodes: DataFrame, config: SeriesConfig, limit: int) -> DataFrame:
-    """nodes, with those of more than ``limit`` words split level by level until none is left that a split can part."""
+    """nodes, with those of more than ``limit`` words split level by level until none is left that a split can part.
+
+    Each level is written to the shared folder, which keeps the plan short.
+    """
+    spark, schema, held = nodes.sparkSession, nodes.schema, None
     while True:
         sizes = nodes.groupBy("root_key", "node").agg(F.count("*").alias("words"), F.sum("count").alias("rows"))
         large = sizes.where((F.col("words") > limit) & (F.col("rows") > config.leaf_size)).select("root_key", "node")
         chosen = node_splits(nodes.join(large, ["root_key", "node"], "left_semi"), config).persist()
         if not chosen.count():
+            chosen.unpersist()
             return nodes
         bit = F.expr(f"shiftright(cast(word[seg] as int), cast({config.bits} - used[seg] - 1 as int)) & 1")
         deeper = F.transform("used", lambda u, i: F.when(i == F.col("seg"), u + 1).otherwise(u))
         parted = F.col("seg").isNotNull()
-        before, nodes = nodes, nodes.join(chosen, ["root_key", "node"], "left").select(
+        split = nodes.join(chosen, ["root_key", "node"], "left").select(
             "root_key", F.when(parted, F.concat_ws("/", "node", F.concat_ws(".", "seg", bit))).otherwise(F.col("node")).alias("node"),
             F.when(parted, deeper).otherwise(F.col("used")).alias("used"), F.when(parted, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), "word_key", "word", "count",
-        ).persist()
-        nodes.count()
+        )
+        path = f"{shared_folder(spark)}/nodes-{uuid.uuid4().hex}"
+        split.write.parquet(path)
         chosen.unpersist()
-        before.unpersist()
+        if held is not None:
+            remove(spark, held)
+        nodes, held = spark.read.schema(schema).parquet(path), path
 
 
 def leaf_of_words(words: DataFrame, config: SeriesConfig, limit: int = WORDS_IN_TASK) -> DataFrame:

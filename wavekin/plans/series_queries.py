@@ -60,20 +60,24 @@ def src_text_parse(spark, d):
 
 @query("SELECT CAST(label AS BIGINT) AS label, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY label")
 def src_labels(spark, d):
+    """Class ids written as a file of their own and joined by row with the series."""
+    from ..sources.matrix import read_labels, shared_folder, write_matrix
+
     e = X.embeddings(spark, d)
-    return e.select("series_id").join(e.select("series_id", "label"), "series_id").groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"), F.min("series_id").alias("first_id"))
+    path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
+    write_matrix(e.select("series_id", F.array(F.col("label").cast("double")).alias("values")), path, "int64")
+    return e.select("series_id").join(read_labels(spark, path), "series_id").groupBy("label").agg(F.count("*").alias("n"), F.min("series_id").alias("first_id"))
 
 
 def _binary(spark, d, dtype):
     """A binary matrix written by our sink to a shared folder and read back by our source."""
-    from ..sources.matrix import register, shared_folder, write_matrix
+    from ..sources.matrix import read_matrix, shared_folder, write_matrix
 
-    register(spark)
     scale = 1.0 if dtype == "float32" else 100.0
     v = F.transform(V(), lambda x: F.round(F.abs(x) * scale) if dtype == "uint8" else x)
     path = f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex}"
     write_matrix(X.embeddings(spark, d).select("series_id", v.alias("values")), path, dtype)
-    return spark.read.format("series_matrix").option("path", path).option("n", 64).option("dtype", dtype).load()
+    return read_matrix(spark, path, 64, dtype)
 
 
 @query(X.explode_sql(X.EMB, "emb", "v"))
@@ -271,6 +275,26 @@ def prj_reconstruct(spark, d):
     return X.exploded(c, ["series_id"], A.inverse_dft(F.col("c"), 64, KS))
 
 
+_BAND_SQL = f"""WITH {X.WALK}, {X.zn('walk')}, {_dft_sql('zn', KS)}, {_FLAT}, {_EW},
+sym AS ({_SFA_SYMBOLS}),
+ends AS (SELECT s.series_id, s.seg, coalesce(a.edge, f.a) AS lo, coalesce(b.edge, f.b) AS hi FROM sym s JOIN (SELECT seg, min(edge) AS a, max(edge) AS b FROM edges GROUP BY seg) f ON f.seg = s.seg LEFT JOIN edges a ON a.seg = s.seg AND a.bin = s.sym - 1 LEFT JOIN edges b ON b.seg = s.seg AND b.bin = s.sym),
+side AS (SELECT series_id, list(lo ORDER BY seg) AS l, list(hi ORDER BY seg) AS h FROM ends GROUP BY series_id)
+SELECT series_id, CAST(unnest(range(64)) AS BIGINT) AS pos, round(unnest(list_transform(range(64), lambda j: list_sum(list_transform(range(8), lambda k: (l[2 * k + 1] * cos(2 * pi() * k * j / 64) + l[2 * k + 2] * sin(2 * pi() * k * j / 64)) * CASE WHEN k = 0 THEN 1 ELSE 2 END / 8.0)))), 5) + 0.0 AS lower, round(unnest(list_transform(range(64), lambda j: list_sum(list_transform(range(8), lambda k: (h[2 * k + 1] * cos(2 * pi() * k * j / 64) + h[2 * k + 2] * sin(2 * pi() * k * j / 64)) * CASE WHEN k = 0 THEN 1 ELSE 2 END / 8.0)))), 5) + 0.0 AS upper FROM side"""
+
+
+@query(_BAND_SQL)
+def prj_sfa_band(spark, d):
+    """The series of the lower and of the upper ends of a word's bins."""
+    c = SeriesConfig(n=64, summarization="sfa", binning="equi-width", sample=(1 << 40, "hash"))
+    z = I.SeriesIndex.prepare(X.walk(spark, d), c)
+    model = L.learn(z, c)
+    words = I.SeriesIndex.summarise(z, c, model)
+    band = words.select("series_id", A.sfa_ends(F.col("word"), model.bins).alias("e"))
+    sides = [A.inverse_dft(F.transform("e", lambda e: e[side]), 64, model.coefficients).alias(name) for side, name in (("lo", "lower"), ("hi", "upper"))]
+    both = band.select("series_id", F.posexplode(F.arrays_zip(*sides)).alias("pos", "x"))
+    return both.select("series_id", F.col("pos").cast("long").alias("pos"), *[(F.round(F.col("x")[n], 5) + 0.0).alias(n) for n in ("lower", "upper")])
+
+
 @query(f"WITH {X.USERS}, z AS (SELECT series_id, list_transform(v, lambda x: x - list_avg(v)) AS v FROM users) SELECT series_id, {X.r6_sql('len(list_filter(range(1, len(v)), lambda i: sign(v[i]) <> sign(v[i + 1]))) / CAST(len(v) AS DOUBLE)')} AS freq FROM z")
 def prj_zero_cross(spark, d):
     z = X.users(spark, d).withColumn("m", A.mean(V())).select("series_id", F.transform(V(), lambda x: x - F.col("m")).alias("values"))

@@ -2,18 +2,20 @@
 
 ``spark.read.format("series_matrix")`` gives (series_id, values); a row's id is its place in
 the file, or for a folder of parts written by ``write_matrix`` the first id in the part's
-name plus the place. Bytes are read through Spark's ``binaryFile`` reader where the path
-is not local, so any store that Spark knows will do.
+name plus the place. It reads ranges of files in parallel through ``pyarrow.fs``, which knows local
+and shared file systems by their URI. Stores that only Spark reaches are read with
+``read_remote`` through Spark's ``binaryFile`` reader; ``read_matrix`` chooses.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,7 +26,22 @@ SPLIT = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/wavekin"
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse; in local mode a local one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if spark.sparkContext.master.startswith("local"):
+        return "/tmp/checkpoints/wavekin"
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """(file system, path in it) of a URI or a local path."""
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/", 1)[0] else (fs.LocalFileSystem(), path)
+
+
+def _first_id(name: str) -> int:
+    return int(name.split("-")[1].split(".")[0]) if name.startswith("rows-") else 0
 
 
 class _Rows(InputPartition):
@@ -34,20 +51,24 @@ class _Rows(InputPartition):
 
 class _MatrixReader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
         self.n, self.dtype = int(options["n"]), np.dtype(DTYPES[options.get("dtype", "float32")])
         self.limit = int(options["rows"]) if "rows" in options else None
 
     def partitions(self):
         width = self.n * self.dtype.itemsize
-        files = [(self.path, 0)] if os.path.isfile(self.path) else sorted((os.path.join(self.path, f), int(f.split("-")[1].split(".")[0])) for f in os.listdir(self.path) if f.startswith("rows-"))
+        store, place = _file_system(self.path)
+        info = store.get_file_info(place)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        files = [info] if info.is_file else sorted((f for f in store.get_file_info(fs.FileSelector(place)) if f.base_name.startswith("rows-")), key=lambda f: f.base_name)
         parts, have = [], 0
-        for path, base in files:
-            rows = os.path.getsize(path) // width  # an incomplete last row is dropped
+        for f in files:
+            rows = f.size // width  # an incomplete last row is dropped
             have += rows
             step = max(1, SPLIT // width)
             for first in range(0, rows, step):
-                parts.append(_Rows(path, first, min(step, rows - first), base))
+                parts.append(_Rows(f.path, first, min(step, rows - first), _first_id(f.base_name) if not info.is_file else 0))
         if self.limit is not None:
             if have < self.limit:
                 raise ValueError(f"{self.limit} rows are asked for, the file has {have}")
@@ -59,7 +80,7 @@ class _MatrixReader(DataSourceReader):
         if not part.count:
             return
         width = self.n * self.dtype.itemsize
-        with open(part.path, "rb") as f:
+        with _file_system(self.path)[0].open_input_file(part.path) as f:
             f.seek(part.first * width)
             data = np.frombuffer(f.read(part.count * width), self.dtype).reshape(-1, self.n)
         for lo in range(0, len(data), 4096):
@@ -85,32 +106,56 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(MatrixSource)
 
 
-def read_remote(spark: SparkSession, path: str, n: int, dtype: str = "float32") -> DataFrame:
-    """The same rows through Spark's own file reader, a whole file to a task: for stores that only Spark reaches."""
+def read_matrix(spark: SparkSession, path: str, n: int, dtype: str = "float32", rows: int | None = None) -> DataFrame:
+    """(series_id, values), of the first ``rows`` rows if given, by the data source where ``pyarrow`` reaches the path, else by Spark's reader."""
+    try:
+        _file_system(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return read_remote(spark, path, n, dtype, rows)
+    register(spark)
+    reader = spark.read.format("series_matrix").option("path", path).option("n", n).option("dtype", dtype)
+    return (reader if rows is None else reader.option("rows", rows)).load()
+
+
+def read_remote(spark: SparkSession, path: str, n: int, dtype: str = "float32", rows: int | None = None) -> DataFrame:
+    """The same rows through Spark's own file reader, a whole file to a task: for stores that only Spark reaches.
+
+    With ``rows`` the first so many ids; parts that begin behind them are not read.
+    """
     kind = np.dtype(DTYPES[dtype])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                name = path.rsplit("/", 1)[-1]
-                base = int(name.split("-")[1].split(".")[0]) if name.startswith("rows-") else 0
-                rows = len(content) // (n * kind.itemsize)
-                data = np.frombuffer(content, kind, rows * n).reshape(rows, n)
-                for lo in range(0, rows, 4096):
+                base = _first_id(path.rsplit("/", 1)[-1])
+                count = len(content) // (n * kind.itemsize)
+                data = np.frombuffer(content, kind, count * n).reshape(count, n)
+                for lo in range(0, count, 4096):
                     block = data[lo : lo + 4096].astype(np.float64)
                     yield pd.DataFrame({"series_id": np.arange(lo, lo + len(block)) + base, "values": list(block)})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "series_id long, values array<double>")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    if rows is None:
+        return files.mapInPandas(run, "series_id long, values array<double>")
+    first = F.coalesce(F.regexp_extract("path", r"/rows-([0-9]+)[^/]*$", 1).try_cast("long"), F.lit(0))
+    return files.where(first < rows).mapInPandas(run, "series_id long, values array<double>").where(F.col("series_id") < rows)
+
+
+def read_labels(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """(series_id, label) from a file of int64 class ids, one for each row of a matrix."""
+    return read_matrix(spark, path, 1, "int64", rows).select("series_id", F.col("values")[0].cast("long").alias("label"))
 
 
 def write_matrix(series: DataFrame, path: str, dtype: str = "float32", rows_per_file: int = 1 << 20) -> None:
     """Write (series_id, values) as parts named by their first id: ``rows-<first id>.bin``. Ids must be 0, 1, 2 ... without gaps.
 
+    ``path`` is a folder that all executors share, as a URI or a mounted path.
+
     Each part is one contiguous range of ids, so parts can be joined to one file by name.
     """
     kind = DTYPES[dtype]
-    local = path.removeprefix("file://")
-    os.makedirs(local, exist_ok=True)
+    store, place = _file_system(path)
+    store.create_dir(place, recursive=True)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("series_id")
@@ -118,10 +163,12 @@ def write_matrix(series: DataFrame, path: str, dtype: str = "float32", rows_per_
         data = np.stack(pdf["values"].to_numpy()).astype(float)
         if np.dtype(kind).kind in "iu":
             data = np.rint(data)
-        temporary = f"{local}/.rows-{first:012d}-{os.getpid()}"
-        with open(temporary, "wb") as f:
+        store, place = _file_system(path)
+        # a task that runs twice moves the same bytes to the same name
+        temporary = f"{place}/.rows-{first:012d}-{uuid.uuid4().hex}"
+        with store.open_output_stream(temporary) as f:
             f.write(data.astype(kind).tobytes())
-        os.replace(temporary, f"{local}/rows-{first:012d}.bin")
+        store.move(temporary, f"{place}/rows-{first:012d}.bin")
         return pd.DataFrame({"first": [first], "n": [len(pdf)]})
 
     parts = series.withColumn("part", F.floor(F.col("series_id") / rows_per_file)).groupBy("part").applyInPandas(run, "first long, n long")
