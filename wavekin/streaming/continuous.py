@@ -43,7 +43,7 @@ def register_views(spark: SparkSession, answers: str, index=None) -> None:
     """Temporary views over the table of answers, new at every query: ``history``, one row a batch, and ``stats``, the totals, with those of the index if there is one."""
     rows = spark.read.schema("q_id long, rank int, series_id long, dist double, batch long").parquet(answers)
     rows.groupBy("batch").agg(F.count_distinct("q_id").alias("queries"), F.count("*").alias("answers"), F.avg("dist").alias("avg_dist")).createOrReplaceTempView("history")
-    totals = history(rows)
+    totals = rows.agg(F.count_distinct("q_id").alias("queries"), F.count("*").alias("answers"), F.avg("dist").alias("avg_dist"))
     (totals if index is None else totals.join(index.info(), how="cross")).createOrReplaceTempView("stats")
 
 
