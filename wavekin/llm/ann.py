@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import passing, stage, table
 
 TREES, BITS = 32, 24
 #: Rows of a segment, about, and queries that a task looks up at a time.
@@ -169,17 +169,18 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
     taken as unique; of rows that share one, each is a candidate of its own. Other columns of
     the inputs are ignored. An empty table gives no rows.
     """
-    rows = stage(_usable(corpus, id_col, vector_col).distinct(), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if sizes is None:
-        return corpus.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = sizes
-    rows = rows.where(F.size("v") == dim)
-    asked = _usable(queries, id_col, vector_col).where(F.size("v") == dim).select(F.col("vec_id").alias("query_id"), "v").distinct()
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    largest = rows.agg(F.max(norm)).first()[0]
-    index = build_index(rows, dim, largest, -(-n // SEGMENT))
-    return search(index, asked, dim, k, budget=budget, least=least)
+    with passing(corpus.sparkSession) as keep:
+        rows = stage(_usable(corpus, id_col, vector_col).distinct(), "vectors")
+        sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+        if sizes is None:
+            return corpus.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        dim, n = sizes
+        rows = rows.where(F.size("v") == dim)
+        asked = _usable(queries, id_col, vector_col).where(F.size("v") == dim).select(F.col("vec_id").alias("query_id"), "v").distinct()
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+        largest = rows.agg(F.max(norm)).first()[0]
+        index = build_index(rows, dim, largest, -(-n // SEGMENT))
+        return keep(stage(search(index, asked, dim, k, budget=budget, least=least), "nearest"))
 
 
 def op4_ann(spark, sf_dir: str) -> DataFrame:

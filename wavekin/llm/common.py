@@ -5,14 +5,16 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from contextlib import suppress
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHARED = "spark.checkpoint.dir"
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only in local mode where the session names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/wavekin"
 
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -23,22 +25,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: the session's ``spark.checkpoint.dir``, else a local one."""
-    return spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED) or LOCAL_SHARED
+    """The folder all executors see: the session's ``spark.checkpoint.dir``, else one in the warehouse; in local mode a local one."""
+    named = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED)
+    if named:
+        return named
+    return LOCAL_SHARED if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
-    The copy cuts lineage and survives the loss of any executor.
+    The copy cuts lineage and survives the loss of any executor. Inside ``passing`` it is deleted at the end.
     """
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    if (own := _PASSING.get()) is not None:
+        own.append(path)
+    return out
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables staged inside, at the end, but for those handed to the function that this gives.
+
+    Nothing that is used later may read the deleted ones, so results are to be staged inside as well.
+    """
+    outer, own, kept = _PASSING.get(), [], set()
+    token = _PASSING.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.staged_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _PASSING.reset(token)
+        for path in own:
+            if path not in kept:
+                remove(spark, path)
+            elif outer is not None:
+                outer.append(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import remove, stage
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stage(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        old, now = now, stage(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        remove(now.sparkSession, old.staged_path)
         after = _state(now)
         if after == before:
             return now.select("u", F.col("v").alias("root"))

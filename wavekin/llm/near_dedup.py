@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, stage, table
+from .common import passing, release, small_batches, stage, table
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -204,6 +204,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("s_a") + F.size("s_b") - both) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the candidate pairs that are linked, staged."""
+    likely = stage(_likely(pairs, reps, percent), "likely")
+    return stage(_verified(likely, _sets_of(docs, _ends(likely)), percent), "links")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
@@ -241,19 +247,16 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     hubs = bands.groupBy("k").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("other")).where("hub.node <> other").select("k", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     buckets = stage(bands.join(hubs, "k").select("k", "node", "n", "hub", "hub_n"), "buckets")
 
+    spark = docs.sparkSession
     pairs = buckets.where("node <> hub").where(_fits("n", "hub_n", percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    likely = stage(_likely(pairs, reps, percent), "likely")
-    sets = _sets_of(docs, _ends(likely))
-    links = stage(_verified(likely, sets, percent), "links")
     # rows of one document with different sets hang together as well
     same = full.join(classes, ["d1", "d2"]).where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
-    roots = components(links.unionByName(same))
-
-    rest = stage(_open_pairs(docs, buckets, roots, percent), "open")
-    likely = stage(_likely(rest, reps, percent), "likely")
-    sets = _sets_of(docs, _ends(likely))
-    more = stage(_verified(likely, sets, percent), "links")
-    roots = stage(components(roots.select("u", F.col("root").alias("v")).unionByName(more)), "roots")
+    with passing(spark) as keep:
+        links = _links(pairs, docs, reps, percent)
+        first = keep(stage(components(links.unionByName(same)), "roots"))
+    with passing(spark) as keep:
+        more = _links(stage(_open_pairs(docs, buckets, first, percent), "open"), docs, reps, percent)
+        roots = keep(stage(components(first.select("u", F.col("root").alias("v")).unionByName(more)), "roots"))
 
     of_class = _rooted(classes.select("d1", "d2", F.col("rep").alias("node")), roots).select("d1", "d2", "root")
     named = sk.where("n > 0").join(of_class, ["d1", "d2"]).select("doc_id", "n", "root")
