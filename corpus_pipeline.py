@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavekin.llm import decontam, langid, mixing, near_dedup, token_store
-from wavekin.llm.common import stage, table, tidy
+from wavekin.llm.common import passing, remove, stage, table, tidy
 
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -90,8 +90,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written as Parquet and read again, and then what led to it is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), name)
+        with passing(spark) as keep:
+            docs = keep(stage(apply(spark, docs, sf_dir), name))
+        if before is not None:
+            remove(spark, before)
+        before = docs.staged_path
     return STAGES[-1][1](spark, docs, sf_dir)
