@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Words an encoder remembers at most; then the half that was seen more rarely is forgotten.
-MEMO = 300_000
+MEMO = 200_000
 #: Bytes of text cut into words at a time; longer texts are cut at blanks, which changes no id.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Unknown words handed to the tokenizer at a time.
 LEARN = 2000
 
@@ -107,17 +107,21 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = memo
-        parts = json.loads(self.tokenizer.to_str())
-        added = [a["content"] for a in parts["added_tokens"]]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Every added token begins with this; texts that have it go through the tokenizer.
         self.special = os.path.commonprefix(added).encode()
-        model = parts["model"]
-        kind = (parts["normalizer"], parts["pre_tokenizer"], model["type"], model.get("end_of_word_suffix"), model.get("dropout"), model.get("continuing_subword_prefix"), bool(model.get("ignore_merges")))
+        model = self.tokenizer.model
+        # asked part by part: the whole description with its vocabulary would take tens of megabytes
+        shape = lambda part: None if part is None else json.loads(part.__getstate__())
         #: Whether the byte classes stand for this tokenizer.
-        self.plain = kind == (NORMALIZER, PRE_TOKENIZER, "BPE", "</w>", None, None, False) and (not added or bool(self.special))
+        self.plain = (
+            type(model).__name__ == "BPE" and model.end_of_word_suffix == "</w>" and not model.dropout and not model.continuing_subword_prefix and not model.ignore_merges
+            and shape(self.tokenizer.normalizer) == NORMALIZER and shape(self.tokenizer.pre_tokenizer) == PRE_TOKENIZER and (not added or bool(self.special))
+        )
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        del vocabulary
         self._forget_all()
 
     def _forget_all(self) -> None:
