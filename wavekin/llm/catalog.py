@@ -1,11 +1,11 @@
-"""Queries over the training-data tables, and their SQL where SQL can express them."""
+"""Queries over the training-data tables, and their SQL where SQL can express them. ``__spark_entry__`` adds the pipeline."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from .ann import op4_ann
+from .ball_kmeans import op12_ball_kmeans
 from .decontam import op6_decontaminate
+from .importance import op13_importance_resampling
 from .langid import op3_language_id
 from .mixing import op5_mix
 from .near_dedup import op7_near_dedup
@@ -17,8 +17,11 @@ from .urls import op1_url_filter
 
 
 def queries() -> dict:
-    ops = (op1_url_filter, op2_sharding, op3_language_id, op4_ann, op5_mix, op6_decontaminate, op7_near_dedup, op8_token_store, op9_pii, op10_secrets)
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    ops = (
+        op1_url_filter, op2_sharding, op3_language_id, op4_ann, op5_mix, op6_decontaminate, op7_near_dedup,
+        op8_token_store, op9_pii, op10_secrets, op12_ball_kmeans, op13_importance_resampling,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
