@@ -9,6 +9,7 @@ from .importance import op13_importance_resampling
 from .langid import op3_language_id
 from .mixing import op5_mix
 from .near_dedup import op7_near_dedup
+from .page_templates import op11_html_templates
 from .pii import op9_pii
 from .secrets import op10_secrets
 from .sharding import op2_sharding
@@ -19,7 +20,7 @@ from .urls import op1_url_filter
 def queries() -> dict:
     ops = (
         op1_url_filter, op2_sharding, op3_language_id, op4_ann, op5_mix, op6_decontaminate, op7_near_dedup,
-        op8_token_store, op9_pii, op10_secrets, op12_ball_kmeans, op13_importance_resampling,
+        op8_token_store, op9_pii, op10_secrets, op11_html_templates, op12_ball_kmeans, op13_importance_resampling,
     )
     return {f.__name__: f for f in ops}
 
