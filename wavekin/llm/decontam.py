@@ -4,10 +4,11 @@ The index stores, for every word of the benchmark, where the training texts have
 postings (term, text, position). A phrase is found by intersecting the lists of its
 terms, shifted by their offsets, starting at the rarest. Equal texts share one entry.
 
-A posting is kept only where it can be part of a phrase: an occurrence of a phrase is a
-run of benchmark words at least as long as the phrase, so postings in shorter runs than
-the shortest phrase with that term are left out. This loses nothing and makes the
-index follow the benchmark's traces in the corpus, not the corpus.
+A posting enters the lists only where it can be part of a match. An occurrence of a phrase is a
+run of benchmark words at least as long as the phrase, so the runs shorter than the
+shortest phrase with that term give no exact match. A proximity match lies around a posting of a
+phrase's rarest term, so of all other postings those far from such ones are left out. This
+loses nothing and makes the lists follow the benchmark's traces in the corpus, not the corpus.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import passing, release, small_batches, stage, table
 WINDOW = 10
 #: Different benchmark words whose dictionary goes to the driver and the tasks, at most; beyond it the words of all documents are joined with them by a shuffle.
 VOCABULARY = 1_000_000
+#: Bytes of these words, at most.
+VOCABULARY_BYTES = 32 << 20
 #: Rows of a side that is broadcast, at most.
 BROADCAST_ROWS = 300_000
 #: Words within which a proximity match must lie.
@@ -77,10 +80,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, tuple[int, int]]) -> DataFrame:
+def in_runs(terms: np.ndarray, positions: np.ndarray, shortest: np.ndarray) -> np.ndarray:
+    """Which postings of a text lie in a run of consecutive positions that is at least as long as their term's shortest phrase."""
+    if not len(terms):
+        return np.zeros(0, dtype=bool)
+    edge = np.flatnonzero(np.diff(positions, prepend=-2) != 1)
+    length = np.diff(edge, append=len(positions))
+    return np.repeat(length, length) >= shortest[terms]
+
+
+def near_first(terms: np.ndarray, positions: np.ndarray, first: np.ndarray, rare: np.ndarray, span: int) -> np.ndarray:
+    """Which postings have a ``rare`` term and lie less than ``span`` words from a posting of a ``first`` term."""
+    at = positions[first[terms]]
+    if not len(at):
+        return np.zeros(len(terms), dtype=bool)
+    place = np.searchsorted(at, positions)
+    before = positions - at[np.maximum(place - 1, 0)]
+    after = at[np.minimum(place, len(at) - 1)] - positions
+    # a neighbour that is missing on one side is the one of the other, whose distance is then negative
+    gap = np.minimum(np.where(before >= 0, before, span), np.where(after >= 0, after, span))
+    return rare[terms] & (gap < span)
+
+
+def build_index(docs: DataFrame, terms: dict[bytes, tuple[int, int]], whole: bool = False) -> DataFrame:
     """(doc_id, text_key, n_words, terms, positions) of every document, staged.
 
-    ``terms`` maps a word to (its number, the shortest run of known words it counts in).
+    ``terms`` maps a word to (its number, the shortest run of known words it counts in); with ``whole`` postings in shorter runs are kept as well.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,33 +113,64 @@ def build_index(docs: DataFrame, terms: dict[bytes, tuple[int, int]]) -> DataFra
         for number, least in terms.values():
             shortest[number] = least
         number_of = {w: n for w, (n, _) in terms.items()}
-        none = np.zeros(0, dtype=np.int32)
         for pdf in batches:
             sizes, found, places = [], [], []
             for text in pdf["text"]:
                 words = words_of(text)
                 ids = np.fromiter((number_of.get(w, -1) for w in words), dtype=np.int32, count=len(words))
-                known = ids >= 0
-                keep = none
-                if known.any():
-                    edge = np.flatnonzero(np.diff(known.astype(np.int8), prepend=0, append=0))
-                    length = np.repeat(edge[1::2] - edge[::2], edge[1::2] - edge[::2])
-                    at = np.flatnonzero(known)
-                    keep = at[length >= shortest[ids[at]]]
+                at = np.flatnonzero(ids >= 0)
+                if not whole:
+                    at = at[in_runs(ids[at], at, shortest)]
                 sizes.append(len(words))
-                found.append(ids[keep])
-                places.append(keep.astype(np.int32))
+                found.append(ids[at])
+                places.append(at.astype(np.int32))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_key": pdf["text_key"], "n_words": sizes, "terms": found, "positions": places})
         release()
 
     return stage(_keyed(docs).mapInPandas(run, _ROWS), "postings")
 
 
-def build_large_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The same for more ``terms`` (word, term, least) than a task should hold: the different words of each text are joined with them.
+def term_counts(index: DataFrame, count: int) -> np.ndarray:
+    """Postings of each of ``count`` terms in all rows; tasks add up their own rows first."""
 
-    Postings in short runs are not left out here, which changes no match.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(count, dtype=np.int64)
+        for batch in batches:
+            held += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=count)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some])], ["term", "n"])
+
+    out = np.zeros(count, dtype=np.int64)
+    got = index.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[got["term"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def useful_postings(index: DataFrame, shortest: np.ndarray, first: np.ndarray, rare: np.ndarray, span: int) -> DataFrame:
+    """``index`` with the postings of long enough runs and those of ``rare`` terms near ``first`` terms."""
+    held = index.sparkSession.sparkContext.broadcast((shortest, first, rare))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, some, more = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found, places, sizes = [], [], [0]
+            for terms, positions in zip(batch.column("terms"), batch.column("positions"), strict=True):
+                t, p = terms.values.to_numpy(), positions.values.to_numpy()
+                keep = in_runs(t, p, least) | near_first(t, p, some, more, span)
+                found.append(t[keep])
+                places.append(p[keep])
+                sizes.append(int(keep.sum()))
+            ends = pa.array(np.cumsum(sizes).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int32))) for x in (found, places)]
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), *lists], ["text_key", "terms", "positions"])
+
+    return index.where(F.size("terms") > 0).select("text_key", "terms", "positions").mapInArrow(run, "text_key string, terms array<int>, positions array<int>")
+
+
+def build_large_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The same for more ``terms`` (word, term) than a task should hold, with all postings: the words of each text are joined with them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -141,10 +197,11 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def ranked_terms(lists: DataFrame, phrase_terms: DataFrame) -> DataFrame:
-    """phrase_terms with rank, staged: 1 for the term of a phrase with the shortest list."""
-    frequency = lists.groupBy("term").agg(F.count("*").alias("f"))
-    by_rarity = Window.partitionBy("phrase").orderBy(F.coalesce("f", F.lit(0)), "term", "offset")
+def ranked_terms(lists: DataFrame, phrase_terms: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
+    """phrase_terms (phrase, offset, term, length[, word]) with rank, staged: 1 for the term of a phrase with the shortest list, or by ``frequency`` (term, f); ties to the smaller word, or term."""
+    if frequency is None:
+        frequency = lists.groupBy("term").agg(F.count("*").alias("f"))
+    by_rarity = Window.partitionBy("phrase").orderBy(F.coalesce("f", F.lit(0)), "word" if "word" in phrase_terms.columns else "term", "offset")
     # a phrase has as many rows as the window has words
     return stage(phrase_terms.join(frequency, "term", "left").withColumn("rank", F.row_number().over(by_rarity)), "ranked")
 
@@ -178,8 +235,8 @@ def exact_matches(lists: DataFrame, ranked: DataFrame) -> DataFrame:
 def near_matches(lists: DataFrame, ranked: DataFrame, span: int = SPAN) -> DataFrame:
     """(phrase, text_key): texts in which the three rarest terms of a phrase (fewer, if it has fewer) lie less than ``span`` words from the rarest, in any order.
 
-    Postings are those of the index. Each posting of the rarest term asks for the others
-    in its own and the neighbouring stretches of ``span`` words, so no pair of
+    A word that stands twice in a phrase counts as two of its terms. Each posting of the rarest term asks
+    for the others in its own and the neighbouring stretches of ``span`` words, so no pair of
     far positions is made.
     """
     block = lambda pos: F.floor(F.col(pos) / span)
@@ -212,15 +269,16 @@ def proximity_matches(index: DataFrame, phrase_terms: DataFrame, span: int, leas
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, vocabulary: int = VOCABULARY, span: int | None = None) -> DataFrame:
     """Mark the words of every document that lie in an occurrence of a benchmark window.
 
-    Returns (doc_id, n_words, n_hit, n_items, items_sha256, contaminated), and with ``span`` n_near: the items with a
-    proximity match (see ``near_matches``), exact or not, which decide nothing. Null texts, and texts without words, have
+    Returns (doc_id, n_words, n_hit, n_items, items_sha256, contaminated), and with ``span`` n_near: the items of a
+    window whose three rarest words (by their occurrences in all documents) lie within ``span`` words of the rarest, exact match or
+    not; they decide nothing. Null texts, and texts without words, have
     0 words and no hits; benchmark items that are null or have no words match nothing;
     an item whose id is null counts as the item ''. Items with equal windows all count.
     Rows that repeat a doc_id are judged by their own text each. Other columns of both tables are ignored.
     With an empty benchmark nothing is hit; empty documents give no rows.
 
     Documents are read once. Windows stay with Spark; the driver holds at most ``vocabulary``
-    different benchmark words, and none where there are more.
+    different benchmark words of 32 MB, and none where there are more; the result is the same.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -228,17 +286,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     with passing(spark) as keep:
         phrase_words, owners = benchmark_phrases(benchmark, window)
         least = phrase_words.groupBy("word").agg(F.min("length").alias("least"))
-        few = least.limit(vocabulary + 1).collect()
-        if len(few) <= vocabulary:
-            few.sort(key=lambda r: r["word"])
-            terms = spark.createDataFrame(pa.table({"word": pa.array([r["word"] for r in few], pa.string()), "term": pa.array(range(len(few)), pa.int32())}), "word string, term int")
-            index = keep(build_index(docs, {r["word"].encode(): (n, r["least"]) for n, r in enumerate(few)}))
+        count, size = least.agg(F.count("*"), F.sum(F.octet_length("word"))).first()
+        if count <= vocabulary and (size or 0) <= VOCABULARY_BYTES:
+            few = sorted(map(tuple, least.collect()))
+            terms = spark.createDataFrame(pa.table({"word": pa.array([w for w, _ in few], pa.string()), "term": pa.array(range(len(few)), pa.int32())}), "word string, term int")
+            index = keep(build_index(docs, {w.encode(): (n, shortest) for n, (w, shortest) in enumerate(few)}, whole=span is not None))
         else:
+            few = None
             terms = stage(least.select("word", F.monotonically_increasing_id().alias("term")), "terms")
             index = keep(build_large_index(docs, terms))
-        phrase_terms = phrase_words.join(_small(terms.select("word", "term")), "word").select("phrase", "offset", "term", "length")
-        lists = stage(_lists(index), "lists")
-        ranked = ranked_terms(lists, phrase_terms)
+        phrase_terms = phrase_words.join(_small(terms.select("word", "term")), "word").select("phrase", "offset", "word", "term", "length")
+        if few is None or span is None:
+            lists = stage(_lists(index), "lists")
+            counts = index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("f"))
+            ranked = ranked_terms(lists, phrase_terms, None if span is None else counts)
+        else:
+            counts = pa.table({"term": pa.array(range(len(few)), pa.int32()), "f": term_counts(index, len(few))})
+            ranked = ranked_terms(index, phrase_terms, spark.createDataFrame(counts, "term int, f long"))
+            first, rare = np.zeros(len(few), dtype=bool), np.zeros(len(few), dtype=bool)
+            for term, rank in ranked.where("rank <= 3").select("term", "rank").distinct().collect():
+                rare[term] = True
+                first[term] |= rank == 1
+            lists = stage(_lists(useful_postings(index, np.array([shortest for _, shortest in few], dtype=np.int64), first, rare, span)), "lists")
         named = lambda found, *more: found.join(_small(owners), "phrase").select("text_key", "item", *more)
         hits = keep(stage(named(exact_matches(lists, ranked), "start", "length").distinct(), "hits"))
         if span is not None:
