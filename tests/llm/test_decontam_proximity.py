@@ -42,7 +42,7 @@ def test_foreign_words_inside_phrases(spark, vocabulary):
 
 
 @pytest.mark.parametrize("span", [4, 9, 20])
-def test_near_items_end_to_end(spark, span):
+def test_near_items_end_to_end(spark, span, monkeypatch):
     rng = np.random.default_rng(12)
     draw = lambda n: " ".join(f"w{int(x)}" for x in rng.zipf(1.2, size=n) % 90)
     items = [(str(i), draw(int(rng.integers(1, 30)))) for i in range(25)]
@@ -56,7 +56,9 @@ def test_near_items_end_to_end(spark, span):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
     want = brute_near(docs, items, span)
     rows = [sorted(map(tuple, decontam.decontaminate(d, b, vocabulary=v, span=span).collect())) for v in (3, 1_000_000)]
-    assert rows[0] == rows[1]
+    monkeypatch.setattr(decontam, "TRIPLES", 0)
+    rows.append(sorted(map(tuple, decontam.decontaminate(d, b, span=span).collect())))
+    assert rows[0] == rows[1] == rows[2]
     got = {r[0]: r[-1] for r in rows[0]}
     assert got == want and 0 < sum(v > 0 for v in want.values()) < len(docs)
 
@@ -75,4 +77,8 @@ def test_postings_near_a_first_term():
     assert decontam.near_first(terms, positions, first, rare, 4).tolist() == [False, True, True, False, False, False]
     assert decontam.near_first(terms, positions, first, rare, 5).tolist() == [False, True, True, True, False, False]
     assert not decontam.near_first(terms[:2], positions[:2], first, rare, 5).any()
+    triples = np.array([[2, 1, -1]])
+    assert decontam.in_triples(terms, positions, triples, 4).tolist() == [False, True, True, False, False, False]
+    assert decontam.in_triples(terms, positions, np.array([[2, 1, 0]]), 5).tolist() == [False] * 6
+    assert decontam.in_triples(terms, positions, np.array([[0, -1, -1], [2, 1, 0]]), 6).tolist() == [True, True, True, True, True, False]
     assert decontam.in_runs(np.array([0, 0, 0, 1]), np.array([1, 2, 4, 5]), np.array([2, 3])).tolist() == [True, True, True, False]

@@ -6,9 +6,10 @@ terms, shifted by their offsets, starting at the rarest. Equal texts share one e
 
 A posting enters the lists only where it can be part of a match. An occurrence of a phrase is a
 run of benchmark words at least as long as the phrase, so the runs shorter than the
-shortest phrase with that term give no exact match. A proximity match lies around a posting of a
-phrase's rarest term, so of all other postings those far from such ones are left out. This
-loses nothing and makes the lists follow the benchmark's traces in the corpus, not the corpus.
+shortest phrase with that term give no exact match. A proximity match is made of postings of a
+phrase's three rarest terms around one of the rarest, so of the other postings those that have no such
+company are left out. This loses nothing and makes the lists follow the benchmark's traces in the
+corpus, not the corpus.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ WINDOW = 10
 VOCABULARY = 1_000_000
 #: Bytes of these words, at most.
 VOCABULARY_BYTES = 32 << 20
+#: Different triples of rarest terms that go to the tasks, at most; of more only the single terms do.
+TRIPLES = 1_000_000
 #: Rows of a side that is broadcast, at most.
 BROADCAST_ROWS = 300_000
 #: Words within which a proximity match must lie.
@@ -146,19 +149,46 @@ def term_counts(index: DataFrame, count: int) -> np.ndarray:
     return out
 
 
-def useful_postings(index: DataFrame, shortest: np.ndarray, first: np.ndarray, rare: np.ndarray, span: int) -> DataFrame:
-    """``index`` with the postings of long enough runs and those of ``rare`` terms near ``first`` terms."""
-    held = index.sparkSession.sparkContext.broadcast((shortest, first, rare))
+def in_triples(terms: np.ndarray, positions: np.ndarray, triples: np.ndarray, span: int) -> np.ndarray:
+    """Which postings of a text take part in a proximity match: ``triples`` has rows of three terms, -1 for none, sorted by the first, the one that the others are near to."""
+    keep = np.zeros(len(terms), dtype=bool)
+    low, high = np.searchsorted(triples[:, 0], terms, "left"), np.searchsorted(triples[:, 0], terms, "right")
+    begun = np.flatnonzero(high > low)
+    if not len(begun):
+        return keep
+    dense = np.full(int(positions[-1]) + 2 * span, -2, dtype=np.int64)
+    dense[positions + span - 1] = np.arange(len(terms))
+    # every first posting with each of its triples
+    many = (high - low)[begun]
+    posting = np.repeat(begun, many)
+    triple = np.repeat(low[begun] - np.cumsum(many) + many, many) + np.arange(len(posting))
+    for lo in range(0, len(posting), 1 << 16):
+        at, three = posting[lo : lo + (1 << 16)], triples[triple[lo : lo + (1 << 16)]]
+        around = dense[positions[at][:, None] + np.arange(2 * span - 1)]
+        known = np.where(around >= 0, terms[np.maximum(around, 0)], -2)
+        hits = [known == three[:, i : i + 1] for i in (1, 2)]
+        match = np.logical_and.reduce([h.any(axis=1) | (three[:, i] < 0) for i, h in zip((1, 2), hits, strict=True)])
+        keep[at[match]] = True
+        for h in hits:
+            keep[around[match][h[match]]] = True
+    return keep
+
+
+def useful_postings(index: DataFrame, shortest: np.ndarray, triples: np.ndarray, span: int) -> DataFrame:
+    """``index`` with the postings of long enough runs and those that a proximity match of ``triples`` needs."""
+    first, rare = np.zeros(len(shortest), dtype=bool), np.zeros(len(shortest), dtype=bool)
+    first[triples[:, 0]], rare[triples[triples >= 0]] = True, True
+    held = index.sparkSession.sparkContext.broadcast((shortest, first, rare, triples if len(triples) <= TRIPLES else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least, some, more = held.value
+        least, some, more, known = held.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             found, places, sizes = [], [], [0]
             for terms, positions in zip(batch.column("terms"), batch.column("positions"), strict=True):
                 t, p = terms.values.to_numpy(), positions.values.to_numpy()
-                keep = in_runs(t, p, least) | near_first(t, p, some, more, span)
+                keep = in_runs(t, p, least) | (near_first(t, p, some, more, span) if known is None else in_triples(t, p, known, span))
                 found.append(t[keep])
                 places.append(p[keep])
                 sizes.append(int(keep.sum()))
@@ -166,7 +196,8 @@ def useful_postings(index: DataFrame, shortest: np.ndarray, first: np.ndarray, r
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int32))) for x in (found, places)]
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), *lists], ["text_key", "terms", "positions"])
 
-    return index.where(F.size("terms") > 0).select("text_key", "terms", "positions").mapInArrow(run, "text_key string, terms array<int>, positions array<int>")
+    out = index.where(F.size("terms") > 0).select("text_key", "terms", "positions").mapInArrow(run, "text_key string, terms array<int>, positions array<int>")
+    return out.where(F.size("terms") > 0)
 
 
 def build_large_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -303,11 +334,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         else:
             counts = pa.table({"term": pa.array(range(len(few)), pa.int32()), "f": term_counts(index, len(few))})
             ranked = ranked_terms(index, phrase_terms, spark.createDataFrame(counts, "term int, f long"))
-            first, rare = np.zeros(len(few), dtype=bool), np.zeros(len(few), dtype=bool)
-            for term, rank in ranked.where("rank <= 3").select("term", "rank").distinct().collect():
-                rare[term] = True
-                first[term] |= rank == 1
-            lists = stage(_lists(useful_postings(index, np.array([shortest for _, shortest in few], dtype=np.int64), first, rare, span)), "lists")
+            by_rank = lambda r: F.coalesce(F.max(F.when(F.col("rank") == r, F.col("term"))), F.lit(-1)).alias(f"t{r}")
+            rarest = ranked.where("rank <= 3").groupBy("phrase").agg(*[by_rank(r) for r in (1, 2, 3)]).select("t1", "t2", "t3").distinct().toArrow()
+            triples = np.stack([c.to_numpy() for c in rarest.columns], axis=1).astype(np.int64) if rarest.num_rows else np.zeros((0, 3), dtype=np.int64)
+            triples = triples[np.lexsort(triples.T[::-1])]
+            lists = stage(_lists(useful_postings(index, np.array([shortest for _, shortest in few], dtype=np.int64), triples, span)), "lists")
         named = lambda found, *more: found.join(_small(owners), "phrase").select("text_key", "item", *more)
         hits = keep(stage(named(exact_matches(lists, ranked), "start", "length").distinct(), "hits"))
         if span is not None:
