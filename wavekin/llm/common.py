@@ -9,7 +9,9 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
 
 
+#: Bytes of text that a task works on at a time, about.
+PART_BYTES = 2 << 20
+
+
+def text_parts(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about PART_BYTES of text each; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(sizes) - sizes) // PART_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        if lo < hi:
+            yield batch.slice(lo, hi - lo)
+
+
 def release() -> None:
     """Give memory that a finished task no longer uses back to the system; Python workers live on for other tasks."""
     pa.default_memory_pool().release_unused()

@@ -20,10 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import passing, release, small_batches, stage, table
+from .common import passing, release, small_batches, stage, table, text_parts
 
 WINDOW = 10
 #: Different benchmark words whose dictionary goes to the driver and the tasks, at most; beyond it the words of all documents are joined with them by a shuffle.
@@ -45,6 +46,19 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+def words_in(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(number of each word, the different words, the text of each word) of ``words_of`` over an array of texts."""
+    texts = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.string())])
+    _, offsets, raw = texts.buffers()
+    # words are runs of bytes that the table does not turn into spaces; it keeps lengths, so offsets stay
+    folded = (raw.to_pybytes() if raw else b"").translate(_FOLD)
+    lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(texts), [None, offsets, pa.py_buffer(folded)], offset=texts.offset))
+    flat, owner = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    some = pc.greater(pc.binary_length(flat), 0)
+    coded = flat.filter(some).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist(), owner[some.to_numpy(zero_copy_only=False)]
+
+
 def phrases(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> dict[tuple[bytes, ...], set[str]]:
     """Every window of consecutive words -> items that have it. An item of fewer words is one window."""
     out: dict[tuple[bytes, ...], set[str]] = {}
@@ -111,26 +125,32 @@ def build_index(docs: DataFrame, terms: dict[bytes, tuple[int, int]], whole: boo
     ``terms`` maps a word to (its number, the shortest run of known words it counts in); with ``whole`` postings in shorter runs are kept as well.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shortest = np.zeros(len(terms) + 1, dtype=np.int64)
         for number, least in terms.values():
             shortest[number] = least
         number_of = {w: n for w, (n, _) in terms.items()}
-        for pdf in batches:
-            sizes, found, places = [], [], []
-            for text in pdf["text"]:
-                words = words_of(text)
-                ids = np.fromiter((number_of.get(w, -1) for w in words), dtype=np.int32, count=len(words))
+        for batch in batches:
+            for part in text_parts(batch, "text"):
+                code, words, owner = words_in(part.column("text"))
+                n = part.num_rows
+                sizes = np.bincount(owner, minlength=n).astype(np.int64)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                ids = np.fromiter((number_of.get(w, -1) for w in words), dtype=np.int32, count=len(words))[code] if words else np.zeros(0, dtype=np.int32)
                 at = np.flatnonzero(ids >= 0)
                 if not whole:
-                    at = at[in_runs(ids[at], at, shortest)]
-                sizes.append(len(words))
-                found.append(ids[at])
-                places.append(at.astype(np.int32))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_key": pdf["text_key"], "n_words": sizes, "terms": found, "positions": places})
+                    at = at[in_runs(ids[at], place[at] + _apart(owner[at], sizes, 1), shortest)]
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=n))]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (ids[at], place[at])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(sizes), *lists], ["doc_id", "text_key", "n_words", "terms", "positions"])
         release()
 
-    return stage(_keyed(docs).mapInPandas(run, _ROWS), "postings")
+    return stage(_keyed(docs).mapInArrow(run, _ROWS), "postings")
+
+
+def _apart(owner: np.ndarray, sizes: np.ndarray, gap: int) -> np.ndarray:
+    """What to add to the positions of texts of these sizes to have them one after another, ``gap`` positions apart."""
+    return (np.cumsum(sizes + gap) - sizes - gap)[owner]
 
 
 def term_counts(index: DataFrame, count: int) -> np.ndarray:
@@ -185,15 +205,15 @@ def useful_postings(index: DataFrame, shortest: np.ndarray, triples: np.ndarray,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found, places, sizes = [], [], [0]
-            for terms, positions in zip(batch.column("terms"), batch.column("positions"), strict=True):
-                t, p = terms.values.to_numpy(), positions.values.to_numpy()
-                keep = in_runs(t, p, least) | (near_first(t, p, some, more, span) if known is None else in_triples(t, p, known, span))
-                found.append(t[keep])
-                places.append(p[keep])
-                sizes.append(int(keep.sum()))
-            ends = pa.array(np.cumsum(sizes).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int32))) for x in (found, places)]
+            terms, positions = batch.column("terms"), batch.column("positions")
+            t, p, count = terms.flatten().to_numpy(), positions.flatten().to_numpy(), terms.value_lengths().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), count)
+            sizes = np.zeros(batch.num_rows, dtype=np.int64)
+            np.maximum.at(sizes, owner, p + 1)
+            far = p + _apart(owner, sizes, 2 * span)
+            keep = in_runs(t, far, least) | (near_first(t, far, some, more, span) if known is None else in_triples(t, far, known, span))
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=batch.num_rows))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[keep])) for x in (t, p)]
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), *lists], ["text_key", "terms", "positions"])
 
     out = index.where(F.size("terms") > 0).select("text_key", "terms", "positions").mapInArrow(run, "text_key string, terms array<int>, positions array<int>")

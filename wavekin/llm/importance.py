@@ -20,12 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import passing, release, small_batches, stage, table
-from .decontam import _FOLD
+from .common import passing, release, small_batches, stage, table, text_parts
+from .decontam import words_in
 
 BUCKETS = 10_000
 #: Longest run of words that is a feature.
@@ -36,8 +35,6 @@ PERCENT = 5
 SEED = 42
 #: Bits of a digit of the selection key: a histogram has at most 2 to this power rows.
 DIGIT = 14
-#: Bytes of text whose features a task holds at a time, about.
-PART_BYTES = 2 << 20
 #: Drawn rows of a range that is sorted in one task, about.
 RANGE_ROWS = 1_000_000
 
@@ -65,17 +62,8 @@ class Features:
     """
 
     def __init__(self, texts: pa.Array, longest: int = WORDS, buckets: int = BUCKETS):
-        texts = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.string())])
-        _, offsets, raw = texts.buffers()
-        # words are runs of bytes that the table does not turn into spaces; it keeps lengths, so offsets stay
-        folded = (raw.to_pybytes() if raw else b"").translate(_FOLD)
-        lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(texts), [None, offsets, pa.py_buffer(folded)], offset=texts.offset))
-        flat, parent = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        some = pc.greater(pc.binary_length(flat), 0)
-        flat, parent = flat.filter(some), parent[some.to_numpy(zero_copy_only=False)]
+        at, known, parent = words_in(texts)
         self.words = np.bincount(parent, minlength=len(texts)).astype(np.int64)
-        coded = flat.dictionary_encode()
-        at, known = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
         alone = np.array([zlib.crc32(w) for w in known], dtype=np.uint32)[at] if known else np.zeros(0, dtype=np.uint32)
         joined = np.array([zlib.crc32(b" " + w) for w in known], dtype=np.uint32)[at] if known else alone
         lengths, which = np.unique(np.array([len(w) + 1 for w in known], dtype=np.int64), return_inverse=True)
@@ -105,16 +93,6 @@ class Features:
         return total.astype(np.int64), np.asarray(weight).astype(np.int64)
 
 
-def _parts(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about PART_BYTES of text each; a longer text is a slice of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
-    part = (np.cumsum(sizes) - sizes) // PART_BYTES
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        if lo < hi:
-            yield batch.slice(lo, hi - lo)
-
-
 def _text(df: DataFrame) -> Column:
     return F.col("text").cast("string").alias("text") if "text" in df.columns else F.lit(None).cast("string").alias("text")
 
@@ -125,7 +103,7 @@ def bucket_counts(texts: DataFrame, longest: int = WORDS, buckets: int = BUCKETS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
-            for part in _parts(batch, "text"):
+            for part in text_parts(batch, "text"):
                 held += Features(part.column("text"), longest, buckets).counts(buckets)
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some])], ["bucket", "n"])
@@ -159,7 +137,7 @@ def score(docs: DataFrame, gain: np.ndarray, *, longest: int = WORDS, seed: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, "text"):
+            for part in text_parts(batch, "text"):
                 found = Features(part.column("text"), longest, len(held.value))
                 total, weight = found.sums(held.value)
                 drawn = np.array([noise(i, seed) for i in part.column("doc_id").to_pylist()], dtype=np.int64)
