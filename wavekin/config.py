@@ -11,7 +11,8 @@ class SeriesConfig:
 
     summarization is 'sax' or 'sfa'; strategy 'tree' or 'scan'; binning 'equi-depth' or
     'equi-width'; sample is (count, 'first' | 'stride' | 'hash'); candidates is the
-    number of Fourier values among which the most variable are chosen (0: the first).
+    number of Fourier values among which the most variable are chosen (0: the first);
+    split is 'variance', 'informed', 'round-robin' or 'cyclic'.
     """
 
     n: int

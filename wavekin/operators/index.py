@@ -20,6 +20,7 @@ from ..config import SeriesConfig
 from ..functions import arrays as A
 from ..functions.kernels import summarise
 from ..sources.matrix import shared_folder
+from . import tree as T
 from .learning import SfaModel, learn
 
 
@@ -29,7 +30,6 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-
 #: Different words of a node that one task splits; larger nodes are split one level at a time by Spark.
 WORDS_IN_TASK = 1_000_000
 #: Rows of a leaf map that is broadcast, at most; larger ones are joined by a shuffle.
@@ -42,12 +42,15 @@ def best_segment(total: int, sums: np.ndarray, squares: np.ndarray, low: np.ndar
     """The segment to split next, from the symbols' weighted sums and ends, or None if no split can part the words.
 
     'variance': the segment of largest symbol variance, in whole numbers; 'informed': among
-    segments whose next bit parts mean +- 3 sd most evenly; 'round-robin': depth modulo w.
-    Ties go to the first segment.
+    segments whose next bit parts mean +- 3 sd most evenly; 'round-robin': depth modulo w, or the next one
+    that parts the words; 'cyclic': depth modulo w, whether it parts the words or not, so that a tree
+    does not depend on the order in which its rows came. Ties go to the first segment.
     """
     open_ = (used < bits) & (low != high)
     if not open_.any():
         return None
+    if rule == "cyclic":
+        return depth % len(used)
     if rule == "round-robin":
         order = [(depth + i) % len(used) for i in range(len(used))]
         return next(i for i in order if open_[i])
@@ -72,23 +75,28 @@ def _sums(words: np.ndarray, counts: np.ndarray) -> tuple:
     return counts.sum(), counts @ words, counts @ (words * words), words.min(axis=0), words.max(axis=0)
 
 
-def split_words(words: np.ndarray, counts: np.ndarray, bits: int, leaf_size: int, rule: str = "variance", used: np.ndarray | None = None, depth: int = 0) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(rows, bits used by segment, depth) of the leaves of one node. A leaf over the size holds one word only."""
-    todo = [(np.arange(len(words)), np.ones(words.shape[1], dtype=np.int64) if used is None else used, depth)]
+def split_paths(words: np.ndarray, counts: np.ndarray, bits: int, leaf_size: int, rule: str = "variance", used: np.ndarray | None = None, depth: int = 0, path: str = "") -> list[tuple[np.ndarray, np.ndarray, int, str]]:
+    """(rows, bits used by segment, depth, path) of the leaves of one node. A leaf over the size holds one word only."""
+    todo = [(np.arange(len(words)), np.ones(words.shape[1], dtype=np.int64) if used is None else used, depth, path)]
     out = []
     while todo:
-        rows, used, depth = todo.pop()
+        rows, used, depth, path = todo.pop()
         seg = choose_segment(words[rows], counts[rows], used, bits, rule, depth) if counts[rows].sum() > leaf_size else None
         if seg is None:
-            out.append((rows, used, depth))
+            out.append((rows, used, depth, path))
             continue
         bit = (words[rows, seg] >> (bits - used[seg] - 1)) & 1
         deeper = used.copy()
         deeper[seg] += 1
-        todo += [(rows[bit == b], deeper, depth + 1) for b in (0, 1) if (bit == b).any()]
+        todo += [(rows[bit == b], deeper, depth + 1, f"{path}/{seg}.{b}") for b in (0, 1) if (bit == b).any()]
     return out
 
 
+def split_words(*args, **more) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """``split_paths`` without the paths."""
+    return [leaf[:3] for leaf in split_paths(*args, **more)]
+
+
 def node_splits(nodes: DataFrame, config: SeriesConfig) -> DataFrame:
     """(root_key, node, seg): the segment by which each node of (root_key, node, used, depth, word, count) is to be split; nodes that nothing parts are left out.
 
@@ -140,29 +148,38 @@ def _split_large(nodes: DataFrame, config: SeriesConfig, limit: int) -> DataFram
         nodes, held = spark.read.schema(schema).parquet(path), path
 
 
+_LEAF = "word_key string, leaf_id string, cardinality array<int>, depth int, path string"
+
+
 def leaf_of_words(words: DataFrame, config: SeriesConfig, limit: int = WORDS_IN_TASK) -> DataFrame:
-    """(word_key, leaf_id, cardinality, depth) for distinct (root_key, word_key, word, count).
+    """(word_key, leaf_id, cardinality, depth, path) for distinct (root_key, word_key, word, count).
 
     Roots that fit a leaf are leaves as they are, without Python. The words of the others
     are sorted by root and split in passing, many roots a task; nodes of more than ``limit``
     words are parted beforehand.
     """
     ones = F.array_repeat(F.lit(1), config.w)
-    big = words.groupBy("root_key").agg(F.sum("count").alias("rows"), F.count("*").alias("n")).where(F.col("rows") > config.leaf_size)
-    small = words.join(big, "root_key", "left_anti").select("word_key", A.leaf_label(F.col("word"), ones, config.bits).alias("leaf_id"), ones.alias("cardinality"), F.lit(0).alias("depth"))
+    big = words.groupBy("root_key").agg(F.sum("count").alias("rows")).where(F.col("rows") > config.leaf_size)
+    small = words.join(big, "root_key", "left_anti").select("word_key", A.leaf_label(F.col("word"), ones, config.bits).alias("leaf_id"), ones.alias("cardinality"), F.lit(0).alias("depth"), F.lit("").alias("path"))
     nodes = words.join(big, "root_key", "left_semi").select("root_key", F.lit("").alias("node"), ones.alias("used"), F.lit(0).alias("depth"), "word_key", "word", "count")
-    if (big.agg(F.max("n")).first()[0] or 0) > limit:
+    return small.unionByName(split_nodes(nodes, config, limit))
+
+
+def split_nodes(nodes: DataFrame, config: SeriesConfig, limit: int = WORDS_IN_TASK) -> DataFrame:
+    """The same for the words of nodes (root_key, node, used, depth, word_key, word, count), from the bits that each node has used on."""
+    sizes = nodes.groupBy("root_key", "node").agg(F.count("*").alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) > limit:
         nodes = _split_large(nodes, config, limit)
 
     def leaves(node: pd.DataFrame) -> pd.DataFrame:
         matrix = np.stack(node["word"].to_numpy()).astype(np.int64)
-        leaf, cards, depths = [""] * len(node), [None] * len(node), [0] * len(node)
+        leaf, cards, depths, paths = [""] * len(node), [None] * len(node), [0] * len(node), [""] * len(node)
         first = node.iloc[0]
-        for rows, used, depth in split_words(matrix, node["count"].to_numpy(), config.bits, config.leaf_size, config.split, np.array(first["used"], dtype=np.int64), int(first["depth"])):
-            label = "_".join(f"{matrix[rows[0], i] >> (config.bits - c)}.{c}" for i, c in enumerate(used))
+        for rows, used, depth, path in split_paths(matrix, node["count"].to_numpy(), config.bits, config.leaf_size, config.split, np.array(first["used"], dtype=np.int64), int(first["depth"]), first["node"]):
+            label = T.label_of(matrix[rows[0]], used, config.bits)
             for r in rows:
-                leaf[r], cards[r], depths[r] = label, used, depth
-        return pd.DataFrame({"word_key": node["word_key"].to_numpy(), "leaf_id": leaf, "cardinality": cards, "depth": depths})
+                leaf[r], cards[r], depths[r], paths[r] = label, used, depth, path
+        return pd.DataFrame({"word_key": node["word_key"].to_numpy(), "leaf_id": leaf, "cardinality": cards, "depth": depths, "path": paths})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -178,17 +195,32 @@ def leaf_of_words(words: DataFrame, config: SeriesConfig, limit: int = WORDS_IN_
             yield leaves(held)
 
     by_node = nodes.repartition("root_key", "node").sortWithinPartitions("root_key", "node")
-    return small.unionByName(by_node.mapInPandas(run, "word_key string, leaf_id string, cardinality array<int>, depth int"))
+    return by_node.mapInPandas(run, _LEAF)
+
+
+def _versions(spark: SparkSession, path: str) -> int:
+    """The number of the last finished append to a stored index."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(folder)]
+    done = [int(n.split("-")[1]) for n in names if n.startswith("commit-") and store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return max(done, default=0)
 
 
 @dataclass
 class SeriesIndex:
-    """config and model, rows (series_id, values, vector, word, root_key, leaf_id), leaves (leaf_id, root_key, n_rows, depth, cardinality, lo, hi)."""
+    """config and model, rows (series_id, values, vector, word, root_key, leaf_id), leaves (leaf_id, root_key, n_rows, depth, cardinality, path, lo, hi).
+
+    A stored index has a path; its rows have a part and its leaves the parts in which their rows lie.
+    """
 
     config: SeriesConfig
     model: SfaModel | None
     rows: DataFrame
     leaves: DataFrame
+    path: str | None = None
+    #: Tables that an append without a path has written to the shared folder.
+    staged: tuple[str, ...] = ()
 
     @staticmethod
     def prepare(series: DataFrame, config: SeriesConfig, id_col: str = "series_id") -> DataFrame:
@@ -203,8 +235,11 @@ class SeriesIndex:
         return summarise(prepared, config, model).withColumn("root_key", A.root_key(F.col("word"), config.bits))
 
     @classmethod
-    def build(cls, series: DataFrame, config: SeriesConfig, *, path: str | None = None, model: SfaModel | None = None) -> SeriesIndex:
-        """Build over (series_id, values). With ``path`` its tables are written there and read back, else they are persisted (see ``release``)."""
+    def build(cls, series: DataFrame, config: SeriesConfig, *, path: str | None = None, model: SfaModel | None = None, bulk: bool = False) -> SeriesIndex:
+        """Build over (series_id, values). With ``path`` its tables are written there and read back, else they are persisted (see ``release``).
+
+        With ``bulk`` leaves are cut from the words in the order of their interleaved bits instead of splitting from the roots; for the rule 'cyclic', with the same result.
+        """
         prepared = cls.prepare(series, config)
         if config.summarization == "sfa" and model is None:
             model = learn(prepared, config)
@@ -216,11 +251,11 @@ class SeriesIndex:
             worded.write.parquet(held)
             worded = series.sparkSession.read.schema(worded.schema).parquet(held)
         words = worded.groupBy("root_key", "word_key").agg(F.first("word").alias("word"), F.count("*").alias("count")).persist()
-        leaf = leaf_of_words(words, config)
+        leaf = T.leaf_of_sorted(words, config, WORDS_IN_TASK) if bulk else leaf_of_words(words, config)
         rows = worded.join(F.broadcast(leaf) if words.count() <= BROADCAST_WORDS else leaf, "word_key").drop("word_key")
         if path is None:
             rows = rows.persist()
-            index = cls(config, model, rows.drop("cardinality", "depth"), cls._leaves(rows, config).persist())
+            index = cls(config, model, rows.drop("cardinality", "depth", "path"), cls._leaves(rows, config).persist())
             index.leaves.count()
             worded.unpersist()
         else:
@@ -228,25 +263,27 @@ class SeriesIndex:
             rows = cls._read_rows(series.sparkSession, path)
             cls._leaves(rows, config).write.mode("overwrite").parquet(f"{path}/leaves")
             remove(series.sparkSession, held)
-            index = cls(config, model, rows.drop("cardinality", "depth"), series.sparkSession.read.parquet(f"{path}/leaves"))
+            index = cls(config, model, rows.drop("cardinality", "depth", "path"), series.sparkSession.read.parquet(f"{path}/leaves"), path)
             index._write_settings(path)
         words.unpersist()
         return index
 
     def release(self) -> None:
-        """Give back what ``build`` without a path holds in the executors."""
+        """Give back what ``build`` without a path holds in the executors, and what ``append`` to it has written. The index it was appended to is released on its own, and not before."""
         self.rows.unpersist()
         self.leaves.unpersist()
+        for path in self.staged:
+            remove(self.rows.sparkSession, path)
 
     @staticmethod
-    def _write_rows(rows: DataFrame, path: str) -> None:
-        """Rows in folders part=0, 1 ... by ranges of leaves, so that searches read only the parts of the leaves they open.
+    def _write_rows(rows: DataFrame, path: str, first: int = 0) -> None:
+        """Rows in folders part=first, first + 1 ... by ranges of leaves, so that searches read only the parts of the leaves they open.
 
         A leaf of very many rows spreads over several parts.
         """
         parts = max(1, math.ceil(rows.count() / PART_ROWS))
         ranged = rows.drop("part").repartitionByRange(parts, "leaf_id", "series_id").sortWithinPartitions("leaf_id", "series_id")
-        ranged.withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+        ranged.withColumn("part", F.spark_partition_id() + first).write.mode("append" if first else "overwrite").partitionBy("part").parquet(f"{path}/rows")
 
     @staticmethod
     def _read_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -255,9 +292,20 @@ class SeriesIndex:
     @staticmethod
     def _leaves(rows: DataFrame, config: SeriesConfig) -> DataFrame:
         ends = [f(F.col("word")[i]).alias(f"{name}{i}") for i in range(config.w) for name, f in (("l", F.min), ("h", F.max))]
-        parts = [F.min("part").alias("first_part"), F.max("part").alias("last_part")] if "part" in rows.columns else []
-        got = rows.groupBy("leaf_id").agg(F.first("root_key").alias("root_key"), F.count("*").alias("n_rows"), F.first("depth").alias("depth"), F.first("cardinality").alias("cardinality"), *parts, *ends)
-        return got.select("leaf_id", "root_key", "n_rows", "depth", "cardinality", F.array(*[f"l{i}" for i in range(config.w)]).alias("lo"), F.array(*[f"h{i}" for i in range(config.w)]).alias("hi"), *(["first_part", "last_part"] if parts else []))
+        parts = [F.array_sort(F.collect_set("part")).alias("parts")] if "part" in rows.columns else []
+        named = [F.first(c).alias(c) for c in ("root_key", "depth", "cardinality", "path")]
+        got = rows.groupBy("leaf_id").agg(F.count("*").alias("n_rows"), *named, *parts, *ends)
+        side = lambda c: F.array(*[f"{c[0]}{i}" for i in range(config.w)]).alias(c)
+        return got.select("leaf_id", "root_key", "n_rows", "depth", "cardinality", "path", side("lo"), side("hi"), *(["parts"] if parts else []))
+
+    def _merged(self, leaves: DataFrame) -> DataFrame:
+        """Leaves whose rows came at different times, as one row each."""
+        w = range(self.config.w)
+        ends = [f(F.col(c)[i]).alias(f"{c[0]}{i}") for i in w for c, f in (("lo", F.min), ("hi", F.max))]
+        parts = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("parts")] if "parts" in leaves.columns else []
+        got = leaves.groupBy("leaf_id").agg(F.sum("n_rows").alias("n_rows"), *[F.first(c).alias(c) for c in ("root_key", "depth", "cardinality", "path")], *parts, *ends)
+        side = lambda c: F.array(*[f"{c[0]}{i}" for i in w]).alias(c)
+        return got.select(leaves.columns[:6] + [side("lo"), side("hi")] + leaves.columns[8:])
 
     def _write_settings(self, path: str) -> None:
         spark = self.rows.sparkSession
@@ -266,7 +314,7 @@ class SeriesIndex:
 
     def save(self, path: str, covering: bool = True) -> None:
         """Write settings, model, rows and leaves; without ``covering`` the rows have no raw values (see ``complete``)."""
-        known = self.leaves.select("leaf_id", "cardinality", "depth")
+        known = self.leaves.select("leaf_id", "cardinality", "depth", "path")
         rows = (self.rows if covering else self.rows.drop("values", "vector")).join(known, "leaf_id")
         self._write_rows(rows, path)
         self._leaves(self._read_rows(rows.sparkSession, path), self.config).write.mode("overwrite").parquet(f"{path}/leaves")
@@ -280,13 +328,27 @@ class SeriesIndex:
         settings = ast.literal_eval(held["config"])
         settings["sample"] = tuple(settings["sample"])
         model = SfaModel.from_json(held["model"]) if held["model"] else None
-        return cls(SeriesConfig(**settings), model, cls._read_rows(spark, path).drop("cardinality", "depth"), spark.read.parquet(f"{path}/leaves"))
+        version = _versions(spark, path)
+        leaves = spark.read.parquet(f"{path}/leaves-{version}" if version else f"{path}/leaves")
+        # parts of an append that did not finish are in no leaf
+        parts = sorted(r["part"] for r in leaves.select(F.explode("parts").alias("part")).distinct().collect())
+        starts = [p for i, p in enumerate(parts) if not i or parts[i - 1] != p - 1]
+        ends = [p for i, p in enumerate(parts) if i + 1 == len(parts) or parts[i + 1] != p + 1]
+        live = F.lit(False)
+        for lo, hi in zip(starts, ends, strict=True):
+            live |= F.col("part").between(lo, hi)
+        rows = cls._read_rows(spark, path).drop("cardinality", "depth", "path").where(live)
+        if version:
+            # rows of leaves that were split later are dead where they lay
+            dead = spark.read.parquet(*[f"{path}/dead-{v}" for v in range(1, version + 1)])
+            rows = rows.join(F.broadcast(dead) if dead.count() <= BROADCAST_WORDS else dead, ["leaf_id", "part"], "left_anti")
+        return cls(SeriesConfig(**settings), model, rows, leaves, path)
 
     def complete(self, series: DataFrame) -> SeriesIndex:
         """An index saved without raw values, with them again: ``series`` is what it was built over."""
         fresh = self.summarise(self.prepare(series, self.config), self.config, self.model).select("series_id", "values", "vector")
         rows = self.rows.drop("values", "vector").join(fresh, "series_id")
-        return SeriesIndex(self.config, self.model, rows, self.leaves)
+        return SeriesIndex(self.config, self.model, rows, self.leaves, self.path)
 
     # searches as methods; their arguments are those of the functions in ``search``
     def nn(self, queries: DataFrame, **more) -> DataFrame:
@@ -310,22 +372,63 @@ class SeriesIndex:
 
     def leaf_for(self, worded: DataFrame) -> DataFrame:
         """Adds leaf_id (null where the word's place in the tree is empty) to rows with word and root_key."""
-        bits = self.config.bits
-        spot = F.arrays_zip(F.col("word").alias("s"), F.col("cardinality").alias("c"), F.col("lo").alias("l"))
-        shifted = lambda s, c: F.call_function("shiftright", s.cast("int"), F.lit(bits) - c.cast("int"))
-        inside = F.forall(spot, lambda x: shifted(x["s"], x["c"]) == shifted(x["l"], x["c"]))
-        named = self.leaves.select("root_key", "leaf_id", "cardinality", "lo")
-        return worded.join(named.where("leaf_id is not null"), (worded["root_key"] == named["root_key"]) & inside, "left").drop(named["root_key"]).drop("cardinality", "lo")
+        keyed = worded.withColumn("word_key", A.packed_hex(F.col("word")))
+        words = keyed.groupBy("root_key", "word_key").agg(F.first("word").alias("word"))
+        return keyed.join(T.place(words, self.leaves, self.config).select("word_key", "leaf_id"), "word_key").drop("word_key")
 
     def append(self, series: DataFrame) -> SeriesIndex:
-        """Rows added with the existing model. Words in empty places of the tree get leaves of their own; leaves may outgrow their size until a rebuild."""
-        new = self.summarise(self.prepare(series, self.config), self.config, self.model)
-        full = F.array_repeat(F.lit(self.config.bits), self.config.w)
-        placed = self.leaf_for(new).withColumn("leaf_id", F.coalesce("leaf_id", A.leaf_label(F.col("word"), full, self.config.bits)))
-        rows = self.rows.unionByName(placed.select([c for c in self.rows.columns if c != "part"]), allowMissingColumns=True)
-        known = self.leaves.select("leaf_id", "cardinality", "depth")
-        all_ = rows.join(known, "leaf_id", "left").withColumns({"cardinality": F.coalesce("cardinality", full), "depth": F.coalesce("depth", F.lit(0))})
-        return SeriesIndex(self.config, self.model, rows, self._leaves(all_, self.config))
+        """Rows added with the existing model. Leaves that outgrow their size are split on from the bits they use; all others keep their rows as they are.
+
+        A stored index is changed where it lies: the new and the moved rows are written as further
+        parts, with the new table of leaves and the leaves whose old rows are dead, and count once the last of
+        these writes is finished; other handles of it see the state they were loaded with. ``save`` writes a compact
+        copy. What is added to an index without a path lies in the shared folder (see ``release``). A series whose id is there already is added as another row.
+        """
+        spark, config = series.sparkSession, self.config
+        folder = f"{self.path or shared_folder(spark)}/append-{uuid.uuid4().hex}"
+
+        def written(df: DataFrame, name: str) -> DataFrame:
+            """``df`` as a table of its own, which keeps plans short however many appends there are."""
+            df.write.parquet(f"{folder}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+        new = written(self.summarise(self.prepare(series, config), config, self.model).withColumn("word_key", A.packed_hex(F.col("word"))), "new")
+        counted = new.groupBy("root_key", "word_key").agg(F.first("word").alias("word"), F.count("*").alias("count"))
+        full_label = A.leaf_label(F.col("word"), F.col("cardinality"), config.bits)
+        placed = written(T.place(counted, self.leaves, config).join(counted.drop("root_key"), "word_key").withColumn("leaf_id", F.coalesce("leaf_id", full_label)), "placed")
+        place = ["leaf_id", "root_key", "path", "cardinality", "depth"]
+        added = placed.groupBy("leaf_id").agg(F.sum("count").alias("added"), *[F.first(c).alias(c) for c in place[1:]])
+        over = written(added.join(self.leaves.select("leaf_id", "n_rows"), "leaf_id", "left").where(F.col("added") + F.coalesce("n_rows", F.lit(0)) > config.leaf_size).select(place), "over")
+        few = F.broadcast(over) if over.count() <= BROADCAST_WORDS else over
+        # words of the leaves that are too large now, old and new
+        old = self.rows.join(few.select("leaf_id"), "leaf_id", "left_semi").withColumn("word_key", A.packed_hex(F.col("word")))
+        known = old.groupBy("leaf_id", "word_key").agg(F.first("word").alias("word"), F.count("*").alias("count"))
+        both = known.unionByName(placed.join(few.select("leaf_id"), "leaf_id", "left_semi").select(known.columns))
+        words = both.groupBy("leaf_id", "word_key").agg(F.first("word").alias("word"), F.sum("count").alias("count")).join(few, "leaf_id")
+        nodes = written(words.select("root_key", F.col("path").alias("node"), F.col("cardinality").alias("used"), "depth", "word_key", "word", "count"), "nodes")
+        parted = written(split_nodes(nodes, config), "parted")
+        columns = [c for c in self.rows.columns if c != "part"]
+        stay = placed.join(few.select("leaf_id"), "leaf_id", "left_anti").select(parted.columns)
+        arrived = new.join(stay.unionByName(parted), "word_key").select(*columns, "cardinality", "depth", "path")
+        moved = old.drop("leaf_id").join(parted, "word_key").select(*columns, "cardinality", "depth", "path")
+        fresh, kept = moved.unionByName(arrived), self.leaves.join(few.select("leaf_id"), "leaf_id", "left_anti")
+        if self.path is None:
+            fresh = written(fresh, "rows")
+            leaves = written(self._merged(kept.unionByName(self._leaves(fresh, config))), "leaves")
+            rows = self.rows.join(few.select("leaf_id"), "leaf_id", "left_anti").select(columns).unionByName(fresh.select(columns))
+            for name in ("new", "placed", "nodes", "parted"):
+                remove(spark, f"{folder}/{name}")
+            return SeriesIndex(config, self.model, rows, leaves, staged=(*self.staged, folder))
+        version = _versions(spark, self.path) + 1
+        first = 1 + self._read_rows(spark, self.path).agg(F.max("part")).first()[0]
+        self._write_rows(fresh, self.path, first)
+        arrived = self._read_rows(spark, self.path).where(F.col("part") >= first)
+        self._merged(kept.unionByName(self._leaves(arrived, config))).write.mode("overwrite").parquet(f"{self.path}/leaves-{version}")
+        dead = self.leaves.join(few.select("leaf_id"), "leaf_id", "left_semi").select("leaf_id", F.explode("parts").alias("part"))
+        dead.write.mode("overwrite").parquet(f"{self.path}/dead-{version}")
+        spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").json(f"{self.path}/commit-{version}")
+        remove(spark, folder)
+        return self.load(spark, self.path)
 
     def tree_stats(self) -> DataFrame:
         """(subtrees, avg_depth, avg_leaf_size) of roots that were split; null averages if none was."""

@@ -665,6 +665,64 @@ def idx_append(spark, d):
     return count(half.rows.agg(F.count("*").alias("n")), "before").unionByName(count(whole.rows.agg(F.count("*").alias("n")), "after")).unionByName(count(whole.leaves.agg(F.sum("n_rows").alias("n")), "leaves"))
 
 
+# The rule 'cyclic' splits by the bits of all segments in turn, so a leaf is the shortest prefix of the interleaved bits
+# that at most leaf_size rows share, or one word only: SQL can name it, whatever the order in which the rows came.
+_W8 = f"{X.WALK}, {X.zn('walk')}, {X.paa_sql('zn', 8, 8)}, word AS (SELECT series_id, list_transform(p, lambda x: CAST(len(list_filter({X.list_literal(A.breakpoints(16))}, lambda b: b < x)) AS BIGINT)) AS s FROM paa)"
+
+
+def _cyclic_sql(size: int) -> str:
+    """CTE placed (series_id, n, cell) over word: the leaf's prefix length and its label."""
+    return f"""keyed AS (SELECT series_id, s, array_to_string(list_transform(range(32), lambda k: CAST((s[k % 8 + 1] >> (3 - k // 8)) & 1 AS VARCHAR)), '') AS bits FROM word),
+pre AS (SELECT series_id, bits, s, CAST(unnest(range(8, 33)) AS BIGINT) AS n FROM keyed),
+shared AS (SELECT n, substr(bits, 1, n) AS p, count(*) AS c, count(DISTINCT bits) AS words FROM pre GROUP BY 1, 2),
+own AS (SELECT series_id, any_value(s) AS s, min(pre.n) AS n FROM pre JOIN shared ON shared.n = pre.n AND p = substr(bits, 1, pre.n) WHERE c <= {size} OR words = 1 GROUP BY series_id),
+placed AS (SELECT series_id, n, array_to_string(list_transform(range(8), lambda i: CAST(s[i + 1] >> (4 - c[i + 1]) AS VARCHAR) || '.' || CAST(c[i + 1] AS VARCHAR)), '_') AS leaf_id FROM (SELECT *, list_transform(range(8), lambda i: 1 + (n - 8) // 8 + CASE WHEN i < (n - 8) % 8 THEN 1 ELSE 0 END) AS c FROM own))"""
+
+
+_CYCLIC = {"w": 8, "bits": 4, "split": "cyclic"}
+
+
+def _leaf_rows(index) -> DataFrame:
+    """The table of leaves next to what its rows really hold."""
+    held = index.rows.groupBy("leaf_id").agg(F.count("*").alias("held"))
+    return index.leaves.join(held, "leaf_id", "full").select("leaf_id", (F.col("depth") + 8).cast("long").alias("bits"), F.col("n_rows").alias("n"), "held")
+
+
+_CYCLIC_LEAVES = "SELECT leaf_id, any_value(n) AS bits, count(*) AS n, count(*) AS held FROM placed GROUP BY leaf_id"
+
+
+@query(f"WITH {_W8}, {_cyclic_sql(20)} {_CYCLIC_LEAVES}")
+def idx_append_split(spark, d):
+    """A quarter of the series is built, the others are appended in three steps; leaves that outgrow their size are split each time."""
+    w = X.walk(spark, d)
+    index = I.SeriesIndex.build(w.where("series_id % 4 = 0"), SeriesConfig(n=64, leaf_size=20, **_CYCLIC))
+    for step in (1, 2, 3):
+        index = index.append(w.where(F.col("series_id") % 4 == step))
+    return _leaf_rows(index)
+
+
+@query(f"WITH {_W8}, {_cyclic_sql(20)} SELECT 'appended' AS what, * FROM ({_CYCLIC_LEAVES}) UNION ALL SELECT 'saved', * FROM ({_CYCLIC_LEAVES})")
+def idx_append_stored(spark, d):
+    """The same on a stored index, changed where it lies: as read again after the appends, and as a compact copy."""
+    from ..sources.matrix import shared_folder
+
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    w = X.walk(spark, d)
+    index = I.SeriesIndex.build(w.where("series_id % 4 = 0"), SeriesConfig(n=64, leaf_size=20, **_CYCLIC), path=f"{path}/grown")
+    for step in (1, 2, 3):
+        index = index.append(w.where(F.col("series_id") % 4 == step))
+    index.save(f"{path}/copy")
+    copy = I.SeriesIndex.load(spark, f"{path}/copy")
+    named = lambda what, i: _leaf_rows(i).select(F.lit(what).alias("what"), "*")
+    return named("appended", I.SeriesIndex.load(spark, f"{path}/grown")).unionByName(named("saved", copy))
+
+
+@query(f"WITH {_W8}, {_cyclic_sql(20)} {_CYCLIC_LEAVES}")
+def idx_bulk_load(spark, d):
+    """Leaves cut from the words in the order of their interleaved bits."""
+    return _leaf_rows(I.SeriesIndex.build(X.walk(spark, d), SeriesConfig(n=64, leaf_size=20, **_CYCLIC), bulk=True))
+
+
 @query(f"WITH {_ROOTS} SELECT '\"root_' || root_key || '\" -> \"' || array_to_string(list_transform(first(s), lambda x: CAST(x >> 3 AS VARCHAR) || '.1'), '_') || '\" [label=\"' || count(*) || '\"];' AS line FROM rooted GROUP BY root_key")
 def idx_dot(spark, d):
     return _root_index(spark, d).dot()
@@ -717,6 +775,19 @@ def qry_exact_1nn_tree_sax(spark, d):
     return _found(S.knn(_sax_index(spark, d), X.queries_of(X.walk(spark, d))))
 
 
+@query(_ranked(5, True))
+def qry_knn_bulk_loaded(spark, d):
+    index = I.SeriesIndex.build(X.walk(spark, d), SeriesConfig(n=64, leaf_size=100, **_CYCLIC), bulk=True)
+    return _found(S.knn(index, X.queries_of(X.walk(spark, d)), 5), True)
+
+
+@query(_ranked(5, True))
+def qry_knn_appended(spark, d):
+    w = X.walk(spark, d)
+    index = I.SeriesIndex.build(w.where("series_id % 3 = 0"), SeriesConfig(n=64, leaf_size=50)).append(w.where("series_id % 3 <> 0"))
+    return _found(S.knn(index, X.queries_of(w), 5), True)
+
+
 @query(_ranked(1, False))
 def qry_exact_1nn_tree_sfa(spark, d):
     return _found(S.knn(_sfa_index(spark, d), X.queries_of(X.walk(spark, d))))
