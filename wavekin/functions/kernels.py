@@ -14,19 +14,66 @@ from .arrays import breakpoints
 from .distances import sfa_weights
 
 
+#: Diagonals between two looks at which rows are over the limit.
+DTW_LOOK = 8
+
+
+def dtw_limited(a: np.ndarray, b: np.ndarray, r: int, limit: float = np.inf, tail: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """(squared-cost DTW within |i - j| <= r of each row of a with the same row of b, cells computed); rows found to exceed ``limit`` are infinite.
+
+    ``b`` may have one row for all. Cells of one diagonal i + j do not need each other, so a
+    diagonal is one step for all rows. A path has a cell on every second diagonal, so the
+    smaller of two diagonals' minima, and what ``tail`` says about the values of a not yet
+    used (row i: a bound of their part from i on), never exceeds its cost. Rows over the limit leave the block.
+    """
+    rows, n = a.shape
+    out = np.full(rows, np.inf)
+    if not rows:
+        return out, 0
+    at, one = np.arange(rows), b.shape[0] == 1
+    x, y = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    # cell i of a diagonal is at i + 1, with infinite neighbours
+    last, before = np.full((n + 2, rows), np.inf), np.full((n + 2, rows), np.inf)
+    cells, step, low_before = 0, 0, np.full(rows, np.inf)
+    for d in range(2 * n - 1):
+        lo, hi = max(0, d - n + 1, (d - r + 1) // 2), min(d, n - 1, (d + r) // 2)
+        now = before
+        if lo > hi:
+            # only with r = 0: every other diagonal is empty
+            last, before = np.full_like(last, np.inf), last
+            continue
+        other = y[d - hi : d - lo + 1][::-1]
+        gap = x[lo : hi + 1] - other
+        gap *= gap
+        if d:
+            best = np.minimum(last[lo : hi + 1], last[lo + 1 : hi + 2])
+            gap += np.minimum(best, before[lo : hi + 1])
+        now[lo + 1 : hi + 2] = gap
+        now[lo] = now[hi + 2 if hi + 2 < n + 2 else lo] = np.inf
+        cells += gap.size
+        last, before = now, last
+        step += 1
+        if limit < np.inf and step % DTW_LOOK >= DTW_LOOK - 2:
+            low = gap.min(axis=0)
+            if step % DTW_LOOK == DTW_LOOK - 1:
+                rest = tail[min((d + r) // 2 + 1, n)] if tail is not None else 0.0
+                alive = np.minimum(low, low_before) + rest <= limit
+                if not alive.all():
+                    if not alive.any():
+                        return out, cells
+                    at, x, last, before = at[alive], x[:, alive], last[:, alive], before[:, alive]
+                    y = y if one else y[:, alive]
+                    tail = tail if tail is None else tail[:, alive]
+                    low = low[alive]
+            low_before = low
+    done = last[n]
+    out[at] = np.where(done <= limit, done, np.inf)
+    return out, cells
+
+
 def dtw_block(a: np.ndarray, b: np.ndarray, r: int) -> np.ndarray:
     """Squared-cost DTW within |i - j| <= r of each row of a with the same row of b."""
-    rows, n = a.shape
-    before = np.full((rows, n + 1), np.inf)
-    before[:, 0] = 0
-    for i in range(n):
-        now = np.full((rows, n + 1), np.inf)
-        for j in range(max(0, i - r), min(n, i + r + 1)):
-            step = np.minimum(np.minimum(before[:, j], before[:, j + 1]), now[:, j])
-            now[:, j + 1] = (a[:, i] - b[:, j]) ** 2 + step
-        before = now
-        before[:, 0] = np.inf
-    return before[:, n]
+    return dtw_limited(a, b, r)[0]
 
 
 def dtw(a: Column, b: Column, r: int) -> Column:
@@ -123,6 +170,14 @@ def envelopes(x: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
     return lo, hi
 
 
+def keogh_tail(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Row i: for every row of x the part of ``keogh`` that its values from i on have; row 0 is ``keogh``, the last row 0."""
+    gap = np.maximum(np.maximum(x - hi, lo - x), 0.0)
+    out = np.zeros((x.shape[1] + 1, len(x)))
+    out[:-1] = np.cumsum((gap * gap).T[::-1], axis=0)[::-1]
+    return out
+
+
 def keogh(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Squared distance of the rows of x to one query's envelope."""
     gap = np.maximum(np.maximum(x - hi, lo - x), 0.0)

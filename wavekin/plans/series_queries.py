@@ -800,8 +800,26 @@ def qry_exact_1nn_scan(spark, d):
 
 @query(_ranked(1, False))
 def qry_exact_1nn_best_first(spark, d):
-    """One leaf as seed."""
-    return _found(S.knn(_sax_index(spark, d), X.queries_of(X.walk(spark, d)), min_leaves=1))
+    """Leaves opened in rounds, by their bounds, until the next bound exceeds the best distance."""
+    return _found(S.best_first(_sax_index(spark, d), X.queries_of(X.walk(spark, d)))[0])
+
+
+@query(_ranked(5, True))
+def qry_knn_best_first(spark, d):
+    return _found(S.best_first(_sax_index(spark, d, leaf_size=20), X.queries_of(X.walk(spark, d)), 5, first=4)[0], True)
+
+
+@query(f"""WITH {_ROOTS}, {_LEAVES4.rsplit('near AS', 1)[0].rstrip().rstrip(',')}, ordered AS (SELECT q_id, root_key, lb, row_number() OVER (PARTITION BY q_id ORDER BY lb, label) AS nth FROM lbs),
+inside AS (SELECT q.q_id, r.root_key, count(*) AS held, min(CASE WHEN r.series_id <> q.q_id THEN {X.l2_sql('v', 'qv', 64)} END) AS d FROM q, rooted r GROUP BY ALL),
+rounds_ AS (SELECT *, CAST(floor(log2(nth)) AS INT) AS rnd FROM ordered JOIN inside USING (q_id, root_key)),
+best AS (SELECT g.q_id, g.rnd, min(CASE WHEN r.nth < (1 << g.rnd) THEN r.d END) AS bsf FROM (SELECT DISTINCT q_id, rnd FROM rounds_) g JOIN rounds_ r USING (q_id) GROUP BY ALL),
+opened AS (SELECT r.q_id, r.rnd, count(*) AS n, sum(held) AS held FROM rounds_ r JOIN best USING (q_id, rnd) WHERE bsf IS NULL OR lb <= bsf * (1 + 1e-9) + 1e-9 GROUP BY ALL),
+total AS (SELECT count(*) AS leaves FROM edge)
+SELECT q_id, count(*) AS rounds, (count(*) + CASE WHEN max_by(n, rnd) = (1 << max(rnd)) THEN 1 ELSE 0 END) * max(leaves) AS leaves_bounded, CAST(sum(n) AS BIGINT) AS leaves_opened, CAST(sum(held) AS BIGINT) AS record_bounds FROM opened, total GROUP BY q_id""")
+def agg_search_stats(spark, d):
+    """What the best-first search did for each query, counted while it ran; on a tree of roots, which SQL can follow."""
+    stats = S.best_first(_root_index(spark, d), X.queries_of(X.walk(spark, d)))[1]
+    return stats.select("q_id", "rounds", "leaves_bounded", "leaves_opened", "record_bounds")
 
 
 @query(_ranked(1, False))
