@@ -4,7 +4,12 @@
 the file, or for a folder of parts written by ``write_matrix`` the first id in the part's
 name plus the place. It reads ranges of files in parallel through ``pyarrow.fs``, which knows local
 and shared file systems by their URI. Stores that only Spark reaches are read with
-``read_remote`` through Spark's ``binaryFile`` reader; ``read_matrix`` chooses.
+``read_remote`` through Spark's ``binaryFile`` reader; ``read_matrix`` chooses. ``pyarrow`` uses
+its own credentials, not those of Spark's configuration.
+
+``df.write.format("series_matrix")`` writes (series_id, values) rows as one file for each run of
+consecutive ids that a task has, a batch at a time. Files lie in a hidden folder until all tasks are done; the
+commit moves them to ``rows-<first id>.bin``, and an abort deletes the folder, so neither a killed task nor a failed job leaves a part.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 DTYPES = {"float32": "<f4", "float64": "<f8", "uint8": "u1", "int8": "i1", "int64": "<i8"}
 #: Bytes of a file that one task reads, about.
@@ -90,6 +95,72 @@ class _MatrixReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(block.ravel()))], ["series_id", "values"])
 
 
+class _Written(WriterCommitMessage):
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
+
+
+class _MatrixWriter(DataSourceArrowWriter):
+    def __init__(self, options, overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
+        self.n, self.kind = int(options["n"]), DTYPES[options.get("dtype", "float32")]
+        self.job = uuid.uuid4().hex
+        store, place = _file_system(self.path)
+        store.create_dir(f"{place}/.{self.job}", recursive=True)
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
+        """One hidden file for each run of consecutive ids, so a task holds one batch. The rows of a task are in order of their ids."""
+        store, place = _file_system(self.path)
+        files, out, following = [], None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, lists = batch.column(batch.schema.get_field_index("series_id")).to_numpy(), batch.column(batch.schema.get_field_index("values"))
+            if set(lists.value_lengths().to_pylist()) != {self.n}:
+                raise ValueError(f"series of other lengths than {self.n}")
+            data = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, self.n)
+            if np.dtype(self.kind).kind in "iu":
+                data = np.rint(data)
+            cuts = [0, *(np.flatnonzero(np.diff(ids) != 1) + 1).tolist(), len(ids)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if out is None or ids[lo] != following:
+                    if following is not None and ids[lo] < following:
+                        raise ValueError("ids are not in ascending order or repeat")
+                    if out is not None:
+                        out.close()
+                    # a task that outlives an abort finds no folder to write into
+                    name = f"{place}/.{self.job}/{uuid.uuid4().hex}"
+                    files.append((name, f"{place}/rows-{int(ids[lo]):012d}.bin"))
+                    out = store.open_output_stream(name)
+                out.write(data[lo:hi].astype(self.kind).tobytes())
+                following = ids[hi - 1] + 1
+        if out is not None:
+            out.close()
+        return _Written(files)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        store, place = _file_system(self.path)
+        files = [f for m in messages if m is not None for f in m.files]
+        targets = [target for _, target in files]
+        if len(set(targets)) != len(targets):
+            self.abort(messages)
+            raise ValueError("an id is in several tasks")
+        if self.overwrite:
+            for f in store.get_file_info(fs.FileSelector(place)):
+                if f.base_name.startswith("rows-"):
+                    store.delete_file(f.path)
+        for name, target in files:
+            store.move(name, target)
+        self._clean(store, place)
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        self._clean(*_file_system(self.path))
+
+    def _clean(self, store, place: str) -> None:
+        """Delete what attempts of this job's tasks have left, also of those that were killed."""
+        store.delete_dir(f"{place}/.{self.job}")
+
+
 class MatrixSource(DataSource):
     @classmethod
     def name(cls):
@@ -101,6 +172,9 @@ class MatrixSource(DataSource):
     def reader(self, schema):
         return _MatrixReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return _MatrixWriter(self.options, overwrite)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(MatrixSource)
@@ -147,29 +221,13 @@ def read_labels(spark: SparkSession, path: str, rows: int | None = None) -> Data
 
 
 def write_matrix(series: DataFrame, path: str, dtype: str = "float32", rows_per_file: int = 1 << 20) -> None:
-    """Write (series_id, values) as parts named by their first id: ``rows-<first id>.bin``. Ids must be 0, 1, 2 ... without gaps.
-
-    ``path`` is a folder that all executors share, as a URI or a mounted path.
+    """Write (series_id, values) as parts named by their first id: ``rows-<first id>.bin``. Ids must be 0, 1, 2 ... without gaps, and series of one length.
 
-    Each part is one contiguous range of ids, so parts can be joined to one file by name.
+    ``path`` is a folder that all executors share, as a URI or a mounted path; parts that are there are replaced. Each part is one
+    contiguous range of about ``rows_per_file`` ids, sorted by ranges and written batch by batch, so parts can be joined to one file by name.
     """
-    kind = DTYPES[dtype]
-    store, place = _file_system(path)
-    store.create_dir(place, recursive=True)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("series_id")
-        first = int(pdf["series_id"].iloc[0])
-        data = np.stack(pdf["values"].to_numpy()).astype(float)
-        if np.dtype(kind).kind in "iu":
-            data = np.rint(data)
-        store, place = _file_system(path)
-        # a task that runs twice moves the same bytes to the same name
-        temporary = f"{place}/.rows-{first:012d}-{uuid.uuid4().hex}"
-        with store.open_output_stream(temporary) as f:
-            f.write(data.astype(kind).tobytes())
-        store.move(temporary, f"{place}/rows-{first:012d}.bin")
-        return pd.DataFrame({"first": [first], "n": [len(pdf)]})
-
-    parts = series.withColumn("part", F.floor(F.col("series_id") / rows_per_file)).groupBy("part").applyInPandas(run, "first long, n long")
-    parts.write.format("noop").mode("overwrite").save()
+    rows = series.select(F.col("series_id").cast("long").alias("series_id"), F.col("values").cast("array<double>").alias("values"))
+    count, n = rows.agg(F.count("*"), F.max(F.size("values"))).first()
+    register(series.sparkSession)
+    ranged = rows.repartitionByRange(max(1, -(-count // rows_per_file)), "series_id").sortWithinPartitions("series_id")
+    ranged.write.format("series_matrix").option("path", path).option("n", n or 1).option("dtype", dtype).mode("overwrite").save()
