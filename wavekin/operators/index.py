@@ -207,6 +207,12 @@ def _versions(spark: SparkSession, path: str) -> int:
     return max(done, default=0)
 
 
+def leaves_folder(spark: SparkSession, path: str) -> str:
+    """Where a stored index has its present table of leaves."""
+    version = _versions(spark, path)
+    return f"{path}/leaves-{version}" if version else f"{path}/leaves"
+
+
 @dataclass
 class SeriesIndex:
     """config and model, rows (series_id, values, vector, word, root_key, leaf_id), leaves (leaf_id, root_key, n_rows, depth, cardinality, path, lo, hi).
@@ -235,8 +241,8 @@ class SeriesIndex:
         return summarise(prepared, config, model).withColumn("root_key", A.root_key(F.col("word"), config.bits))
 
     @classmethod
-    def build(cls, series: DataFrame, config: SeriesConfig, *, path: str | None = None, model: SfaModel | None = None, bulk: bool = False) -> SeriesIndex:
-        """Build over (series_id, values). With ``path`` its tables are written there and read back, else they are persisted (see ``release``).
+    def build(cls, series: DataFrame, config: SeriesConfig, *, path: str | None = None, model: SfaModel | None = None, bulk: bool = False, part_rows: int | None = None) -> SeriesIndex:
+        """Build over (series_id, values). With ``path`` its tables are written there and read back, in parts of ``part_rows`` rows, else they are persisted (see ``release``).
 
         With ``bulk`` leaves are cut from the words in the order of their interleaved bits instead of splitting from the roots; for the rule 'cyclic', with the same result.
         """
@@ -259,7 +265,7 @@ class SeriesIndex:
             index.leaves.count()
             worded.unpersist()
         else:
-            cls._write_rows(rows, path)
+            cls._write_rows(rows, path, size=part_rows)
             rows = cls._read_rows(series.sparkSession, path)
             cls._leaves(rows, config).write.mode("overwrite").parquet(f"{path}/leaves")
             remove(series.sparkSession, held)
@@ -276,12 +282,12 @@ class SeriesIndex:
             remove(self.rows.sparkSession, path)
 
     @staticmethod
-    def _write_rows(rows: DataFrame, path: str, first: int = 0) -> None:
+    def _write_rows(rows: DataFrame, path: str, first: int = 0, size: int | None = None) -> None:
         """Rows in folders part=first, first + 1 ... by ranges of leaves, so that searches read only the parts of the leaves they open.
 
         A leaf of very many rows spreads over several parts.
         """
-        parts = max(1, math.ceil(rows.count() / PART_ROWS))
+        parts = max(1, math.ceil(rows.count() / (size or PART_ROWS)))
         ranged = rows.drop("part").repartitionByRange(parts, "leaf_id", "series_id").sortWithinPartitions("leaf_id", "series_id")
         ranged.withColumn("part", F.spark_partition_id() + first).write.mode("append" if first else "overwrite").partitionBy("part").parquet(f"{path}/rows")
 
@@ -312,11 +318,11 @@ class SeriesIndex:
         text = [(str(asdict(self.config)), self.model.to_json() if self.model else "")]
         spark.createDataFrame(text, "config string, model string").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
 
-    def save(self, path: str, covering: bool = True) -> None:
-        """Write settings, model, rows and leaves; without ``covering`` the rows have no raw values (see ``complete``)."""
+    def save(self, path: str, covering: bool = True, part_rows: int | None = None) -> None:
+        """Write settings, model, rows (``part_rows`` a part) and leaves; without ``covering`` the rows have no raw values (see ``complete``)."""
         known = self.leaves.select("leaf_id", "cardinality", "depth", "path")
         rows = (self.rows if covering else self.rows.drop("values", "vector")).join(known, "leaf_id")
-        self._write_rows(rows, path)
+        self._write_rows(rows, path, size=part_rows)
         self._leaves(self._read_rows(rows.sparkSession, path), self.config).write.mode("overwrite").parquet(f"{path}/leaves")
         self._write_settings(path)
 
@@ -329,7 +335,7 @@ class SeriesIndex:
         settings["sample"] = tuple(settings["sample"])
         model = SfaModel.from_json(held["model"]) if held["model"] else None
         version = _versions(spark, path)
-        leaves = spark.read.parquet(f"{path}/leaves-{version}" if version else f"{path}/leaves")
+        leaves = spark.read.parquet(leaves_folder(spark, path))
         # parts of an append that did not finish are in no leaf
         parts = sorted(r["part"] for r in leaves.select(F.explode("parts").alias("part")).distinct().collect())
         starts = [p for i, p in enumerate(parts) if not i or parts[i - 1] != p - 1]

@@ -926,3 +926,55 @@ def str_knn_available_now(spark, d):
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     X.queries_of(e).repartition(4).write.parquet(f"{folder}/in")
     return _found(run_available(spark, f"{folder}/in", f"{folder}/out", e.select("series_id", "values"), 5), True)
+
+
+_LATENCY = "series_id % 97"
+
+
+@query(f"""WITH nn AS ({_ranked(5, True, *_EMB_RANKED)}), a AS (SELECT q_id, CAST((rank + q_id // 100) % 4 AS BIGINT) AS step, {_LATENCY} AS latency FROM nn)
+SELECT s.step, count(DISTINCT q_id) AS queries, count(*) AS answers, round(avg(latency), 6) + 0.0 AS avg_latency FROM (SELECT DISTINCT step FROM a) s JOIN a ON a.step <= s.step GROUP BY s.step""")
+def str_running_history(spark, d):
+    """Answers arrive in four steps, a query's in several of them; the state tells the totals after each step."""
+    from ..sources.matrix import shared_folder
+    from ..streaming.continuous import running_history
+
+    e, folder = X.embeddings(spark, d), f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    found = S.brute_force(e, X.queries_of(e), 5).select("q_id", ((F.col("rank") + F.floor(F.col("q_id") / 100)) % 4).cast("long").alias("step"), F.expr(_LATENCY).alias("latency"))
+    found.write.parquet(f"{folder}/all")
+    for step in range(4):
+        spark.read.parquet(f"{folder}/all").where(F.col("step") == step).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("q_id long, step long, latency long").parquet(f"{folder}/in")
+        running_history(stream, f"{folder}/out", f"{folder}/mark", availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("step", "queries", "answers", X.r6(F.col("avg_latency")).alias("avg_latency")).distinct()
+
+
+@query(_ranked(5, True, *_EMB_RANKED))
+def qry_knn_sql_table_function(spark, d):
+    """A table function over a stored index, called by a lateral join; the query's own series is left out afterwards."""
+    from ..functions.search_sql import register_knn
+    from ..sources.matrix import shared_folder
+
+    e, path = X.embeddings(spark, d), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    I.SeriesIndex.build(e.select("series_id", "values"), SeriesConfig(n=64, w=8, leaf_size=20, z_normalize=False), path=path)
+    register_knn(spark, path)
+    view = f"asked_{uuid.uuid4().hex}"
+    X.queries_of(e).createOrReplaceTempView(view)
+    return spark.sql(f"""SELECT q_id, rank, series_id, round(dist, 6) + 0D AS dist FROM (
+        SELECT q.q_id, CAST(row_number() OVER (PARTITION BY q.q_id ORDER BY n.rank) AS BIGINT) AS rank, n.series_id, n.dist
+        FROM {view} q, LATERAL knn(q.values, 6) n WHERE n.series_id <> q.q_id) WHERE rank <= 5""")
+
+
+@query(f"WITH nn AS ({_ranked(3, True)}) SELECT what, q_id, rank, series_id, dist, TRUE AS fewer_parts FROM nn, (SELECT unnest(['loaded', 'completed']) AS what)")
+def src_stored_index(spark, d):
+    """An index written, loaded and searched, and one saved without its values and completed again; the seed of a search must read fewer parts than there are."""
+    from ..sources.matrix import shared_folder
+
+    path, w = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", X.walk(spark, d)
+    config, asked = SeriesConfig(n=64, leaf_size=50), X.queries_of(w)
+    I.SeriesIndex.build(w, config, path=f"{path}/whole", part_rows=300).save(f"{path}/bare", covering=False, part_rows=300)
+    index, bare = I.SeriesIndex.load(spark, f"{path}/whole"), I.SeriesIndex.load(spark, f"{path}/bare").complete(w)
+    one = next(S.query_blocks(S.prepare_queries(index, asked.where(F.col("q_id") == 0))))
+    files = S._rows_of(index, S.near_leaves(index, S._measure(index, one), 1)).select(F.input_file_name().alias("f")).distinct().count()
+    fewer = files < index.rows.select("part").distinct().count()
+    named = lambda what, i: _found(S.knn(i, asked, 3), True).select(F.lit(what).alias("what"), "*", F.lit(fewer).alias("fewer_parts"))
+    return named("loaded", index).unionByName(named("completed", bare))

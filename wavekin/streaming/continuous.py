@@ -34,9 +34,25 @@ def run_available(spark: SparkSession, source: str, folder: str, series: DataFra
     return spark.read.parquet(f"{folder}/answers").select("q_id", "rank", "series_id", "dist")
 
 
+def running_history(answers: DataFrame, out: str, checkpoint: str, **trigger):
+    """Start a streaming query over a stream of answers (q_id, latency, step): after each batch one row (batch, step, queries, answers, avg_latency) of all that came so far is added to the table ``out``.
+
+    The state has one row for each different query, spread by q_id, so the number of queries is
+    exact and no task holds them all; a batch that is run again replaces its own row. ``step`` is the largest one seen.
+    """
+    per_query = answers.groupBy("q_id").agg(F.count("*").alias("n"), F.count("latency").alias("timed"), F.sum("latency").alias("latency"), F.max("step").alias("step"))
+
+    def each(state: DataFrame, number: int) -> None:
+        totals = state.agg(F.max("step").alias("step"), F.count("*").alias("queries"), F.sum("n").alias("answers"), (F.sum("latency") / F.sum("timed")).alias("avg_latency"))
+        totals.select(F.lit(number).cast("long").alias("number"), "*").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return per_query.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def history(answers: DataFrame) -> DataFrame:
-    """(queries, answers, avg_dist): running totals of a stream or table of answers, for the complete output mode."""
-    return answers.agg(F.approx_count_distinct("q_id").alias("queries"), F.count("*").alias("answers"), F.avg("dist").alias("avg_dist"))
+    """(queries, answers, avg_dist): totals of a table of answers; of a stream, for the complete output mode, with an approximate number of queries (``running_history`` has the exact one)."""
+    queries = F.approx_count_distinct("q_id") if answers.isStreaming else F.count_distinct("q_id")
+    return answers.agg(queries.alias("queries"), F.count("*").alias("answers"), F.avg("dist").alias("avg_dist"))
 
 
 def register_views(spark: SparkSession, answers: str, index=None) -> None:
