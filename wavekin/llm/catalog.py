@@ -1,7 +1,9 @@
-"""Queries over the training-data tables, and their SQL where SQL can express them. ``__spark_entry__`` adds the pipeline."""
+"""Queries over the training-data tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from .ann import op4_ann
 from .ball_kmeans import op12_ball_kmeans
 from .decontam import op6_decontaminate
@@ -22,7 +24,8 @@ def queries() -> dict:
         op1_url_filter, op2_sharding, op3_language_id, op4_ann, op5_mix, op6_decontaminate, op7_near_dedup,
         op8_token_store, op9_pii, op10_secrets, op11_html_templates, op12_ball_kmeans, op13_importance_resampling,
     )
-    return {f.__name__: f for f in ops}
+    # the pipeline is a module beside the library, found when it is run
+    return {f.__name__: f for f in ops} | {"pipeline": lambda spark, sf_dir: import_module("corpus_pipeline").run(spark, sf_dir)}
 
 
 def oracle_sql() -> dict[str, str]:

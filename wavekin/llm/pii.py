@@ -36,8 +36,9 @@ LAYOUTS = r"^(?:4-4-4-4|4-4-4-4-3|4-6-5|4-6-4|4-3-3-3)$"
 #: The date pattern has the only groups, so its back references hold here too.
 ANY = "|".join((EMAIL, IPV4, DATE, PHONE, SSN, CARD))
 
-#: Days of a whole Gregorian cycle of 400 years from the first day: 27 * 5411 = 146097.
-FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 27, 5411
+#: Of the 146097 days of a whole Gregorian cycle of 400 years from the first day, 57600 = 240 * 240 lie in the first EARLY days of a month, the other 88497 = 9 * 9833 do not.
+FIRST_DAY, EARLY = "1800-01-01", 12
+EARLY_A, EARLY_B, LATE_A, LATE_B, MONTHS = 240, 240, 9, 9833, 4800
 
 
 def feistel(a: Column, b: Column, size_a, size_b, key: str, tag: str) -> Column:
@@ -183,18 +184,52 @@ def _date_parts(hit: Column) -> tuple[Column, Column, Column]:
     return F.when(iso, y_m_d).otherwise(F.coalesce(d_m_y, m_d_y)), iso, ~iso & d_m_y.isNull()
 
 
+def _first_of(month: Column) -> Column:
+    """First day of a month counted from the first day's."""
+    return F.make_date((F.floor(month / 12) + 1800).cast("int"), (month % 12 + 1).cast("int"), F.lit(1))
+
+
+def _late_before(month: Column) -> Column:
+    """Days after the EARLY ones in all months before this one."""
+    return F.datediff(_first_of(month), F.lit(FIRST_DAY).cast("date")).cast("long") - EARLY * month
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with the value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def permuted_day(day: Column, key: str) -> Column:
+    """The pseudonym of a day of the years 1800-2199, a permutation of these days in which the first 12 days of months stay among themselves."""
+
+    def late_day(place: Column) -> Column:
+        # months have 16 to 19 late days, evenly enough for a guess that is at most one off
+        guess = F.least(F.floor(place * MONTHS / (LATE_A * LATE_B)), F.lit(MONTHS - 1))
+        right = lambda g: F.filter(F.array(F.least(g + 1, F.lit(MONTHS - 1)), g, F.greatest(g - 1, F.lit(0))), lambda m: _late_before(m) <= place)[0]
+        return _let(_let(guess, right), lambda m: F.date_add(_first_of(m), (place - _late_before(m) + EARLY).cast("int")))
+
+    def moved(d: Column) -> Column:
+        early = d["nth"] < EARLY
+        rank = F.when(early, d["month"] * EARLY + d["nth"]).otherwise(_late_before(d["month"]) + d["nth"] - EARLY)
+        sizes = F.when(early, F.lit(EARLY_A)).otherwise(F.lit(LATE_A)), F.when(early, F.lit(EARLY_B)).otherwise(F.lit(LATE_B))
+        pair = _let(rank, lambda r: feistel(F.floor(r / sizes[1]), r % sizes[1], *sizes, key, "date"))
+        place = _let(pair, lambda out: out["a"] * sizes[1] + out["b"])
+        return _let(place, lambda x: F.when(early, F.date_add(_first_of(F.floor(x / EARLY)), (x % EARLY).cast("int"))).otherwise(late_day(x)))
+
+    month = (F.year(day).cast("long") - 1800) * 12 + F.month(day) - 1
+    return _let(F.struct(month.alias("month"), (F.dayofmonth(day).cast("long") - 1).alias("nth")), moved)
+
+
 def _date(hit: Column, key: str) -> Column:
     """A day of the years 1800-2199; ambiguous dates are read day first.
 
-    The order of day, month and year is kept, so the permutation is one of the dates
-    written in that order.
+    The order of day, month and year is kept. Only days after the 12th can be told to stand behind
+    their month, and these are permuted among themselves, so a pseudonym reads as
+    the value did: one day has one pseudonym in all orders, and two values never share one.
     """
     day, iso, month_first = _date_parts(hit)
-    rank = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
-    out = feistel(F.floor(rank / DAYS_B), rank % DAYS_B, DAYS_A, DAYS_B, key, "date")
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), (out["a"] * DAYS_B + out["b"]).cast("int"))
-    shown = F.when(iso, F.date_format(new, "yyyyMMdd")).when(month_first, F.date_format(new, "MMddyyyy")).otherwise(F.date_format(new, "ddMMyyyy"))
-    return _refill(hit, shown)
+    shown = lambda new: F.when(iso, F.date_format(new, "yyyyMMdd")).when(month_first, F.date_format(new, "MMddyyyy")).otherwise(F.date_format(new, "ddMMyyyy"))
+    return _refill(hit, _let(permuted_day(day, key), shown))
 
 
 def _ipv4(hit: Column, key: str) -> Column:
@@ -231,7 +266,8 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     Returns (doc_id, n_email, n_ipv4, n_date, n_phone, n_ssn, n_card, text). Card numbers must pass the
     Luhn check, dates must exist, social security numbers must be assignable, and so must
     phone numbers unless +1, brackets or two dashes or dots mark them; other digit strings stay. A null text stays null with no findings, an empty one
-    empty. Rows are treated one by one, so repeated rows give repeated results.
+    empty. Rows are treated one by one, so repeated rows give repeated results. Only the id and the text are read, other
+    columns may have any names. An empty table gives no rows.
     """
     text = F.col("_text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
