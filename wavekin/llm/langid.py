@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, table
+from .common import release, remove, small_batches, stage, table
 
 BUCKETS, DIM = 1 << 16, 16
 #: Lengths in bytes of the subwords. A blank may begin or end one, so they tell a word's ends from its inside.
@@ -100,15 +100,14 @@ class LanguageModel:
 
     def _means(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(logits, mean log share in each language, subwords) of each text."""
-        tables = np.concatenate([self.logits, self.typical], axis=1)
-        total = np.zeros((len(texts), tables.shape[1]))
-        count = np.zeros(len(texts))
+        raw, typical, count = np.zeros((len(texts), len(self.langs))), np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
         for bucket, owner in subwords(texts):
             count += np.bincount(owner, minlength=len(texts))
-            for c in range(tables.shape[1]):
-                total[:, c] += np.bincount(owner, tables[bucket, c], minlength=len(texts))
-        total /= np.maximum(count, 1)[:, None]
-        return total[:, : len(self.langs)] + self.bias, total[:, len(self.langs) :], count
+            for table_, total in ((self.logits, raw), (self.typical, typical)):
+                for c in range(len(self.langs)):
+                    total[:, c] += np.bincount(owner, table_[bucket, c], minlength=len(texts))
+        size = np.maximum(count, 1)[:, None]
+        return raw / size + self.bias, typical / size, count
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         """lang_pred, score, accepted of each text."""
@@ -158,20 +157,19 @@ def fit_bags(bags: list[tuple[np.ndarray, np.ndarray, int]], labels: list[str],
         for rows in np.array_split(rng.permutation(train), max(1, -(-len(train) // batch))):
             pace = 1 - step / steps
             step += 1
-            bucket = np.concatenate([bags[r][0] for r in rows])
-            share = np.concatenate([bags[r][1] for r in rows])
-            at = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
-            if not len(bucket):
+            # a bag has each bucket once, so its rows of the table are read and changed without sums over repeats
+            used = [r for r in rows if len(bags[r][0])]
+            if not used:
                 continue
-            hidden = np.stack([np.bincount(at, emb[bucket, d] * share, minlength=len(rows)) for d in range(DIM)], axis=1).astype(np.float32)
+            shares = [bags[r][1].astype(np.float32) for r in used]
+            hidden = np.stack([share @ emb[bags[r][0]] for r, share in zip(used, shares, strict=True)])
             error = _softmax(hidden @ weight.T + bias)
-            error[np.arange(len(rows)), y[rows]] -= 1
-            back = (error @ weight).astype(np.float32)
-            weight -= 0.5 * pace * (error.T @ hidden) / len(rows)
-            bias -= 0.1 * pace * error.mean(axis=0)
-            ids, place = np.unique(bucket, return_inverse=True)
-            for d in range(DIM):
-                emb[ids, d] -= rate * pace / len(rows) * np.bincount(place, back[at, d] * share, minlength=len(ids)).astype(np.float32)
+            error[np.arange(len(used)), y[used]] -= 1
+            back = (error @ weight).astype(np.float32) * np.float32(rate * pace / len(rows))
+            weight -= (0.5 * pace / len(rows)) * (error.T @ hidden)
+            bias -= 0.1 * pace * error.sum(axis=0) / len(rows)
+            for r, share, change in zip(used, shares, back, strict=True):
+                emb[bags[r][0]] -= share[:, None] * change
     model = LanguageModel(langs, (emb @ weight.T).astype(np.float32), bias.astype(float))
     _calibrate(model, bags, y, held)
     return model
@@ -182,10 +180,13 @@ def _calibrate(model: LanguageModel, bags: list, y: np.ndarray, held: np.ndarray
     rows = np.flatnonzero(held)
     if len(rows) < 10:
         return
-    share = np.zeros((BUCKETS, len(model.langs)))
+    # one table of singles, turned into logarithms where it lies
+    model.typical = np.full((BUCKETS, len(model.langs)), 0.01, dtype=np.float32)
     for r in np.flatnonzero(~held):
-        share[bags[r][0], y[r]] += bags[r][1] * bags[r][2]
-    model.typical = np.log((share + 0.01) / (share + 0.01).sum(axis=0)).astype(np.float32)
+        model.typical[bags[r][0], y[r]] += (bags[r][1] * bags[r][2]).astype(np.float32)
+    whole = np.log(model.typical.sum(axis=0, dtype=float)).astype(np.float32)
+    np.log(model.typical, out=model.typical)
+    model.typical -= whole
     mean = lambda table: np.stack([bags[r][1] @ table[bags[r][0]] if len(bags[r][0]) else np.zeros(table.shape[1]) for r in rows])
     raw = mean(model.logits) + model.bias
     fits = lambda t: -np.log(np.maximum(_softmax(raw / t)[np.arange(len(rows)), y[rows]], 1e-12)).mean()
@@ -250,7 +251,10 @@ def train(docs: DataFrame, *, max_per_lang: int = 1000, max_rows: int = 20_000)
 
     small_batches(docs.sparkSession)
     got = sample.select("doc_id", "lang", "text").mapInPandas(run, "doc_id long, lang string, buckets array<int>, shares array<float>, n long")
-    held = [(r["doc_id"], r["lang"], np.array(r["buckets"], dtype=np.uint16), np.array(r["shares"], dtype=np.float32), r["n"]) for r in got.toLocalIterator()]
+    # all tasks make bags at once; the driver then takes them partition by partition
+    got = stage(got, "bags")
+    held = [(r["doc_id"], r["lang"], np.array(r["buckets"], dtype=np.uint16), np.array(r["shares"], dtype=np.float32), r["n"]) for r in got.toLocalIterator(prefetchPartitions=True)]
+    remove(docs.sparkSession, got.staged_path)
     held.sort(key=lambda r: (r[0], r[1], r[4], r[2].tobytes()))
     model = fit_bags([r[2:] for r in held], [r[1] for r in held])
     del held
