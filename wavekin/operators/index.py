@@ -471,18 +471,45 @@ def coarsen_step(words: DataFrame, w: int) -> DataFrame:
     return each.distinct().groupBy("seg").agg(F.count("*").alias("pages"))
 
 
+def _dropped(word, drop: list[int]):
+    """A word without the given number of low bits of each segment."""
+    return F.transform(word, lambda s, j: F.call_function("shiftright", s.cast("int"), F.element_at(F.array(*[F.lit(d) for d in drop]), j + 1)))
+
+
+def coarsen_rounds(words: DataFrame, w: int, stop) -> list[tuple[int, int]]:
+    """(seg, pages) of each round: the segment whose low bit costs most different words, and how many are left; ties to the first.
+
+    All w candidates of a round are counted in one pass over the different words. Rounds go
+    on until ``stop(pages, rounds)``; ``pages`` is None before the first.
+    """
+    different = words.select("word").distinct().persist()
+    drop, out = [0] * w, []
+    try:
+        while not stop(out[-1][1] if out else None, len(out)):
+            best = coarsen_step(different.select(_dropped("word", drop).alias("word")).distinct(), w).orderBy("pages", "seg").first()
+            if best is None:
+                break
+            drop[best["seg"]] += 1
+            out.append((best["seg"], best["pages"]))
+    finally:
+        different.unpersist()
+    return out
+
+
 def coarsen(words: DataFrame, w: int, row_bytes: int, page: int = 4096, utilisation: float = 1.2) -> list[int]:
     """Bits to drop from each segment, found greedily, until words share pages well enough."""
-    rows = words.count()
+    rows, first = words.count(), words.select("word").distinct().count()
+
+    def stop(pages: int | None, rounds: int) -> bool:
+        now = first if pages is None else pages
+        return now <= 1 or rounds > 8 * w or rows * row_bytes / now / page >= utilisation
+
     dropped = [0] * w
-    now = held = words.select("word").persist()
-    pages = now.distinct().count()
-    while pages and rows * row_bytes / pages / page < utilisation and pages > 1:
-        best = coarsen_step(now.distinct(), w).orderBy("pages", "seg").first()
-        seg, pages = best["seg"], best["pages"]
+    for seg, _ in coarsen_rounds(words, w, stop):
         dropped[seg] += 1
-        if dropped[seg] > 8:
-            break
-        now = now.select(F.transform("word", lambda s, j: F.when(j == seg, F.shiftright(s.cast("int"), 1)).otherwise(s.cast("int"))).alias("word"))
-    held.unpersist()
     return dropped
+
+
+def lay_out(worded: DataFrame, dropped: list[int], parts: int) -> DataFrame:
+    """Rows with page_key, the coarsened word, sorted by it over ``parts`` ranges: the rows of a page lie together."""
+    return worded.withColumn("page_key", F.array_join(F.transform(_dropped("word", dropped), lambda s: F.lpad(F.hex(s), 2, "0")), "")).repartitionByRange(parts, "page_key").sortWithinPartitions("page_key")

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..config import SeriesConfig
 from ..functions.kernels import coefficients_of, matrix_of
 
-#: Cells of a segment's range in which values are ranked apart.
-GRID = 4096
+#: Cells of about as many different values each in which a group's values are ranked apart, and the accuracy of their borders.
+CELLS, BORDER_ACCURACY = 4096, 40_000
+#: Groups whose borders are broadcast, at most.
+BROADCAST_GROUPS = 1000
 
 
 @dataclass(frozen=True)
@@ -81,29 +83,64 @@ def positions(values: DataFrame, coefficients: list[int]) -> DataFrame:
     return chosen.select(F.explode(F.array(F.struct((F.col("i") * 2).alias("seg"), F.col("re").alias("x")), F.struct((F.col("i") * 2 + 1).alias("seg"), F.col("im").alias("x")))).alias("p")).select("p.*")
 
 
-def equi_depth(values: DataFrame, alphabet: int) -> DataFrame:
-    """(seg, bin, edge): of S sorted values the one at floor((bin + 1) * S / alphabet), bin = 0 .. alphabet - 2.
+def cells(values: DataFrame) -> DataFrame:
+    """(seg, x, n, s, cell): the different values of each seg with their counts, the seg's count, and cells that part them in order.
+
+    Cell borders are approximate quantiles of the different values, so a cell has about an equal number of
+    them wherever they lie: neither far values nor frequent ones make a large cell.
+    """
+    counted = values.groupBy("seg", "x").agg(F.count("*").alias("n"))
+    cuts = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
+    borders = counted.groupBy("seg").agg(F.percentile_approx("x", cuts, BORDER_ACCURACY).alias("borders"), F.sum("n").alias("s"))
+    borders = F.broadcast(borders) if values.select("seg").distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else borders
+    # the number of borders not above x, by bisection
+    start = F.struct(F.lit(0).alias("lo"), F.size("borders").alias("hi"))
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        right = (at["lo"] < at["hi"]) & (F.get("borders", F.least(mid, F.size("borders") - 1)) <= F.col("x"))
+        return F.struct(F.when(right, mid + 1).otherwise(at["lo"]).alias("lo"), F.when((at["lo"] < at["hi"]) & ~right, mid).otherwise(at["hi"]).alias("hi"))
+
+    cell = F.aggregate(F.sequence(F.lit(0), F.lit(CELLS.bit_length())), start, halve)["lo"]
+    return counted.join(borders, "seg").select("seg", "x", "n", "s", cell.alias("cell"))
+
 
-    Ranks are exact and need no task to sort a whole segment: equal values are counted,
-    ``GRID`` cells between a segment's smallest and largest value are summed up one after
-    another, and only a cell's different values are sorted together.
+def ranks(values: DataFrame) -> DataFrame:
+    """(seg, x, n, s, first): value x has the ranks first .. first + n - 1, from 0, among the s values of its seg.
+
+    Ranks are exact and need no task to sort a whole seg: cells are summed up one after another, and
+    only a cell's different values are sorted together.
     """
-    ends = values.groupBy("seg").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("s"))
-    counted = values.groupBy("seg", "x").agg(F.count("*").alias("n")).join(ends, "seg")
-    cell = F.when(F.col("b") > F.col("a"), F.least(F.floor((F.col("x") - F.col("a")) / (F.col("b") - F.col("a")) * GRID), F.lit(GRID - 1))).otherwise(F.lit(0))
-    counted = counted.select("seg", "x", "n", "s", cell.alias("cell"))
-    # at most GRID rows a segment
+    counted = cells(values)
+    # at most CELLS rows a seg
     before = Window.partitionBy("seg").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.groupBy("seg", "cell").agg(F.sum("n").alias("n")).select("seg", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("seg", "cell").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(base, ["seg", "cell"]).select("seg", "x", "n", "s", (F.col("base") + F.col("before")).alias("first"))
-    # value x has the ranks first .. first + n - 1; edge b is at rank floor(b * s / alphabet)
+    ranked = counted.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(base, ["seg", "cell"])
+    return ranked.select("seg", "x", "n", "s", (F.col("base") + F.col("before")).alias("first"))
+
+
+def equi_depth(values: DataFrame, alphabet: int) -> DataFrame:
+    """(seg, bin, edge): of S sorted values the one at floor((bin + 1) * S / alphabet), bin = 0 .. alphabet - 2."""
+    # edge b is at rank floor(b * s / alphabet)
     up = lambda rank: F.expr(f"({rank} * {alphabet} + s - 1) div s")
     lo, hi = F.greatest(up("first"), F.lit(1)), F.least(up("(first + n)") - 1, F.lit(alphabet - 1))
-    held = ranked.select("seg", "x", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    held = ranks(values).select("seg", "x", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
     return held.select("seg", F.explode(F.sequence("lo", "hi")).alias("b"), "x").select("seg", (F.col("b") - 1).cast("int").alias("bin"), F.col("x").alias("edge"))
 
 
+def percentiles(values: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(seg, one column for each of ``shares``): exact percentiles of (seg, x), between neighbours by linear interpolation. Nulls take no part."""
+    ranked = ranks(values.where("x is not null"))
+    out = []
+    for name, p in shares.items():
+        place = F.lit(p) * (F.col("s") - 1)
+        at = lambda r: F.max(F.when((F.col("first") <= r) & (r < F.col("first") + F.col("n")), F.col("x")))
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        out.append((low + (high - low) * part).alias(name))
+    return ranked.groupBy("seg").agg(*out)
+
+
 def equi_width(values: DataFrame, alphabet: int) -> DataFrame:
     """(seg, bin, edge): min + (bin + 1) * (max - min) / alphabet."""
     ends = values.groupBy("seg").agg(F.min("x").alias("a"), F.max("x").alias("b"))

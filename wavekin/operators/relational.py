@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .learning import percentiles
+
+#: Groups whose one value is broadcast, at most.
+BROADCAST_ROWS = 500_000
+
 
 def read_logs(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """CSV files with headers below a folder, with the columns dataset, configuration and variant from their paths .../dataset/configuration/variant.csv."""
@@ -16,9 +21,10 @@ def read_logs(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 
 def drop_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Without the last row of each group, a trailer."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("_n", F.row_number().over(w.orderBy(F.desc(order)))).where("_n > 1").drop("_n")
+    """Without the last row of each group, a trailer. Rows that share the last place all go."""
+    last = df.groupBy(*keys).agg(F.max(order).alias("_last"))
+    last = F.broadcast(last) if last.count() <= BROADCAST_ROWS else last
+    return df.join(last, keys).where(F.col(order) < F.col("_last")).select(df.columns)
 
 
 def relative_to_first(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -43,8 +49,9 @@ def average_rank(df: DataFrame, block: str, method: str, value: str) -> DataFram
 def box(df: DataFrame, keys: list[str], value: str, z: float = 1.96) -> DataFrame:
     """Quartiles, and the mean with its normal interval."""
     half = z * F.stddev(value) / F.sqrt(F.count(value))
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(*keys).agg(q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.avg(value).alias("mean"), (F.avg(value) - half).alias("low"), (F.avg(value) + half).alias("high"))
+    means = df.groupBy(F.struct(*keys).alias("seg")).agg(F.avg(value).alias("mean"), (F.avg(value) - half).alias("low"), (F.avg(value) + half).alias("high"))
+    quartiles = percentiles(df.select(F.struct(*keys).alias("seg"), F.col(value).alias("x")), {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    return means.join(quartiles, "seg", "left").select(*[F.col(f"seg.{k}").alias(k) for k in keys], "q1", "q2", "q3", "mean", "low", "high")
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:

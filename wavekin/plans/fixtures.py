@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 
 N, STRIDE = 64, 5
+#: Segments that 64 values cannot be cut into evenly.
+ODD_W = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +61,8 @@ def users(spark, sf_dir) -> DataFrame:
 
 
 def odd(spark, sf_dir) -> DataFrame:
-    return embeddings(spark, sf_dir).select("series_id", F.slice("values", 1, 50).alias("values"))
+    """Series whose length the ODD_W segments do not divide."""
+    return embeddings(spark, sf_dir).select("series_id", "values")
 
 
 def daily(spark, sf_dir) -> DataFrame:
@@ -82,7 +85,7 @@ WALK = f"""walk_k AS (SELECT event_id, CAST(round(value * 1000) AS BIGINT) AS k
 walk_s AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, sum(k - (SELECT CAST(floor(sum(k) / count(*)) AS BIGINT) FROM walk_k)) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS x FROM walk_k),
 walk AS (SELECT w AS series_id, list(CAST(x AS DOUBLE) / 1000.0 ORDER BY i) AS v FROM (SELECT i, x, unnest(range(CAST(greatest(0, ceil((i - {N - 1}) / {STRIDE}.0)) AS BIGINT), CAST(i // {STRIDE} + 1 AS BIGINT))) AS w FROM walk_s) GROUP BY w HAVING count(*) = {N})"""
 USERS = "users AS (SELECT user_id AS series_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id)"
-ODD = EMB + ", odd AS (SELECT series_id, v[1:50] AS v FROM emb)"
+ODD = EMB + ", odd AS (SELECT series_id, v FROM emb)"
 DAILY = "daily AS (SELECT l_suppkey AS series_id, list(CAST(x AS DOUBLE) ORDER BY d) AS v FROM (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS x FROM lineitem GROUP BY ALL) GROUP BY l_suppkey)"
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import learning as L
 from ..operators import relational as R
 from .fixtures import r6, r6_sql, table
 
@@ -97,7 +98,9 @@ def rel_union(spark, d):
 @query(f"WITH {M} SELECT dataset, method, {r6_sql('avg(query_time)')} AS mean, {r6_sql('sum(query_time)')} AS total, min(query_time) AS low, max(query_time) AS high, {r6_sql('median(query_time)')} AS mid FROM m GROUP BY ALL")
 def rel_group(spark, d):
     t = F.col("query_time")
-    return metrics(spark, d).groupBy("dataset", "method").agg(r6(F.avg(t)).alias("mean"), r6(F.sum(t)).alias("total"), F.min(t).alias("low"), F.max(t).alias("high"), r6(F.median(t)).alias("mid"))
+    m, seg = metrics(spark, d), F.struct("dataset", "method").alias("seg")
+    got = m.groupBy(seg).agg(r6(F.avg(t)).alias("mean"), r6(F.sum(t)).alias("total"), F.min(t).alias("low"), F.max(t).alias("high"))
+    return got.join(L.percentiles(m.select(seg, t.alias("x")), {"mid": 0.5}), "seg").select("seg.dataset", "seg.method", "mean", "total", "low", "high", r6(F.col("mid")).alias("mid"))
 
 
 @query(f"WITH {M}, g AS (SELECT dataset, cores, avg(distance) AS t FROM m GROUP BY ALL), f AS (SELECT *, first_value(t) OVER (PARTITION BY dataset ORDER BY cores) AS t0 FROM g) SELECT dataset, cores, {r6_sql('t / t0')} AS ratio, {r6_sql('t0 / t')} AS speedup FROM f")
@@ -113,7 +116,8 @@ def rel_pivot_mean(spark, d):
 
 @query(f"WITH {M} SELECT dataset, {', '.join(r6_sql(f'median(CASE WHEN cores = {i} THEN query_time END)') + f' AS c{i}' for i in (9, 18, 36))} FROM m GROUP BY dataset")
 def rel_pivot_median(spark, d):
-    p = R.pivot(metrics(spark, d), ["dataset"], "cores", [9, 18, 36], r6(F.median("query_time")))
+    mid = L.percentiles(metrics(spark, d).select(F.struct("dataset", "cores").alias("seg"), F.col("query_time").alias("x")), {"mid": 0.5})
+    p = R.pivot(mid.select("seg.dataset", "seg.cores", "mid"), ["dataset"], "cores", [9, 18, 36], r6(F.first("mid")))
     return p.withColumnsRenamed({"9": "c9", "18": "c18", "36": "c36"})
 
 

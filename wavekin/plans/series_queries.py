@@ -121,23 +121,27 @@ def prj_paa(spark, d):
     return X.exploded(X.embeddings(spark, d), ["series_id"], A.paa(V(), 16, 64), ("seg", "val"))
 
 
-_UNEVEN = "[" + ", ".join(f"list_avg(v[{a + 1}:{a + c}])" for a, c in A.uneven_bounds(50, 16)) + "]"
+_UNEVEN = "[" + ", ".join(f"list_avg(v[{a + 1}:{a + c}])" for a, c in A.uneven_bounds(64, X.ODD_W)) + "]"
 
 
 @query(X.explode_sql(X.ODD, "odd", _UNEVEN, names=("seg", "val")))
 def prj_paa_uneven(spark, d):
-    return X.exploded(X.odd(spark, d), ["series_id"], A.paa_uneven(V(), 16, 50), ("seg", "val"))
+    return X.exploded(X.odd(spark, d), ["series_id"], A.paa_uneven(V(), X.ODD_W, 64), ("seg", "val"))
 
 
-@query(X.explode_sql(f"{X.ODD}, p AS (SELECT series_id, {_UNEVEN} AS p FROM odd)", "p", "flatten([" + ", ".join(f"list_transform(range({c}), lambda i: p[{i + 1}])" for i, (_, c) in enumerate(A.uneven_bounds(50, 16))) + "])"))
+@query(X.explode_sql(f"{X.ODD}, p AS (SELECT series_id, {_UNEVEN} AS p FROM odd)", "p", "flatten([" + ", ".join(f"list_transform(range({c}), lambda i: p[{i + 1}])" for i, (_, c) in enumerate(A.uneven_bounds(64, X.ODD_W))) + "])"))
 def prj_paa_expand(spark, d):
-    p = X.odd(spark, d).select("series_id", A.paa_uneven(V(), 16, 50).alias("p"))
-    return X.exploded(p, ["series_id"], A.paa_expand(F.col("p"), 16, 50))
+    p = X.odd(spark, d).select("series_id", A.paa_uneven(V(), X.ODD_W, 64).alias("p"))
+    return X.exploded(p, ["series_id"], A.paa_expand(F.col("p"), X.ODD_W, 64))
 
 
-@query("SELECT CAST(unnest(range(15)) AS BIGINT) AS pos, round(unnest(" + X.list_literal(BP16) + "), 6) + 0.0 AS val")
+@query(f"WITH {X.EMB}, {X.zn('emb')}, x AS (SELECT unnest(v) AS x FROM zn), b AS (SELECT CAST(unnest(range(15)) AS BIGINT) AS pos, unnest({X.list_literal(BP16)}) AS edge), s AS (SELECT CAST(len(list_filter({X.list_literal(BP16)}, lambda b: b < x)) AS BIGINT) AS s, count(*) AS n FROM x GROUP BY 1) SELECT pos, round(edge, 6) + 0.0 AS val, CAST(coalesce(sum(CASE WHEN s <= pos THEN n END), 0) AS BIGINT) AS below FROM b, s GROUP BY pos, edge")
 def prj_breakpoints(spark, d):
-    return X.exploded(spark.range(1).select(A.literal_array(BP16).alias("b")), [], F.col("b"))
+    """The breakpoints, and how many z-normalised values do not exceed each."""
+    found = X.embeddings(spark, d).select(F.explode(A.znorm(V())).alias("x")).groupBy(A.symbol(F.col("x"), A.literal_array(BP16)).cast("long").alias("s")).agg(F.count("*").alias("n"))
+    # one row a breakpoint and a symbol
+    edges = X.exploded(spark.range(1).select(A.literal_array(BP16).alias("b")), [], F.col("b"))
+    return edges.join(F.broadcast(found), F.col("s") <= F.col("pos"), "left").groupBy("pos", "val").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("below"))
 
 
 def _word_sql(src: str, bp, op: str) -> str:
@@ -327,7 +331,8 @@ def prj_noise(spark, d):
 
 @query()
 def prj_random_walk(spark, d):
-    return X.exploded(spark.range(20).select(F.col("id").alias("series_id")), ["series_id"], A.random_walk(F.col("series_id"), 32, 3))
+    """A walk for each id of the table."""
+    return X.exploded(X.embeddings(spark, d).select("series_id"), ["series_id"], A.random_walk(F.col("series_id"), 32, 3))
 
 
 # distances and bounds -----------------------------------------------------------------------
@@ -424,13 +429,13 @@ def lbd_sax_node(spark, d):
     return both.select("q_id", "series_id", X.r6(D.lb_sax_region(F.col("q"), F.col("r.lo"), F.col("r.hi"), 256, 4)).alias("lb"))
 
 
-@query(f"WITH {X.ODD}, {X.zn('odd')}, {X.paa_sql('zn', 16, 3)}, word AS (SELECT series_id, p, list_transform(p, lambda x: CAST(len(list_filter({X.list_literal(BP256)}, lambda b: b < x)) AS BIGINT)) AS s FROM paa), pairs AS (SELECT q.series_id AS q_id, x.series_id, q.p AS p, x.s AS s, zq.v AS a, zx.v AS b FROM word x, word q, zn zq, zn zx WHERE q.series_id % 100 = 0 AND x.series_id <> q.series_id AND zq.series_id = q.series_id AND zx.series_id = x.series_id) SELECT q_id, series_id, {X.r6_sql(_lb_sql(BP256, 16, 3))} AS lb, {X.r6_sql(X.l2_sql('a', 'b', 50))} AS dist FROM pairs")
+@query(f"WITH {X.ODD}, {X.zn('odd')}, {X.paa_sql('zn', X.ODD_W, 2)}, word AS (SELECT series_id, p, list_transform(p, lambda x: CAST(len(list_filter({X.list_literal(BP256)}, lambda b: b < x)) AS BIGINT)) AS s FROM paa), pairs AS (SELECT q.series_id AS q_id, x.series_id, q.p AS p, x.s AS s, zq.v AS a, zx.v AS b FROM word x, word q, zn zq, zn zx WHERE q.series_id % 100 = 0 AND x.series_id <> q.series_id AND zq.series_id = q.series_id AND zx.series_id = x.series_id) SELECT q_id, series_id, {X.r6_sql(_lb_sql(BP256, X.ODD_W, 2))} AS lb, {X.r6_sql(X.l2_sql('a', 'b', 64))} AS dist FROM pairs")
 def lbd_sax_odd(spark, d):
-    """50 values in 16 segments of 3: the bound counts 3 values a segment, so it holds."""
-    z = X.odd(spark, d).select("series_id", A.znorm(V()).alias("values")).withColumn("p", A.paa(V(), 16, 50))
+    """64 values in 24 segments of 2: the bound counts 2 values a segment, so it holds."""
+    z = X.odd(spark, d).select("series_id", A.znorm(V()).alias("values")).withColumn("p", A.paa(V(), X.ODD_W, 64))
     q = z.where(F.col("series_id") % X.EVERY == 0).select(F.col("series_id").alias("q_id"), F.col("p").alias("q"), F.col("values").alias("qv"))
     both = z.select("series_id", "values", A.sax_word(F.col("p"), 256).alias("word")).crossJoin(F.broadcast(q)).where("series_id <> q_id")
-    return both.select("q_id", "series_id", X.r6(D.lb_sax(F.col("q"), F.col("word"), 256, 3)).alias("lb"), X.r6(D.l2sq(V(), F.col("qv"))).alias("dist"))
+    return both.select("q_id", "series_id", X.r6(D.lb_sax(F.col("q"), F.col("word"), 256, 2)).alias("lb"), X.r6(D.l2sq(V(), F.col("qv"))).alias("dist"))
 
 
 _WALK_Q = "q.series_id % 100 = 0"
@@ -592,6 +597,28 @@ def agg_word_coarsen_step(spark, d):
     return I.coarsen_step(w, 16).select(F.col("seg").cast("long").alias("seg"), "pages")
 
 
+def _coarsen_sql(rounds: int) -> str:
+    """CTEs b1, b2 ... (seg, pages), each round's best segment, over word."""
+    out = ["s0 AS (SELECT DISTINCT s FROM word)", "seg AS (SELECT unnest(range(16)) AS seg)"]
+    for r in range(1, rounds + 1):
+        cut = "list_transform(range(1, 17), lambda i: CASE WHEN i = seg + 1 THEN s[i] >> 1 ELSE s[i] END)"
+        out.append(f"b{r} AS (SELECT seg, count(DISTINCT array_to_string(list_transform({cut}, lambda x: CAST(x AS VARCHAR)), '.')) AS pages FROM s{r - 1}, seg GROUP BY seg ORDER BY pages, seg LIMIT 1)")
+        out.append(f"s{r} AS (SELECT DISTINCT {cut} AS s FROM s{r - 1}, b{r})")
+    return ", ".join(out)
+
+
+@query(f"""WITH {X.WALK}, {_word_sql('walk', BP256, '<')}, {_coarsen_sql(3)}, best AS (SELECT 1 AS round, seg, pages FROM b1 UNION ALL SELECT 2, seg, pages FROM b2 UNION ALL SELECT 3, seg, pages FROM b3)
+SELECT CAST(round AS BIGINT) AS round, CAST(seg AS BIGINT) AS seg, pages, CAST((SELECT count(*) FROM s3) AS BIGINT) AS laid_out, (SELECT count(*) FROM word) AS rows FROM best""")
+def agg_word_coarsen(spark, d):
+    """Three rounds of dropping the bit that leaves the fewest different words, and the pages and rows of the layout by what is left."""
+    w = X.walk(spark, d).select(A.sax_word(A.paa(A.znorm(V()), 16, 64), 256).alias("word"))
+    found = I.coarsen_rounds(w, 16, lambda pages, rounds: rounds == 3)
+    dropped = [sum(seg == i for seg, _ in found) for i in range(16)]
+    pages = I.lay_out(w, dropped, 8).agg(F.count_distinct("page_key").alias("laid_out"), F.count("*").alias("rows"))
+    table = spark.createDataFrame([(i + 1, seg, pages_) for i, (seg, pages_) in enumerate(found)], "round long, seg long, pages long")
+    return table.join(F.broadcast(pages), how="cross")
+
+
 # index --------------------------------------------------------------------------------------
 
 @query(f"WITH {X.WALK}, {_word_sql('walk', BP256, '<')} SELECT root_key, count(*) AS n FROM (SELECT CAST({_ROOT} AS BIGINT) AS root_key FROM word) GROUP BY root_key")
@@ -676,7 +703,7 @@ def _cyclic_sql(size: int) -> str:
 pre AS (SELECT series_id, bits, s, CAST(unnest(range(8, 33)) AS BIGINT) AS n FROM keyed),
 shared AS (SELECT n, substr(bits, 1, n) AS p, count(*) AS c, count(DISTINCT bits) AS words FROM pre GROUP BY 1, 2),
 own AS (SELECT series_id, any_value(s) AS s, min(pre.n) AS n FROM pre JOIN shared ON shared.n = pre.n AND p = substr(bits, 1, pre.n) WHERE c <= {size} OR words = 1 GROUP BY series_id),
-placed AS (SELECT series_id, n, array_to_string(list_transform(range(8), lambda i: CAST(s[i + 1] >> (4 - c[i + 1]) AS VARCHAR) || '.' || CAST(c[i + 1] AS VARCHAR)), '_') AS leaf_id FROM (SELECT *, list_transform(range(8), lambda i: 1 + (n - 8) // 8 + CASE WHEN i < (n - 8) % 8 THEN 1 ELSE 0 END) AS c FROM own))"""
+placed AS (SELECT series_id, n, s, array_to_string(list_transform(range(8), lambda i: CAST(s[i + 1] >> (4 - c[i + 1]) AS VARCHAR) || '.' || CAST(c[i + 1] AS VARCHAR)), '_') AS leaf_id FROM (SELECT *, list_transform(range(8), lambda i: 1 + (n - 8) // 8 + CASE WHEN i < (n - 8) % 8 THEN 1 ELSE 0 END) AS c FROM own))"""
 
 
 _CYCLIC = {"w": 8, "bits": 4, "split": "cyclic"}
@@ -717,6 +744,14 @@ def idx_append_stored(spark, d):
     return named("appended", I.SeriesIndex.load(spark, f"{path}/grown")).unionByName(named("saved", copy))
 
 
+@query(f"""WITH {_W8}, {_cyclic_sql(20)}, leaf AS (SELECT list_transform(s, lambda x: x >> 3) AS root, leaf_id, any_value(n) - 8 AS depth, count(*) AS n FROM placed GROUP BY ALL), deep AS (SELECT root FROM leaf GROUP BY root HAVING max(depth) > 0)
+SELECT count(DISTINCT root) AS subtrees, {X.r6_sql('avg(depth)')} AS avg_depth, {X.r6_sql('avg(n)')} AS avg_leaf_size FROM leaf JOIN deep USING (root)""")
+def agg_tree_stats_cyclic(spark, d):
+    """Depth and size of leaves below split roots, of a tree that SQL can name."""
+    got = I.SeriesIndex.build(X.walk(spark, d), SeriesConfig(n=64, leaf_size=20, **_CYCLIC)).tree_stats()
+    return got.select("subtrees", X.r6(F.col("avg_depth")).alias("avg_depth"), X.r6(F.col("avg_leaf_size")).alias("avg_leaf_size"))
+
+
 @query(f"WITH {_W8}, {_cyclic_sql(20)} {_CYCLIC_LEAVES}")
 def idx_bulk_load(spark, d):
     """Leaves cut from the words in the order of their interleaved bits."""
