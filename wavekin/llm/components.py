@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, stage
+from .common import join_counted, remove, stage
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,22 +13,29 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+def _with_least(edges: DataFrame, total: int, *others) -> DataFrame:
+    """``edges`` (u, v) with m, the smallest v of their u or of ``others``; a hub's edges are not brought together."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    low = low.select("u", F.least("m", *others).alias("m") if others else "m", "degree")
+    return join_counted(edges, low, "u", "degree", total).drop("degree")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, root) for every node that is not its component's smallest, root being that smallest.
 
     ``edges`` has columns (u, v); direction, repeats and loops do not matter. Each round
     hangs every node under its smallest neighbour, then neighbours under the smallest of
     them, so paths shorten to stars in a number of rounds that grows with the logarithm
-    of their length. All rounds are aggregations with map-side combining and joins.
+    of their length. All rounds are aggregations with map-side combining and joins in which
+    the edges of a hub stay spread over all tasks.
     """
     now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
     before = _state(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both, 2 * before[0], "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        hung = _with_least(large, 2 * before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, now = now, stage(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
         remove(now.sparkSession, old.staged_path)
         after = _state(now)

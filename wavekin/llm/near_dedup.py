@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import passing, release, small_batches, stage, table
+from .common import join_counted, passing, release, small_batches, stage, table
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -270,7 +270,7 @@ def _open_pairs(docs: DataFrame, buckets: DataFrame, roots: DataFrame, percent:
     """Pairs (a, b) of a bucket that lie in different components and may still be linked."""
     rows = _rooted(buckets.select("k", "node", "n"), roots)
     mixed = rows.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).where("r0 <> r1").select("k", "members")
-    rows = stage(rows.join(mixed, "k"), "mixed")
+    rows = stage(join_counted(rows, mixed, "k", "members", buckets.count()), "mixed")
 
     def pairs(members: DataFrame) -> DataFrame:
         a, b = (members.select("k", *[F.col(c).alias(f"{c}_{s}") for c in members.columns if c not in ("k", "members")]) for s in "ab")
@@ -289,21 +289,23 @@ def _prefix_pairs(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     share one of their first n - ceil(n * percent / 100) + 1, and behind the first that
     they share, enough must be left of both. Of a shingle's holders, those that could
     not even be linked with the smallest of them go first; if the others lie in one
-    component, the shingle has no open pair, so a large group costs no pairs at all.
+    component, the shingle has no open pair, so a large group costs no pairs at all. The
+    holders of a common shingle meet in one place only where pairs of them are open.
     """
     need = lambda total: total * percent  # noqa: E731  a link's intersection times (100 + percent) reaches it
     shingles = _sets_of(docs, nodes.select("node")).select("node", F.explode("shingles").alias("s"))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
     shared = shingles.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     by_rarity = Window.partitionBy("node").orderBy("f", "s")
-    held = shingles.join(shared, "s").select("node", "s", F.row_number().over(by_rarity).alias("nth"), F.count("*").over(Window.partitionBy("node")).alias("c"))
+    held = join_counted(shingles, shared, "s", "f", total).select("node", "s", F.row_number().over(by_rarity).alias("nth"), F.count("*").over(Window.partitionBy("node")).alias("c"))
     held = held.join(nodes, "node").withColumn("left", F.col("c") - F.col("nth") + 1)
     held = held.where(F.col("n") - F.col("left") + 1 <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     held = stage(held.select("s", "node", "n", "root", "left"), "prefixes")
-    floor = held.groupBy("s").agg(F.min("n").alias("least"))
+    floor = held.groupBy("s").agg(F.min("n").alias("least"), F.count("*").alias("f"))
     partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
-    alive = held.join(floor, "s").where(F.col("left") * (100 + percent) >= need(F.col("n") + partner)).drop("least")
-    mixed = alive.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("s")
-    alive = stage(alive.join(mixed, "s"), "prefixes")
+    alive = join_counted(held, floor, "s", "f", total).where(F.col("left") * (100 + percent) >= need(F.col("n") + partner)).drop("least", "f")
+    mixed = alive.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("f")).where("r0 <> r1").select("s", "f")
+    alive = stage(join_counted(alive, mixed, "s", "f", total).drop("f"), "prefixes")
     a, b = (alive.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root", "left")]) for x in "ab")
     on = (a["s"] == b["s"]) & (a["node_a"] < b["node_b"]) & (a["root_a"] != b["root_b"]) & (F.least(a["left_a"], b["left_b"]) * (100 + percent) >= need(a["n_a"] + b["n_b"]))
     return a.join(b, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
