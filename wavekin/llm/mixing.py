@@ -29,7 +29,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Sums are exact decimals, so they and all that follows are the same in every run.
 EXACT = "decimal(38,9)"
-PARTS = 256
+PARTS, PART_ROWS = 256, 1_000_000
 #: Sources whose facts are broadcast, at most; more are joined by a shuffle.
 BROADCAST_SOURCES = 200_000
 
@@ -143,7 +143,8 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, share: float = 1.0, cap: in
     facts = pd.DataFrame([(i, s, int(totals[s]), float(goal[s]), totals[s] / max(1, counts.get(s, 0))) for i, s in enumerate(order)], columns=["sid", "source", "total", "target", "mean"])
     named = spark.createDataFrame([tuple(r) for r in facts.astype(object).where(facts.notna(), None).itertuples(index=False)], "sid int, source string, total long, target double, mean double")
 
-    part = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(PARTS)).cast("int")
+    # a common size of one source is numbered in parts, so no task sorts more than about PART_ROWS rows
+    part = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(max(PARTS, -(-rows.count() // PART_ROWS)))).cast("int")
     numbered = rows.join(_small(named.select("sid", "source", F.col("total").alias("source_size"), "target"), len(facts)), rows["source"].eqNullSafe(named["source"])).select("doc_id", "sid", "size", "source_size", "target", part.alias("part"))
     cells = stage(numbered.where("size > 0").groupBy("sid", "size", "part").agg(F.count("*").alias("n")), "cells")
     hist = stage(cells.groupBy("sid", "size").agg(F.sum("n").alias("n")), "sizes-of-sources")
