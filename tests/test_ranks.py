@@ -21,6 +21,24 @@ def test_far_and_frequent_values_make_no_large_cell(spark):
     assert edges == {b: float(np.sort(x)[(b + 1) * len(x) // 16]) for b in range(15)}
 
 
+def test_ranks_do_not_depend_on_the_order_of_the_rows(spark, monkeypatch):
+    """Each evaluation meets its rows in another order, as behind a shuffle on a cluster."""
+    def shuffled(batches):
+        for pdf in batches:
+            yield pdf.sample(frac=1, random_state=np.random.default_rng().integers(1 << 31))
+
+    monkeypatch.setattr(L, "CELLS", 64)
+    monkeypatch.setattr(L, "BORDER_ACCURACY", 200)
+    s = 60_000
+    df = spark.range(s, numPartitions=3).select(F.lit(0).alias("seg"), (F.col("id") * 7919 % s).cast("double").alias("x"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r["bin"]: r["edge"] for r in L.equi_depth(df.mapInPandas(shuffled, "seg int, x double"), 256).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == {b: float((b + 1) * s // 256) for b in range(255)}
+
+
 def test_percentiles_and_last_rows(spark):
     x = np.random.default_rng(62).integers(0, 40, size=333) / 4
     df = spark.createDataFrame([(i % 3, i, float(v)) for i, v in enumerate(x)] + [(5, 1000, None), (6, 1001, 2.5)], "k int, t int, v double")

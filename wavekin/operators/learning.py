@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import SeriesConfig
 from ..functions.kernels import coefficients_of, matrix_of
+from ..sources.matrix import shared_folder
 
 #: Cells of about as many different values each in which a group's values are ranked apart, and the accuracy of their borders.
 CELLS, BORDER_ACCURACY = 4096, 40_000
@@ -87,12 +89,17 @@ def cells(values: DataFrame) -> DataFrame:
     """(seg, x, n, s, cell): the different values of each seg with their counts, the seg's count, and cells that part them in order.
 
     Cell borders are approximate quantiles of the different values, so a cell has about an equal number of
-    them wherever they lie: neither far values nor frequent ones make a large cell.
+    them wherever they lie: neither far values nor frequent ones make a large cell. Approximate quantiles
+    depend on the order in which a shuffle brings the rows, and callers join the cells with sums over
+    them, so the borders are found once, written and read back.
     """
+    spark, path = values.sparkSession, f"{shared_folder(values.sparkSession)}/borders-{uuid.uuid4().hex}"
     counted = values.groupBy("seg", "x").agg(F.count("*").alias("n"))
     cuts = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
     borders = counted.groupBy("seg").agg(F.percentile_approx("x", cuts, BORDER_ACCURACY).alias("borders"), F.sum("n").alias("s"))
-    borders = F.broadcast(borders) if values.select("seg").distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else borders
+    borders.write.parquet(path)
+    borders = spark.read.schema(borders.schema).parquet(path)
+    borders = F.broadcast(borders) if borders.select("seg").limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else borders
     # the number of borders not above x, by bisection
     start = F.struct(F.lit(0).alias("lo"), F.size("borders").alias("hi"))
 
