@@ -49,3 +49,14 @@ def test_counted_join_equals_plain_join(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(values, "k").collect()))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_rounds_give_back_their_plans(spark, monkeypatch):
+    """A driver that keeps the plans of all rounds grows until its heap is full."""
+    from wavekin.llm import components as C
+
+    freed = []
+    monkeypatch.setattr(C, "tidy", lambda s: freed.append(s), raising=False)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "u long, v long")
+    assert sorted(tuple(r) for r in C.components(edges).collect()) == [(i, 0) for i in range(1, 10)]
+    assert len(freed) >= 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, remove, stage
+from .common import join_counted, remove, stage, tidy
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -37,7 +37,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         hung = _with_least(large, 2 * before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         old, now = now, stage(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        del both, large, hung, least
         remove(now.sparkSession, old.staged_path)
+        # a round's plans would stay with the driver until its heap is full
+        tidy(now.sparkSession)
         after = _state(now)
         if after == before:
             return now.select("u", F.col("v").alias("root"))

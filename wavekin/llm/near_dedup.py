@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_counted, passing, release, small_batches, stage, table
+from .common import join_counted, passing, release, small_batches, stage, table, tidy
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -207,6 +207,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(u, v) of the candidate pairs that are linked, staged."""
     likely = stage(_likely(pairs, reps, percent), "likely")
+    tidy(docs.sparkSession)
     return stage(_verified(likely, _sets_of(docs, _ends(likely)), percent), "links")
 
 
@@ -254,10 +255,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     with passing(spark) as keep:
         links = _links(pairs, docs, reps, percent)
         first = keep(stage(components(links.unionByName(same)), "roots"))
+    tidy(spark)
     with passing(spark) as keep:
         more = _links(stage(_open_pairs(docs, buckets, first, percent), "open"), docs, reps, percent)
         roots = keep(stage(components(first.select("u", F.col("root").alias("v")).unionByName(more)), "roots"))
 
+    tidy(spark)
     of_class = _rooted(classes.select("d1", "d2", F.col("rep").alias("node")), roots).select("d1", "d2", "root")
     named = sk.where("n > 0").join(of_class, ["d1", "d2"]).select("doc_id", "n", "root")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -301,6 +304,7 @@ def _prefix_pairs(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     held = held.join(nodes, "node").withColumn("left", F.col("c") - F.col("nth") + 1)
     held = held.where(F.col("n") - F.col("left") + 1 <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     held = stage(held.select("s", "node", "n", "root", "left"), "prefixes")
+    tidy(nodes.sparkSession)
     floor = held.groupBy("s").agg(F.min("n").alias("least"), F.count("*").alias("f"))
     partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
     alive = join_counted(held, floor, "s", "f", total).where(F.col("left") * (100 + percent) >= need(F.col("n") + partner)).drop("least", "f")
