@@ -27,6 +27,24 @@ def test_table_function_equals_search(spark, tmp_path, settings):
     assert odd.count() == 0
 
 
+def test_leaves_are_read_in_blocks_not_one_by_one(spark, tmp_path, monkeypatch):
+    from wavekin.functions import search_sql
+
+    x = np.random.default_rng(52).normal(size=(600, 16))
+    series = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "series_id long, values array<double>")
+    path, classes, scans, real = str(tmp_path / "i"), [], [], F.udtf
+    index = SeriesIndex.build(series, SeriesConfig(n=16, w=8, leaf_size=5, z_normalize=False), path=path, part_rows=300)
+    monkeypatch.setattr(search_sql.F, "udtf", lambda c, returnType: classes.append(c) or real(c, returnType=returnType))
+    register_knn(spark, path, "blocks")
+    monkeypatch.undo()
+    dataset = search_sql.ds.dataset
+    monkeypatch.setattr(search_sql.ds, "dataset", lambda *a, **more: scans.append(a) or dataset(*a, **more))
+    got = [(r[1], round(r[2], 9)) for r in classes[0]().eval(x[4].tolist(), 600)]
+    d = ((x - x[4]) ** 2).sum(axis=1)
+    assert got == [(int(i), round(float(d[i]), 9)) for i in np.argsort(d)]
+    assert index.leaves.count() > 100 and len(scans) < 30
+
+
 def test_running_totals_are_exact_and_survive_a_restart(spark, tmp_path):
     rows = [(q, int(q * 7 % 50), s) for s in range(3) for q in range(s, 300, s + 1)]
     df = spark.createDataFrame(rows, "q_id long, latency long, step long")

@@ -24,6 +24,8 @@ from .kernels import WordBounds, coefficients_of, matrix_of
 
 #: Rows of leaves that a task keeps between queries, at most.
 KEPT_ROWS = 200_000
+#: Leaves that a query opens first, each time twice as many, and rows that it opens at a time beyond one leaf, at most.
+FIRST_LEAVES, OPEN_ROWS = 8, 50_000
 
 
 def summary_of(x: np.ndarray, config, model) -> np.ndarray:
@@ -44,23 +46,43 @@ def register_knn(spark: SparkSession, path: str, name: str = "knn") -> None:
     class Knn:
         def __init__(self):
             self.store, self.place = _file_system(path)
-            leaves = ds.dataset(f"{_file_system(folder)[1]}", filesystem=self.store, format="parquet").to_table(columns=["leaf_id", "lo", "hi", "parts"]).combine_chunks()
+            leaves = ds.dataset(f"{_file_system(folder)[1]}", filesystem=self.store, format="parquet").to_table(columns=["leaf_id", "lo", "hi", "parts", "n_rows"]).combine_chunks()
             self.names, self.parts = leaves["leaf_id"].to_pylist(), leaves["parts"].to_pylist()
+            self.sizes = leaves["n_rows"].to_numpy()
             self.bounds = WordBounds(config, model)
             ends = [matrix_of(leaves[c].combine_chunks()).astype(np.int64) for c in ("lo", "hi")] if len(self.names) else [np.zeros((0, config.w), dtype=np.int64)] * 2
             self.low, self.high = self.bounds.ranges(*ends)
             self.kept: OrderedDict = OrderedDict()
 
-        def leaf(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-            if i not in self.kept:
-                files = [f"{self.place}/rows/part={p}" for p in self.parts[i]]
-                got = [ds.dataset(f, filesystem=self.store, format="parquet").to_table(columns=["series_id", "values"], filter=ds.field("leaf_id") == self.names[i]) for f in files]
-                some = [t.combine_chunks() for t in got if t.num_rows]
-                self.kept[i] = np.concatenate([t["series_id"].to_numpy() for t in some]), np.concatenate([matrix_of(t["values"].combine_chunks()) for t in some])
-                while len(self.kept) > 1 and sum(len(v[0]) for v in self.kept.values()) > KEPT_ROWS:
-                    self.kept.popitem(last=False)
-            self.kept.move_to_end(i)
-            return self.kept[i]
+        def rows_of(self, some: list[int]) -> tuple[np.ndarray, np.ndarray]:
+            """(series_id, values) of the leaves; those not kept are read by one scan of each part that holds any of them."""
+            wanted: dict = {}
+            for i in some:
+                if i in self.kept:
+                    self.kept.move_to_end(i)
+                else:
+                    for p in self.parts[i]:
+                        wanted.setdefault(p, []).append(i)
+            found: dict = {i: [] for group in wanted.values() for i in group}
+            for p, group in wanted.items():
+                place = {self.names[i]: i for i in group}
+                rows = ds.dataset(f"{self.place}/rows/part={p}", filesystem=self.store, format="parquet")
+                got = rows.to_table(columns=["leaf_id", "series_id", "values"], filter=ds.field("leaf_id").isin(list(place))).combine_chunks()
+                if not got.num_rows:
+                    continue
+                leaf = np.array([place[name] for name in got["leaf_id"].to_pylist()])
+                order = np.argsort(leaf, kind="stable")
+                ids, values = got["series_id"].to_numpy()[order], matrix_of(got["values"].combine_chunks())[order]
+                which, start = np.unique(leaf[order], return_index=True)
+                for i, a, b in zip(which.tolist(), start, [*start[1:], len(leaf)], strict=True):
+                    found[i].append((ids[a:b].copy(), values[a:b].copy()))
+            for i, pieces in found.items():
+                self.kept[i] = tuple(np.concatenate(side) for side in zip(*pieces, strict=True)) if pieces else (np.zeros(0, dtype=np.int64), np.zeros((0, config.n)))
+            ids, values = (np.concatenate(side) for side in zip(*(self.kept[i] for i in some), strict=True))
+            held = sum(len(v[0]) for v in self.kept.values())
+            while len(self.kept) > 1 and held > KEPT_ROWS:
+                held -= len(self.kept.popitem(last=False)[1][0])
+            return ids, values
 
         def eval(self, query, k):
             if query is None or k is None or k < 1 or len(query) != config.n or any(v is None or v != v for v in query):
@@ -72,10 +94,16 @@ def register_knn(spark: SparkSession, path: str, name: str = "knn") -> None:
             vector = summary_of(x, config, model)
             lb = self.bounds.between(vector, vector, self.low, self.high)
             d, ids = np.zeros(0), np.zeros(0, dtype=np.int64)
-            for i in np.argsort(lb, kind="stable"):
-                if len(d) == k and lb[i] > d[-1] * (1 + 1e-9) + 1e-9:
+            order, lo, width = np.argsort(lb, kind="stable"), 0, FIRST_LEAVES
+            while lo < len(order):
+                some = order[lo : lo + width]
+                some = some[: max(1, np.searchsorted(np.cumsum(self.sizes[some]), OPEN_ROWS, "right"))]
+                if len(d) == k and not (lb[some] <= d[-1] * (1 + 1e-9) + 1e-9).any():
                     break
-                more, values = self.leaf(int(i))
+                lo, width = lo + len(some), 2 * width
+                if len(d) == k:
+                    some = some[lb[some] <= d[-1] * (1 + 1e-9) + 1e-9]
+                more, values = self.rows_of(some.tolist())
                 gap = values - x
                 d, ids = np.concatenate([d, np.einsum("ij,ij->i", gap, gap)]), np.concatenate([ids, more])
                 first = np.lexsort((ids, d))[:k]

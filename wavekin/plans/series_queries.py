@@ -1005,7 +1005,7 @@ def qry_knn_sql_table_function(spark, d):
     I.SeriesIndex.build(e.select("series_id", "values"), SeriesConfig(n=64, w=8, leaf_size=20, z_normalize=False), path=path)
     register_knn(spark, path)
     view = f"asked_{uuid.uuid4().hex}"
-    X.queries_of(e).createOrReplaceTempView(view)
+    S.spread(X.queries_of(e)).createOrReplaceTempView(view)
     return spark.sql(f"""SELECT q_id, rank, series_id, round(dist, 6) + 0D AS dist FROM (
         SELECT q.q_id, CAST(row_number() OVER (PARTITION BY q.q_id ORDER BY n.rank) AS BIGINT) AS rank, n.series_id, n.dist
         FROM {view} q, LATERAL knn(q.values, 6) n WHERE n.series_id <> q.q_id) WHERE rank <= 5""")
