@@ -60,3 +60,22 @@ def test_rounds_give_back_their_plans(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "u long, v long")
     assert sorted(tuple(r) for r in C.components(edges).collect()) == [(i, 0) for i in range(1, 10)]
     assert len(freed) >= 2
+
+
+def test_hot_keys_of_a_counted_join_are_split(spark, monkeypatch):
+    """The values of hot keys were joined from the left, which passed every row through a second join."""
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 500).alias("k"), "id")
+        got = common.join_counted(rows, rows.groupBy("k").agg(F.count("*").alias("n")), "k", "n", 20_000)
+        assert got.agg(F.count("*"), F.max("n")).first() == (20_000, 10_040)
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in plan and "LeftOuter" not in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, remove, stage, tidy
+from .common import join_counted, passing, remove, stage, tidy
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,11 +32,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
     before = _state(now)
     for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, 2 * before[0], "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        hung = _with_least(large, 2 * before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        old, now = now, stage(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        with passing(now.sparkSession) as keep:
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = _with_least(both, 2 * before[0], "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            hung = _with_least(large, 2 * before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            old, now = now, keep(stage(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc"))
         del both, large, hung, least
         remove(now.sparkSession, old.staged_path)
         # a round's plans would stay with the driver until its heap is full

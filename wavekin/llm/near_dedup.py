@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     of_class = _rooted(classes.select("d1", "d2", F.col("rep").alias("node")), roots).select("d1", "d2", "root")
     named = sk.where("n > 0").join(of_class, ["d1", "d2"]).select("doc_id", "n", "root")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = named.join(smallest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    linked = named.join(stage(smallest, "smallest"), "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sk.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -307,7 +307,7 @@ def _prefix_pairs(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     tidy(nodes.sparkSession)
     floor = held.groupBy("s").agg(F.min("n").alias("least"), F.count("*").alias("f"))
     partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
-    alive = join_counted(held, floor, "s", "f", total).where(F.col("left") * (100 + percent) >= need(F.col("n") + partner)).drop("least", "f")
+    alive = stage(join_counted(held, floor, "s", "f", total).where(F.col("left") * (100 + percent) >= need(F.col("n") + partner)).drop("least", "f"), "alive")
     mixed = alive.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("f")).where("r0 <> r1").select("s", "f")
     alive = stage(join_counted(alive, mixed, "s", "f", total).drop("f"), "prefixes")
     a, b = (alive.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root", "left")]) for x in "ab")
