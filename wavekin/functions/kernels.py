@@ -14,8 +14,8 @@ from .arrays import breakpoints
 from .distances import sfa_weights
 
 
-#: Diagonals between two looks at which rows are over the limit.
-DTW_LOOK = 8
+#: Diagonals between two looks at which rows are over the limit, and the share of rows within it from which those over it stay.
+DTW_LOOK, DTW_FULL = 8, 0.8
 
 
 def dtw_limited(a: np.ndarray, b: np.ndarray, r: int, limit: float = np.inf, tail: np.ndarray | None = None) -> tuple[np.ndarray, int]:
@@ -31,42 +31,51 @@ def dtw_limited(a: np.ndarray, b: np.ndarray, r: int, limit: float = np.inf, tai
     if not rows:
         return out, 0
     at, one = np.arange(rows), b.shape[0] == 1
-    x, y = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    # cell i of a diagonal is at i + 1, with infinite neighbours
-    last, before = np.full((n + 2, rows), np.inf), np.full((n + 2, rows), np.inf)
+    x, y, used = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), 0
+    # the cells of the last two diagonals between infinite neighbours, and the first's i; None for an empty one
+    last, before = None, None
     cells, step, low_before = 0, 0, np.full(rows, np.inf)
     for d in range(2 * n - 1):
         lo, hi = max(0, d - n + 1, (d - r + 1) // 2), min(d, n - 1, (d + r) // 2)
-        now = before
         if lo > hi:
             # only with r = 0: every other diagonal is empty
-            last, before = np.full_like(last, np.inf), last
+            last, before = None, last
             continue
-        other = y[d - hi : d - lo + 1][::-1]
-        gap = x[lo : hi + 1] - other
+        now = np.empty((hi - lo + 3, len(at)))
+        now[0] = now[-1] = np.inf
+        gap = now[1:-1]
+        np.subtract(x[lo - used : hi + 1 - used], y[d - hi : d - lo + 1][::-1], out=gap)
         gap *= gap
-        if d:
-            best = np.minimum(last[lo : hi + 1], last[lo + 1 : hi + 2])
-            gap += np.minimum(best, before[lo : hi + 1])
-        now[lo + 1 : hi + 2] = gap
-        now[lo] = now[hi + 2 if hi + 2 < n + 2 else lo] = np.inf
+        best = None
+        if last is not None:
+            c, first = last
+            best = np.minimum(c[lo - first : hi - first + 1], c[lo - first + 1 : hi - first + 2])
+        if before is not None:
+            c, first = before
+            c = c[lo - first : hi - first + 1]
+            best = c if best is None else np.minimum(best, c, out=best)
+        if best is not None:
+            gap += best
         cells += gap.size
-        last, before = now, last
+        last, before = (now, lo), last
         step += 1
         if limit < np.inf and step % DTW_LOOK >= DTW_LOOK - 2:
             low = gap.min(axis=0)
             if step % DTW_LOOK == DTW_LOOK - 1:
                 rest = tail[min((d + r) // 2 + 1, n)] if tail is not None else 0.0
                 alive = np.minimum(low, low_before) + rest <= limit
-                if not alive.all():
-                    if not alive.any():
-                        return out, cells
-                    at, x, last, before = at[alive], x[:, alive], last[:, alive], before[:, alive]
-                    y = y if one else y[:, alive]
-                    tail = tail if tail is None else tail[:, alive]
-                    low = low[alive]
+                count = np.count_nonzero(alive)
+                if not count:
+                    return out, cells
+                if count < DTW_FULL * len(at):
+                    kept = np.flatnonzero(alive)
+                    at, x, used = at[kept], x[lo - used :].take(kept, axis=1), lo
+                    last, before = (last[0].take(kept, axis=1), last[1]), before and (before[0].take(kept, axis=1), before[1])
+                    y = y if one else y.take(kept, axis=1)
+                    tail = tail if tail is None else tail.take(kept, axis=1)
+                    low = low[kept]
             low_before = low
-    done = last[n]
+    done = last[0][1]
     out[at] = np.where(done <= limit, done, np.inf)
     return out, cells
 
@@ -183,9 +192,13 @@ def envelopes(x: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
 
 def keogh_tail(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Row i: for every row of x the part of ``keogh`` that its values from i on have; row 0 is ``keogh``, the last row 0."""
-    gap = np.maximum(np.maximum(x - hi, lo - x), 0.0)
-    out = np.zeros((x.shape[1] + 1, len(x)))
-    out[:-1] = np.cumsum((gap * gap).T[::-1], axis=0)[::-1]
+    out = np.empty((x.shape[1] + 1, len(x)))
+    out[-1] = 0.0
+    x = np.ascontiguousarray(x.T)
+    gap = x - np.clip(x, lo[:, None], hi[:, None])
+    gap *= gap
+    for i in range(len(x) - 1, -1, -1):
+        np.add(out[i + 1], gap[i], out=out[i])
     return out
 
 
