@@ -17,7 +17,8 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stage, table, text_or_empty
@@ -62,6 +63,19 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_SOURCES else df
 
 
+def _held(spark: SparkSession, schema: str, **columns: pa.Array) -> DataFrame:
+    """A table of the driver's own columns; sent as Arrow, so that no executor starts Python for it."""
+    return spark.createDataFrame(pa.table(columns), schema) if len(next(iter(columns.values()))) else spark.createDataFrame([], schema)
+
+
+_LAM = "sid int, lam double, mean double"
+
+
+def _lam_columns(rows: list[tuple[int, float, float]]) -> dict[str, pa.Array]:
+    kinds = {"sid": pa.int32(), "lam": pa.float64(), "mean": pa.float64()}
+    return {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())}
+
+
 def _solve(hist: DataFrame, facts: pd.DataFrame, cap: float, tolerance: float, most: int) -> dict[int, float]:
     """lambda of each source number in ``facts`` (sid, total, target, mean)."""
     spark = hist.sparkSession
@@ -80,7 +94,7 @@ def _solve(hist: DataFrame, facts: pd.DataFrame, cap: float, tolerance: float, m
         if not live:
             break
         # one row for each source, as collected for the targets
-        now = _small(spark.createDataFrame(live, "sid int, lam double, mean double"), len(live))
+        now = _small(_held(spark, _LAM, **_lam_columns(live)), len(live))
         tilt = F.col("lam") * F.col("size") / F.col("mean")
         rate = F.least(F.lit(float(cap)), F.exp(F.least(tilt, F.lit(50.0))))
         words = F.col("n") * F.col("size")
@@ -141,7 +155,7 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, share: float = 1.0, cap: in
     order = sorted((s for s in totals if s is not None)) + ([None] if None in totals else [])
     counts = {r["source"]: r["n"] for r in rows.where("size > 0").groupBy("source").agg(F.count("*").alias("n")).collect()}
     facts = pd.DataFrame([(i, s, int(totals[s]), float(goal[s]), totals[s] / max(1, counts.get(s, 0))) for i, s in enumerate(order)], columns=["sid", "source", "total", "target", "mean"])
-    named = spark.createDataFrame([tuple(r) for r in facts.astype(object).where(facts.notna(), None).itertuples(index=False)], "sid int, source string, total long, target double, mean double")
+    named = _held(spark, "sid int, source string, total long, target double", sid=pa.array(range(len(order)), pa.int32()), source=pa.array(order, pa.string()), total=pa.array([int(totals[s]) for s in order], pa.int64()), target=pa.array([float(goal[s]) for s in order], pa.float64()))
 
     # a common size of one source is numbered in parts, so no task sorts more than about PART_ROWS rows
     part = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(max(PARTS, -(-rows.count() // PART_ROWS)))).cast("int")
@@ -149,7 +163,7 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, share: float = 1.0, cap: in
     cells = stage(numbered.where("size > 0").groupBy("sid", "size", "part").agg(F.count("*").alias("n")), "cells")
     hist = stage(cells.groupBy("sid", "size").agg(F.sum("n").alias("n")), "sizes-of-sources")
     lam = _solve(hist, facts, cap, tolerance, most)
-    solved = _small(spark.createDataFrame([(int(r.sid), float(lam[r.sid]), float(r.mean)) for r in facts.itertuples()], "sid int, lam double, mean double"), len(facts))
+    solved = _small(_held(spark, _LAM, **_lam_columns([(int(r.sid), float(lam[r.sid]), float(r.mean)) for r in facts.itertuples()])), len(facts))
     tilt = F.col("lam") * F.col("size") / F.col("mean")
     rate = F.least(F.lit(float(cap)), F.exp(F.least(tilt, F.lit(50.0))))
     # one group holds a source's different sizes, not its documents

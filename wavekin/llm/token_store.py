@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release, remove, scratch, small_batches, table
+from .common import release, remove, scratch, small_batches, table, text_parts
 from .word_encoder import WordEncoder, encoder_of  # noqa: F401  the encoder is part of this module's interface
 
 ROLL, LEAST, MOST, MASK = 16, 128, 2048, (1 << 9) - 1
@@ -90,34 +90,38 @@ _CHUNK = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.b
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("fresh", pa.list_(_CHUNK))])
 
 
+def _encode(batches: Iterator[pa.RecordBatch], encoder: WordEncoder, end_id: int | None, width: str) -> Iterator[pa.RecordBatch]:
+    """The rows of ``_encoded``, about PART_BYTES of text at a time: rows may be long, so a batch of them has no bounded size."""
+    size = np.dtype(width).itemsize
+    seen: set[bytes] = set()
+    for batch in (part for whole in batches for part in text_parts(whole, "text")):
+        ids, counts = encoder.encode_batch(batch.column("text").to_pylist(), end_id)
+        data = memoryview(ids.astype(width).tobytes())
+        recipes, digests, at = [0], [], 0
+        fresh, new, sizes, payloads = [0], [], [], []
+        for ends in cuts(ids, counts):
+            for end in ends:
+                payload = data[at * size : end * size]
+                digest = hashlib.blake2b(payload, digest_size=16).digest()
+                digests.append(digest)
+                if digest not in seen:
+                    seen.add(digest)
+                    new.append(digest)
+                    sizes.append(end - at)
+                    payloads.append(bytes(payload))
+                at = end
+            recipes.append(len(digests))
+            fresh.append(len(new))
+        chunks = pa.StructArray.from_arrays([pa.array(new, pa.binary()), pa.array(sizes, pa.int32()), pa.array(payloads, pa.binary())], fields=list(_CHUNK))
+        columns = [batch.column("doc_id"), pa.array(counts), pa.ListArray.from_arrays(pa.array(recipes, pa.int32()), pa.array(digests, pa.binary())), pa.ListArray.from_arrays(pa.array(fresh, pa.int32()), chunks)]
+        yield pa.RecordBatch.from_arrays(columns, schema=_ENCODED)
+
+
 def _encoded(docs: DataFrame, tokenizer_path: str, end_id: int | None, width: str) -> DataFrame:
     """(doc_id, n_tokens, digests, fresh): fresh has the chunks not seen before by the same task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer_path)
-        size = np.dtype(width).itemsize
-        seen: set[bytes] = set()
-        for batch in batches:
-            ids, counts = encoder.encode_batch(batch.column("text").to_pylist(), end_id)
-            data = memoryview(ids.astype(width).tobytes())
-            recipes, digests, at = [0], [], 0
-            fresh, new, sizes, payloads = [0], [], [], []
-            for ends in cuts(ids, counts):
-                for end in ends:
-                    payload = data[at * size : end * size]
-                    digest = hashlib.blake2b(payload, digest_size=16).digest()
-                    digests.append(digest)
-                    if digest not in seen:
-                        seen.add(digest)
-                        new.append(digest)
-                        sizes.append(end - at)
-                        payloads.append(bytes(payload))
-                    at = end
-                recipes.append(len(digests))
-                fresh.append(len(new))
-            chunks = pa.StructArray.from_arrays([pa.array(new, pa.binary()), pa.array(sizes, pa.int32()), pa.array(payloads, pa.binary())], fields=list(_CHUNK))
-            columns = [batch.column("doc_id"), pa.array(counts), pa.ListArray.from_arrays(pa.array(recipes, pa.int32()), pa.array(digests, pa.binary())), pa.ListArray.from_arrays(pa.array(fresh, pa.int32()), chunks)]
-            yield pa.RecordBatch.from_arrays(columns, schema=_ENCODED)
+        yield from _encode(batches, encoder_of(tokenizer_path), end_id, width)
         release()
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, digests array<binary>, fresh array<struct<digest:binary,n:int,payload:binary>>")
@@ -191,7 +195,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
     # one row for each recipe file, not for documents
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     per_part.select("*", F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("first_doc"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first_token")).write.parquet(f"{path}/parts")
-    spark.createDataFrame([(width,)], "ids string").coalesce(1).write.parquet(f"{path}/format")
+    spark.range(1).select(F.lit(width).alias("ids")).coalesce(1).write.parquet(f"{path}/format")
     merkle(_leaves(ordered(spark, path)), f"{path}/manifest")
 
 
