@@ -254,11 +254,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     same = full.join(classes, ["d1", "d2"]).where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
     with passing(spark) as keep:
         links = _links(pairs, docs, reps, percent)
-        first = keep(stage(components(links.unionByName(same)), "roots"))
+        first = roots = keep(components(links.unionByName(same)))
     tidy(spark)
     with passing(spark) as keep:
-        more = _links(stage(_open_pairs(docs, buckets, first, percent), "open"), docs, reps, percent)
-        roots = keep(stage(components(first.select("u", F.col("root").alias("v")).unionByName(more)), "roots"))
+        open_ = stage(_open_pairs(docs, buckets, first, percent), "open")
+        more = None if open_.isEmpty() else _links(open_, docs, reps, percent)
+        if more is not None and not more.isEmpty():
+            roots = keep(components(first.select("u", F.col("root").alias("v")).unionByName(more)))
 
     tidy(spark)
     of_class = _rooted(classes.select("d1", "d2", F.col("rep").alias("node")), roots).select("d1", "d2", "root")
@@ -296,8 +298,10 @@ def _prefix_pairs(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     holders of a common shingle meet in one place only where pairs of them are open.
     """
     need = lambda total: total * percent  # noqa: E731  a link's intersection times (100 + percent) reaches it
-    shingles = _sets_of(docs, nodes.select("node")).select("node", F.explode("shingles").alias("s"))
     total = nodes.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return nodes.select(F.col("node").alias("a"), F.col("root").alias("b")).where("false")
+    shingles = _sets_of(docs, nodes.select("node")).select("node", F.explode("shingles").alias("s"))
     shared = shingles.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     by_rarity = Window.partitionBy("node").orderBy("f", "s")
     held = join_counted(shingles, shared, "s", "f", total).select("node", "s", F.row_number().over(by_rarity).alias("nth"), F.count("*").over(Window.partitionBy("node")).alias("c"))
