@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, ShortType, StructField, StructType
@@ -106,6 +107,11 @@ def matrix_of(column) -> np.ndarray:
     return flat.astype(float, copy=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def lists_of(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as an Arrow list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+
+
 def coefficients_of(x: np.ndarray, coefficients: list[int]) -> np.ndarray:
     """Interleaved (re, -im) of X_k / sqrt(n) for rows of x."""
     f = np.fft.rfft(x, axis=1)[:, coefficients] / np.sqrt(x.shape[1])
@@ -126,21 +132,25 @@ def summarise(prepared: DataFrame, config, model=None) -> DataFrame:
     bins = np.array(breakpoints(config.alphabet)) if config.summarization == "sax" else [np.array(b) for b in model.bins]
     chosen = None if config.summarization == "sax" else list(model.coefficients)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.stack(pdf["values"].to_numpy()).astype(float)
+            x = matrix_of(batch.column("values"))
             if chosen is None:
                 vector = x[:, : w * m].reshape(len(x), w, m).mean(axis=2)
                 word = np.searchsorted(bins, vector, side="left")
             else:
                 vector = coefficients_of(x, chosen)
                 word = np.stack([np.searchsorted(b, np.round(vector[:, i], 6), side="right") for i, b in enumerate(bins)], axis=1)
-            yield pdf.assign(vector=list(vector), word=list(word.astype(np.int16)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists_of(vector), lists_of(word.astype(np.int16))], [*batch.schema.names, "vector", "word"])
 
     schema = StructType([*prepared.schema.fields, StructField("vector", ArrayType(DoubleType())), StructField("word", ArrayType(ShortType()))])
-    return prepared.mapInPandas(run, schema)
+    return prepared.mapInArrow(run, schema)
+
+
+#: Rows and queries whose bounds are computed together, so that they stay in the cache.
+NEAR_BLOCK = 32, 1024
 
 
 class WordBounds:
@@ -168,6 +178,40 @@ class WordBounds:
         gap = np.maximum(np.maximum(low - most, least - high) - self.slack, 0.0)
         return (gap * gap) @ self.weights
 
+    def near(self, vectors: np.ndarray, low: np.ndarray, high: np.ndarray, limits: np.ndarray) -> np.ndarray:
+        """Where a row's bound (rows low, high) can be within a query's limit, rows x queries: in single precision, with a margin for it, so some more than there are."""
+        edges = self.edges[:, 1:-1]
+        size = max(np.abs(edges).max(initial=0.0), np.abs(vectors).max(initial=0.0))
+        kind = np.float32 if size < 1e15 else np.float64
+        slack = kind(self.slack + (4e-7 * size if kind is np.float32 else 0.0))
+        with np.errstate(over="ignore"):
+            limits = (limits * (1 + 1e-5)).astype(kind)
+        low, high, v = (np.ascontiguousarray(x.T, dtype=kind) for x in (low, high, vectors))
+        weights, out = self.weights.astype(kind), np.empty((low.shape[1], v.shape[1]), dtype=bool)
+        tall, wide = NEAR_BLOCK
+        for a in range(0, out.shape[0], tall):
+            for c in range(0, out.shape[1], wide):
+                x, least, most = v[:, c : c + wide], low[:, a : a + tall, None], high[:, a : a + tall, None]
+                total = np.zeros((least.shape[1], x.shape[1]), dtype=kind)
+                gap, other = np.empty_like(total), np.empty_like(total)
+                for i, weight in enumerate(weights):
+                    np.subtract(least[i], x[i], out=gap)
+                    np.subtract(x[i], most[i], out=other)
+                    np.maximum(gap, other, out=gap)
+                    gap -= slack
+                    np.maximum(gap, 0, out=gap)
+                    np.multiply(gap, gap, out=gap)
+                    gap *= weight
+                    total += gap
+                out[a : a + tall, c : c + wide] = total <= limits[c : c + wide]
+        return out
+
+    def centres(self, vectors: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Squared distances of the middles of symbol ranges from all queries, ranges x queries, without the queries' own squares."""
+        root, most = np.sqrt(self.weights), np.abs(self.edges[:, 1:-1]).max(axis=1)
+        middle, v = (np.clip(low, -most, most) + np.clip(high, -most, most)) / 2 * root, np.clip(vectors, -most, most) * root
+        return np.column_stack([-2 * middle, np.einsum("ij,ij->i", middle, middle)]) @ np.column_stack([v, np.ones(len(v))]).T
+
     def of_words(self, vectors: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Bounds of all words for all queries' vectors, words x queries."""
         out = np.zeros((len(words), len(vectors)))

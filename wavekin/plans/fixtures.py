@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 
 N, STRIDE = 64, 5
+#: Windows of a walk that are cut from one block of steps; events of a part of the walk, at least and at most.
+WINDOWS, SMALL_EVENTS, PART_EVENTS = 200, 10_000, 250_000
 #: Segments that 64 values cannot be cut into evenly.
 ODD_W = 24
 
@@ -47,11 +49,27 @@ def walk(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") * 1000).cast("long").alias("k"))
     centre = events.agg(F.floor(F.sum("k") / F.count("*")).alias("m"))
     steps = running_sum(events.crossJoin(F.broadcast(centre)).withColumn("d", F.col("k") - F.col("m")), "event_id", "d")
-    first = F.greatest(F.lit(0), F.ceil((F.col("i") - (N - 1)) / STRIDE))
-    spread = steps.select("i", "x", F.explode(F.sequence(first, F.floor(F.col("i") / STRIDE))).alias("series_id"))
-    cut = spread.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+    spread = steps.select("i", "x", F.explode(blocks_of(F.col("i"))).alias("b"))
+    cut = spread.repartition(walk_parts(events), "b").groupBy("b").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+    at = cut.select("b", "s", F.explode(F.sequence(F.lit(0), F.lit(WINDOWS - 1))).alias("w"))
+    # the slice first: what stands before it would be done for every window
+    values = F.transform(F.slice("s", F.col("w") * STRIDE + 1, N), lambda s: s["x"] / 1000.0)
+    windows = at.select((F.col("b") * WINDOWS + F.col("w")).alias("series_id"), values.alias("values"))
     # kept, as a query reads its series several times; a session's later queries find it again
-    return cut.where(F.size("s") == N).select("series_id", F.transform("s", lambda s: s["x"] / 1000.0).alias("values")).persist()
+    return windows.where(F.size("values") == N).persist()
+
+
+def blocks_of(i: Column) -> Column:
+    """The blocks whose windows a step is in: one, or two near a border. A block's windows are cut from its steps and the few after it."""
+    width = WINDOWS * STRIDE
+    block = F.floor(i / width)
+    return F.when((i % width < N - STRIDE) & (block > 0), F.array(block - 1, block)).otherwise(F.array(block))
+
+
+def walk_parts(events: DataFrame) -> int:
+    """Parts of the series: few of a small table, two a core of a larger one, and of at most PART_EVENTS events."""
+    rows = events.count()
+    return max(1, min(-(-rows // SMALL_EVENTS), max(2 * events.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_EVENTS))))
 
 
 def users(spark, sf_dir) -> DataFrame:
