@@ -49,7 +49,6 @@ def test_rows_in_passing_have_the_answers_of_a_full_search(walks, settings, stra
     monkeypatch.setattr(S, "_answers", None)
     for products in (40, S.PRODUCTS):
         monkeypatch.setattr(S, "PRODUCTS", products)
-        monkeypatch.setattr(S, "_open_pairs", lambda *_: np.inf)
         assert found(S.knn(index, asked(df), 5, strategy=strategy)) == {q: nearest(z, q, 5) for q in ASKED}
     # no limit at all: every run of rows gives its k nearest
     every = asked(df).select("q_id", F.lit(float("inf")).alias("bsf"))
@@ -62,7 +61,6 @@ def test_a_stored_index_is_searched_in_passing_by_its_open_parts(walks, tmp_path
     z = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, keepdims=True)
     index = SeriesIndex.build(df, SeriesConfig(n=32, w=8, leaf_size=10), path=str(tmp_path / "index"), part_rows=50)
     monkeypatch.setattr(S, "open_leaves", None)
-    monkeypatch.setattr(S, "_open_pairs", lambda *_: np.inf)
     assert found(S.knn(index, asked(df), 3)) == {q: nearest(z, q, 3) for q in ASKED}
 
 

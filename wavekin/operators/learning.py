@@ -99,6 +99,9 @@ def cells(values: DataFrame) -> DataFrame:
     borders = counted.groupBy("seg").agg(F.percentile_approx("x", cuts, BORDER_ACCURACY).alias("borders"), F.sum("n").alias("s"))
     borders.write.parquet(path)
     borders = spark.read.schema(borders.schema).parquet(path)
+    kinds = dict(values.dtypes)
+    if kinds["x"] == "double" and kinds["seg"] in ("int", "bigint", "string") and borders.select("seg").limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        return _cells_of(counted, borders)
     borders = F.broadcast(borders) if borders.select("seg").limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else borders
     # the number of borders not above x, by bisection
     start = F.struct(F.lit(0).alias("lo"), F.size("borders").alias("hi"))
@@ -112,6 +115,30 @@ def cells(values: DataFrame) -> DataFrame:
     return counted.join(borders, "seg").select("seg", "x", "n", "s", cell.alias("cell"))
 
 
+def _cells_of(counted: DataFrame, borders: DataFrame) -> DataFrame:
+    """``cells`` of doubles with the borders of few groups in every task, so that no row carries its group's borders."""
+    got = borders.toArrow()
+    edges = {seg: (np.array(b or []), s) for seg, b, s in zip(*(got[c].to_pylist() for c in ("seg", "borders", "s")), strict=True)}
+    held = counted.sparkSession.sparkContext.broadcast(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seg, x = batch.column("seg").dictionary_encode(), batch.column("x").to_numpy(zero_copy_only=False)
+            place, cell, total = seg.indices.to_numpy(), np.empty(len(x), dtype=np.int32), np.empty(len(x), dtype=np.int64)
+            for i, name in enumerate(seg.dictionary.to_pylist()):
+                at = place == i
+                # the number of borders not above x
+                cell[at], total[at] = np.searchsorted(held.value[name][0], x[at], side="right"), held.value[name][1]
+            # nulls come first
+            cell[batch.column("x").is_null().to_numpy(zero_copy_only=False)] = 0
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("seg", "x", "n")), pa.array(total), pa.array(cell)], ["seg", "x", "n", "s", "cell"])
+
+    kind = counted.schema["seg"].dataType.simpleString()
+    return counted.where("seg is not null").select("seg", "x", "n").mapInArrow(run, f"seg {kind}, x double, n long, s long, cell int")
+
+
 def ranks(values: DataFrame) -> DataFrame:
     """(seg, x, n, s, first): value x has the ranks first .. first + n - 1, from 0, among the s values of its seg.
 
