@@ -64,6 +64,19 @@ def test_a_stored_index_is_searched_in_passing_by_its_open_parts(walks, tmp_path
     assert found(S.knn(index, asked(df), 3)) == {q: nearest(z, q, 3) for q in ASKED}
 
 
+def test_rows_of_a_leaf_lie_together_after_append_and_complete(walks, tmp_path):
+    df, _ = walks
+    config = SeriesConfig(n=32, w=8, leaf_size=10)
+    grown = SeriesIndex.build(df.where("series_id < 100"), config).append(df.where("series_id >= 100"))
+    SeriesIndex.build(df, config).save(str(tmp_path / "bare"), covering=False)
+    completed = SeriesIndex.load(df.sparkSession, str(tmp_path / "bare")).complete(df)
+    for index in (grown, completed):
+        leaves = [r["leaf_id"] for r in index.rows.select("leaf_id").collect()]
+        runs = 1 + sum(a != b for a, b in zip(leaves[:-1], leaves[1:], strict=True))
+        assert len(leaves) == 500 and runs <= 2 * len(set(leaves))
+    grown.release()
+
+
 def test_pruning_in_passing_counts_the_same(walks, monkeypatch):
     df, _ = walks
     index = SeriesIndex.build(df, SeriesConfig(n=32, w=8, leaf_size=10))

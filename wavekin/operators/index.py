@@ -354,7 +354,8 @@ class SeriesIndex:
     def complete(self, series: DataFrame) -> SeriesIndex:
         """An index saved without raw values, with them again: ``series`` is what it was built over."""
         fresh = self.summarise(self.prepare(series, self.config), self.config, self.model).select("series_id", "values", "vector")
-        rows = self.rows.drop("values", "vector").join(fresh, "series_id")
+        # searches go by runs of a leaf's rows
+        rows = self.rows.drop("values", "vector").join(fresh, "series_id").repartitionByRange("leaf_id", "series_id").sortWithinPartitions("leaf_id")
         return SeriesIndex(self.config, self.model, rows, self.leaves, self.path)
 
     # searches as methods; their arguments are those of the functions in ``search``
@@ -420,7 +421,7 @@ class SeriesIndex:
         moved = old.drop("leaf_id").join(parted, "word_key").select(*columns, "cardinality", "depth", "path")
         fresh, kept = moved.unionByName(arrived), self.leaves.join(few.select("leaf_id"), "leaf_id", "left_anti")
         if self.path is None:
-            fresh = written(fresh, "rows")
+            fresh = written(fresh.repartitionByRange("leaf_id", "series_id").sortWithinPartitions("leaf_id"), "rows")
             leaves = written(self._merged(kept.unionByName(self._leaves(fresh, config))), "leaves")
             rows = self.rows.join(few.select("leaf_id"), "leaf_id", "left_anti").select(columns).unionByName(fresh.select(columns))
             for name in ("new", "placed", "nodes", "parted"):
